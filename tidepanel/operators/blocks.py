@@ -64,20 +64,12 @@ def number_rows(
     )
 
 
-def framed(
-    panel: DataFrame,
-    build: Callable[[object], Mapping[str, Column]],
-    back: int = 0,
-    fwd: int = 0,
-    keys: Sequence[str] = KEY,
-) -> DataFrame:
-    """Add window columns that look at most `back` rows behind and `fwd` rows ahead.
+def halo(panel: DataFrame, back: int = 0, fwd: int = 0, keys: Sequence[str] = KEY, size: int | None = None) -> DataFrame:
+    """Assign rows to blocks (`_blk`), copying rows within `back` / `fwd` of a border to the neighbour.
 
-    `build(w)` returns the columns over window `w` (per block, ordered by pos). Rows within reach of a
-    block border are copied into the neighbouring block and dropped after evaluation.
+    `_own` is false on the copies.
     """
-    keys = list(keys)
-    size = max(BLOCK_ROWS, back, fwd)
+    size = max(size or BLOCK_ROWS, back, fwd)
     blk, off = _div(size), F.col("pos") % F.lit(size)
     homes = [F.struct(blk.alias("blk"), F.lit(True).alias("own"))]
     if back:
@@ -89,12 +81,25 @@ def framed(
         )
     if fwd:
         homes.append(F.when((off < fwd) & (blk > 0), F.struct((blk - 1).alias("blk"), F.lit(False).alias("own"))))
-    spread = panel.withColumn("_h", F.explode(F.array_compact(F.array(*homes)))) if len(homes) > 1 else (
-        panel.withColumn("_h", homes[0])
-    )
-    spread = spread.withColumn("_blk", F.col("_h.blk"))
+    if len(homes) == 1:
+        return panel.withColumns({"_blk": blk, "_own": F.lit(True)})
+    spread = panel.withColumn("_h", F.explode(F.array_compact(F.array(*homes))))
+    return spread.withColumns({"_blk": F.col("_h.blk"), "_own": F.col("_h.own")}).drop("_h")
+
+
+def framed(
+    panel: DataFrame,
+    build: Callable[[object], Mapping[str, Column]],
+    back: int = 0,
+    fwd: int = 0,
+    keys: Sequence[str] = KEY,
+) -> DataFrame:
+    """Add window columns that look at most `back` rows behind and `fwd` rows ahead.
+
+    `build(w)` returns the columns over window `w` (per block, ordered by pos).
+    """
     w = Window.partitionBy(*keys, "_blk").orderBy("pos")
-    return spread.withColumns(dict(build(w))).where(F.col("_h.own")).drop("_h", "_blk")
+    return halo(panel, back, fwd, keys).withColumns(dict(build(w))).where(F.col("_own")).drop("_own", "_blk")
 
 
 def per_series(panel: DataFrame, *aggs: Column, keys: Sequence[str] = KEY) -> DataFrame:
@@ -120,10 +125,17 @@ def attach(
     return panel.withColumn("_blk", _div(BLOCK_ROWS)).join(spread, on, how).drop("_blk")
 
 
-def nearest_valid(panel: DataFrame, value: str = "y", keys: Sequence[str] = KEY) -> DataFrame:
-    """Add prev_pos/prev_y (last valid at or before) and next_pos/next_y (first valid at or after)."""
+def nearest_valid(
+    panel: DataFrame, value: str = "y", keys: Sequence[str] = KEY, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Add prev_pos/prev_y (last valid at or before) and next_pos/next_y (first valid at or after).
+
+    Columns named in `carry` travel with the valid point as prev_<c> / next_<c>.
+    """
     keys = list(keys)
-    point = F.when(F.col(value).isNotNull(), F.struct(F.col("pos").alias("p"), F.col(value).alias("v")))
+    point = F.when(
+        F.col(value).isNotNull(), F.struct(F.col("pos").alias("p"), F.col(value).alias("v"), *[F.col(c) for c in carry])
+    )
     cut = panel.withColumn("_blk", _div(BLOCK_ROWS)).withColumn("_pt", point)
     scan = Window.partitionBy(*keys).orderBy("_blk")
     borders = (
@@ -146,6 +158,8 @@ def nearest_valid(panel: DataFrame, value: str = "y", keys: Sequence[str] = KEY)
             "prev_y": F.col("_p.v"),
             "next_pos": F.col("_n.p"),
             "next_y": F.col("_n.v"),
+            **{f"prev_{c}": F.col(f"_p.{c}") for c in carry},
+            **{f"next_{c}": F.col(f"_n.{c}") for c in carry},
         }
     ).drop("_blk", "_pt", "_before", "_after", "_p", "_n")
 
