@@ -541,4 +541,5 @@ def analyze(
 
 def merged_warnings(analysis: DataFrame) -> DataFrame:
     """Distinct "series: warning" lines of all series."""
-    return analysis.select(F.concat("series_id", F.lit(": "), F.explode("warnings")).alias("warning")).distinct()
+    lines = analysis.select("series_id", F.explode("warnings").alias("w"))
+    return lines.select(F.concat("series_id", F.lit(": "), "w").alias("warning")).distinct()

@@ -274,12 +274,12 @@ HALF = (
 )
 
 
-@query("w17_split_halves", MIX + HALF.format(p="panel") + " SELECT series_id, round(m1, 4) AS mean_1, round(m2, 4) AS mean_2, round(sqrt(v1), 3) AS sd_1, round(sqrt(v2), 3) AS sd_2 FROM h")
+@query("w17_split_halves", MIX + HALF.format(p="panel") + " SELECT series_id, round(m1, 7) AS mean_1, round(m2, 7) AS mean_2, round(sqrt(v1), 6) AS sd_1, round(sqrt(v2), 6) AS sd_2 FROM h")
 def w17_split_halves(spark, sf):
     s = an.split_halves(mixed(spark, sf))
     return s.select(
-        "series_id", F.round("mean_1", 4).alias("mean_1"), F.round("mean_2", 4).alias("mean_2"),
-        F.round(F.sqrt("var_1"), 3).alias("sd_1"), F.round(F.sqrt("var_2"), 3).alias("sd_2"),
+        "series_id", F.round("mean_1", 7).alias("mean_1"), F.round("mean_2", 7).alias("mean_2"),
+        F.round(F.sqrt("var_1"), 6).alias("sd_1"), F.round(F.sqrt("var_2"), 6).alias("sd_2"),
     )
 
 
@@ -302,18 +302,20 @@ def y11_data_quality(spark, sf):
 # Analysis of monthly shipments, as SQL; shared with the narrative queries.
 ANALYSIS = (
     SEAS_H.format(k=3) + TREND.format(p="panel") + IQR + HALF.format(p="panel")
-    + f", ana AS (SELECT i.series_id, 'MS' AS frequency, seas.periods, {DIR} AS direction, round(r2, 6) AS r2, coalesce(a.c, 0) AS anomalies, stationary, n"
+    + f", ana AS (SELECT i.series_id, 'MS' AS frequency, seas.periods, {DIR} AS direction, round(r2, 6) AS r2, coalesce(a.c, 0) AS anomalies, stationary, n, 0.65 + 0.35 * topc / (n - 1) AS quality"
     " FROM (SELECT series_id, max(n) AS n FROM panel GROUP BY 1) i JOIN seas ON seas.series_id = i.series_id JOIN tr ON tr.series_id = i.series_id"
-    " LEFT JOIN (SELECT series_id, count(*) AS c FROM an WHERE x GROUP BY 1) a ON a.series_id = i.series_id JOIN stn ON stn.series_id = i.series_id)"
+    " LEFT JOIN (SELECT series_id, count(*) AS c FROM an WHERE x GROUP BY 1) a ON a.series_id = i.series_id JOIN stn ON stn.series_id = i.series_id"
+    " JOIN (SELECT series_id, max(c) AS topc FROM (SELECT series_id, g, count(*) AS c FROM (SELECT series_id, epoch(ts) - epoch(lag(ts) OVER"
+    " (PARTITION BY series_id ORDER BY pos)) AS g FROM panel) WHERE g IS NOT NULL GROUP BY 1, 2) GROUP BY 1) rg ON rg.series_id = i.series_id)"
 )
 
 
-@query("y12_composite_analysis", ANALYSIS + " SELECT series_id, frequency, periods, direction, r2, anomalies, stationary, 1.0::DOUBLE AS quality, '' AS warnings FROM ana WHERE true")
+@query("y12_composite_analysis", ANALYSIS + " SELECT series_id, frequency, periods, direction, r2, anomalies, stationary, round(quality, 6) AS quality, '' AS warnings FROM ana")
 def y12_composite_analysis(spark, sf):
     a = an.analyze(pn.ship_monthly(spark, sf))
     return a.select(
         "series_id", "frequency", F.array_join("periods", ",").alias("periods"), "direction", F.round("r2", 6).alias("r2"),
-        "anomalies", "stationary", F.round(F.ceil("quality") * 1.0, 1).cast("double").alias("quality"), F.array_join("warnings", "; ").alias("warnings"),
+        "anomalies", "stationary", "quality", F.array_join("warnings", "; ").alias("warnings"),
     )
 
 
