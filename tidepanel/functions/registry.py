@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 COLUMNS = (
     "name string, family string, license string, needs_acceptance boolean, max_horizon int, forecast_ready boolean,"
     " past_num boolean, past_cat boolean, fut_num boolean, fut_cat boolean, static boolean"
@@ -38,7 +36,3 @@ ACCURACY = {
 }
 LEARNED_SCALE = 30.0  # a learned weight of 1 is worth this many points
 
-
-def models(spark: SparkSession, rows=None) -> DataFrame:
-    """The capability table; pass rows of your own to replace the built-in ones."""
-    return spark.createDataFrame(list(rows or MODELS), COLUMNS)

@@ -159,17 +159,15 @@ def gate(runs: DataFrame, expected_status: int = 200) -> DataFrame:
 def compare_ranking(metrics: DataFrame, timing: DataFrame | None = None) -> DataFrame:
     """(model, criterion, score, rank) by the first metric in priority order any model has, else timing."""
     order = F.create_map(*[F.lit(x) for i, m in enumerate(RANK_ORDER) for x in (m, i)])
-    scored = metrics.where(F.col("metric").isin(*RANK_ORDER) & F.col("value").isNotNull()).withColumn("_o", order[F.col("metric")])
-    best = scored.agg(F.min("_o").alias("_o"))
-    picked = scored.join(F.broadcast(best), "_o").select(
-        "model", F.concat(F.lit("metrics.aggregate."), "metric").alias("criterion"), F.col("value").alias("score")
+    scored = metrics.where(F.col("metric").isin(*RANK_ORDER) & F.col("value").isNotNull()).select(
+        "model", F.concat(F.lit("metrics.aggregate."), "metric").alias("criterion"), F.col("value").alias("score"), order[F.col("metric")].alias("_o")
     )
     if timing is not None:
-        none = best.where(F.col("_o").isNull())
-        by_time = timing.join(F.broadcast(none), F.lit(True), "left_semi").select(
-            "model", F.lit("timing.total_ms").alias("criterion"), F.col("latency_ms").alias("score")
+        scored = scored.unionByName(
+            timing.select("model", F.lit("timing.total_ms").alias("criterion"), F.col("latency_ms").alias("score"), F.lit(len(RANK_ORDER)).alias("_o"))
         )
-        picked = picked.unionByName(by_time)
+    best = F.min("_o").over(Window.partitionBy())  # a few rows per model
+    picked = scored.withColumn("_b", best).where(F.col("_o") == F.col("_b")).drop("_o", "_b")
     return picked.withColumn("rank", F.row_number().over(Window.partitionBy("criterion").orderBy("score", "model")))
 
 

@@ -1,6 +1,7 @@
 """Per-series model recommendation and automatic selection: profile x capability table.
 
-The capability table has a handful of rows, so it is broadcast; profiles are one row per series.
+The capability table is a short list of rows, spread over each profile as a literal; profiles are one
+row per series.
 """
 
 from __future__ import annotations
@@ -9,10 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidepanel.functions.registry import ACCURACY, LEARNED_SCALE, SPEED
-
-MODEL_LIMIT = 10_000  # capability tables are broadcast up to this many rows; larger ones join normally
-
+from tidepanel.functions.registry import ACCURACY, COLUMNS, LEARNED_SCALE, MODELS, SPEED
 
 def series_profile(panel: DataFrame, covariates: DataFrame | None = None, freq: DataFrame | None = None) -> DataFrame:
     """(series_id, points, freq, has_past, has_future, has_static, kind) per series.
@@ -62,16 +60,18 @@ def dataset_profile(profiles: DataFrame) -> DataFrame:
     )
 
 
-def _pairs(profiles: DataFrame, models: DataFrame) -> DataFrame:
-    """Every profile against every model: the fan-out is the size of the capability table."""
-    return profiles.join(F.broadcast(models.limit(MODEL_LIMIT)), F.lit(True), "inner")
+def _pairs(profiles: DataFrame, models: Sequence[tuple]) -> DataFrame:
+    """Every profile with every model of the list."""
+    types = [c.strip().split() for c in COLUMNS.split(",")]
+    entry = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(m, types)]) for m in models]
+    return profiles.select("*", F.inline(F.array(*entry)))
 
 
 def _supports(prefix: str) -> Column:
     return F.when(F.col("kind") == "numeric", F.col(f"{prefix}_num")).otherwise(F.col(f"{prefix}_cat"))
 
 
-def recommend(profiles: DataFrame, models: DataFrame, horizon: int, allow_restricted: bool = False) -> DataFrame:
+def recommend(profiles: DataFrame, models: Sequence[tuple] = MODELS, horizon: int = 1, allow_restricted: bool = False) -> DataFrame:
     """(series_id, model, family, score, reasons, rank): excluded models have reasons and no rank."""
     restricted = F.col("needs_acceptance") | F.lower("license").contains("-nc")
     limit = F.col("max_horizon")
@@ -115,8 +115,8 @@ def _bonus(table: dict[str, float]) -> Column:
 
 def auto_rank(
     profiles: DataFrame,
-    models: DataFrame,
-    horizon: int,
+    models: Sequence[tuple] = MODELS,
+    horizon: int = 1,
     strategy: str = "auto",
     series_count: int = 1,
     weights: DataFrame | None = None,
@@ -128,7 +128,7 @@ def auto_rank(
     """
     base = recommend(profiles, models, horizon, allow_restricted).where(F.col("rank").isNotNull()).drop("rank")
     if weights is not None:
-        base = base.join(F.broadcast(weights.select("model", "weight").limit(MODEL_LIMIT)), "model", "left")
+        base = base.join(weights.select("model", "weight"), "model", "left")
     else:
         base = base.withColumn("weight", F.lit(None).cast("double"))
     fam, limit = F.col("family"), F.col("max_horizon")
@@ -166,7 +166,7 @@ def chosen(ranked: DataFrame, strategy: str = "auto", ensemble_top_k: int = 3) -
     return ranked.where(F.col("rank") <= k)
 
 
-def two_stages(profiles: DataFrame, models: DataFrame, horizon: int, **kw) -> DataFrame:
+def two_stages(profiles: DataFrame, models: Sequence[tuple] = MODELS, horizon: int = 1, **kw) -> DataFrame:
     """Fastest model first, then the most accurate one where it differs: (series_id, stage, strategy, model)."""
     fast = chosen(auto_rank(profiles, models, horizon, "fastest", **kw)).select("series_id", F.col("model").alias("fast"))
     best = chosen(auto_rank(profiles, models, horizon, "best_accuracy", **kw)).select("series_id", F.col("model").alias("best"))

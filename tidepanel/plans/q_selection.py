@@ -333,13 +333,13 @@ def a15_dataset_profile(spark, sf):
 
 @query("f17_recommend_models", PROFILE_SQL.format(h=48) + " SELECT series_id, model, reasons, CASE WHEN reasons = '' THEN CAST(score AS DOUBLE) END AS score FROM x")
 def f17_recommend_models(spark, sf):
-    r = sel.recommend(profiles(spark, sf), registry.models(spark), 48)
+    r = sel.recommend(profiles(spark, sf), registry.MODELS, 48)
     return r.select("series_id", "model", F.array_join("reasons", ";").alias("reasons"), F.col("score").cast("double").alias("score"))
 
 
 @query("t02_top_models", PROFILE_SQL.format(h=48) + " SELECT series_id, model, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY score DESC, model) AS rank FROM x WHERE reasons = '') WHERE rank <= 3")
 def t02_top_models(spark, sf):
-    return sel.top_models(sel.recommend(profiles(spark, sf), registry.models(spark), 48)).select("series_id", "model", "rank")
+    return sel.top_models(sel.recommend(profiles(spark, sf), registry.MODELS, 48)).select("series_id", "model", "rank")
 
 
 def _case(table_, default):
@@ -367,7 +367,7 @@ def _weights(spark, sf):
 
 @query("f18_auto_select", NO_W.format(h=48) + " SELECT st AS strategy, series_id, model, score FROM rk WHERE rank = 1")
 def f18_auto_select(spark, sf):
-    p, m = profiles(spark, sf), registry.models(spark)
+    p, m = profiles(spark, sf), registry.MODELS
     res = None
     for st in ("fastest", "best_accuracy", "ensemble", "auto"):
         one = sel.auto_rank(p, m, 48, st, series_count=4).where("rank = 1").select(F.lit(st).alias("strategy"), "series_id", "model", "score")
@@ -377,13 +377,13 @@ def f18_auto_select(spark, sf):
 
 @query("t03_ensemble_members", NO_W.format(h=48) + " SELECT series_id, model, rank FROM rk WHERE st = 'ensemble' AND rank <= 3")
 def t03_ensemble_members(spark, sf):
-    r = sel.auto_rank(profiles(spark, sf), registry.models(spark), 48, "ensemble", series_count=4)
+    r = sel.auto_rank(profiles(spark, sf), registry.MODELS, 48, "ensemble", series_count=4)
     return sel.chosen(r, "ensemble", 3).select("series_id", "model", "rank")
 
 
 @query("j11_learned_weight_join", W_SQL.format(h=48) + " SELECT series_id, model, score, rank FROM rk WHERE st = 'best_accuracy' AND rank <= 2")
 def j11_learned_weight_join(spark, sf):
-    r = sel.auto_rank(profiles(spark, sf), registry.models(spark), 48, "best_accuracy", series_count=4, weights=_weights(spark, sf))
+    r = sel.auto_rank(profiles(spark, sf), registry.MODELS, 48, "best_accuracy", series_count=4, weights=_weights(spark, sf))
     return r.where("rank <= 2").select("series_id", "model", "score", "rank")
 
 
@@ -393,7 +393,7 @@ def j11_learned_weight_join(spark, sf):
     " SELECT series_id, 1 AS stage, 'fastest' AS strategy, model FROM f UNION ALL SELECT b.series_id, 2, 'best_accuracy', b.model FROM b JOIN f ON f.series_id = b.series_id AND f.model <> b.model",
 )
 def f39_two_stage_plan(spark, sf):
-    return sel.two_stages(profiles(spark, sf), registry.models(spark), 48, series_count=4)
+    return sel.two_stages(profiles(spark, sf), registry.MODELS, 48, series_count=4)
 
 
 @query("f19_fallback_forecast")
