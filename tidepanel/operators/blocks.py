@@ -36,7 +36,8 @@ def number_rows(
 
     Two levels: rows are ranked inside (key, time bucket), and the bucket's offset comes from a
     running sum over bucket counts, so no task sorts a whole series. `bucket_seconds=None` ranks per
-    key directly; use it for roll-ups, where the calendar bounds the rows of a series.
+    key directly; use it for roll-ups, where the calendar bounds the rows of a series. The first order
+    column is a timestamp, or a number that grows with the rows (buckets of BLOCK_ROWS values).
     """
     keys = list(keys)
     if bucket_seconds is None:
@@ -44,7 +45,9 @@ def number_rows(
         return df.withColumns(
             {"pos": (F.row_number().over(w.orderBy(*order)) - 1).cast("long"), "n": F.count(F.lit(1)).over(w)}
         )
-    part = df.withColumn("_b", F.floor(F.unix_seconds(F.col(order[0])) / F.lit(bucket_seconds)))
+    timed = df.schema[order[0]].dataType.typeName() == "timestamp"
+    lead = F.unix_seconds(F.col(order[0])) / F.lit(bucket_seconds) if timed else F.col(order[0]) / F.lit(BLOCK_ROWS)
+    part = df.withColumn("_b", F.floor(lead))
     by_time = Window.partitionBy(*keys).orderBy("_b")
     offsets = (
         part.groupBy(*keys, "_b")
