@@ -174,7 +174,9 @@ def input_signals(covariates: DataFrame) -> DataFrame:
     return names.unionByName(covariates.select(F.lit("internal_ts").alias("signal")).distinct())
 
 
-def rank_models(metrics: DataFrame, primary: str = "smape", secondary: Sequence[str] = ("mae", "rmse", "mase"), higher_is_better: Sequence[str] = ()) -> DataFrame:
+def rank_models(
+    metrics: DataFrame, primary: str = "mse", secondary: Sequence[str] = ("mae", "rmse", "mape"), higher_is_better: Sequence[str] = ("r2", "coverage")
+) -> DataFrame:
     """(model, rank, value, margin, strengths, weaknesses) from (model, metric, value).
 
     Strength: best of its peers in a metric; weakness: worst in a secondary one. The margin is the
