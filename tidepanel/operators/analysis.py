@@ -54,9 +54,7 @@ def _lag_sums(max_lag: int):
             ids, lags, cols = [], [], []
             for sid, n, p0, own, d in pdf.itertuples(index=False):
                 x = np.asarray(d, float)
-                k = np.arange(1, min(max_lag, n - 1) + 1)
-                if not len(k):
-                    continue
+                k = np.arange(0, min(max_lag, n - 1) + 1)
                 mine = x[:own]
                 s1, s2 = np.concatenate([[0], np.cumsum(mine)]), np.concatenate([[0], np.cumsum(mine * mine)])
                 lead = np.clip(n - k - p0, 0, own)  # rows that have a partner k ahead
@@ -74,8 +72,8 @@ def _lag_sums(max_lag: int):
     return run
 
 
-def acf(panel: DataFrame, max_lag: int = 365) -> DataFrame:
-    """(series_id, n, lag, pearson, biased, unbiased) for lags 1..max_lag of series of any length.
+def acf(panel: DataFrame, max_lag: int = 365, from_lag: int = 1) -> DataFrame:
+    """(series_id, n, lag, pearson, biased, unbiased) for lags from_lag..max_lag of series of any length.
 
     Blocks of consecutive rows plus `max_lag` rows of lookahead give partial sums that add up.
     """
@@ -109,7 +107,7 @@ def acf(panel: DataFrame, max_lag: int = 365) -> DataFrame:
         * F.greatest(F.col("yy") - F.col("y") * F.col("y") / m, F.lit(0.0))
     )
     live = F.col("_var") > 0
-    return sums.select(
+    return sums.where(F.col("lag") >= from_lag).select(
         "series_id",
         "n",
         "lag",
@@ -120,12 +118,9 @@ def acf(panel: DataFrame, max_lag: int = 365) -> DataFrame:
 
 
 def lag_axis(correlations: DataFrame, usable: Column, value: str) -> DataFrame:
-    """One row per series with its correlations as an array ordered by lag (at most max_lag entries)."""
-    return (
-        correlations.where(usable)
-        .groupBy("series_id")
-        .agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("lag", F.col(value).alias("c")))).alias("a"))
-    )
+    """One row per series with its usable correlations as an array ordered by lag (at most max_lag entries)."""
+    point = F.when(usable, F.struct("lag", F.col(value).alias("c")))
+    return correlations.groupBy("series_id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(point)).alias("a"))
 
 
 def seasonality(panel: DataFrame, max_lag: int = 365, top_k: int = 3) -> DataFrame:
@@ -135,7 +130,7 @@ def seasonality(panel: DataFrame, max_lag: int = 365, top_k: int = 3) -> DataFra
     Series with fewer than 8 points have none.
     """
     usable = (F.col("lag") >= 2) & (F.col("lag") <= F.least(F.lit(max_lag), F.greatest(F.lit(2), F.floor(F.col("n") / 2))))
-    axis = lag_axis(acf(panel, max_lag).where(F.col("n") >= MIN_SEASONAL_POINTS), usable, "pearson")
+    axis = lag_axis(acf(panel, max_lag, from_lag=0), usable & (F.col("n") >= MIN_SEASONAL_POINTS), "pearson")
     a = F.col("a")
 
     def at(i: Column) -> Column:
@@ -147,15 +142,13 @@ def seasonality(panel: DataFrame, max_lag: int = 365, top_k: int = 3) -> DataFra
     )
     pool = F.when(F.size(peaks) > 0, peaks).otherwise(strong)
     best = F.slice(F.array_sort(F.transform(pool, lambda e: F.struct((-e.c).alias("w"), e.lag.alias("lag")))), 1, top_k)
-    found = axis.select("series_id", F.array_sort(F.transform(best, lambda s: s.lag)).alias("periods"))
-    ids = panel.select("series_id").distinct()
-    return ids.join(found, "series_id", "left").withColumn("periods", F.coalesce("periods", F.array().cast("array<int>")))
+    return axis.select("series_id", F.array_sort(F.transform(best, lambda s: s.lag)).alias("periods"))
 
 
 def detect_period(panel: DataFrame) -> DataFrame:
     """(series_id, period): first strict peak above 0.1 of the biased ACF, else 7 / 12 / 1 by length."""
     usable = F.col("lag") < F.least(F.floor(F.col("n") / 2), F.lit(365))
-    axis = lag_axis(acf(panel, 365).where(F.col("biased").isNotNull()), usable, "biased")
+    axis = lag_axis(acf(panel, 365, from_lag=0), usable & (F.col("lag") >= 1) & F.col("biased").isNotNull(), "biased")
     a = F.col("a")
     peaks = F.filter(
         a,
@@ -164,13 +157,9 @@ def detect_period(panel: DataFrame) -> DataFrame:
         & (e.c > F.get(a, i - 1)["c"])
         & (e.c > F.get(a, i + 1)["c"]),
     )
-    first = axis.select("series_id", F.get(peaks, 0)["lag"].alias("_p"), F.size(a).alias("_len"))
     default = F.when(F.col("n") >= 365, 7).when(F.col("n") >= 52, 12).otherwise(1)
-    sized = per_series(panel, F.var_pop("y").alias("_v"))
-    return sized.join(first, "series_id", "left").select(
-        "series_id",
-        F.when((F.col("n") < 10) | (F.col("_v") == 0), 1).otherwise(F.coalesce("_p", default)).cast("int").alias("period"),
-    )
+    found = F.when(F.size(a) == 0, 1).otherwise(F.coalesce(F.get(peaks, 0)["lag"], default))  # no lags: constant series
+    return axis.select("series_id", F.when(F.col("n") < 10, 1).otherwise(found).cast("int").alias("period"))
 
 
 def dominant_period(panel: DataFrame, max_rows: int = 4_000_000) -> DataFrame:
@@ -206,8 +195,58 @@ def deltas(panel: DataFrame) -> DataFrame:
     return out.withColumn("delta", (F.unix_micros("ts") - F.unix_micros("_prev")) / F.lit(1_000_000.0))
 
 
-def delta_counts(panel: DataFrame) -> DataFrame:
-    return deltas(panel).where(F.col("delta").isNotNull()).groupBy("series_id", "delta").agg(F.count(F.lit(1)).alias("c"))
+def step_facts(panel: DataFrame) -> DataFrame:
+    """One row per series with everything frequency rules need, from one pass over its time steps.
+
+    Rows are first merged per (series, step length), so a hot series is spread over its step lengths.
+    """
+    d = deltas(panel)
+    ts, gap = F.col("ts"), F.col("delta")
+    dow, dom = F.weekday(ts), F.dayofmonth(ts)
+    left = F.dayofmonth(F.last_day(ts)) - dom
+    months = F.year(ts) * 12 + F.month(ts) - F.year("_prev") * 12 - F.month("_prev")
+    years = F.year(ts) - F.year("_prev")
+    days = F.round(gap / 86400)
+    start, first = F.struct("pos", F.month(ts).alias("m"), dow.alias("w")), F.col("delta").isNull()
+    flags = {
+        "cs": dom == 1,
+        "bs": (dom == 1) & (dow < 5) | ((dom <= 3) & (dow == 0)),
+        "ce": left == 0,
+        "be": (left == 0) & (dow < 5) | ((left < 3) & (dow == 4)),
+        "biz": (dow < 5) & (first | (gap == 86400) | ((gap == 3 * 86400) & (dow == 0))),
+        "weekdays": dow < 5,
+    }
+    per_step = d.groupBy("series_id", "delta").agg(
+        F.max("n").alias("n"),
+        F.count(F.lit(1)).alias("c"),
+        F.min(months).alias("mlo"), F.max(months).alias("mhi"), F.min(years).alias("ylo"), F.max(years).alias("yhi"),
+        F.min(F.month(ts)).alias("m_lo"), F.max(F.month(ts)).alias("m_hi"),
+        F.min(start).alias("s0"),
+        *[F.bool_and(c).alias(k) for k, c in flags.items()],
+        F.first(days).alias("days"),
+    )
+    up = gap > 0
+    spaced = F.col("days") > 0
+    return per_step.groupBy("series_id").agg(
+        F.max("n").alias("n"),
+        F.min(gap).alias("lo"), F.max(gap).alias("hi"),
+        F.min("mlo").alias("mlo"), F.max("mhi").alias("mhi"), F.min("ylo").alias("ylo"), F.max("yhi").alias("yhi"),
+        F.min("m_lo").alias("m_lo"), F.max("m_hi").alias("m_hi"),
+        F.min("s0")["m"].alias("m0"), F.min("s0")["w"].alias("w0"),
+        *[F.bool_and(k).alias(k) for k in flags],
+        F.max_by("delta", F.when(up, F.struct(F.col("c"), -gap))).alias("dominant"),
+        F.max(F.when(up, F.col("c"))).alias("_top"),
+        F.sum(F.when(up, F.col("c"))).alias("_positive"),
+        F.sum(F.when(gap.isNotNull(), F.col("c"))).alias("_all"),
+        ratio(F.sum(F.when(spaced & F.col("days").isin(1, 3, 4), F.col("c")).otherwise(0)), F.sum(F.when(spaced, F.col("c")))).alias("usual"),
+        F.max((F.col("days") >= 3).cast("int")).alias("wide"),
+    ).withColumns(
+        {
+            "share": ratio("_top", "_positive"),
+            "all_share": F.coalesce(ratio("_top", "_all"), F.lit(0.0)),
+            "deltas": F.coalesce("_positive", F.lit(0)),
+        }
+    ).drop("_top", "_positive", "_all")
 
 
 def regularity(panel: DataFrame) -> DataFrame:
@@ -215,53 +254,15 @@ def regularity(panel: DataFrame) -> DataFrame:
 
     `share` is over positive deltas, `all_share` (the regularity score) over all of them.
     """
-    pos = F.col("delta") > 0
-    agg = delta_counts(panel).groupBy("series_id").agg(
-        F.max_by("delta", F.when(pos, F.struct(F.col("c"), -F.col("delta")))).alias("dominant"),
-        F.max(F.when(pos, F.col("c"))).alias("_top"),
-        F.sum(F.when(pos, F.col("c"))).alias("_positive"),
-        F.sum("c").alias("deltas"),
-    )
-    ids = panel.select("series_id").distinct()
-    return ids.join(agg, "series_id", "left").select(
-        "series_id",
-        "dominant",
-        ratio("_top", "_positive").alias("share"),
-        F.coalesce(ratio("_top", "deltas"), F.lit(0.0)).alias("all_share"),
-        F.coalesce("_positive", F.lit(0)).alias("deltas"),
-    )
+    return step_facts(panel).select("series_id", "dominant", "share", "all_share", "deltas")
 
 
-def inferred_alias(panel: DataFrame) -> DataFrame:
-    """(series_id, alias): calendar and constant-step aliases of strictly regular series, else NULL.
+def _alias() -> Column:
+    """Calendar and constant-step alias of strictly regular series over `step_facts`, else NULL.
 
     Rules in order: year, quarter, month (calendar or business start / end), weeks, days, business
     days, hours, minutes, seconds.
     """
-    d = deltas(panel)
-    ts = F.col("ts")
-    dow, dom = F.weekday(ts), F.dayofmonth(ts)
-    left = F.dayofmonth(F.last_day(ts)) - dom
-    month_index = F.year(ts) * 12 + F.month(ts)
-    gap = F.col("delta")
-    facts = per_series(
-        d.withColumns({"_mi": month_index, "_pmi": F.year("_prev") * 12 + F.month("_prev"), "_py": F.year("_prev")}),
-        F.min(gap).alias("lo"),
-        F.max(gap).alias("hi"),
-        F.min(F.col("_mi") - F.col("_pmi")).alias("mlo"),
-        F.max(F.col("_mi") - F.col("_pmi")).alias("mhi"),
-        F.min(F.year(ts) - F.col("_py")).alias("ylo"),
-        F.max(F.year(ts) - F.col("_py")).alias("yhi"),
-        F.min(F.month(ts)).alias("m_lo"),
-        F.max(F.month(ts)).alias("m_hi"),
-        F.min_by(F.month(ts), "pos").alias("m0"),
-        F.min_by(dow, "pos").alias("w0"),
-        F.bool_and(dom == 1).alias("cs"),
-        F.bool_and((dom == 1) & (dow < 5) | ((dom <= 3) & (dow == 0))).alias("bs"),
-        F.bool_and(left == 0).alias("ce"),
-        F.bool_and((left == 0) & (dow < 5) | ((left < 3) & (dow == 4))).alias("be"),
-        F.bool_and((dow < 5) & (F.col("_prev").isNull() | (gap == 86400) | ((gap == 3 * 86400) & (dow == 0)))).alias("biz"),
-    )
     kind = F.when(F.col("cs"), "cs").when(F.col("bs"), "bs").when(F.col("ce"), "ce").when(F.col("be"), "be")
     pre = {"cs": "", "bs": "B", "ce": "", "be": "B"}
     suf = {"cs": "S", "bs": "S", "ce": "E", "be": "E"}
@@ -270,7 +271,7 @@ def inferred_alias(panel: DataFrame) -> DataFrame:
         out = None
         for k in ("cs", "bs", "ce", "be"):
             lit = F.lit(pre[k] + letter + suf[k])
-            out = F.when(F.col("_k") == k, lit) if out is None else out.when(F.col("_k") == k, lit)
+            out = F.when(kind == k, lit) if out is None else out.when(kind == k, lit)
         return out
 
     def counted(count: Column, text: Column) -> Column:
@@ -283,46 +284,54 @@ def inferred_alias(panel: DataFrame) -> DataFrame:
     whole_days = F.col("lo") % 86400 == 0
     unique = F.col("lo") == F.col("hi")
     days = (F.col("lo") / 86400).cast("long")
-    seconds = F.col("lo").cast("long")
-    alias = (
+    calendar = whole_days & kind.isNotNull()
+    same_step = calendar & (F.col("mlo") == F.col("mhi")) & (F.col("mlo") > 0)
+    return (
         F.when((F.col("n") < 3) | (F.col("lo") <= 0), F.lit(None).cast("string"))
         .when(
-            whole_days & F.col("_k").isNotNull() & (F.col("ylo") == F.col("yhi")) & (F.col("m_lo") == F.col("m_hi")),
+            calendar & (F.col("ylo") == F.col("yhi")) & (F.col("m_lo") == F.col("m_hi")),
             counted(F.col("ylo"), F.concat(named("Y"), F.lit("-"), month_name)),
         )
-        .when(
-            whole_days & F.col("_k").isNotNull() & (F.col("mlo") == F.col("mhi")) & (F.col("mlo") % 3 == 0) & (F.col("mlo") > 0),
-            counted((F.col("mlo") / 3).cast("int"), F.concat(named("Q"), F.lit("-"), quarter_name)),
-        )
-        .when(
-            whole_days & F.col("_k").isNotNull() & (F.col("mlo") == F.col("mhi")) & (F.col("mlo") > 0),
-            counted(F.col("mlo"), named("M")),
-        )
+        .when(same_step & (F.col("mlo") % 3 == 0), counted((F.col("mlo") / 3).cast("int"), F.concat(named("Q"), F.lit("-"), quarter_name)))
+        .when(same_step, counted(F.col("mlo"), named("M")))
         .when(whole_days & unique & (days % 7 == 0), counted((days / 7).cast("long"), F.concat(F.lit("W-"), day_name)))
         .when(whole_days & unique, counted(days, F.lit("D")))
         .when(whole_days & F.col("biz"), F.lit("B"))
-        .when(~whole_days & unique & (F.col("lo") == seconds), alias_of_seconds(F.col("lo")))
+        .when(~whole_days & unique & (F.col("lo") == F.col("lo").cast("long")), alias_of_seconds(F.col("lo")))
     )
-    return facts.withColumn("_k", kind).select("series_id", "n", alias.alias("alias"))
+
+
+def inferred_alias(panel: DataFrame) -> DataFrame:
+    """(series_id, n, alias): NULL alias unless the series is strictly regular."""
+    return step_facts(panel).select("series_id", "n", _alias().alias("alias"))
+
+
+def _nearest(seconds: Column) -> Column:
+    """Alias nearest to a step on a logarithmic scale."""
+    options = [
+        F.struct(F.abs(F.ln(F.greatest(seconds, F.lit(1e-9)) / sec)).alias("d"), F.lit(i).alias("i"), F.lit(a).alias("a"))
+        for i, (a, sec) in enumerate(NEAREST)
+    ]
+    return F.array_min(F.array(*options))["a"]
 
 
 def detect_frequency(panel: DataFrame) -> DataFrame:
-    """(series_id, frequency, regularity): inferred alias, else nearest alias if regular, else irregular."""
-    d = deltas(panel).withColumn("_pd", F.when(F.col("delta") > 0, F.col("delta")))
-    med = exact_quantiles(d, "_pd", {"med": 0.5}).drop("n")
-    near = F.array(*[F.struct(F.abs(F.ln(F.greatest("med", F.lit(1e-9)) / sec)).alias("d"), F.lit(i).alias("i"), F.lit(a).alias("a")) for i, (a, sec) in enumerate(NEAREST)])
-    joined = inferred_alias(panel).join(regularity(panel), "series_id").join(med, "series_id", "left")
+    """(series_id, frequency, regularity): inferred alias, else nearest alias if regular, else irregular.
+
+    Where at least 80 % of the steps are equal, their median is that dominant step.
+    """
+    facts = step_facts(panel).withColumn("alias", _alias())
     freq = (
         F.when(F.col("n") < 3, "unknown")
         .when(F.col("alias").isNotNull(), F.col("alias"))
-        .when(F.col("all_share") >= 0.8, F.coalesce(F.array_min(near)["a"], F.lit("irregular")))
+        .when(F.col("all_share") >= 0.8, F.coalesce(_nearest(F.col("dominant")), F.lit("irregular")))
         .otherwise("irregular")
     )
     score = F.when(F.col("n") < 3, 0.0).otherwise(F.col("all_share"))
-    return joined.select("series_id", freq.alias("frequency"), score.alias("regularity"))
+    return facts.select("series_id", freq.alias("frequency"), score.alias("regularity"))
 
 
-def dominant_alias(reg: DataFrame, min_share: float = 0.8, share: str = "share") -> Column:
+def dominant_alias(min_share: float = 0.8, share: str = "share") -> Column:
     """Alias of the dominant step where its share (or half of at least 1000 steps) suffices."""
     ok = (F.col(share) >= min_share) | ((F.col("deltas") >= 1000) & (F.col(share) >= 0.5))
     return F.when((F.col("deltas") >= 2) & ok, alias_of_seconds(F.col("dominant")))
@@ -330,14 +339,12 @@ def dominant_alias(reg: DataFrame, min_share: float = 0.8, share: str = "share")
 
 def ingest_frequency(panel: DataFrame, freq: str | None = None, freq_column: str | None = None, imputing: bool = False) -> DataFrame:
     """(series_id, frequency): explicit, then first non-blank of the column, inferred, dominant, `auto`."""
-    ids = panel.select("series_id").distinct()
     if freq is not None:
-        return ids.withColumn("frequency", F.lit(freq))
-    reg = regularity(panel)
-    chain = [F.col("alias"), dominant_alias(reg)]
+        return panel.select("series_id").distinct().withColumn("frequency", F.lit(freq))
+    out = step_facts(panel)
+    chain = [_alias(), dominant_alias()]
     if imputing:
-        chain.append(dominant_alias(reg, 0.5))
-    out = inferred_alias(panel).join(reg, "series_id")
+        chain.append(dominant_alias(0.5))
     if freq_column:
         text = F.trim(F.col(freq_column))
         first = panel.groupBy("series_id").agg(F.min_by(text, F.when(text != "", F.col("pos"))).alias("_f"))
@@ -348,18 +355,10 @@ def ingest_frequency(panel: DataFrame, freq: str | None = None, freq_column: str
 
 def request_frequency(panel: DataFrame) -> DataFrame:
     """Like ingest, recognising business-daily data among mostly daily steps."""
-    gap_days = F.round(F.col("delta") / 86400)
-    biz = deltas(panel).groupBy("series_id").agg(
-        F.bool_and(F.weekday("ts") < 5).alias("weekdays"),
-        F.avg(F.when(gap_days > 0, gap_days.isin(1, 3, 4).cast("double"))).alias("usual"),
-        F.max((gap_days >= 3).cast("int")).alias("wide"),
-    )
-    reg = regularity(panel)
     business = (F.col("dominant") == 86400) & F.col("weekdays") & (F.col("wide") == 1) & (F.col("usual") >= 0.95)
-    dom = dominant_alias(reg, share="all_share")
-    out = inferred_alias(panel).join(reg, "series_id").join(biz, "series_id")
-    return out.select(
-        "series_id", F.coalesce("alias", F.when(dom.isNotNull() & business, "B").otherwise(dom)).alias("frequency")
+    dom = dominant_alias(share="all_share")
+    return step_facts(panel).select(
+        "series_id", F.coalesce(_alias(), F.when(dom.isNotNull() & business, "B").otherwise(dom)).alias("frequency")
     )
 
 
@@ -383,21 +382,20 @@ def median_frequency(panel: DataFrame) -> DataFrame:
 # ---- trend, anomalies, stationarity, quality -------------------------------------------------
 
 
-def trend(panel: DataFrame) -> DataFrame:
-    """(series_id, slope, r2, direction) of the least-squares line over position."""
-    s = per_series(
-        panel,
-        F.regr_slope("y", "pos").alias("_b"),
-        F.regr_r2("y", "pos").alias("_r2"),
-        F.var_pop("y").alias("_v"),
-        F.avg("y").alias("_m"),
-    )
+def _trend_aggregates() -> list[Column]:
+    return [F.regr_slope("y", "pos").alias("_b"), F.regr_r2("y", "pos").alias("_r2"), F.var_pop("y").alias("_v"), F.avg("y").alias("_m")]
+
+
+def _trend_columns() -> list[Column]:
     slope = F.when(F.col("n") < 2, 0.0).otherwise(F.coalesce("_b", F.lit(0.0)))
     flat = F.abs(slope) / F.greatest(F.abs("_m"), F.lit(1.0)) < FLAT_SLOPE
     r2 = F.when((F.col("n") < 2) | (F.col("_v") == 0), 0.0).otherwise(clip(F.col("_r2")))
-    return s.select(
-        "series_id", slope.alias("slope"), r2.alias("r2"), F.when(flat, "flat").when(slope > 0, "up").otherwise("down").alias("direction")
-    )
+    return [slope.alias("slope"), r2.alias("r2"), F.when(flat, "flat").when(slope > 0, "up").otherwise("down").alias("direction")]
+
+
+def trend(panel: DataFrame) -> DataFrame:
+    """(series_id, slope, r2, direction) of the least-squares line over position."""
+    return per_series(panel, *_trend_aggregates()).select("series_id", *_trend_columns())
 
 
 def anomaly_bounds(panel: DataFrame, k: float = 1.5) -> DataFrame:
@@ -460,27 +458,29 @@ def anomaly_records(panel: DataFrame, k: float = 1.5) -> DataFrame:
     )
 
 
-def split_halves(panel: DataFrame) -> DataFrame:
-    """Means and variances of the first floor(n/2) points and the rest, and of the whole."""
+def _half_aggregates() -> list[Column]:
     first = F.col("pos") < F.floor(F.col("n") / 2)
     a, b = F.when(first, F.col("y")), F.when(~first, F.col("y"))
-    return per_series(
-        panel,
-        F.avg(a).alias("mean_1"),
-        F.avg(b).alias("mean_2"),
-        F.var_pop(a).alias("var_1"),
-        F.var_pop(b).alias("var_2"),
-        F.avg("y").alias("mean"),
-        F.stddev_pop("y").alias("sd"),
-    )
+    return [
+        F.avg(a).alias("mean_1"), F.avg(b).alias("mean_2"), F.var_pop(a).alias("var_1"), F.var_pop(b).alias("var_2"),
+        F.avg("y").alias("mean"), F.stddev_pop("y").alias("sd"),
+    ]
 
 
-def stationarity(panel: DataFrame) -> DataFrame:
-    """(series_id, stationary): small mean shift and variance ratio between halves; NULL below 8 points."""
-    s = split_halves(panel)
+def _stationary() -> Column:
     shift = F.abs(F.col("mean_1") - F.col("mean_2")) / F.greatest(F.abs("mean"), "sd", F.lit(1.0))
     calm = (shift <= 0.25) & (variance_ratio(F.col("var_1"), F.col("var_2")) <= 2.5)
-    return s.select("series_id", F.when(F.col("n") >= MIN_STATIONARY_POINTS, calm).alias("stationary"))
+    return F.when(F.col("n") >= MIN_STATIONARY_POINTS, calm).alias("stationary")
+
+
+def split_halves(panel: DataFrame) -> DataFrame:
+    """Means and variances of the first floor(n/2) points and the rest, and of the whole."""
+    return per_series(panel, *_half_aggregates())
+
+
+def stationarity(panel: DataFrame) -> DataFrame:
+    """(series_id, stationary): small mean shift and variance ratio between halves; NULL below 8 points."""
+    return split_halves(panel).select("series_id", _stationary())
 
 
 def data_quality(panel: DataFrame, scores: DataFrame) -> DataFrame:
@@ -509,15 +509,14 @@ def analyze(
     The anomalous points themselves are rows of `anomaly_records`; here they are counted.
     """
     freq = detect_frequency(panel)
-    sampled = downsample(panel, max_points).drop("pos", "n").withColumnsRenamed({"k": "pos", "m": "n"})
+    sampled = downsample(panel, max_points).drop("pos").withColumnsRenamed({"n": "_n", "k": "pos", "m": "n"})
     marks = anomalies(panel, iqr_k).groupBy("series_id").agg(F.count(F.lit(1)).alias("anomalies"))
-    sizes = per_series(panel)
+    shape = per_series(sampled.withColumn("_full", F.col("_n")), F.max("_full").alias("_full"), *_trend_aggregates(), *_half_aggregates())
+    shape = shape.select("series_id", F.col("_full"), *_trend_columns(), _stationary()).withColumnRenamed("_full", "n")
     out = (
-        sizes.join(freq, "series_id")
+        shape.join(freq, "series_id")
         .join(seasonality(sampled, max_lag, top_k), "series_id")
-        .join(trend(sampled), "series_id")
         .join(marks, "series_id", "left")
-        .join(stationarity(sampled), "series_id")
         .join(data_quality(sampled, freq.select("series_id", "regularity")), "series_id")
     )
     n = F.col("n")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 KEY = ("series_id",)
 BLOCK_ROWS = 65_536
-SKETCH_FROM = 200_000  # series up to this length need no sketch bracket for exact quantiles
+SHORT_ROWS = 20_000  # series up to this length are sorted as one array for exact quantiles
 
 
 def _div(size: int) -> Column:
@@ -193,13 +193,31 @@ def exact_quantiles(panel: DataFrame, value: str, probs: Mapping[str, object], k
     """Linear-interpolated exact quantiles per series, one column per name in `probs`, plus `n`.
 
     A probability may also be a pair (probability, rank rule over the count), e.g. `UPPER_MEDIAN`.
-
-    Long series: a mergeable sketch brackets each target rank, rows below the bracket are only counted,
-    and exact ranks are taken among the distinct values inside. Short series use their full range.
+    Series of up to SHORT_ROWS rows are sorted as one bounded array. For longer ones a mergeable sketch
+    brackets each target rank, rows below the bracket are only counted, and exact ranks are taken among
+    the distinct values inside.
     """
-    keys = list(keys)
-    names = list(probs)
     rules = {k: p if isinstance(p, tuple) else (p, lambda cnt, q=p: F.lit(float(q)) * (cnt - 1)) for k, p in probs.items()}
+    long = F.col("n") > SHORT_ROWS
+    return _array_quantiles(panel.where(~long), value, rules, list(keys)).unionByName(
+        _bracketed_quantiles(panel.where(long), value, rules, list(keys))
+    )
+
+
+def _array_quantiles(panel: DataFrame, value: str, rules: Mapping[str, tuple], keys: list[str]) -> DataFrame:
+    packed = per_series(panel, F.sort_array(F.collect_list(value)).alias("_a"), keys=keys)
+    cnt = F.size("_a")
+
+    def pick(rule) -> Column:
+        r = rule(cnt)
+        lo, hi = F.get("_a", F.floor(r).cast("int")), F.get("_a", F.ceil(r).cast("int"))
+        return F.when(cnt > 0, lo + (hi - lo) * (r - F.floor(r)))
+
+    return packed.select(*keys, "n", *[pick(rule).alias(k) for k, (_, rule) in rules.items()])
+
+
+def _bracketed_quantiles(panel: DataFrame, value: str, rules: Mapping[str, tuple], keys: list[str]) -> DataFrame:
+    names = list(rules)
     v = F.col(value)
     margin = 5e-4
     points = [min(max(rules[k][0] + s, 0.0), 1.0) for k in names for s in (-margin, margin)]
@@ -214,11 +232,9 @@ def exact_quantiles(panel: DataFrame, value: str, probs: Mapping[str, object], k
     )
     spans = []
     for i, k in enumerate(names):
-        short = F.col("_cnt") <= SKETCH_FROM
-        lo = F.when(short | F.lit(points[2 * i] == 0.0), F.col("_mn")).otherwise(F.col("_sk")[2 * i])
-        hi = F.when(short | F.lit(points[2 * i + 1] == 1.0), F.col("_mx")).otherwise(F.col("_sk")[2 * i + 1])
-        rank = rules[k][1](F.col("_cnt"))
-        spans.append(F.struct(F.lit(k).alias("k"), lo.alias("lo"), hi.alias("hi"), rank.alias("r")))
+        lo = F.col("_mn") if points[2 * i] == 0.0 else F.col("_sk")[2 * i]
+        hi = F.col("_mx") if points[2 * i + 1] == 1.0 else F.col("_sk")[2 * i + 1]
+        spans.append(F.struct(F.lit(k).alias("k"), lo.alias("lo"), hi.alias("hi"), rules[k][1](F.col("_cnt")).alias("r")))
     stats = stats.select(*keys, "n", F.array(*spans).alias("_spans"))
     marked = attach(panel.where(v.isNotNull()).select(*keys, "pos", value), stats, keys=keys)
     placed = (

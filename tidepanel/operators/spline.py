@@ -43,17 +43,18 @@ def curvatures(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _solve_block(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("vpos")
-    m = curvatures(pdf["pos"].to_numpy(float), pdf["y"].to_numpy(float))
+    x, y = pdf["pos"].to_numpy(float), pdf["y"].to_numpy(float)
+    m = curvatures(x, y) if len(x) >= 4 else np.zeros(len(x))
     out = pdf.loc[:, ["series_id", "pos", "vpos", "vn", "y"]].assign(m=m)
     return out[pdf["own"].to_numpy(bool)]
 
 
 def spline_knots(panel: DataFrame) -> DataFrame:
-    """Valid points of series with at least 4 of them, with their curvature `m` (and vpos, vn)."""
+    """Valid points with their curvature `m` (0 for series with fewer than 4) and their rank vpos of vn."""
     valid = number_rows(
         panel.where(F.col("y").isNotNull()).select("series_id", "ts", F.col("pos").alias("_p"), "y"), ("ts", "_p")
     ).select("series_id", F.col("_p").alias("pos"), F.col("pos").alias("vpos"), F.col("n").alias("vn"), "y")
-    by_knot = valid.where("vn >= 4").withColumnsRenamed({"pos": "_p", "vpos": "pos", "vn": "n"})
+    by_knot = valid.withColumnsRenamed({"pos": "_p", "vpos": "pos", "vn": "n"})
     spread = halo(by_knot, HALO, HALO, size=KNOTS_PER_SOLVE).select(
         "series_id", F.col("_p").alias("pos"), F.col("pos").alias("vpos"), F.col("n").alias("vn"), "y", F.col("_blk").alias("b"), F.col("_own").alias("own")
     )
@@ -67,11 +68,7 @@ def cubic(panel: DataFrame) -> DataFrame:
 
     Series with 2 or 3 valid points are interpolated linearly (also extrapolated).
     """
-    knots = spline_knots(panel)
-    few = number_rows(
-        panel.where(F.col("y").isNotNull()).select("series_id", "ts", F.col("pos").alias("_p"), "y"), ("ts", "_p")
-    ).where("n < 4").select("series_id", F.col("_p").alias("pos"), F.col("pos").alias("vpos"), F.col("n").alias("vn"), "y", F.lit(0.0).alias("m"))
-    points = knots.unionByName(few)
+    points = spline_knots(panel)
     pt = F.struct("pos", "y", "m")
     ends = points.where("vpos <= 1 or vpos >= vn - 2").groupBy("series_id").agg(
         F.min_by(pt, F.when(F.col("vpos") == 0, 0)).alias("_k0"),
