@@ -208,10 +208,13 @@ def fit(panel: DataFrame, num_knots: int = 10, degree: int = 3, strategy: str =
     sized = per_series(panel, F.count("y").alias("_valid"))
     base = attach(panel, sized)
     long = base.where(F.col("_valid") > 2 * (degree + 1)).drop("_valid").withColumn("interior", F.lit(None).cast("array<double>"))
-    fitted = _lsq(long, num_knots, degree)
     if strategy == "curvature":
-        moved = fitted.mapInPandas(_bent_knots(num_knots), "series_id string, n long, interior array<double>")
-        fitted = _lsq(attach(long.drop("interior"), moved), num_knots, degree)
+        count = F.greatest(F.lit(1), F.least(F.lit(num_knots), F.floor(F.col("n") / 4).cast("int")))
+        spaced = F.transform(F.sequence(F.lit(1), count), lambda i: i * (F.col("n") - 1) / (count + 1))
+        first = _lsq(long.withColumn("interior", spaced), num_knots, degree)
+        moved = first.mapInPandas(_bent_knots(num_knots), "series_id string, n long, interior array<double>")
+        long = attach(long.drop("interior"), moved)
+    fitted = _lsq(long, num_knots, degree)
     line = per_series(
         base.where(F.col("_valid") <= 2 * (degree + 1)),
         F.coalesce(F.regr_slope("y", "pos"), F.lit(0.0)).alias("b"),

@@ -228,7 +228,7 @@ def r09_impute_dispatch(spark, sf):
     " CASE WHEN miss = 0 THEN 'none' ELSE 'linear' END AS used_method, round(total, 3) AS total FROM"
     " (SELECT series_id, count(y) AS o, max(n) AS n, count(*) - count(y) AS miss FROM reg GROUP BY 1) r JOIN"
     " (SELECT series_id, coalesce(max(CASE WHEN y IS NULL THEN pos - coalesce(pp, -1) END), 0) AS g FROM nb GROUP BY 1) USING (series_id) JOIN"
-    " (SELECT series_id, sum(y) AS total FROM lin GROUP BY 1) USING (series_id)",
+    " (SELECT series_id, sum(y) AS total FROM lin GROUP BY 1) USING (series_id) WHERE CAST(miss AS DOUBLE) / n <= 0.30",
 )
 def r06_regularize_and_impute(spark, sf):
     panel, diag, _ = clean.regularize_and_impute(pn.events_hourly(spark, sf), "h", method="linear")
