@@ -129,5 +129,34 @@ def test_reconciliation_against_dense(spark):
         want = s @ np.linalg.inv(s.T @ s) @ s.T @ b.to_numpy()
         mine = got[got.hierarchy_id == h].pivot(index="series_id", columns="step", values="mean").loc[ids].to_numpy()
         assert np.allclose(mine, want)
+    dense = hi.dense_projection(e, f, "ols").toPandas().set_index(["hierarchy_id", "series_id", "step"])["mean"]
+    assert np.allclose(got.set_index(["hierarchy_id", "series_id", "step"])["mean"].loc[dense.index], dense)
     for m in ("ols", "mint_shrink", "top_down"):
         assert hi.coherency(e, hi.reconcile(e, f, m), 1e-5).count() == 0
+
+
+def test_shared_child_is_solved_densely(spark):
+    e = spark.createDataFrame([("h", "p", "c"), ("h", "q", "c"), ("h", "p", "d")], "hierarchy_id string, parent string, child string")
+    f = spark.createDataFrame([("h", s, 1, v) for s, v in (("p", 5.0), ("q", 3.0), ("c", 2.0), ("d", 1.0))], "hierarchy_id string, series_id string, step int, mean double")
+    assert not hi.is_tree(e)
+    assert hi.coherency(e, hi.reconcile(e, f, "ols"), 1e-9).count() == 0
+
+
+@pytest.mark.parametrize("rows", [4, 65_536])
+def test_lag_correlation_over_block_pairs(panel, monkeypatch, rows):
+    from tidepanel.operators import attribution as at, blocks as bl
+
+    monkeypatch.setattr(bl, "BLOCK_ROWS", rows)
+    y = np.random.default_rng(8).normal(size=31)
+    got = {r.lag: r.strength for r in at.lag_correlation(panel({"s": y.tolist(), "flat": [1] * 9})).collect()}
+    d = y - y.mean()
+    want = {k: abs((d[:-k] * d[k:]).sum() / (y.var() * (31 - k))) for k in range(1, 15)}
+    assert got == pytest.approx(want)
+
+
+def test_attribution_ignores_points_outside_the_context(panel):
+    from tidepanel.operators import attribution as at
+
+    y = list(range(20))
+    full = {r.pos: r.importance for r in at.occlusion(panel({"s": y}), window=2, context=6).collect()}
+    assert len(full) == 6 and sum(full.values()) == pytest.approx(1.0)

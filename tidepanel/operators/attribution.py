@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidepanel.functions.numeric import clip, ratio
 from tidepanel.operators.analysis import autocorrelation
 from tidepanel.operators.blocks import attach, framed, per_series
 from tidepanel.operators.forecast import last_value
+from tidepanel.operators.windows import truncate_context
 
 SEASON_LAGS = (7, 12, 24, 30)
+CONTEXT = 512  # points a model sees; points before them cannot influence it and get no row
 
 
 def top(df: DataFrame, k: int, *order) -> DataFrame:
@@ -20,22 +24,46 @@ def top(df: DataFrame, k: int, *order) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
+def _block_pairs(batches):
+    """Sums of products per lag between two blocks of a centred series, by FFT."""
+    for pdf in batches:
+        ids, lags, sums = [], [], []
+        for sid, n, gap, left, right in pdf.itertuples(index=False):
+            x, y = np.asarray(left, float), np.asarray(right, float)
+            size = len(x) + len(y) - 1
+            full = np.fft.irfft(np.fft.rfft(y, size) * np.conj(np.fft.rfft(x, size)), size)
+            shift = np.arange(-(len(x) - 1), len(y))  # index of the partner minus own index
+            lag = shift + gap
+            keep = (lag >= 1) & (lag < min(n - 1, n // 2))
+            ids.extend([sid] * int(keep.sum()))
+            lags.append(lag[keep])
+            sums.append(full[shift[keep] % size])
+        yield pd.DataFrame(
+            {"series_id": ids, "lag": np.concatenate(lags) if lags else np.zeros(0, int), "s": np.concatenate(sums) if sums else np.zeros(0)}
+        )
+
+
 def lag_correlation(panel: DataFrame) -> DataFrame:
-    """(series_id, lag, pos, strength, importance): |unbiased ACF| for lags below half the length.
+    """(series_id, lag, pos, strength, importance): |unbiased ACF| for all lags below half the length.
 
-    All lags of a series are needed, so row pairs are matched on (series, position) across the cluster.
+    Blocks of consecutive rows are correlated pairwise by FFT, so a series of up to BLOCK_ROWS rows is one
+    small step and longer ones add up over block pairs, each pair its own join key.
     """
+    from tidepanel.operators import blocks as bl
+
+    rows = bl.BLOCK_ROWS
     stats = per_series(panel, F.avg("y").alias("_m"), F.var_pop("y").alias("_v")).where((F.col("n") >= 4) & (F.col("_v") > 0))
-    d = attach(panel.select("series_id", "pos", "n", "y"), stats).select(
-        "series_id", "pos", "n", "_v", (F.col("y") - F.col("_m")).alias("d")
-    )
-    limit = F.least(F.col("n") - 1, F.floor(F.col("n") / 2))
-    left = d.where(limit > 1).select(
-        "series_id", "n", "_v", F.col("pos").alias("_p"), "d", F.explode(F.sequence(F.lit(1).cast("long"), limit - 1)).alias("lag")
-    ).withColumn("pos", F.col("_p") + F.col("lag"))
-    pairs = left.join(d.select("series_id", "pos", F.col("d").alias("e")), ["series_id", "pos"])
-    acf = pairs.groupBy("series_id", "lag").agg(
-        F.max("n").alias("n"), F.abs(F.sum(F.col("d") * F.col("e")) / (F.max("_v") * (F.max("n") - F.col("lag")))).alias("strength")
+    d = attach(panel.select("series_id", "pos", "n", "y"), stats).withColumn("d", F.col("y") - F.col("_m"))
+    packed = d.groupBy("series_id", F.floor(F.col("pos") / rows).alias("b")).agg(
+        F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "d"))).alias("a")
+    ).select("series_id", "b", "n", F.transform("a", lambda e: e["d"]).alias("x"))
+    last = F.floor((F.col("n") - 1) / rows)
+    left = packed.select("series_id", "n", F.col("b").alias("lo"), F.explode(F.sequence(F.col("b"), last)).alias("hi"), F.col("x").alias("left"))
+    right = packed.select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b"))).alias("lo"), F.col("b").alias("hi"), F.col("x").alias("right"))
+    pairs = left.join(right, ["series_id", "lo", "hi"]).select("series_id", "n", ((F.col("hi") - F.col("lo")) * rows).alias("gap"), "left", "right")
+    acf = pairs.mapInPandas(_block_pairs, "series_id string, lag long, s double").groupBy("series_id", "lag").agg(F.sum("s").alias("s"))
+    acf = acf.join(stats.select("series_id", "n", "_v"), "series_id").select(
+        "series_id", "n", "lag", F.abs(F.col("s") / (F.col("_v") * (F.col("n") - F.col("lag")))).alias("strength")
     )
     total = acf.groupBy("series_id").agg(F.sum("strength").alias("_t"))
     return acf.join(total, "series_id").select(
@@ -107,8 +135,14 @@ def _mean_forecast(rows: DataFrame, predict: Callable[..., DataFrame], horizon:
     return predict(rows, horizon, keys=keys).groupBy(*keys).agg(F.avg("mean").alias(out))
 
 
-def occlusion(panel: DataFrame, window: int = 5, horizon: int = 1, predict: Callable[..., DataFrame] = last_value) -> DataFrame:
-    """(series_id, variant, pos, importance): change of the mean forecast when a window is set to the mean."""
+def occlusion(
+    panel: DataFrame, window: int = 5, horizon: int = 1, predict: Callable[..., DataFrame] = last_value, context: int = CONTEXT
+) -> DataFrame:
+    """(series_id, pos, importance): change of the mean forecast when a window is set to the mean.
+
+    One variant per window of the last `context` points; `pos` counts from the start of the context.
+    """
+    panel = truncate_context(panel, context)
     base = attach(panel.select("series_id", "pos", "n", "y"), per_series(panel, F.avg("y").alias("_m")))
     count = F.ceil(F.col("n") / window).cast("long")
     variants = base.select("*", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("variant")).withColumn(
@@ -125,10 +159,11 @@ def occlusion(panel: DataFrame, window: int = 5, horizon: int = 1, predict: Call
 
 
 def permutation(
-    panel: DataFrame, repeats: int = 5, horizon: int = 1, seed: int = 42, predict: Callable[..., DataFrame] = last_value
+    panel: DataFrame, repeats: int = 5, horizon: int = 1, seed: int = 42, predict: Callable[..., DataFrame] = last_value, context: int = CONTEXT
 ) -> DataFrame:
-    """(series_id, pos, importance): mean change of the forecast when one point is replaced by a random
-    other value of its series, `repeats` times. Draws are hashed from (seed, series, point, repeat)."""
+    """(series_id, pos, importance): mean change of the forecast when one of the last `context` points is
+    replaced by a random value among them, `repeats` times. Draws are hashed from (seed, series, point, repeat)."""
+    panel = truncate_context(panel, context)
     base = panel.select("series_id", "pos", "n", "y")
     plan = base.select(
         "series_id", "n", F.col("pos").alias("at"), F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidepanel.functions.numeric import finite, ratio
@@ -30,14 +32,23 @@ def inverse_error_weights(aggregate: DataFrame, models: DataFrame, metric: str =
     return joined.select("model", F.when(bad, F.lit(1.0)).otherwise(share).alias("weight"))
 
 
+def _digest(batches):
+    """Streaming hash of the lines in order: constant memory however many there are."""
+    h, started = hashlib.sha256(), False
+    for pdf in batches:
+        for line in pdf["line"]:
+            h.update(("|" + line if started else line).encode())
+            started = True
+    yield pd.DataFrame({"fingerprint": [h.hexdigest()[:16]]})
+
+
 def dataset_fingerprint(series: DataFrame) -> DataFrame:
     """First 16 hex digits of SHA-256 over `id:length:freq` joined by `|` in id order.
 
-    The text is one line per series; very wide panels hash 4096 buckets of ids first (see `buckets`).
+    The sort is distributed; the hash itself is sequential by nature and streams over one short line per series.
     """
-    item = F.concat_ws(":", "series_id", F.col("points").cast("string"), "freq")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("series_id", item.alias("t")))), lambda s: s.t), "|")
-    return series.agg(F.substring(F.sha2(text, 256), 1, 16).alias("fingerprint"))
+    line = F.concat_ws(":", "series_id", F.col("points").cast("string"), "freq").alias("line")
+    return series.orderBy("series_id").select(line).coalesce(1).mapInPandas(_digest, "fingerprint string")
 
 
 def classify_error(error: Column, status: Column, http: Column) -> Column:

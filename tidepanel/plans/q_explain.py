@@ -138,7 +138,7 @@ def f42_metric_matrix(spark, sf):
     return m.select("model", F.round("mae", 2).alias("mae"), F.round("mase", 6).alias("mase"), F.round("rmse", 2).alias("rmse"))
 
 
-# Each event type is one decision; the customer payload with its rank as key is its trust input.
+# Each event type is one decision; the customer payload numbered like the length of its name is its trust input.
 F43 = (
     "WITH " + LAGC[5:] + ", " + _scores_sql("geopolitical") + ", " + MA7[5:].split("panel AS (SELECT * FROM orders_daily), ")[1].replace("panel", "panel")
 )
@@ -147,15 +147,13 @@ F43 = (
 @query(
     "f43_end_to_end_decisions",
     F43 + ", parts AS (SELECT *, y - trend - seasonal AS resid FROM m), vr AS (SELECT series_id, var_pop(trend) AS t, var_pop(seasonal) AS s, var_pop(resid) AS r FROM parts GROUP BY 1),"
-    " tl AS (SELECT series_id, lag FROM lc QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY strength DESC, lag) = 1), k AS (SELECT series_id, row_number() OVER (ORDER BY series_id) AS k, arg_max(y, pos) AS fv FROM panel GROUP BY 1)"
+    " tl AS (SELECT series_id, lag FROM lc QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY strength DESC, lag) = 1), k AS (SELECT series_id, length(series_id) AS k, arg_max(y, pos) AS fv FROM panel GROUP BY 1)"
     " SELECT k.series_id, round(trust_score, 6) AS trust_score, risk_category, round(t / (t + s + r), 4) AS trend_share, round(s / (t + s + r), 4) AS seasonal_share, lag AS top_lag, 0.9 >= 0.85 AND NOT (trust_score < 0.5 OR crit OR risk_category = 'RED') AS auto_executed"
     " FROM k JOIN geopolitical_r g ON g.item_id = CAST(k.k AS VARCHAR) JOIN vr ON vr.series_id = k.series_id JOIN tl ON tl.series_id = k.series_id",
 )
 def f43_end_to_end_decisions(spark, sf):
     panel = pn.events_daily(spark, sf)
-    from pyspark.sql import Window
-
-    k = panel.groupBy("series_id").agg(F.max_by("y", "pos").alias("forecast_value")).withColumn("k", F.row_number().over(Window.partitionBy().orderBy("series_id")).cast("string"))
+    k = panel.groupBy("series_id").agg(F.max_by("y", "pos").alias("forecast_value")).withColumn("k", F.length("series_id").cast("string"))
     trust = tr.score(payload(spark, sf, "geopolitical"), "geopolitical").join(k.select(F.col("k").alias("item_id"), "series_id"), "item_id").drop("item_id").withColumnRenamed("series_id", "item_id")
     metrics = panel.groupBy(F.lit("last_value").alias("model"), F.lit("mae").alias("metric")).agg(F.avg("y").alias("value"))
     d = ex.explain_decisions(k.select("series_id", "forecast_value", F.lit(0.9).alias("confidence")), trust, panel, metrics, 7)

@@ -35,9 +35,11 @@ def s01_csv_scan(spark, sf):
 def s01_csv_preamble(spark, sf):
     """Every file starts with two lines that are not data."""
     path = scratch_path(spark, "preamble")
-    e = _events_text(spark, sf).select(F.concat_ws("|", "series_id", "timestamp", "target").alias("value"), F.lit(1).alias("o"))
-    head = spark.createDataFrame([("Data Source|Events", 0), ("Last Updated", 0), ("series_id|timestamp|target", 0)], "value string, o int")
-    e.unionByName(head).repartition(1).sortWithinPartitions("o").select("value").write.text(path)
+    part = F.pmod(F.hash("timestamp", "target"), F.lit(8))
+    e = _events_text(spark, sf).select(F.concat_ws("|", "series_id", "timestamp", "target").alias("value"), part.alias("k"), F.lit(3).alias("o"))
+    top = spark.createDataFrame([("Data Source|Events", 0), ("Last Updated", 1), ("series_id|timestamp|target", 2)], "value string, o int")
+    head = top.select("value", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"), "o")
+    e.unionByName(head).repartition(8, "k").sortWithinPartitions("k", "o").select("value").write.text(path)
     return rd.to_panel(rd.read_csv(spark, path)).select("series_id", pn.stamp(), "y")
 
 
