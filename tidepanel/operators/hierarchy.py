@@ -55,7 +55,7 @@ def closure(edges: DataFrame, weight: str | None = None) -> DataFrame:
         paths = cut_lineage(edges.sparkSession, paths, f"closure-{depth}")
         if paths.isEmpty():
             break
-    return found.groupBy(H, "ancestor", "leaf").agg(F.sum("k").alias("k"))
+    return cut_lineage(edges.sparkSession, found.groupBy(H, "ancestor", "leaf").agg(F.sum("k").alias("k")), "closure")
 
 
 def missing_leaves(edges: DataFrame, forecast: DataFrame) -> DataFrame:
@@ -105,14 +105,16 @@ def top_down(edges: DataFrame, forecast: DataFrame, proportions: DataFrame | Non
     share of the leaf in its parent. `proportions` (hierarchy_id, series_id, share) overrides both.
     """
     roots = nodes(edges).where("is_root").select(H, F.col("series_id").alias("ancestor"))
+    paths = closure(edges)
     sh = shares(edges, forecast)
-    reach = closure(sh, "share").join(roots, [H, "ancestor"])
     if proportions is not None or direct_parent:
         p = proportions if proportions is not None else sh.select(H, F.col("child").alias("series_id"), "share")
-        reach = closure(edges).join(roots, [H, "ancestor"]).join(p.withColumnRenamed("series_id", "leaf"), [H, "leaf"]).drop("k").withColumnRenamed("share", "k")
+        reach = paths.join(roots, [H, "ancestor"]).join(p.withColumnRenamed("series_id", "leaf"), [H, "leaf"]).drop("k").withColumnRenamed("share", "k")
+    else:
+        reach = closure(sh, "share").join(roots, [H, "ancestor"])
     top = forecast.select(H, F.col("series_id").alias("ancestor"), "step", "mean")
     leaf = reach.join(top, [H, "ancestor"]).groupBy(H, F.col("leaf").alias("series_id"), "step").agg(F.sum(F.col("k") * F.col("mean")).alias("mean"))
-    return _aggregate(closure(edges), leaf)
+    return _aggregate(paths, leaf)
 
 
 def _projection(s: np.ndarray, w_inv: np.ndarray | None = None) -> np.ndarray:

@@ -142,9 +142,12 @@ def macro(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def with_macro_row(wide: DataFrame, names: Sequence[str], label: str = "__macro__") -> DataFrame:
-    """Per-series metric rows plus one macro row."""
-    total = wide.agg(*[F.avg(m).alias(m) for m in names]).select(F.lit(label).alias("series_id"), *names)
-    return wide.select("series_id", *names).unionByName(total)
+    """Per-series metric rows plus one macro row, from one evaluation of the metrics.
+
+    Every row counts for its own series (a mean of one value) and for the macro row.
+    """
+    both = wide.select(F.explode(F.array("series_id", F.lit(label))).alias("series_id"), *names)
+    return both.groupBy("series_id").agg(*[F.avg(m).alias(m) for m in names])
 
 
 def match_forecasts(actuals: DataFrame, forecast: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tidepanel.operators import folds, forecast as fc, leaderboard as lb, metrics as mt
+from tidepanel.session import cut_lineage
 
 
 def run_benchmark(
@@ -19,7 +20,11 @@ def run_benchmark(
     season: int = 1,
     min_train_length: int | None = None,
 ) -> dict[str, DataFrame]:
-    """`fold_metrics` (model, fold, metric, value), `aggregate` (model, metric, value), `weights`, `errors`."""
+    """`fold_metrics` (model, fold, metric, value), `aggregate` (model, metric, value), `weights`, `errors`.
+
+    The fold metrics, a few rows per model, are written once; everything after them starts from there.
+    """
+    spark = panel.sparkSession
     rows = folds.fold_rows(panel, horizon, num_folds, min_train_length)
     history, actuals = folds.fold_history(rows), folds.fold_actuals(rows)
     keys = ["fold", "series_id"]
@@ -32,8 +37,9 @@ def run_benchmark(
     scale = mt.naive_scale(history, season, keys) if mt.NEEDS_SCALE & set(metric_names) else None
     per_series = mt.evaluate(pairs, metric_names, ["model", *keys], scale)
     fold_metrics = mt.macro(mt.to_long(per_series, metric_names, ["model", *keys]), ["model", "fold"])
+    fold_metrics = cut_lineage(spark, fold_metrics, "fold-metrics")
     aggregate = lb.aggregate_folds(fold_metrics)
-    names = stacked.select("model").distinct()
+    names = spark.createDataFrame([(m.name if isinstance(m, fc.GroupedModel) else m,) for m in models], "model string")
     return {
         "fold_metrics": fold_metrics,
         "aggregate": aggregate,

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidepanel.operators import leaderboard as lb
+from tidepanel.session import cut_lineage
 
 
 def flatten_forecast(forecast: DataFrame, levels: Sequence[float] = ()) -> DataFrame:
@@ -30,8 +31,9 @@ def load_weights(spark: SparkSession, path: str, fingerprint: str) -> DataFrame:
 def save_bundle(summary: DataFrame, metrics: Sequence[str], path: str) -> None:
     """Write `result` and `routing` as JSON and `leaderboard` as CSV below `path`.
 
-    `summary` has one row per model.
+    `summary` has one row per model; it is evaluated once.
     """
+    summary = cut_lineage(summary.sparkSession, summary, "bundle-summary")
     ranks = lb.routing_ranks(summary, metrics)
     summary.write.mode("overwrite").json(f"{path}/result")
     lb.lanes(ranks).write.mode("overwrite").json(f"{path}/routing")
