@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidepanel.llm import ans, packing
+from tidepanel.llm import ans, chunks, mixing, packing, snapshots
 from tidepanel.llm.common import read
 from tidepanel.session import scratch_path
 
@@ -18,6 +19,22 @@ def op2_range_ans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ans.read_token_files(spark, path)
 
 
+def op3_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered."""
+    return snapshots.collapse_and_render(read(spark, sf_dir, "conversations"))
+
+
+def op5_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    mixed = mixing.mix(spark, read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op7_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return chunks.fingerprint_documents(spark, read(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 1024 ids."""
     return packing.pack(read(spark, sf_dir, "documents"))
@@ -27,7 +44,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_range_ans,
+        op3_snapshot_collapse,
+        op5_cube_mixing,
+        op7_content_chunks,
         op10_packing,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_snapshot_collapse": snapshots.SQL}
