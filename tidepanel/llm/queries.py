@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import ans, chunks, mixing, packing, snapshots
+from tidepanel.llm import ans, chunks, minhash, mixing, packing, snapshots
 from tidepanel.llm.common import read
 from tidepanel.session import scratch_path
 
@@ -35,6 +35,11 @@ def op7_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.fingerprint_documents(spark, read(spark, sf_dir, "documents"))
 
 
+def op8_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents."""
+    return minhash.near_duplicates(spark, read(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 1024 ids."""
     return packing.pack(read(spark, sf_dir, "documents"))
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_snapshot_collapse,
         op5_cube_mixing,
         op7_content_chunks,
+        op8_odd_sketches,
         op10_packing,
     )
 }
