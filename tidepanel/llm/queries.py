@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import ans, chunks, minhash, mixing, packing, snapshots
+from tidepanel.llm import ans, chunks, minhash, mixing, packing, snapshots, toxicity
 from tidepanel.llm.common import read
 from tidepanel.session import scratch_path
 
@@ -30,6 +30,13 @@ def op5_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a model that never saw the held-out labels."""
+    docs, o = read(spark, sf_dir, "documents"), toxicity.MilOptions()
+    model = toxicity.fit(spark, docs, toxicity.training_labels(read(spark, sf_dir, "labels")), o)
+    return toxicity.score_documents(docs, model, o.threshold)
+
+
 def op7_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return chunks.fingerprint_documents(spark, read(spark, sf_dir, "documents"))
@@ -51,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_range_ans,
         op3_snapshot_collapse,
         op5_cube_mixing,
+        op6_toxicity_mil,
         op7_content_chunks,
         op8_odd_sketches,
         op10_packing,
