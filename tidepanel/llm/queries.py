@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import ans, chunks, minhash, mixing, packing, snapshots, toxicity
+from tidepanel.llm import ans, chunks, hnsw, lines, minhash, mixing, packing, snapshots, toxicity
 from tidepanel.llm.common import read
 from tidepanel.session import scratch_path
 
@@ -24,6 +24,12 @@ def op3_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.collapse_and_render(read(spark, sf_dir, "conversations"))
 
 
+def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    vectors = read(spark, sf_dir, "embeddings")
+    return hnsw.nearest(spark, vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
 def op5_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     mixed = mixing.mix(spark, read(spark, sf_dir, "documents"))
@@ -47,6 +53,12 @@ def op8_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, read(spark, sf_dir, "documents"))
 
 
+def op9_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many of them link to an earlier similar line and go, and what is left of the text."""
+    left = lines.dedup_lines(spark, read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 1024 ids."""
     return packing.pack(read(spark, sf_dir, "documents"))
@@ -57,10 +69,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op2_range_ans,
         op3_snapshot_collapse,
+        op4_hnsw,
         op5_cube_mixing,
         op6_toxicity_mil,
         op7_content_chunks,
         op8_odd_sketches,
+        op9_line_join,
         op10_packing,
     )
 }
