@@ -5,11 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidepanel.llm import packing
+from tidepanel.llm import lines, minhash, mixing, packing, toxicity
 from tidepanel.llm.common import read, staged
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxicity threshold, by a model of the labels that may be learned from."""
+    o = toxicity.MilOptions()
+    model = toxicity.fit(spark, docs, toxicity.training_labels(read(spark, sf_dir, "labels")), o)
+    return toxicity.reject_toxic(docs, model, o.threshold)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that resemble an earlier one; n_chars follows the text."""
+    left = lines.dedup_lines(spark, docs).select(*docs.columns)
+    return left.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return minhash.one_of_each_group(spark, docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.repeat_rows(mixing.mix(spark, docs), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,10 +40,14 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", reject_toxic),
+    ("line dedup", dedup_lines),
+    ("near-dedup", keep_one_of_near_copies),
+    ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
 
-#: Training, graph and dynamic-programming stages have no SQL form; tests hold run() against brute force instead.
+#: Training, similarity joins and dynamic programming have no SQL form; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 

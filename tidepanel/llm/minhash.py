@@ -18,7 +18,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.chunks import _mix as mix64
@@ -220,3 +220,12 @@ def _apart(shared: DataFrame, sketches: DataFrame, labels: DataFrame, nearest_on
         return near.select("a", "b").distinct()
     best = near.groupBy("b").agg(F.min(F.struct(bits.alias("bits"), F.col("a").alias("a"))).alias("best"))
     return best.select(F.col("best.a").alias("a"), "b")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, options: NearOptions = NearOptions()) -> DataFrame:
+    """The rows of docs that stay: of each group the document with the smallest doc_id, in one row (the smallest text, if rows
+    share the id). Rows without doc_id all stay."""
+    groups = near_duplicates(spark, docs, options).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
+    stay = docs.filter("doc_id IS NOT NULL").join(groups, "doc_id", "left_semi").withColumn("_turn", turn).filter("_turn = 1")
+    return stay.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))

@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import ans, chunks, hnsw, lines, minhash, mixing, packing, snapshots, toxicity
+from tidepanel.llm import ans, chunks, hnsw, langid, lines, minhash, mixing, packing, snapshots, toxicity
 from tidepanel.llm.common import read
 from tidepanel.session import scratch_path
 
 
+def op1_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page."""
+    return langid.identify(spark, read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
 def op2_range_ans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents into token files and read the files back."""
     path = scratch_path(spark, "token-files")
@@ -67,6 +72,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_language_fusion,
         op2_range_ans,
         op3_snapshot_collapse,
         op4_hnsw,

@@ -214,3 +214,15 @@ def score_documents(docs: DataFrame, model: tuple[float, dict[str, float]], thre
     return scored.select(
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "worst_start", "worst_end", "worst_score"
     )
+
+
+def reject_toxic(docs: DataFrame, model: tuple[float, dict[str, float]], threshold: float) -> DataFrame:
+    """The rows of docs, all columns as they are, whose score is below the threshold. A missing text scores 0 and stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in slices(batches, "text"):
+            keep = [scorer.document(t or "")[0] < threshold for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
