@@ -33,7 +33,7 @@ def rolling_hashes(turns: DataFrame) -> DataFrame:
     """
     rows = turns.select("conv_id", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 40))).alias("block"), "turn", "role", "text")
     in_block = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
-    upto = in_block.rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("conv_id", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("conv_id")
     counts = rows.groupBy("conv_id", "block").agg(F.count("*").alias("k"))
