@@ -207,6 +207,8 @@ def _emit(counts, o: LineOptions, buckets: int):
                 new = np.zeros(len(s.id), bool)
                 for i, (k, place) in enumerate(zip(s.id.tolist(), zip(docs[s.row].tolist(), tags[s.row].tolist(), s.number.tolist()))):
                     old = first.get(k)
+                    if old == place:  # a repeated row
+                        continue
                     if old is None or place < old:
                         first[k] = place
                         new[i] = True  # a smaller doc makes the posting count again
@@ -314,7 +316,9 @@ def _meet(o: LineOptions, only: np.ndarray | None):
             return
         found = found[np.lexsort((found["line"], found["tag"], found["doc"], found["id"]))]
         head = np.concatenate([[True], found["id"][1:] != found["id"][:-1]])
-        for name, part in (("first", found[head]), ("lost", found[~head])):
+        lead = found[np.maximum.accumulate(np.where(head, np.arange(len(found)), 0))]
+        later = (found["doc"] != lead["doc"]) | (found["tag"] != lead["tag"]) | (found["line"] != lead["line"])
+        for name, part in (("first", found[head]), ("lost", found[later])):
             if len(part):
                 yield rows(name, len(part), id=part["id"].copy(), doc=part["doc"], tag=part["tag"], line=part["line"])
 
