@@ -36,7 +36,7 @@ class MilOptions:
     most_features: int = 4000
     rounds: int = 300
     rate: float = 0.1
-    l2: float = 0.1
+    l2: float = 0.05
     bias: float = -7.0
     threshold: float = 0.3
     seed: int = 6
