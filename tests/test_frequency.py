@@ -3,7 +3,10 @@
 import pandas as pd
 import pytest
 
-from tidepanel.functions.freq import alias_step, token
+from pyspark.sql import functions as F
+
+from tidepanel.functions.freq import alias_step, steps_between, steps_from, token
+from tidepanel.operators import clean
 from tidepanel.operators import analysis as an
 
 CASES = ["D", "2D", "W-WED", "2W-SUN", "h", "6h", "15min", "90s", "MS", "2MS", "ME", "QS-OCT", "QE-DEC", "YS-JAN", "YE-DEC", "B", "BMS", "BME"]
@@ -51,3 +54,60 @@ def test_tokens():
     assert alias_step("2MS") == ("month", 2) and alias_step("QS-OCT") == ("month", 3) and alias_step("6h") == ("second", 21600)
     with pytest.raises(ValueError):
         alias_step("fortnight?")
+
+
+@pytest.mark.parametrize(
+    ("alias", "start"),
+    [
+        ("B", "2024-01-12"), ("2B", "2024-01-11"), ("ME", "2024-01-31"), ("ME", "2024-02-29"), ("QE-DEC", "2023-12-31"), ("YE-DEC", "2023-12-31"),
+        ("BMS", "2024-01-01"), ("BME", "2024-01-31"), ("BQS-OCT", "2024-01-01"), ("BQE-DEC", "2023-12-29"), ("BYE-DEC", "2023-12-29"), ("MS", "2024-01-01"),
+        ("QS-OCT", "2024-01-01"), ("YS-JAN", "2024-01-01"), ("W-MON", "2024-01-01"), ("3D", "2024-01-01"), ("6h", "2024-01-01"), ("15min", "2024-01-01"),
+    ],
+)
+def test_calendar_steps_follow_pandas(spark, alias, start):
+    import pandas as pd
+
+    expected = pd.date_range(start, periods=40, freq=alias)
+    base = spark.range(40).select(F.lit(start).cast("timestamp").alias("t"), "id", F.lit(alias).alias("alias"))
+    rows = base.select("t", "id", "alias", steps_from(F.col("t"), F.col("id"), F.col("alias")).alias("ts")).orderBy("id")
+    assert [r.ts for r in rows.collect()] == [t.to_pydatetime() for t in expected]
+    late = rows.withColumn("back", steps_between(F.col("t"), F.col("ts") + F.expr("interval 3 minutes"), F.col("alias")))
+    assert all(r.back == r.id for r in late.collect())
+    back = rows.select("id", steps_from(F.col("ts"), -F.col("id"), F.col("alias")).alias("t0"))
+    assert {r.t0 for r in back.collect()} == {expected[0].to_pydatetime()}
+
+
+def test_weekends_roll_to_business_days(spark):
+    saturday = F.lit("2024-01-13").cast("timestamp")
+    row = spark.range(1).select(*[F.dayofmonth(steps_from(saturday, F.lit(k), "B")).alias(f"k{k + 1}") for k in (-1, 0, 1, 2)]).first()
+    assert tuple(row) == (12, 15, 15, 16)
+
+
+def test_each_series_has_its_own_frequency(spark):
+    import pandas as pd
+
+    rows = []
+    for sid, alias, start in (("b", "B", "2024-01-10"), ("me", "ME", "2023-10-31"), ("h", "h", "2024-01-01"), ("bms", "BMS", "2024-01-01")):
+        for i, t in enumerate(pd.date_range(start, periods=12, freq=alias)):
+            rows.append((sid, t.to_pydatetime(), None if i == 5 else float(i)))
+    rows.append(("odd", pd.Timestamp("2024-01-01").to_pydatetime(), 1.0))
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp, y double")
+    panel, diagnostics, violations = clean.regularize_and_impute(df, None, method="linear")
+    found = {}
+    for r in panel.collect():
+        found.setdefault(r.series_id, {})[r.ts] = r.y
+    for sid in ("b", "me", "h", "bms"):
+        expected = {t: float(i) for i, (s, t, _) in enumerate([r for r in rows if r[0] == sid])}
+        assert found[sid] == pytest.approx(expected)
+    assert {r.series_id for r in violations.collect()} == {"odd"}
+
+
+def test_observations_beside_the_grid_are_violations(spark):
+    import pandas as pd
+
+    rows = [("a", t.to_pydatetime(), 1.0) for t in pd.date_range("2024-02-29", periods=4, freq="ME")]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp, y double")
+    ok, _, none = clean.regularize_and_impute(df, "ME", method="linear")
+    assert ok.count() == 4 and none.count() == 0
+    _, _, bad = clean.regularize_and_impute(df, "MS", method="linear")
+    assert "not on the grid" in bad.first().reason

@@ -77,3 +77,123 @@ def alias_of_seconds(seconds: Column) -> Column:
         k = F.floor(whole / size).cast("string")
         out = out.when(whole % size == 0, F.when(whole == size, F.lit(unit)).otherwise(F.concat(k, F.lit(unit))))
     return out
+
+
+# ---- calendar steps --------------------------------------------------------------------------
+
+
+def _parts(alias: Column) -> tuple[Column, Column]:
+    """(multiple, unit) of an alias column; the unit keeps the start / end mark but not the anchor."""
+    text = F.upper(F.trim(alias))
+    mult = F.coalesce(F.regexp_extract(text, r"^(\d+)", 1).try_cast("long"), F.lit(1).cast("long"))
+    return mult, F.regexp_extract(text, r"^\d*\s*([A-Z]+)", 1)
+
+
+def _kind(unit: Column) -> Column:
+    """second, month, month_end, month_business_start, month_business_end or business_day; NULL for anything else."""
+    letters = r"(M|Q|Y|A)"
+    return (
+        F.when(unit.isin("B", "C"), "business_day")
+        .when(unit.rlike(rf"^B{letters}S$"), "month_business_start")
+        .when(unit.rlike(rf"^B{letters}E?$"), "month_business_end")
+        .when(unit.rlike(r"^(ME|QE|YE|AE)$"), "month_end")
+        .when(unit.rlike(r"^(M|MS|MONTHS?|Q|QS|QUARTERS?|Y|YS|A|AS|YEARS?)$"), "month")
+        .when(unit.rlike(r"^(S|SEC|SECS|SECONDS?|T|MIN|MINS|MINUTES?|H|HOURS?|D|DAYS?|W|WEEKS?)$"), "second")
+    )
+
+
+def _unit_size(unit: Column) -> Column:
+    """Seconds or months of one unit."""
+    core = F.when(unit.rlike(r"^B[MQYA]"), F.substring(unit, 2, 9)).otherwise(unit)
+    return (
+        F.when(core.rlike(r"^(T|MIN)"), 60)
+        .when(core.rlike(r"^M"), 1)
+        .when(core.rlike(r"^Q"), 3)
+        .when(core.rlike(r"^[YA]"), 12)
+        .when(core.rlike(r"^S"), 1)
+        .when(core.rlike(r"^H"), 3600)
+        .when(core.rlike(r"^D"), 86_400)
+        .when(core.rlike(r"^W"), 604_800)
+        .otherwise(1)
+        .cast("long")
+    )
+
+
+def _day_shift(ts: Column, days: Column) -> Column:
+    return F.timestamp_micros(F.unix_micros(ts) + days.cast("long") * F.lit(86_400_000_000))
+
+
+def _weekday(ts: Column) -> Column:
+    """0 is Monday."""
+    return F.weekday(ts.cast("date")).cast("long")
+
+
+def _business_days(ts: Column, k: Column) -> Column:
+    """ts moved by k business days; a weekend counts as the Friday before it, or for k <= 0 as the Monday after it."""
+    w = _weekday(ts)
+    roll = F.when(w < 5, F.lit(0).cast("long")).when(k > 0, 4 - w).otherwise(7 - w)
+    start = F.when(w < 5, w).when(k > 0, F.lit(4).cast("long")).otherwise(F.lit(0).cast("long"))
+    return _day_shift(ts, roll + k + 2 * F.floor((start + k) / 5))
+
+
+def steps_from(ts: Column, k: Column, alias: Column | str) -> Column:
+    """ts plus k steps of the alias (text or column): fixed lengths, calendar months, month ends (ME, QE, YE), first and last
+    business days of months (BMS, BQS, BYS, BME, ...) and business days (B). The time of day stays.
+
+    Month starts and plain months keep the day (or the last one of a shorter month), ends fall on the last day. NULL for an
+    alias that is not known.
+    """
+    alias = F.lit(alias) if isinstance(alias, str) else alias
+    mult, unit = _parts(alias)
+    kind, k = _kind(unit), k.cast("long") * mult
+    size = _unit_size(unit)
+    months = ts + F.make_ym_interval(F.lit(0), (k * size).cast("int"))
+    to_first = 1 - F.dayofmonth(months)
+    first = _day_shift(months, to_first)
+    to_last = F.datediff(F.last_day(months), months)
+    last = _day_shift(months, to_last)
+    wf, wl = _weekday(first), _weekday(last)
+    business_first = _day_shift(first, F.when(wf >= 5, 7 - wf).otherwise(F.lit(0).cast("long")))
+    business_last = _day_shift(last, F.when(wl >= 5, 4 - wl).otherwise(F.lit(0).cast("long")))
+    return (
+        F.when(kind == "second", F.timestamp_micros(F.unix_micros(ts) + k * size * F.lit(1_000_000)))
+        .when(kind == "month", months)
+        .when(kind == "month_end", last)
+        .when(kind == "month_business_start", business_first)
+        .when(kind == "month_business_end", business_last)
+        .when(kind == "business_day", _business_days(ts, k))
+    )
+
+
+def steps_between(lo: Column, hi: Column, alias: Column | str) -> Column:
+    """The largest k with steps_from(lo, k, alias) <= hi (hi is not before lo); NULL for an alias that is not known."""
+    alias = F.lit(alias) if isinstance(alias, str) else alias
+    mult, unit = _parts(alias)
+    kind = _kind(unit)
+    size = mult * _unit_size(unit)
+    span = (F.year(hi) - F.year(lo)) * 12 + F.month(hi) - F.month(lo)
+    by_month = F.floor(span / size)
+
+    def business_index(ts: Column) -> Column:
+        days = F.datediff(ts.cast("date"), F.lit("1969-12-29").cast("date"))  # a Monday
+        return F.floor(days / 7) * 5 + F.least(_weekday(ts), F.lit(5).cast("long"))
+
+    guess = (
+        F.when(kind == "second", F.floor((F.unix_micros(hi) - F.unix_micros(lo)) / (size * F.lit(1_000_000))))
+        .when(kind == "business_day", F.ceil((business_index(hi) - business_index(lo)) / mult))
+        .when(kind.isNotNull(), by_month)
+    ).cast("long")
+    return guess - (steps_from(lo, guess, alias) > hi).cast("long")
+
+
+_KNOWN = re.compile(
+    r"\s*\d*\s*(B|C|B[MQYA][SE]?|[MQYA][SE]?|MONTHS?|QUARTERS?|YEARS?|SEC|SECS|SECONDS?|T|MIN|MINS|MINUTES?|HOURS?|DAYS?|WEEKS?|S|H|D|W)"
+    r"(-[A-Z]+)?\s*"
+)
+
+
+def require_known(alias: str) -> str:
+    """The alias, or ValueError if steps_from doesn't know it."""
+    if not _KNOWN.fullmatch(alias.upper()):
+        raise ValueError(f"bad frequency {alias!r}")
+    return alias

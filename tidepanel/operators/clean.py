@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidepanel.functions.freq import require_known, steps_between, steps_from
 from tidepanel.functions.numeric import finite
 from tidepanel.operators.blocks import BLOCK_ROWS, KEY, attach, framed, nearest_valid, per_series
 
@@ -114,54 +115,54 @@ def validate_series(
 # ---- regular grid ----------------------------------------------------------------------------
 
 
-def step_column(freq: str) -> tuple[str, int]:
-    """A frequency alias as (unit, count) with unit `second` or `month`."""
-    from tidepanel.functions.freq import alias_step
+def alias_column(freq: str | None) -> Column:
+    """A literal alias, or the column `freq` of the rows where each series has its own."""
+    return F.col("freq") if freq is None else F.lit(freq)
 
-    return alias_step(freq)
 
+def add_steps(ts: Column, count: Column, freq: str | None) -> Column:
+    """ts plus `count` steps of the frequency (None: of the column `freq`); calendar units keep to the calendar."""
+    if freq is not None:
+        require_known(freq)  # an unknown alias fails here, not as NULLs
+    return steps_from(ts, count, alias_column(freq))
 
-def add_steps(ts: Column, count: Column, freq: str) -> Column:
-    """ts plus `count` steps of the frequency; months keep to the calendar."""
-    unit, size = step_column(freq)
-    k = count.cast("int") * F.lit(size)
-    if unit == "month":
-        return ts + F.make_ym_interval(F.lit(0), k)
-    return F.timestamp_micros(F.unix_micros(ts) + count.cast("long") * F.lit(size * 1_000_000))
 
+def grid(bounds: DataFrame, freq: str | None) -> DataFrame:
+    """Regular grid (series_id, ts, pos, n) from per-series `lo` and `hi` timestamps (None: and `freq`).
 
-def grid(bounds: DataFrame, freq: str) -> DataFrame:
-    """Regular grid (series_id, ts, pos, n) from per-series `lo` and `hi` timestamps.
-
-    The grid is generated chunk by chunk, so a long series is neither one array nor one task.
+    The grid is generated chunk by chunk, so a long series is neither one array nor one task. It starts at the first
+    timestamp of the frequency at or after `lo`; a series whose alias is not known has no grid.
     """
-    unit, size = step_column(freq)
-    if unit == "month":
-        span = (F.year("hi") - F.year("lo")) * 12 + F.month("hi") - F.month("lo")
-        k = F.floor(span / size)
-        over = add_steps(F.col("lo"), k, freq) > F.col("hi")
-        n = (k + 1 - over.cast("int")).cast("long")
-    else:
-        n = (F.floor((F.unix_micros("hi") - F.unix_micros("lo")) / F.lit(size * 1_000_000)) + 1).cast("long")
+    if freq is not None:
+        require_known(freq)
+    alias = alias_column(freq)
+    start = steps_from(F.col("lo"), F.lit(0), alias)
+    lo = F.when(start < F.col("lo"), steps_from(F.col("lo"), F.lit(1), alias)).otherwise(start)
+    own = [] if freq is not None else ["freq"]
+    n = (steps_between(F.col("lo"), F.col("hi"), alias) + 1).cast("long")
     chunks = (
-        bounds.select("series_id", "lo", n.alias("n"))
+        bounds.select("series_id", *own, lo.alias("lo"), "hi")
+        .where(F.col("lo") <= F.col("hi"))
+        .select("series_id", *own, "lo", n.alias("n"))
         .withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.lit(BLOCK_ROWS)))))
         .repartition("series_id", "_c")
     )
     pos = F.explode(
         F.sequence(F.col("_c") * BLOCK_ROWS, F.least((F.col("_c") + 1) * BLOCK_ROWS, F.col("n")) - 1)
     )
-    return chunks.select("series_id", "lo", "n", pos.alias("pos")).select(
-        "series_id", add_steps(F.col("lo"), F.col("pos"), freq).alias("ts"), "pos", "n"
+    return chunks.select("series_id", *own, "lo", "n", pos.alias("pos")).select(
+        "series_id", steps_from(F.col("lo"), F.col("pos"), alias).alias("ts"), "pos", "n"
     )
 
 
-def regularize(df: DataFrame, freq: str) -> DataFrame:
+def regularize(df: DataFrame, freq: str | None) -> DataFrame:
     """Panel on the regular grid from first to last observation; holes have NULL `y`, `observed` is false.
 
-    `df` holds one row per (series, ts) with a target.
+    `df` holds one row per (series, ts) with a target and, with `freq` None, the alias of its series in the column `freq`.
+    Observations beside the grid are left out; `off_grid` counts them.
     """
-    bounds = df.groupBy("series_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    own = [] if freq is not None else [F.first("freq", True).alias("freq")]
+    bounds = df.groupBy("series_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), *own)
     seen = df.select("series_id", "ts", "y", F.lit(True).alias("observed"))
     return (
         grid(bounds, freq)
@@ -170,6 +171,15 @@ def regularize(df: DataFrame, freq: str) -> DataFrame:
     )
 
 
+def off_grid(df: DataFrame, regular: DataFrame) -> DataFrame:
+    """(series_id, off_grid, reason): series with observations that are not on their grid, or without any grid."""
+    have = df.groupBy("series_id").agg(F.count(F.lit(1)).alias("_rows"))
+    met = regular.groupBy("series_id").agg(F.count_if("observed").alias("_met"))
+    lost = F.col("_rows") - F.coalesce("_met", F.lit(0))
+    out = have.join(met, "series_id", "left").select("series_id", lost.alias("off_grid")).where("off_grid > 0")
+    return out.withColumn("reason", F.format_string("%d observations are not on the grid of the frequency", F.col("off_grid")))
+
+
 # ---- imputation ------------------------------------------------------------------------------
 
 
@@ -235,7 +245,7 @@ def impute(panel: DataFrame, method: str = "linear", period: int = 7) -> DataFra
 
 def regularize_and_impute(
     df: DataFrame,
-    freq: str,
+    freq: str | None,
     method: str = "auto",
     period: int = 7,
     max_missing_ratio: float = MISSING_RATIO_MAX,
@@ -244,12 +254,22 @@ def regularize_and_impute(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Duplicate collapse, grid, limits, edges and gaps: (panel, diagnostics, violations).
 
-    `auto` and `bspline` interpolate cubically where a series has at least 4 valid points, else linearly.
+    `auto` and `bspline` interpolate cubically where a series has at least 4 valid points, else linearly. With `freq` None
+    every series takes the frequency that `ingest_frequency` finds for it; series without a usable one, and series with
+    observations beside their grid, are violations.
     """
+    if freq is None:
+        from tidepanel.operators.analysis import ingest_frequency
+        from tidepanel.operators.blocks import number_rows
+
+        known = ingest_frequency(number_rows(collapse_duplicates(df).drop("merged")), imputing=True)
+        df = df.join(known.select("series_id", F.col("frequency").alias("freq")), "series_id", "left")
     raw = df.groupBy("series_id").agg(
         F.count(F.lit(1)).alias("original_rows"), (F.count(F.lit(1)) - F.count("y")).alias("raw_nulls")
     )
     flat = collapse_duplicates(df)
+    if freq is None:
+        flat = flat.join(df.groupBy("series_id").agg(F.first("freq", True).alias("freq")), "series_id")
     merged = flat.groupBy("series_id").agg(F.sum("merged").alias("collapsed"))
     reg = regularize(flat, freq)
     ends = nearest_valid(reg)
@@ -283,6 +303,9 @@ def regularize_and_impute(
     if edge == "reject":
         reason = reason.when(F.col("edge_rows") > 0, F.lit("target contains leading or trailing missing values"))
     d = d.withColumns({"used_method": used, "reason": reason})
+    beside = off_grid(flat, reg).select("series_id", F.col("reason").alias("beside"))
+    d = raw.select("series_id").join(d, "series_id", "left").join(beside, "series_id", "left")
+    d = d.withColumn("reason", F.coalesce("beside", "reason")).drop("beside")
     violations = d.where(F.col("reason").isNotNull()).select("series_id", "reason")
     diagnostics = d.where(F.col("reason").isNull()).drop("reason", "edge_rows", "valid")
     kept = attach(

@@ -15,9 +15,14 @@ def clean_values_and_mask(panel: DataFrame) -> DataFrame:
     return panel.withColumns({"value": F.coalesce(good, F.lit(0.0)), "valid": good.isNotNull()})
 
 
-def left_pad(panel: DataFrame, length: int, freq: str) -> DataFrame:
+def _own(freq: str | None) -> list:
+    """The alias of each series, where it has its own in the column `freq`."""
+    return [] if freq is not None else [F.first("freq", True).alias("freq")]
+
+
+def left_pad(panel: DataFrame, length: int, freq: str | None) -> DataFrame:
     """Short series get their first value in front, with back-dated timestamps, up to `length` rows."""
-    short = per_series(panel, F.min_by("ts", "pos").alias("ts0"), F.min_by("y", "pos").alias("y0")).where(F.col("n") < length)
+    short = per_series(panel, F.min_by("ts", "pos").alias("ts0"), F.min_by("y", "pos").alias("y0"), *_own(freq)).where(F.col("n") < length)
     missing = F.lit(length) - F.col("n")
     rows = short.select("*", F.explode(F.sequence(F.lit(1).cast("long"), missing)).alias("k"))
     pad = rows.select(
@@ -56,7 +61,7 @@ def limit_series(panel: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
     return panel.join(kept, "series_id", "left_semi"), warning
 
 
-def index_grid(panel: DataFrame, freq: str) -> DataFrame:
+def index_grid(panel: DataFrame, freq: str | None) -> DataFrame:
     """Replace timestamps by first timestamp + position * step (same length)."""
     from tidepanel.operators.blocks import attach
 
@@ -64,8 +69,8 @@ def index_grid(panel: DataFrame, freq: str) -> DataFrame:
     return attach(panel, first).withColumn("ts", add_steps(F.col("_t0"), F.col("pos"), freq)).drop("_t0")
 
 
-def future_timestamps(panel: DataFrame, horizon: int, freq: str) -> DataFrame:
-    """(series_id, step, ts) after the last observation."""
-    last = panel.groupBy("series_id").agg(F.max("ts").alias("_t"))
+def future_timestamps(panel: DataFrame, horizon: int, freq: str | None) -> DataFrame:
+    """(series_id, step, ts) after the last observation; freq None takes the column `freq` of the panel."""
+    last = panel.groupBy("series_id").agg(F.max("ts").alias("_t"), *_own(freq))
     rows = last.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
     return rows.select("series_id", "step", add_steps(F.col("_t"), F.col("step"), freq).alias("ts"))
