@@ -80,7 +80,7 @@ def boundaries(data: np.ndarray, starts: list[int], ends: list[int], o: ChunkOpt
 
 
 def fingerprints(texts: list[bytes], o: ChunkOptions) -> list[dict[int, int]]:
-    """For each text the distinct chunk digests (40 bits) with their chunk lengths."""
+    """For each text the distinct chunk digests (32 bits) with their chunk lengths."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     if not len(data):
@@ -90,7 +90,7 @@ def fingerprints(texts: list[bytes], o: ChunkOptions) -> list[dict[int, int]]:
     lengths = np.diff(at, append=len(data))
     offset = np.arange(len(data)) - np.repeat(at, lengths)
     sums = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * POWERS[offset], at)
-    digests = (_mix(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(24)).tolist()
+    digests = (_mix(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).tolist()
     lengths = lengths.tolist()
     out, k = [], 0
     for n in counts:
@@ -100,8 +100,8 @@ def fingerprints(texts: list[bytes], o: ChunkOptions) -> list[dict[int, int]]:
 
 
 def as_text(found: dict[int, int]) -> str:
-    """14 hexadecimal digits for each chunk, ascending: 10 of the digest, 4 of the length."""
-    return b"".join([(d << 16 | found[d]).to_bytes(7, "big") for d in sorted(found)]).hex()
+    """12 hexadecimal digits for each chunk, ascending: 8 of the digest, 4 of the length."""
+    return b"".join([(d << 16 | found[d]).to_bytes(6, "big") for d in sorted(found)]).hex()
 
 
 def likeness(a: dict[int, int], b: dict[int, int]) -> float:
