@@ -160,3 +160,36 @@ def test_attribution_ignores_points_outside_the_context(panel):
     y = list(range(20))
     full = {r.pos: r.importance for r in at.occlusion(panel({"s": y}), window=2, context=6).collect()}
     assert len(full) == 6 and sum(full.values()) == pytest.approx(1.0)
+
+
+def test_deep_and_cyclic_hierarchies(spark):
+    schema = "hierarchy_id string, parent string, child string"
+    chain = spark.createDataFrame([("deep", f"m{i:02d}", f"m{i + 1:02d}") for i in range(66)], schema)
+    assert {r.series_id: r.depth for r in hi.levels(chain, checked=True).collect()} == {f"m{i:02d}": i for i in range(67)}
+    ring = spark.createDataFrame([("ring", "r", "a"), ("ring", "a", "b"), ("ring", "b", "a"), ("fine", "r", "a")], schema)
+    assert {r.hierarchy_id for r in hi.cycle_members(ring).collect()} == {"ring"}
+    assert {r.hierarchy_id for r in hi.levels(ring).collect()} == {"fine"}
+
+
+def test_shrinkage_by_sums_equals_the_plain_definition():
+    rng = np.random.default_rng(4)
+    for members, steps in ((5, 12), (8, 3)):
+        r = rng.normal(size=(members, steps)) + np.linspace(0, 1, steps)
+        c = r - r.mean(axis=1, keepdims=True)
+        cov = np.cov(r)
+        off = cov - np.diag(np.diag(cov))
+        error = sum(np.linalg.norm(np.outer(c[:, t], c[:, t]) - cov) ** 2 for t in range(steps))
+        weight, variances = hi.shrinkage(c)
+        assert weight == pytest.approx(min(max(error / (steps * (off**2).sum()), 0.0), 1.0))
+        s = np.vstack([np.ones((1, members - 1)), np.eye(members - 1)])
+        full = (1 - weight) * cov + weight * np.diag(np.diag(cov)) + 1e-8 * np.eye(members)
+        assert np.allclose(hi._weighted(s, r), s.T @ np.linalg.inv(full), rtol=1e-5, atol=1e-6)
+
+
+def test_knots_share_the_bend_equally():
+    from tidepanel.operators.spline import equal_bend
+
+    # second derivative 6x - 6 on [0, 2], then 6 on [2, 4]: total 3 + 3 + 12
+    at = equal_bend(np.array([0.0, 2.0]), [np.array([0, 0, -3.0, 1.0]), np.array([0, 0, 3.0])], 4.0, 5)
+    assert at == pytest.approx([1.0, 2.0, 2.5, 3.0, 3.5])
+    assert equal_bend(np.array([0.0]), [np.array([1.0, 2.0])], 10.0, 4) == pytest.approx([2.0, 4.0, 6.0, 8.0])

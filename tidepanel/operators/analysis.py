@@ -502,14 +502,18 @@ def data_quality(panel: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def analyze(
-    panel: DataFrame, max_points: int = 5000, max_lag: int = 365, top_k: int = 3, iqr_k: float = 1.5
+    panel: DataFrame, max_points: int | None = None, max_lag: int = 365, top_k: int = 3, iqr_k: float = 1.5
 ) -> DataFrame:
-    """One row per series with every analysis result and its warnings.
+    """One row per series with every analysis result and its warnings, from all rows.
 
+    `max_points` makes trend, season, stationarity and quality work on a stride sample of longer series, and says so.
     The anomalous points themselves are rows of `anomaly_records`; here they are counted.
     """
     freq = detect_frequency(panel)
-    sampled = downsample(panel, max_points).drop("pos").withColumnsRenamed({"n": "_n", "k": "pos", "m": "n"})
+    if max_points is None:
+        sampled = panel.withColumn("_n", F.col("n"))
+    else:
+        sampled = downsample(panel, max_points).drop("pos").withColumnsRenamed({"n": "_n", "k": "pos", "m": "n"})
     marks = anomalies(panel, iqr_k).groupBy("series_id").agg(F.count(F.lit(1)).alias("anomalies"))
     shape = per_series(sampled.withColumn("_full", F.col("_n")), F.max("_full").alias("_full"), *_trend_aggregates(), *_half_aggregates())
     shape = shape.select("series_id", F.col("_full"), *_trend_columns(), _stationary()).withColumnRenamed("_full", "n")
@@ -523,7 +527,7 @@ def analyze(
     warnings = F.array_distinct(
         F.array_compact(
             F.array(
-                F.when(n > max_points, F.format_string("series downsampled from %d points for analysis", n)),
+                F.when(n > (max_points or 2**62), F.format_string("series downsampled from %d points for analysis", n)),
                 F.when(n < 3, F.lit("insufficient valid timestamps for frequency detection")),
                 F.when(F.col("frequency") == "irregular", F.lit("timestamps are irregular")),
                 F.when(n < MIN_SEASONAL_POINTS, F.lit("insufficient points for seasonality detection")),

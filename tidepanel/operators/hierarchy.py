@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, functions as F
 from tidepanel.session import cut_lineage
 
 H = "hierarchy_id"
-MAX_DEPTH = 64
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -22,11 +21,39 @@ def nodes(edges: DataFrame) -> DataFrame:
     return per.select(H, "series_id", (F.col("c") == 0).alias("is_root"), (F.col("p") == 0).alias("is_leaf"))
 
 
-def levels(edges: DataFrame) -> DataFrame:
-    """(hierarchy_id, series_id, depth): breadth-first depth below the root."""
+def cycle_members(edges: DataFrame) -> DataFrame:
+    """(hierarchy_id, series_id, reason): members on a cycle or above one. Hierarchies with such members are not reconciled.
+
+    Edges to members without children are taken away, round by round, until none is left or none goes any more.
+    """
+    spark = edges.sparkSession
+    live = cut_lineage(spark, edges.select(H, "parent", "child").distinct(), "edges")
+    count = live.count()
+    while count:
+        inner = live.join(live.select(H, F.col("parent").alias("child")).distinct(), [H, "child"], "left_semi")
+        inner = cut_lineage(spark, inner.select(H, "parent", "child"), "edges")
+        left = inner.count()
+        if left == count:
+            break
+        live, count = inner, left
+    return live.select(H, F.col("parent").alias("series_id")).distinct().withColumn("reason", F.lit("member is on or above a cycle")).where(F.lit(count > 0))
+
+
+def acyclic(edges: DataFrame) -> DataFrame:
+    """Edges of the hierarchies without a cycle."""
+    return edges.join(cycle_members(edges).select(H).distinct(), H, "left_anti")
+
+
+def levels(edges: DataFrame, checked: bool = False) -> DataFrame:
+    """(hierarchy_id, series_id, depth): breadth-first depth below the root, down to the deepest member.
+
+    Hierarchies with cycles are left out (`checked` skips the search for them).
+    """
+    edges = edges if checked else acyclic(edges)
     found = nodes(edges).where("is_root").select(H, "series_id", F.lit(0).alias("depth"))
-    front = found
-    for depth in range(1, MAX_DEPTH):
+    front, depth = found, 0
+    while True:
+        depth += 1
         front = front.select(H, F.col("series_id").alias("parent")).join(edges, [H, "parent"]).select(
             H, F.col("child").alias("series_id"), F.lit(depth).alias("depth")
         )
@@ -37,18 +64,22 @@ def levels(edges: DataFrame) -> DataFrame:
     return found.groupBy(H, "series_id").agg(F.min("depth").alias("depth"))
 
 
-def closure(edges: DataFrame, weight: str | None = None) -> DataFrame:
+def closure(edges: DataFrame, weight: str | None = None, checked: bool = False) -> DataFrame:
     """(hierarchy_id, ancestor, leaf, k): the summing matrix as rows.
 
     k counts the paths; with `weight`, it adds up the products of that edge column along the paths.
-    One join per level, each written once so the plan does not grow with depth.
+    One join per level, each written once so the plan does not grow with depth. Hierarchies with cycles
+    are left out (`checked` skips the search for them).
     """
+    edges = edges if checked else acyclic(edges)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     e = edges.select(H, F.col("parent"), F.col("child"), w.alias("w"))
     leaves = nodes(edges).where("is_leaf").select(H, F.col("series_id").alias("leaf"))
     paths = e.select(H, F.col("parent").alias("ancestor"), F.col("child").alias("node"), F.col("w").alias("k"))
     found = leaves.select(H, F.col("leaf").alias("ancestor"), "leaf", F.lit(1.0).alias("k"))
-    for depth in range(1, MAX_DEPTH):
+    depth = 0
+    while True:
+        depth += 1
         found = found.unionByName(paths.join(leaves, (paths[H] == leaves[H]) & (paths["node"] == leaves["leaf"])).select(paths[H], "ancestor", "leaf", "k"))
         step = paths.join(e.withColumnRenamed("parent", "node"), [H, "node"])
         paths = step.groupBy(H, "ancestor", F.col("child").alias("node")).agg(F.sum(F.col("k") * F.col("w")).alias("k"))
@@ -104,36 +135,45 @@ def top_down(edges: DataFrame, forecast: DataFrame, proportions: DataFrame | Non
     By default leaf proportions are the shares multiplied along the path; `direct_parent` uses only the
     share of the leaf in its parent. `proportions` (hierarchy_id, series_id, share) overrides both.
     """
+    edges = acyclic(edges)
     roots = nodes(edges).where("is_root").select(H, F.col("series_id").alias("ancestor"))
-    paths = closure(edges)
+    paths = closure(edges, checked=True)
     sh = shares(edges, forecast)
     if proportions is not None or direct_parent:
         p = proportions if proportions is not None else sh.select(H, F.col("child").alias("series_id"), "share")
         reach = paths.join(roots, [H, "ancestor"]).join(p.withColumnRenamed("series_id", "leaf"), [H, "leaf"]).drop("k").withColumnRenamed("share", "k")
     else:
-        reach = closure(sh, "share").join(roots, [H, "ancestor"])
+        reach = closure(sh, "share", checked=True).join(roots, [H, "ancestor"])
     top = forecast.select(H, F.col("series_id").alias("ancestor"), "step", "mean")
     leaf = reach.join(top, [H, "ancestor"]).groupBy(H, F.col("leaf").alias("series_id"), "step").agg(F.sum(F.col("k") * F.col("mean")).alias("mean"))
     return _aggregate(paths, leaf)
 
 
-def _projection(s: np.ndarray, w_inv: np.ndarray | None = None) -> np.ndarray:
-    left = s.T if w_inv is None else s.T @ w_inv
-    return s @ np.linalg.solve(left @ s, left)
+def shrinkage(centred: np.ndarray) -> tuple[float, np.ndarray]:
+    """(weight of the diagonal, sample variances) of residuals with one row per member and one column per step.
 
-
-def _shrink(resid: np.ndarray) -> np.ndarray:
-    """Sample covariance of the incoherence, shrunk towards its diagonal, with a small ridge."""
-    h = resid.shape[1]
-    cov = np.cov(resid)
-    target = np.diag(np.diag(cov))
-    spread = float(((cov - target) ** 2).sum())
-    lam = 0.0
-    if spread >= 1e-12:
-        c = resid - resid.mean(axis=1, keepdims=True)
-        noise = sum(float(((np.outer(c[:, t], c[:, t]) - cov) ** 2).sum()) for t in range(h))
-        lam = float(np.clip(noise / (spread * h), 0.0, 1.0))
-    return (1 - lam) * cov + lam * target + 1e-8 * np.eye(len(cov))
+    The squared error of the sample covariance S around its one-step estimates c cT is expanded into sums that never
+    build S: |c|^4 - 2 cT S c + |S|^2, all of which follow from the small matrix of inner products between steps.
+    """
+    steps = centred.shape[1]
+    inner = centred.T @ centred
+    s_norm = float((inner**2).sum()) / (steps - 1) ** 2
+    quadratic = float((inner**2).sum()) / (steps - 1)
+    noise = float((np.diag(inner) ** 2).sum()) - 2 * quadratic + steps * s_norm
+    variances = (centred**2).sum(axis=1) / (steps - 1)
+    spread = s_norm - float((variances**2).sum())
+    return (min(max(noise / (spread * steps), 0.0), 1.0) if spread >= 1e-12 else 0.0), variances
+
+
+def _weighted(s: np.ndarray, residuals: np.ndarray, ridge: float = 1e-8) -> np.ndarray:
+    """Sᵀ W⁻¹ for the shrunk covariance W, a diagonal plus a matrix of rank `steps` (Woodbury's identity)."""
+    centred = residuals - residuals.mean(axis=1, keepdims=True)
+    weight, variances = shrinkage(centred)
+    diagonal = weight * variances + ridge
+    low = centred * np.sqrt((1 - weight) / (centred.shape[1] - 1))
+    scaled = s.T / diagonal
+    core = np.eye(low.shape[1]) + low.T @ (low / diagonal[:, None])
+    return scaled - (scaled @ low) @ np.linalg.solve(core, low.T / diagonal)
 
 
 def _solve(method: str):
@@ -145,11 +185,10 @@ def _solve(method: str):
         y = fc.pivot_table(index="series_id", columns="step", values="mean").reindex(s.index).fillna(0.0)
         sm, ym = s.to_numpy(float), y.to_numpy(float)
         if method == "ols" or ym.shape[1] < 2:
-            proj = _projection(sm)
+            left = sm.T
         else:
-            resid = ym - sm @ y.loc[s.columns].to_numpy(float)
-            proj = _projection(sm, np.linalg.inv(_shrink(resid)))
-        out = pd.DataFrame(proj @ ym, index=s.index, columns=y.columns).stack().reset_index()
+            left = _weighted(sm, ym - sm @ y.loc[s.columns].to_numpy(float))
+        out = pd.DataFrame(sm @ np.linalg.solve(left @ sm, left @ ym), index=s.index, columns=y.columns).stack().reset_index()
         out.columns = ["series_id", "step", "mean"]
         out[H] = paths[H].iloc[0]
         return out[cols]
@@ -170,8 +209,8 @@ def tree_least_squares(edges: DataFrame, forecast: DataFrame) -> DataFrame:
     forecast counts once more. Downwards the gap between a node and its children's sum M is shared in
     proportion to 1 / a. One join per level in each direction.
     """
-    spark = edges.sparkSession
-    lev = cut_lineage(spark, levels(edges).join(nodes(edges).select(H, "series_id", "is_leaf"), [H, "series_id"]), "tree-levels")
+    spark, edges = edges.sparkSession, acyclic(edges)
+    lev = cut_lineage(spark, levels(edges, checked=True).join(nodes(edges).select(H, "series_id", "is_leaf"), [H, "series_id"]), "tree-levels")
     steps = forecast.select(H, "step").distinct()
     base = lev.join(steps, H).join(forecast.select(H, "series_id", "step", "mean"), [H, "series_id", "step"], "left")
     base = cut_lineage(spark, base.withColumn("mean", F.coalesce("mean", F.lit(0.0))), "tree-base")

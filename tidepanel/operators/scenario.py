@@ -13,7 +13,6 @@ from tidepanel.operators.blocks import attach, per_series
 from tidepanel.operators.clean import add_steps
 from tidepanel.session import cut_lineage
 
-MAX_NODES = 5000  # nodes per series of a scenario tree
 MAX_DEPTH = 6
 
 
@@ -116,17 +115,23 @@ def _branch_value(level: float) -> Column:
     return F.coalesce(near["v"], F.col("mean"))
 
 
-def scenario_tree(panel: DataFrame, model, depth: int, levels: Sequence[float], context: int = 512) -> DataFrame:
+def scenario_tree(
+    panel: DataFrame, model, depth: int, levels: Sequence[float], context: int | None = None, max_nodes: int | None = None
+) -> DataFrame:
     """Nodes (series_id, node_id, parent_id, depth, branch, quantile, value, probability).
 
     Each level forecasts one step from every open path and branches on the quantile levels, splitting
-    the probability evenly. Node ids are paths, so they do not depend on the partitioning; a series
-    keeps its first MAX_NODES nodes in (depth, path) order. Models see the last `context` points.
+    the probability evenly, so the open branches of a level add up to 1. Node ids are paths, so they do not
+    depend on the partitioning. A tree larger than `max_nodes` per series is refused before any forecast.
+    Models see the whole history, or the last `context` points.
     """
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be in 1..{MAX_DEPTH}")
+    size = sum(len(levels) ** d for d in range(depth + 1))
+    if max_nodes is not None and size > max_nodes:
+        raise ValueError(f"{size} nodes per series, more than {max_nodes}")
     spark, keys, width = panel.sparkSession, ["node_id", "series_id"], len(levels)
-    drop = F.greatest(F.col("n") - context, F.lit(0))
+    drop = F.greatest(F.col("n") - context, F.lit(0)) if context is not None else F.lit(0).cast("long")
     hist = panel.where(F.col("pos") >= drop).select(
         F.lit("root").alias("node_id"), "series_id", (F.col("pos") - drop).alias("pos"), (F.col("n") - drop).alias("n"), "y"
     )
@@ -134,7 +139,6 @@ def scenario_tree(panel: DataFrame, model, depth: int, levels: Sequence[float],
         "series_id", F.lit("root").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("depth"),
         F.lit("root").alias("branch"), F.lit(None).cast("double").alias("quantile"), "value", F.lit(1.0).alias("probability"),
     )
-    total = 1
     for d in range(1, depth + 1):
         ahead = fc.forecast(hist, model, 1, levels, keys).where(F.col("error").isNull())
         picks = F.array(*[F.struct(F.lit(f"q{q:g}").alias("branch"), F.lit(float(q)).alias("quantile"), _branch_value(float(q)).alias("value")) for q in levels])
@@ -142,15 +146,9 @@ def scenario_tree(panel: DataFrame, model, depth: int, levels: Sequence[float],
             "series_id", F.concat_ws("/", "parent_id", "b.branch").alias("node_id"), "parent_id", F.lit(d).alias("depth"),
             "b.branch", "b.quantile", "b.value", F.lit(float(width) ** -d).alias("probability"),
         )
-        size = width**d
-        if total + size > MAX_NODES:
-            from tidepanel.operators.attribution import top
-
-            level = top(level, MAX_NODES - total, F.col("node_id"))
-        total = min(total + size, MAX_NODES)
         level = cut_lineage(spark, level, f"tree-{d}")
         nodes = nodes.unionByName(level)
-        if d == depth or total >= MAX_NODES:
+        if d == depth:
             break
         kids = level.select("series_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("_child"), "value")
         grown = hist.join(kids, keys)

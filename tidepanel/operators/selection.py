@@ -187,7 +187,8 @@ def forecast_with_fallback(history: DataFrame, candidates: DataFrame, runners: d
     """Forecast every series by its best-ranked candidate that works.
 
     One round per rank, each over the series still without a result; `runners` maps model name to
-    a function (history, horizon) -> (series_id, step, mean).
+    a function (history, horizon) -> (series_id, step, mean). A series for which all candidates fail, or which has
+    none, gets one row with `error` and no model, rank, step or mean.
     """
     from tidepanel.session import cut_lineage
 
@@ -199,10 +200,12 @@ def forecast_with_fallback(history: DataFrame, candidates: DataFrame, runners: d
         for name, run in runners.items():
             mine = history.join(turn.where(F.col("model") == name), "series_id", "left_semi")
             got = run(mine, horizon).where(F.col("mean").isNotNull()).select(
-                F.lit(name).alias("model"), F.lit(r).alias("rank"), "series_id", "step", "mean"
+                F.lit(name).alias("model"), F.lit(r).alias("rank"), "series_id", "step", "mean", F.lit(None).cast("string").alias("error")
             )
             out = got if out is None else out.unionByName(got)
         out = cut_lineage(spark, out, f"fallback-{r}")
         done = out if done is None else done.unionByName(out)
         open_series = open_series.join(out.select("series_id").distinct(), "series_id", "left_anti")
-    return done
+    tried = candidates.where(F.col("rank").isin(*ranks)).groupBy("series_id").agg(F.array_join(F.sort_array(F.collect_set("model")), ", ").alias("tried"))
+    failed = open_series.join(tried, "series_id", "left").withColumn("error", F.concat(F.lit("no forecast, tried: "), F.coalesce("tried", F.lit("nothing"))))
+    return done.unionByName(failed.select("series_id", "error"), allowMissingColumns=True)

@@ -229,26 +229,53 @@ def fit(panel: DataFrame, num_knots: int = 10, degree: int = 3, strategy: str =
     return fitted.unionByName(line)
 
 
-def _bent_knots(num_knots: int, samples: int = 4096):
+def _bent_knots(num_knots: int):
     def run(batches):
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
                 n = int(r.n)
-                x = np.unique(np.linspace(0, n - 1, min(n, samples)).round())
-                at = np.clip(np.searchsorted(np.asarray(r.breaks), x, side="right") - 1, 0, None)
-                bend = np.array([abs(_second(r.pieces[i], v - r.breaks[i])) for i, v in zip(at, x)])
-                cdf = np.cumsum(np.maximum(bend, 1e-12))
-                targets = np.linspace(0, 1, max(1, min(num_knots, n // 4)) + 2)[1:-1]
-                picks = np.clip(np.searchsorted(cdf / cdf[-1], targets), 1, len(x) - 2)
-                rows.append((r.series_id, n, np.unique(x[picks]).tolist()))
+                count = max(1, min(num_knots, n // 4))
+                at = equal_bend(np.asarray(r.breaks, float), [np.asarray(p, float) for p in r.pieces], float(n - 1), count)
+                rows.append((r.series_id, n, np.unique(np.clip(at.round(), 1, n - 2)).tolist()))
             yield pd.DataFrame(rows, columns=["series_id", "n", "interior"])
 
     return run
 
 
-def _second(coef, dx: float) -> float:
-    return sum(k * (k - 1) * c * dx ** (k - 2) for k, c in enumerate(coef) if k >= 2)
+def equal_bend(breaks: np.ndarray, pieces: list[np.ndarray], end: float, count: int) -> np.ndarray:
+    """`count` positions that cut [breaks[0], end] into parts of equal total |second derivative|; evenly spaced on a straight line.
+
+    The second derivative of a cubic is linear on each piece, so its integral and the inverse are exact. Pieces of a higher
+    degree are cut into 16 parts with a linear one each.
+    """
+    x, bend = [], []
+    for k, (start, coef) in enumerate(zip(breaks, pieces)):
+        stop = breaks[k + 1] if k + 1 < len(breaks) else end
+        second = np.polynomial.polynomial.polyder(coef, 2) if len(coef) > 2 else np.zeros(1)
+        points = np.linspace(0.0, stop - start, 2 if len(second) <= 2 else 17)
+        values = np.polynomial.polynomial.polyval(points, second)
+        for u, v, f, g in zip(points, points[1:], values, values[1:]):
+            if v <= u:
+                continue
+            if f * g < 0:  # a sign change in between
+                root = u + (v - u) * f / (f - g)
+                x += [(start + u, start + root), (start + root, start + v)]
+                bend += [(abs(f), 0.0), (0.0, abs(g))]
+            else:
+                x.append((start + u, start + v))
+                bend.append((abs(f), abs(g)))
+    (a, b), (f, g) = np.array(x).T, np.array(bend).T
+    areas = (f + g) / 2 * (b - a)
+    below = np.concatenate([[0.0], np.cumsum(areas)])
+    share = np.arange(1, count + 1) / (count + 1)
+    if below[-1] <= 1e-12:
+        return breaks[0] + share * (end - breaks[0])
+    goal = share * below[-1]
+    i = np.clip(np.searchsorted(below, goal, side="right") - 1, 0, len(areas) - 1)
+    rest, slope = goal - below[i], (g[i] - f[i]) / (b[i] - a[i])
+    # f u + slope u^2 / 2 = rest, in the form that has no division by a small slope
+    return a[i] + 2 * rest / np.maximum(f[i] + np.sqrt(np.maximum(f[i] ** 2 + 2 * slope * rest, 0.0)), 1e-300)
 
 
 def evaluate(rows: DataFrame, derivative: int = 0, at: str = "pos", out: str = "fitted") -> DataFrame:

@@ -353,6 +353,18 @@ def f31_scenario_tree_probabilities(spark, sf):
     return t.groupBy("series_id", "depth").agg(F.count(F.lit(1)).alias("nodes"), F.round(F.sum("probability"), 9).alias("total"))
 
 
+@query(
+    "f31_scenario_tree_wide",
+    ED + " SELECT series_id, CAST(d AS INTEGER) AS depth, CAST(pow(9, d) AS BIGINT) AS nodes, CAST(pow(9, greatest(d - 1, 0)) AS BIGINT) AS parents, 1.0::DOUBLE AS total"
+    " FROM (SELECT DISTINCT series_id FROM panel), range(0, 4) AS r(d)",
+)
+def f31_scenario_tree_wide(spark, sf):
+    """Nine branches, three levels: no branch is left out and every level's probabilities add up to 1."""
+    t = sc.scenario_tree(pn.events_daily(spark, sf), "last_value", 3, [k / 10 for k in range(1, 10)])
+    parents = F.greatest(F.countDistinct("parent_id"), F.lit(1))
+    return t.groupBy("series_id", "depth").agg(F.count(F.lit(1)).alias("nodes"), parents.alias("parents"), F.round(F.sum("probability"), 9).alias("total"))
+
+
 SCEN = (
     "WITH s AS (SELECT 'u' || user_id AS group_id, CASE event_type WHEN 'click' THEN 'Base case' WHEN 'purchase' THEN 'Upside' WHEN 'error' THEN 'Pessimistic' WHEN 'signup' THEN 'Bull run' ELSE 'Sideways' END AS name,"
     " CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY user_id) AS probability FROM events GROUP BY user_id, 2)"

@@ -17,21 +17,23 @@ def forecast_report(
     models: Sequence[tuple] = MODELS,
     covariates: DataFrame | None = None,
     strategy: str = "auto",
-    max_points: int = 5000,
-    candidates: int = 3,
+    max_points: int | None = None,
+    candidates: int | None = None,
 ) -> dict[str, DataFrame]:
     """`analysis`, `recommendation`, `forecast`, `narrative` and `summary`.
 
     `runners` maps installed models to functions (history, horizon) -> (series_id, step, mean); only these
-    are considered. Series whose best candidate fails use their next one.
+    are considered. Series whose best candidate fails use their next one, through all installed models or the best
+    `candidates`; a series without any result has one forecast row with an error.
     """
+    candidates = candidates or len(runners)
     analysis = an.analyze(panel, max_points)
     freq = analysis.select("series_id", "frequency")
     profiles = sel.series_profile(panel, covariates, freq)
     installed = [m for m in models if m[0] in runners]
     ranked = sel.auto_rank(profiles, installed, horizon, strategy).where(F.col("rank") <= candidates)
     forecast = sel.forecast_with_fallback(panel, ranked.select("series_id", "model", "rank"), runners, horizon, range(1, candidates + 1))
-    chosen = forecast.select("series_id", "model").distinct()
+    chosen = forecast.where(F.col("model").isNotNull()).select("series_id", "model").distinct()
     return {
         "analysis": analysis,
         "recommendation": ranked.select("series_id", "model", "score", "rank"),

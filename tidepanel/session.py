@@ -49,12 +49,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
-    Only where the session names none (tests) a local temporary folder is used and recorded.
+    Where the session names none, a temporary folder is used and recorded, but only with a local master (tests, bench):
+    on a cluster executors would write to their own disks, so that raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tidepanel-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
