@@ -23,6 +23,30 @@ def test_csv(spark, tmp_path, text, want):
     assert [r.y for r in p.orderBy("ts").collect()] == want
 
 
+def test_csv_keeps_quotes_breaks_and_ragged_rows(spark, tmp_path):
+    preamble = "".join(f"note line {i}\n" for i in range(30))
+    for top in ("", preamble):
+        f = tmp_path / f"q{len(top)}.csv"
+        f.write_text(top + 'id,date,value,text\na,2024-01-01,1,"q ""x, y"" z"\nb,2024-01-02,2,"one\ntwo"\nc,2024-01-03,3\nd,2024-01-04,4,t,extra,more\n')
+        rows = sorted(tuple(r) for r in rd.read_csv(spark, str(f)).collect())
+        assert rows == [("a", "2024-01-01", "1", 'q "x, y" z'), ("b", "2024-01-02", "2", "one\ntwo"), ("c", "2024-01-03", "3", None), ("d", "2024-01-04", "4", "t")]
+        assert [r.record.strip() for r in rd.csv_rejects(spark, str(f)).collect()] == ["d,2024-01-04,4,t,extra,more"]
+
+
+def test_csv_files_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,date,value\nx,2024-01-01,1\n")
+    (tmp_path / "b.csv").write_text("date;value;id;note\n2024-01-02;2;y;n\n")
+    rows = {(r.id, r.date, r.value, r.note) for r in rd.read_csv(spark, str(tmp_path)).collect()}
+    assert rows == {("x", "2024-01-01", "1", None), ("y", "2024-01-02", "2", "n")}
+
+
+def test_directory_with_columns_in_any_order(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("date,value\n2024-01-01,1\n2024-01-02,2\n")
+    (tmp_path / "two.csv").write_text("value,date\n5,2024-01-01\n6,2024-01-02\n")
+    p = rd.read_csv_directory(spark, str(tmp_path))
+    assert sorted((r.series_id, r.y) for r in p.collect()) == [("one", 1.0), ("one", 2.0), ("two", 5.0), ("two", 6.0)]
+
+
 def test_indicator_matrix(spark, tmp_path):
     f = tmp_path / "wb.csv"
     f.write_text(

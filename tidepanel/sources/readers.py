@@ -29,7 +29,7 @@ SERIES_HINTS = (
 )
 INDICATOR_IDS = ("Country Name", "Country Code", "Indicator Name", "Indicator Code")
 DELIMITERS = (",", ";", "\t", "|")
-SNIFF_LINES = 25
+SNIFF_BYTES = 65_536
 
 
 class RoleError(ValueError):
@@ -40,51 +40,121 @@ class RoleError(ValueError):
 
 
 def sniff(lines: Sequence[str]) -> tuple[str, list[str], int]:
-    """(delimiter, header fields, preamble lines) from the first lines of a file.
+    """(delimiter, header fields, records before the header) from the first lines of a file; blank lines are no records.
 
-    The delimiter with most fields in a line wins, comma on ties; the header is the first line with
-    that many fields.
+    The delimiter with most fields in a record wins, comma on ties. The most frequent number of fields (of two or more, the
+    larger one on ties) is that of the data, counted over the second half of a sample of 20 records or more, and the header is
+    the first record with that many.
     """
-    def width(line: str, sep: str) -> int:
-        return len(next(csv.reader([line], delimiter=sep)))
-
-    rows = [(i, x.lstrip("\ufeff")) for i, x in enumerate(lines[:SNIFF_LINES]) if x.strip()]
-    if not rows:
+    text = [x.lstrip("\ufeff") for x in lines if x.strip()]
+    if not text:
         return ",", [], 0
-    best = max(DELIMITERS, key=lambda s: (max(width(x, s) for _, x in rows), s == ","))
-    most = max(width(x, best) for _, x in rows)
-    at, line = next((i, x) for i, x in rows if width(x, best) == most)
-    header = [c.strip().lstrip("\ufeff") for c in next(csv.reader([line], delimiter=best))]
-    return best, header, at
+
+    def records(sep: str) -> list[list[str]]:
+        whole = list(csv.reader([x + "\n" for x in text], delimiter=sep))
+        # a stray quote swallows the rest of the sample: then lines are taken one by one
+        return whole if 2 * len(whole) >= len(text) else [next(csv.reader([x], delimiter=sep)) for x in text]
+
+    parsed = {sep: records(sep) for sep in DELIMITERS}
+    best = max(DELIMITERS, key=lambda sep: (max(len(r) for r in parsed[sep]), sep == ","))
+    rows = parsed[best]
+    widths = [len(r) for r in rows]
+    counted = widths[len(widths) // 2 :] if len(widths) >= 20 else widths
+    wide = [w for w in counted if w > 1] or [w for w in widths if w > 1] or [1]
+    usual = max(set(wide), key=lambda w: (wide.count(w), w))
+    at = widths.index(usual)
+    return best, [c.strip().lstrip("\ufeff") for c in rows[at]], at
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def sniff_files(spark: SparkSession, path: str) -> list[tuple[str, str, list[str], int]]:
+    """(file, delimiter, header fields, records before the header) of every file, from its first SNIFF_BYTES.
+
+    Heads are read and sniffed inside the tasks; the driver gets one row per file.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")).where("at = 0")
+
+    def heads(batches):
+        import pandas as pd
+
+        file, head, size, done = None, [], 0, []
+
+        def close():
+            if file is not None:
+                done.append((file, *sniff(head)))
+
+        for pdf in batches:
+            for name, value in zip(pdf["file"], pdf["value"]):
+                if name != file:
+                    close()
+                    file, head, size = name, [], 0
+                if size < SNIFF_BYTES:
+                    head.append(value)
+                    size += len(value.encode()) + 1
+        close()
+        yield pd.DataFrame(done, columns=["file", "sep", "header", "skip"])
+
+    found = lines.mapInPandas(heads, "file string, sep string, header array<string>, skip int").orderBy("file").collect()
+    return [(r["file"], r["sep"], list(r["header"]), r["skip"]) for r in found]
+
+
+def _column_names(header: Sequence[str]) -> list[str]:
+    """Blank cells become unnamed_<i>, repeated names get a number."""
+    names: list[str] = []
+    for i, h in enumerate(header):
+        name = h or f"unnamed_{i}"
+        seen = sum(1 for n in names if n.lower() == name.lower() or re.fullmatch(re.escape(name.lower()) + r"_\d+", n.lower()))
+        names.append(f"{name}_{seen + 1}" if name.lower() in [n.lower() for n in names] else name)
+    return names
+
+
+def _csv_groups(spark: SparkSession, path: str, multiline: bool = True, extra: Sequence[str] = ()) -> list[tuple[list[str], DataFrame]]:
+    """(column names, rows with `_file` and `_record`) for the files of each header and layout."""
+    groups: dict[tuple, list[str]] = {}
+    for file, sep, header, skip in sniff_files(spark, path):
+        if len(header) == 1 and any(d in header[0] for d in DELIMITERS):
+            raise RoleError(f"{file} does not look like delimited text")
+        if header:
+            groups.setdefault((sep, tuple(_column_names(header)), skip), []).append(file)
+    out = []
+    for (sep, names, skip), files in groups.items():
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, *extra)])
+        reader = spark.read.schema(schema).options(sep=sep, quote='"', escape='"', multiLine=str(multiline or skip > 0), mode="PERMISSIVE")
+        if extra:
+            reader = reader.option("columnNameOfCorruptRecord", extra[0])
+        rows = reader.option("header", str(skip == 0)).csv(files)
+        rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_record"))
+        if skip:
+            # such files are read whole, so the records of one have consecutive numbers
+            first = rows.groupBy("_file").agg(F.min("_record").alias("_first"))
+            rows = rows.join(first, "_file").where(F.col("_record") - F.col("_first") > skip).drop("_first")
+        out.append((list(names), rows))
+    return out
+
+
+def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """CSV with sniffed delimiter, skipped preamble, trimmed header and byte-order mark removed.
 
-    All columns are text. Blank header cells are named `unnamed_<i>`.
+    All columns are text. Every file is read by its own header and the columns are united by name; blank header cells are named
+    `unnamed_<i>`. Quoted fields may hold delimiters, doubled quotes and, with `multiline`, line breaks (a file is then read
+    by one task). Rows with too few fields keep NULLs; the fields beyond the header of others are listed by `csv_rejects`.
     """
-    head = [r.value for r in spark.read.text(path).limit(SNIFF_LINES).collect()]
-    sep, header, skip = sniff(head)
-    if len(header) == 1 and any(d in header[0] for d in DELIMITERS):
-        raise RoleError(f"{path} does not look like delimited text")
-    names = [h or f"unnamed_{i}" for i, h in enumerate(header)]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    if skip == 0:
-        df = spark.read.csv(path, header=True, sep=sep, schema=schema, enforceSchema=True)
-        return df
-    # A preamble line has fewer fields than the header; quoted text does not count.
-    bare = F.regexp_replace("value", '"[^"]*"', "")
-    fields = F.size(F.split(bare, re.escape(sep)))
-    first = F.from_csv(F.ltrim(F.regexp_replace("value", "^\ufeff", "")), _ddl(schema), {"sep": sep})
-    rows = spark.read.text(path).where(fields == len(names)).select(first.alias("r")).select("r.*")
-    is_header = F.lit(True)
-    for raw, n in zip(header, names):
-        is_header = is_header & (F.coalesce(F.trim(F.col(f"`{n}`")), F.lit("")) == raw)
-    return rows.where(~is_header)
+    parts = [rows.select(*[F.col(f"`{n}`") for n in names]) for names, rows in _csv_groups(spark, path, multiline)]
+    if not parts:
+        raise RoleError(f"{path} has no header")
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
 
 
-def _ddl(schema: T.StructType) -> str:
-    return ", ".join(f"`{f.name}` string" for f in schema.fields)
+def csv_rejects(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """(file, record): rows that hold more fields than the header of their file."""
+    out = spark.createDataFrame([], "file string, record string")
+    for names, rows in _csv_groups(spark, path, multiline, ("_rejected",)):
+        long = rows.where(F.col("_rejected").isNotNull() & F.col(f"`{names[-1]}`").isNotNull())
+        out = out.unionByName(long.select(F.col("_file").alias("file"), F.col("_rejected").alias("record")))
+    return out
 
 
 def promote_unnamed_time(df: DataFrame) -> DataFrame:
@@ -209,17 +279,24 @@ def train_test_panel(train: DataFrame, test: DataFrame, id_column: str, horizon:
 
 
 def read_csv_directory(spark: SparkSession, path: str, keep: int | None = None, id_from: str = "file") -> DataFrame:
-    """One series per CSV file (or folder): id from its name, time and value columns chosen by name.
+    """One series per CSV file (or folder): id from its name, time and value columns chosen by name in each file.
 
     `keep` retains the last rows of every series.
     """
-    names = spark.read.csv(path, header=True, recursiveFileLookup=True).columns
-    ts = next((c for c in names if c.strip().lower() in ("datetime", "timestamp", "date", "time")), names[0])
-    value = next(c for c in names if c != ts)
-    raw = spark.read.csv(path, header=True, recursiveFileLookup=True)
-    where = F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1) if id_from == "folder" else F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "")
-    where = F.regexp_replace(where, "^[^=]*=", "")
-    rows = raw.select(F.lower(where).alias("series_id"), parse.timestamp(F.col(f"`{ts}`")).alias("ts"), parse.number(F.col(f"`{value}`")).alias("y"))
+    parts = []
+    for names, raw in _csv_groups(spark, path):
+        ts = next((c for c in names if c.strip().lower() in ("datetime", "timestamp", "date", "time")), names[0])
+        value = next((c for c in names if c != ts), None)
+        if value is None:
+            continue
+        where = F.regexp_extract("_file", r"([^/]+)/[^/]+$", 1) if id_from == "folder" else F.regexp_replace(F.regexp_extract("_file", r"([^/]+)$", 1), r"\.[^.]*$", "")
+        where = F.url_decode(F.replace(F.regexp_replace(where, "^[^=]*=", ""), F.lit("+"), F.lit("%2B")))
+        parts.append(raw.select(F.lower(where).alias("series_id"), parse.timestamp(F.col(f"`{ts}`")).alias("ts"), parse.number(F.col(f"`{value}`")).alias("y")))
+    if not parts:
+        raise RoleError(f"{path} has no file with a time and a value column")
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
     rows = number_rows(rows.where("ts is not null and y is not null"))
     return rows if keep is None else rows.where(F.col("pos") >= F.col("n") - keep)
 
