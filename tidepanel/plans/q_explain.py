@@ -12,6 +12,7 @@ from tidepanel.plans.q_analysis import ANALYSIS, IQR, LAGC, SHARES
 from tidepanel.plans.q_prep import MA7
 from tidepanel.plans.q_selection import BENCH, _bench
 from tidepanel.plans.q_trust import _scores_sql, payload
+from tidepanel.functions.registry import Model
 from tidepanel.plans.report import forecast_report
 from tidepanel.session import table
 
@@ -85,8 +86,9 @@ def c05_narrative_text(spark, sf):
 @query("f38_report")
 def f38_report(spark, sf):
     """Analysis, selection among two installed models, forecasts with fallback, summary line."""
-    runners = {"chronos2": lambda h, k: fc.seasonal_naive(h, k, 12), "tide": fc.linear_trend}
-    rep = forecast_report(pn.ship_monthly(spark, sf), 6, runners)
+    runners = {"seasonal_naive": lambda h, k: fc.seasonal_naive(h, k, 12), "linear_trend": fc.linear_trend}
+    installed = [Model(name, "native", "apache-2.0") for name in runners]
+    rep = forecast_report(pn.ship_monthly(spark, sf), 6, runners, installed)
     f = rep["forecast"].select("series_id", "model", "step", F.round("mean", 2).alias("mean"))
     return f.join(rep["narrative"].select("series_id", "summary"), "series_id")
 

@@ -39,7 +39,7 @@ def s01_csv_preamble(spark, sf):
     e = _events_text(spark, sf).select(F.concat_ws("|", "series_id", "timestamp", "target").alias("value"), part.alias("k"), F.lit(3).alias("o"))
     top = spark.createDataFrame([("Data Source|Events", 0), ("Last Updated", 1), ("series_id|timestamp|target", 2)], "value string, o int")
     head = top.select("value", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"), "o")
-    e.unionByName(head).repartition(8, "k").sortWithinPartitions("k", "o").select("value").write.text(path)
+    e.unionByName(head).repartition(8, "k").sortWithinPartitions("k", "o").select("value", "k").write.partitionBy("k").text(path)
     return rd.to_panel(rd.read_csv(spark, path)).select("series_id", pn.stamp(), "y")
 
 
