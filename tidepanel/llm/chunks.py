@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import plain_documents, slices, staged
+from tidepanel.llm.common import mix64, plain_documents, slices, staged
 
 WINDOW = 32  # bytes a 32-bit gear hash sees
 
@@ -35,15 +35,8 @@ class ChunkOptions:
     easy_bits: int = 5
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (splitmix)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 with np.errstate(over="ignore"):
-    GEAR = (_mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+    GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
     POWERS = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15 | 1, dtype=np.uint64))
 
 
@@ -90,7 +83,7 @@ def fingerprints(texts: list[bytes], o: ChunkOptions) -> list[dict[int, int]]:
     lengths = np.diff(at, append=len(data))
     offset = np.arange(len(data)) - np.repeat(at, lengths)
     sums = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * POWERS[offset], at)
-    digests = (_mix(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).tolist()
+    digests = (mix64(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).tolist()
     lengths = lengths.tolist()
     out, k = [], 0
     for n in counts:

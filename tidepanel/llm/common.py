@@ -40,6 +40,64 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_VALUE = np.where(_BLANK, 0, np.arange(1, 257)).astype(np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_PIECE = 300_000  # bytes that are hashed at once, so that the arrays stay in a processor's cache
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (splitmix)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Words:
+    """All words of some texts at once, lower-cased (A-Z only): 64-bit hash of each, and the line it stands on.
+
+    `counts` are the words and `lines` the lines of each text; lines are numbered through all texts. A hash is a polynomial in
+    the bytes of the word, summed up and mixed by numpy, so that no word becomes a Python object.
+    """
+
+    def __init__(self, texts: list[str]):
+        raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+        self.lines = np.array([r.count(b"\n") + 1 for r in raw], np.int64)
+        sizes = np.array([len(r) for r in raw], np.int64)
+        piece = (np.cumsum(sizes) - sizes) // _PIECE
+        edges = [0, *np.flatnonzero(np.diff(piece)).tolist(), len(raw) - 1]
+        hashes, line, counts, done = [], [], [], 0
+        for a, b in zip([0, *[e + 1 for e in edges[1:-1]]], [e + 1 for e in edges[1:]]):
+            h, at, n = _hash_words(raw[a:b])
+            hashes.append(h)
+            line.append(at + done)
+            counts.append(n)
+            done += int(self.lines[a:b].sum())
+        none = np.zeros(0, np.int64)
+        self.hashes = np.concatenate(hashes) if hashes else none.astype(np.uint64)
+        self.line = np.concatenate(line) if line else none
+        self.counts = np.concatenate(counts) if counts else none
+
+
+def _hash_words(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, its line, words of each text)."""
+    data = np.frombuffer(b"\n".join(raw), np.uint8)
+    blank = _BLANK[data]
+    opens = ~blank
+    opens[1:] &= blank[:-1]
+    start = np.flatnonzero(opens)
+    counts = np.diff(np.searchsorted(start, np.cumsum([0, *[len(r) + 1 for r in raw]])))
+    if not len(start):
+        return np.zeros(0, np.uint64), start, counts
+    line = np.searchsorted(np.flatnonzero(data == 10), start)
+    data, at = data[start[0] :], start - start[0]
+    place = np.arange(len(data), dtype=np.int32)
+    place -= np.repeat(at.astype(np.int32), np.diff(at, append=len(data)))
+    powers = np.cumprod(np.full(int(place.max()) + 1, _BASE, np.uint64))
+    return mix64(np.add.reduceat(_VALUE[data] * powers[place], at)), line, counts
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece holds about `most` bytes of `column` (one row at least)."""
     for batch in batches:

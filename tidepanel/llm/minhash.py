@@ -4,8 +4,8 @@ A document's set holds its distinct five-word shingles. Documents with equal set
 each class give 32 band keys, and, folded into a parity bitmap of 512 bits, an odd sketch: the bits in which two sketches
 differ estimate how many samples differ. Pairs that meet in a band and whose sketches allow it are confirmed on the texts.
 
-Pairs come in steps, so that a large group of near copies doesn't emit all its pairs: first every class with one hub of its
-band bucket, then only pairs of classes that are still in different components, the nearest of each class before the rest.
+A large group of near copies doesn't emit all its pairs: first every class meets one hub of its band bucket; what is then
+still in different components meets in tiles of the buckets, inside the tasks, and only links leave them.
 """
 
 from __future__ import annotations
@@ -21,8 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.chunks import _mix as mix64
-from tidepanel.llm.common import drop_staged, slices, staged, words_of
+from tidepanel.llm.common import Words, drop_staged, mix64, slices, staged
 from tidepanel.llm.graph import components
 
 SAMPLES, ROWS_PER_BAND, SKETCH_BITS = 128, 4, 512
@@ -33,37 +32,26 @@ MOST_BITS = 110
 
 @dataclass(frozen=True)
 class NearOptions:
-    """similarity in percent; words per shingle; broadcast_rows: most ids (8 bytes each) that may be broadcast."""
+    """similarity in percent; words per shingle; tile: classes of a bucket compared at once. broadcast_rows: most ids (8
+    bytes each) that may be broadcast."""
 
     percent: int = 75
     words: int = 5
+    tile: int = 256
     broadcast_rows: int = 1_000_000
 
 
-class _Hashes(dict):
-    """word -> 64-bit hash, remembered for a bounded number of words."""
-
-    def __missing__(self, word):
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = _Hashes()
 with np.errstate(over="ignore"):
     _MULTIPLIERS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
     _FACTORS = mix64(np.arange(1000, 1000 + SAMPLES, dtype=np.uint64)) | np.uint64(1)
     _SALTS = mix64(np.arange(5000, 5000 + SAMPLES, dtype=np.uint64))
 
 
-def shingles(text: str, words: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles; the whole sequence if it is shorter, nothing without words."""
-    found = words_of(text)
-    n = len(found)
+def shingle_set(h: np.ndarray, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a sequence of word hashes; the whole sequence if it is shorter."""
+    n = len(h)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, n)
     k = min(n, words)
     total = h[: n - k + 1] * _MULTIPLIERS[0]
     for i in range(1, k):
@@ -71,6 +59,18 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(mix64(total + np.uint64(k)))
 
 
+def shingles(text: str, words: int) -> np.ndarray:
+    """The shingle set of one text."""
+    return shingle_set(Words([text]).hashes, words)
+
+
+def shingle_sets(texts: list[str], words: int) -> Iterator[np.ndarray]:
+    """The shingle set of each text; words of all texts are hashed together."""
+    found = Words(texts)
+    for end, n in zip(np.cumsum(found.counts).tolist(), found.counts.tolist()):
+        yield shingle_set(found.hashes[end - n : end], words)
+
+
 def samples(found: np.ndarray) -> np.ndarray:
     """The smallest hash of the set under each of SAMPLES multipliers."""
     low = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
@@ -95,8 +95,7 @@ def _sign(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sizes, digests, bands, sketches = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                found = shingles(text, words)
+            for found in shingle_sets(batch.column("text").to_pylist(), words):
                 sizes.append(len(found))
                 if not len(found):
                     digests.append(None)
@@ -190,12 +189,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, options: NearOptions =
     found = found.unionAll(confirmed(spark, known, hubs, o))
     labels = staged(spark, components(spark, found), "components")
 
-    for nearest_only in (True, False):
-        pairs = staged(spark, _apart(shared, sketches, labels, nearest_only), "pairs")
-        if pairs.isEmpty():
-            break
-        found = found.unionAll(confirmed(spark, known, pairs, o))
-        labels = staged(spark, components(spark, found), "components")
+    found = found.unionAll(staged(spark, _links_apart(shared, classes, labels, known, o), "links"))
+    labels = staged(spark, components(spark, found), "components")
 
     grouped = members.select("doc_id", "digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     grouped = grouped.select("doc_id", "digest", F.coalesce("label", "rep").alias("component")).distinct()
@@ -204,22 +199,116 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, options: NearOptions =
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _apart(shared: DataFrame, sketches: DataFrame, labels: DataFrame, nearest_only: bool) -> DataFrame:
-    """Pairs of one bucket that are in different components and whose sketches allow a link.
+def _links_apart(shared: DataFrame, classes: DataFrame, labels: DataFrame, known: DataFrame, o: NearOptions) -> DataFrame:
+    """Links (a, b) between classes of one bucket that are still in different components; enough of them to join all that
+    belong together.
 
-    With nearest_only each class keeps its nearest such partner of a bucket, which merges most of what is left.
+    A bucket of more than o.tile classes is cut into tiles that meet in pairs: those of its most frequent component with the
+    others, and the others with each other. Pairs are compared inside the tasks and only links leave them.
     """
     placed = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    rows = placed.join(mixed, "key").join(sketches, "node")
-    left = rows.select("key", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("sketch").alias("sketch_a"))
-    right = rows.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("sketch").alias("sketch_b"))
-    bits = differing_bits("sketch_a", "sketch_b")
-    near = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (bits <= MOST_BITS))
-    if not nearest_only:
-        return near.select("a", "b").distinct()
-    best = near.groupBy("b").agg(F.min(F.struct(bits.alias("bits"), F.col("a").alias("a"))).alias("best"))
-    return best.select(F.col("best.a").alias("a"), "b")
+    shares = placed.groupBy("key", "label").agg(F.count("*").alias("k"))
+    top = F.max(F.struct("k", (-F.col("label")).alias("less"))).alias("top")
+    mixed = shares.groupBy("key").agg(F.sum("k").alias("total"), F.count("*").alias("kinds"), top).filter("kinds > 1")
+    tiles = lambda n: F.ceil(n / o.tile).cast("int")
+    rows = placed.join(mixed, "key").withColumns({"major": tiles(F.col("top.k")), "minor": tiles(F.col("total") - F.col("top.k"))})
+    is_major, turn = F.col("label") == -F.col("top.less"), F.xxhash64("node", F.lit(8))
+    rows = rows.withColumn("t", F.when(is_major, F.pmod(turn, "major")).otherwise(F.pmod(turn, "minor")).cast("int"))
+    meet = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    across = F.when(is_major, F.transform(upto("minor"), lambda s: meet("x", F.col("t"), s))).otherwise(F.transform(upto("major"), lambda s: meet("x", s, F.col("t"))))
+    among = F.transform(upto("minor"), lambda s: meet("y", F.least(s, F.col("t")), F.greatest(s, F.col("t"))))
+    meetings = F.when(F.col("total") <= o.tile, F.array(meet("z", F.lit(0), F.lit(0)))).when(is_major, across).otherwise(F.concat(across, among))
+    rows = rows.select("key", "node", "label", is_major.alias("major"), "t", F.explode(meetings).alias("m"))
+    rows = rows.join(classes.withColumnRenamed("doc_id", "node"), "node")
+    need = staged(rows.sparkSession, rows.select(F.col("node").alias("doc_id")).distinct(), "need")
+    ids = F.broadcast(need) if need.count() <= o.broadcast_rows else need
+    texts = known.join(ids, "doc_id").distinct().withColumnRenamed("doc_id", "node")
+    rows = rows.join(texts, "node").select("key", "m.kind", "m.i", "m.j", "node", "label", "major", "t", "bands", "sketch", "text")
+    dealt = rows.repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j", "node")
+    return dealt.mapInArrow(_compare(o), "a long, b long").distinct()
+
+
+def links_of_tile(rows: list[tuple], o: NearOptions) -> list[tuple[int, int]]:
+    """Links among the rows (key, kind, i, j, node, label, major, t, bands, sketch, text) of one meeting.
+
+    A pair is looked at in the first band it shares only. Sets are built for rows that have a partner; a row meets all its
+    partners at once. Links that join what is joined already are left out.
+    """
+    key, kind, i, j = rows[0][:4]
+    node, label = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
+    sketch = np.array([r[9] for r in rows], np.int64)
+    bits = sum(np.bitwise_count(sketch[:, None, w] ^ sketch[None, :, w]).astype(np.int64) for w in range(sketch.shape[1]))
+    near = np.triu((bits <= MOST_BITS) & (label[:, None] != label[None, :]), 1)
+    if kind == "x":
+        major = np.array([r[6] for r in rows])
+        near &= major[:, None] != major[None, :]
+    elif kind == "y" and i != j:
+        tile = np.array([r[7] for r in rows])
+        near &= tile[:, None] != tile[None, :]
+    x, y = np.nonzero(near)
+    if not len(x):
+        return []
+    bands = np.array([r[8] for r in rows], np.int64)
+    first = bands[x, np.argmax(bands[x] == bands[y], axis=1)] == key
+    x, y = x[first], y[first]
+    if not len(x):
+        return []
+    used = np.unique(np.concatenate([x, y]))
+    sets = dict(zip(used.tolist(), shingle_sets([rows[k][10] for k in used.tolist()], o.words)))
+    _, codes = np.unique(np.concatenate([sets[k] for k in used.tolist()]), return_inverse=True)
+    sizes = np.zeros(len(rows), np.int64)
+    sizes[used] = [len(sets[k]) for k in used.tolist()]
+    ends = np.cumsum(sizes[used])
+    coded = dict(zip(used.tolist(), np.split(codes, ends[:-1])))
+    mark = np.zeros(int(codes.max()) + 1, np.int64)
+    parent = list(range(len(rows)))
+    seen: dict[int, int] = {}
+    for k, v in enumerate(label.tolist()):
+        parent[k] = seen.setdefault(v, k)
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    out = []
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])).tolist()
+    for a, b in zip(at, [*at[1:], len(x)]):
+        k, partners = int(x[a]), y[a:b]
+        mark[coded[k]] = 1
+        starts = np.cumsum(sizes[partners]) - sizes[partners]
+        common = np.add.reduceat(mark[np.concatenate([coded[p] for p in partners.tolist()])], starts)
+        mark[coded[k]] = 0
+        linked = 100 * common >= o.percent * (sizes[k] + sizes[partners] - common)
+        for p in partners[linked].tolist():
+            u, v = root(k), root(p)
+            if u != v:
+                parent[v] = u
+                out.append((int(node[k]), int(node[p])))
+    return out
+
+
+def _compare(o: NearOptions):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            links = links_of_tile(held, o) if len(held) > 1 else []
+            if links:
+                a, b = zip(*links)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in slices(batches, "text"):
+            for row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)):
+                if row[:4] != at:
+                    yield from flush()
+                    held, at = [], row[:4]
+                held.append(row)
+        yield from flush()
+
+    return run
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, options: NearOptions = NearOptions()) -> DataFrame:
