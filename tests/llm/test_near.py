@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tidepanel.llm import graph, lines, minhash
-from tidepanel.llm.common import words_of
+from tidepanel.llm.common import Words, words_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -169,3 +169,23 @@ def test_without_broadcast_of_ids(spark):
     rows = line_rows(3)[:60]
     found = lines.dedup_lines(spark, as_docs(spark, rows), lines.LineOptions(first=1, broadcast_ids=0)).collect()
     assert {r.doc_id: r.text for r in found} == {d: v for (d, _), v in brute_lines(rows).items()}
+
+
+def test_words_are_hashed_like_one_by_one():
+    rng = random.Random(0)
+    seen = {}
+    for _ in range(200):
+        texts = ["".join(rng.choice("aBc \n\t\x0b\x85é") for _ in range(rng.randint(0, 40))) for _ in range(rng.randint(0, 6))]
+        found = Words(texts)
+        expected = [words_of(t) for t in texts]
+        assert found.counts.tolist() == [len(w) for w in expected]
+        for h, w in zip(found.hashes.tolist(), [w for own in expected for w in own]):
+            assert seen.setdefault(w, h) == h
+        line, at = [], 0
+        for t in texts:
+            for own in t.encode().split(b"\n"):
+                line += [at] * len(own.split())
+                at += 1
+        assert found.line.tolist() == line
+    assert len(set(seen.values())) == len(seen)
+    assert Words(["x y\n" * 200_000, "a b c"]).counts.tolist() == [400_000, 3]
