@@ -73,8 +73,10 @@ def test_calendar_steps_follow_pandas(spark, alias, start):
     assert [r.ts for r in rows.collect()] == [t.to_pydatetime() for t in expected]
     late = rows.withColumn("back", steps_between(F.col("t"), F.col("ts") + F.expr("interval 3 minutes"), F.col("alias")))
     assert all(r.back == r.id for r in late.collect())
-    back = rows.select("id", steps_from(F.col("ts"), -F.col("id"), F.col("alias")).alias("t0"))
-    assert {r.t0 for r in back.collect()} == {expected[0].to_pydatetime()}
+    literal = rows.select(
+        steps_from(F.col("ts"), -F.col("id"), alias).alias("t0"), steps_from(F.col("t"), F.col("id"), alias).alias("t1"), "ts", steps_between(F.col("t"), F.col("ts"), alias).alias("k"), "id"
+    )
+    assert all(r.t0 == expected[0].to_pydatetime() and r.t1 == r.ts and r.k == r.id for r in literal.collect())
 
 
 def test_weekends_roll_to_business_days(spark):

@@ -89,34 +89,44 @@ def _parts(alias: Column) -> tuple[Column, Column]:
     return mult, F.regexp_extract(text, r"^\d*\s*([A-Z]+)", 1)
 
 
+# Kinds of units and their patterns, and seconds or months of one unit by its letters (without the B of business units).
+_KINDS = (
+    ("business_day", r"(B|C)"),
+    ("month_business_start", r"B[MQYA]S"),
+    ("month_business_end", r"B[MQYA]E?"),
+    ("month_end", r"(M|Q|Y|A)E"),
+    ("month", r"(M|MS|MONTHS?|Q|QS|QUARTERS?|Y|YS|A|AS|YEARS?)"),
+    ("second", r"(S|SEC|SECS|SECONDS?|T|MIN|MINS|MINUTES?|H|HOURS?|D|DAYS?|W|WEEKS?)"),
+)
+_SIZES = (
+    (r"(T|MIN)", 60), (r"B?M", 1), (r"B?Q", 3), (r"B?[YA]", 12), (r"S", 1), (r"H", 3600), (r"D", 86_400), (r"W", 604_800),
+)
+
+
 def _kind(unit: Column) -> Column:
-    """second, month, month_end, month_business_start, month_business_end or business_day; NULL for anything else."""
-    letters = r"(M|Q|Y|A)"
-    return (
-        F.when(unit.isin("B", "C"), "business_day")
-        .when(unit.rlike(rf"^B{letters}S$"), "month_business_start")
-        .when(unit.rlike(rf"^B{letters}E?$"), "month_business_end")
-        .when(unit.rlike(r"^(ME|QE|YE|AE)$"), "month_end")
-        .when(unit.rlike(r"^(M|MS|MONTHS?|Q|QS|QUARTERS?|Y|YS|A|AS|YEARS?)$"), "month")
-        .when(unit.rlike(r"^(S|SEC|SECS|SECONDS?|T|MIN|MINS|MINUTES?|H|HOURS?|D|DAYS?|W|WEEKS?)$"), "second")
-    )
+    """The kind of a unit column; NULL for anything else."""
+    out = None
+    for kind, pattern in _KINDS:
+        hit = unit.rlike(f"^{pattern}$")
+        out = F.when(hit, kind) if out is None else out.when(hit, kind)
+    return out
 
 
 def _unit_size(unit: Column) -> Column:
     """Seconds or months of one unit."""
-    core = F.when(unit.rlike(r"^B[MQYA]"), F.substring(unit, 2, 9)).otherwise(unit)
-    return (
-        F.when(core.rlike(r"^(T|MIN)"), 60)
-        .when(core.rlike(r"^M"), 1)
-        .when(core.rlike(r"^Q"), 3)
-        .when(core.rlike(r"^[YA]"), 12)
-        .when(core.rlike(r"^S"), 1)
-        .when(core.rlike(r"^H"), 3600)
-        .when(core.rlike(r"^D"), 86_400)
-        .when(core.rlike(r"^W"), 604_800)
-        .otherwise(1)
-        .cast("long")
-    )
+    out = None
+    for pattern, size in _SIZES:
+        hit = unit.rlike(f"^{pattern}")
+        out = F.when(hit, size) if out is None else out.when(hit, size)
+    return out.otherwise(1).cast("long")
+
+
+def _literal(alias: str) -> tuple[int, str | None, int]:
+    """(multiple, kind, size) of an alias that is known when the query is built."""
+    found = re.match(r"\s*(\d*)\s*([A-Z]*)", alias.upper())
+    unit = found.group(2)
+    kind = next((k for k, pattern in _KINDS if re.fullmatch(pattern, unit)), None)
+    return int(found.group(1) or 1), kind, next((n for pattern, n in _SIZES if re.match(pattern, unit)), 1)
 
 
 def _day_shift(ts: Column, days: Column) -> Column:
@@ -143,47 +153,61 @@ def steps_from(ts: Column, k: Column, alias: Column | str) -> Column:
     Month starts and plain months keep the day (or the last one of a shorter month), ends fall on the last day. NULL for an
     alias that is not known.
     """
-    alias = F.lit(alias) if isinstance(alias, str) else alias
+    if isinstance(alias, str):
+        mult, kind, size = _literal(alias)
+        return _steps(ts, k.cast("long") * mult, F.lit(size).cast("long"))[kind] if kind else F.lit(None).cast("timestamp")
     mult, unit = _parts(alias)
-    kind, k = _kind(unit), k.cast("long") * mult
-    size = _unit_size(unit)
+    kinds, kind, out = _steps(ts, k.cast("long") * mult, _unit_size(unit)), _kind(unit), None
+    for name, value in kinds.items():
+        out = F.when(kind == name, value) if out is None else out.when(kind == name, value)
+    return out
+
+
+def _steps(ts: Column, k: Column, size: Column) -> dict[str, Column]:
+    """ts plus k units of each kind; size is in seconds or months."""
     months = ts + F.make_ym_interval(F.lit(0), (k * size).cast("int"))
-    to_first = 1 - F.dayofmonth(months)
-    first = _day_shift(months, to_first)
-    to_last = F.datediff(F.last_day(months), months)
-    last = _day_shift(months, to_last)
+    first = _day_shift(months, 1 - F.dayofmonth(months))
+    last = _day_shift(months, F.datediff(F.last_day(months), months))
     wf, wl = _weekday(first), _weekday(last)
-    business_first = _day_shift(first, F.when(wf >= 5, 7 - wf).otherwise(F.lit(0).cast("long")))
-    business_last = _day_shift(last, F.when(wl >= 5, 4 - wl).otherwise(F.lit(0).cast("long")))
-    return (
-        F.when(kind == "second", F.timestamp_micros(F.unix_micros(ts) + k * size * F.lit(1_000_000)))
-        .when(kind == "month", months)
-        .when(kind == "month_end", last)
-        .when(kind == "month_business_start", business_first)
-        .when(kind == "month_business_end", business_last)
-        .when(kind == "business_day", _business_days(ts, k))
-    )
+    return {
+        "second": F.timestamp_micros(F.unix_micros(ts) + k * size * F.lit(1_000_000)),
+        "month": months,
+        "month_end": last,
+        "month_business_start": _day_shift(first, F.when(wf >= 5, 7 - wf).otherwise(F.lit(0).cast("long"))),
+        "month_business_end": _day_shift(last, F.when(wl >= 5, 4 - wl).otherwise(F.lit(0).cast("long"))),
+        "business_day": _business_days(ts, k),
+    }
 
 
 def steps_between(lo: Column, hi: Column, alias: Column | str) -> Column:
     """The largest k with steps_from(lo, k, alias) <= hi (hi is not before lo); NULL for an alias that is not known."""
-    alias = F.lit(alias) if isinstance(alias, str) else alias
-    mult, unit = _parts(alias)
-    kind = _kind(unit)
-    size = mult * _unit_size(unit)
-    span = (F.year(hi) - F.year(lo)) * 12 + F.month(hi) - F.month(lo)
-    by_month = F.floor(span / size)
+    if isinstance(alias, str):
+        mult, kind, size = _literal(alias)
+        guess = _guesses(lo, hi, F.lit(mult).cast("long"), F.lit(size).cast("long"))[_shape(kind)] if kind else F.lit(None).cast("long")
+    else:
+        mult, unit = _parts(alias)
+        kind, options = _kind(unit), _guesses(lo, hi, mult, _unit_size(unit))
+        guess = F.when(kind == "second", options["second"]).when(kind == "business_day", options["business_day"]).when(kind.isNotNull(), options["month"])
+    return guess - (steps_from(lo, guess, alias) > hi).cast("long")
+
+
+def _shape(kind: str) -> str:
+    return kind if kind in ("second", "business_day") else "month"
+
+
+def _guesses(lo: Column, hi: Column, mult: Column, size: Column) -> dict[str, Column]:
+    """Steps from lo to hi, or one more."""
 
     def business_index(ts: Column) -> Column:
         days = F.datediff(ts.cast("date"), F.lit("1969-12-29").cast("date"))  # a Monday
         return F.floor(days / 7) * 5 + F.least(_weekday(ts), F.lit(5).cast("long"))
 
-    guess = (
-        F.when(kind == "second", F.floor((F.unix_micros(hi) - F.unix_micros(lo)) / (size * F.lit(1_000_000))))
-        .when(kind == "business_day", F.ceil((business_index(hi) - business_index(lo)) / mult))
-        .when(kind.isNotNull(), by_month)
-    ).cast("long")
-    return guess - (steps_from(lo, guess, alias) > hi).cast("long")
+    months = (F.year(hi) - F.year(lo)) * 12 + F.month(hi) - F.month(lo)
+    return {
+        "second": F.floor((F.unix_micros(hi) - F.unix_micros(lo)) / (mult * size * F.lit(1_000_000))).cast("long"),
+        "business_day": F.ceil((business_index(hi) - business_index(lo)) / mult).cast("long"),
+        "month": F.floor(months / (mult * size)).cast("long"),
+    }
 
 
 _KNOWN = re.compile(

@@ -115,16 +115,14 @@ def validate_series(
 # ---- regular grid ----------------------------------------------------------------------------
 
 
-def alias_column(freq: str | None) -> Column:
-    """A literal alias, or the column `freq` of the rows where each series has its own."""
-    return F.col("freq") if freq is None else F.lit(freq)
+def alias_of(freq: str | None) -> Column | str:
+    """The alias, or the column `freq` of the rows where each series has its own. An unknown alias fails here."""
+    return F.col("freq") if freq is None else require_known(freq)
 
 
 def add_steps(ts: Column, count: Column, freq: str | None) -> Column:
     """ts plus `count` steps of the frequency (None: of the column `freq`); calendar units keep to the calendar."""
-    if freq is not None:
-        require_known(freq)  # an unknown alias fails here, not as NULLs
-    return steps_from(ts, count, alias_column(freq))
+    return steps_from(ts, count, alias_of(freq))
 
 
 def grid(bounds: DataFrame, freq: str | None) -> DataFrame:
@@ -133,9 +131,7 @@ def grid(bounds: DataFrame, freq: str | None) -> DataFrame:
     The grid is generated chunk by chunk, so a long series is neither one array nor one task. It starts at the first
     timestamp of the frequency at or after `lo`; a series whose alias is not known has no grid.
     """
-    if freq is not None:
-        require_known(freq)
-    alias = alias_column(freq)
+    alias = alias_of(freq)
     start = steps_from(F.col("lo"), F.lit(0), alias)
     lo = F.when(start < F.col("lo"), steps_from(F.col("lo"), F.lit(1), alias)).otherwise(start)
     own = [] if freq is not None else ["freq"]
