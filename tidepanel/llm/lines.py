@@ -17,13 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm.chunks import _mix as mix64
-from tidepanel.llm.common import drop_staged, slices, staged
+from tidepanel.llm.common import Words, drop_staged, mix64, slices, staged
 
 COUNTERS, CHUNK, FAN_IN = 1 << 19, 1 << 16, 64
 KEY_BITS = 46  # 12 bits of rarity above 34 bits of hash
@@ -43,19 +41,6 @@ class LineOptions:
     broadcast_ids: int = 1_000_000
 
 
-class _Memo(dict):
-    """word -> number by `make`, remembered for a bounded number of words."""
-
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, word):
-        if len(self) > 1_000_000:
-            self.clear()
-        x = self[word] = self.make(word)
-        return x
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc: the id (missing ones last); tag: a hash that tells apart rows of the same id; text."""
     text = F.coalesce("text", F.lit(""))
@@ -67,14 +52,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, lines = np.zeros(COUNTERS, np.int64), 0
-    memo = _Memo(lambda w: xxhash.xxh3_64_intdigest(w) & (COUNTERS - 1))
     for batch in slices(batches, "text"):
-        words: list[bytes] = []
-        for text in batch.column("text").to_pylist():
-            raw = text.encode().lower()
-            words += raw.split()
-            lines += raw.count(b"\n") + 1
-        counts += np.bincount(np.fromiter(map(memo.__getitem__, words), np.int64, len(words)), minlength=COUNTERS)
+        words = Words(batch.column("text").to_pylist())
+        lines += int(words.lines.sum())
+        counts += np.bincount((words.hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
     part = TaskContext.get().partitionId()
     n = COUNTERS // CHUNK
     data = [counts[i * CHUNK : (i + 1) * CHUNK].astype("<i8").tobytes() for i in range(n)]
@@ -115,32 +96,29 @@ def word_counts(spark: SparkSession, keyed: DataFrame) -> tuple[np.ndarray, int]
 # ---- lines as sets ----------------------------------------------------------------------------------------------------
 
 
-def word_keys(counts: np.ndarray) -> _Memo:
-    """word -> 46-bit key; rarer words have smaller ones (rarity on a logarithmic scale of 4096 steps)."""
-    steps = np.minimum(np.log2(counts + 1.0) * 64, 4095).astype(np.int64).tolist()
-
-    def make(word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        return steps[h & (COUNTERS - 1)] << 34 | h >> 30
-
-    return _Memo(make)
+def rarity_steps(counts: np.ndarray) -> np.ndarray:
+    """Rarity of each cell on a logarithmic scale of 4096 steps, the rarest first."""
+    return np.minimum(np.log2(counts + 1.0) * 64, 4095).astype(np.uint64)
 
 
 class LineSets:
     """The lines with at least `least` distinct words of some texts, vectorised: per line row (of the texts), number, size,
-    id (hash of the set) and bits (parity bitmap); per word key and line, the rarest first."""
+    id (hash of the set) and bits (parity bitmap); per word key and line, the rarest first.
+
+    A key has 12 bits of rarity above 34 bits of the word's hash.
+    """
 
-    def __init__(self, words: list[bytes], lengths: list[int], row: list[int], number: list[int], keys: _Memo, least: int):
-        n = len(lengths)
-        key = np.fromiter(map(keys.__getitem__, words), np.uint64, len(words))
-        both = np.sort(np.repeat(np.arange(n, dtype=np.uint64), lengths) << np.uint64(KEY_BITS) | key)
+    def __init__(self, hashes: np.ndarray, line: np.ndarray, row: np.ndarray, number: np.ndarray, steps: np.ndarray, least: int):
+        n = len(row)
+        key = steps[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)] << np.uint64(34) | hashes >> np.uint64(30)
+        both = np.sort(line.astype(np.uint64) << np.uint64(KEY_BITS) | key)
         both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
         line = (both >> np.uint64(KEY_BITS)).astype(np.int64)
         size = np.bincount(line, minlength=n)
         kept = size >= least
         both, line = both[kept[line]], line[kept[line]]
         self.size = size[kept]
-        self.row, self.number = np.array(row, np.int64)[kept], np.array(number, np.int64)[kept]
+        self.row, self.number = row[kept], number[kept]
         self.key = both & np.uint64((1 << KEY_BITS) - 1)
         self.line = (np.cumsum(kept) - 1)[line]
         self.start = np.cumsum(self.size) - self.size
@@ -152,22 +130,21 @@ class LineSets:
             self.id = self.bits = np.zeros(0, np.uint64)
 
 
-def line_sets(texts: list[str], keys: _Memo, least: int) -> Iterator[LineSets]:
-    """LineSets of at most 200,000 lines each."""
-    words, lengths, row, number = [], [], [], []
-    for k, text in enumerate(texts):
-        for no, line in enumerate(text.encode().lower().split(b"\n")):
-            own = line.split()
-            if len(own) >= least:
-                words += own
-                lengths.append(len(own))
-                row.append(k)
-                number.append(no)
-                if len(lengths) >= 200_000:
-                    yield LineSets(words, lengths, row, number, keys, least)
-                    words, lengths, row, number = [], [], [], []
-    if lengths:
-        yield LineSets(words, lengths, row, number, keys, least)
+def line_sets(texts: list[str], steps: np.ndarray, least: int, most: int = 200_000) -> Iterator[LineSets]:
+    """LineSets of at most `most` lines each; lines without words are passed over."""
+    words = Words(texts)
+    if not len(words.line):
+        return
+    opens = np.concatenate([[True], words.line[1:] != words.line[:-1]])
+    present, place = words.line[opens], np.cumsum(opens) - 1  # lines with words, and the line of each word among them
+    first = np.cumsum(words.lines) - words.lines
+    row = np.searchsorted(first, present, side="right") - 1
+    number = present - first[row]
+    at = np.flatnonzero(opens)
+    for a in range(0, len(present), most):
+        b = min(a + most, len(present))
+        x, y = at[a], at[b] if b < len(present) else len(place)
+        yield LineSets(words.hashes[x:y], place[x:y] - a, row[a:b], number[a:b], steps, least)
 
 
 def overlap_needed(size_x, size_y, percent: int):
@@ -197,13 +174,13 @@ def _emit(counts, o: LineOptions, buckets: int):
     """One task: postings of each class once, the first occurrence of each class, and the others as removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = word_keys(counts.value)
+        steps = rarity_steps(counts.value)
         first: dict[int, tuple[int, int, int]] = {}
         lost: list[tuple[int, int, int, int]] = []
         held, n_held = [], 0
         for batch in slices(batches, "text"):
             docs, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
-            for s in line_sets(batch.column("text").to_pylist(), keys, o.least_words):
+            for s in line_sets(batch.column("text").to_pylist(), steps, o.least_words):
                 new = np.zeros(len(s.id), bool)
                 for i, (k, place) in enumerate(zip(s.id.tolist(), zip(docs[s.row].tolist(), tags[s.row].tolist(), s.number.tolist()))):
                     old = first.get(k)
@@ -246,48 +223,59 @@ def _emit(counts, o: LineOptions, buckets: int):
 def candidate_pairs(p: np.ndarray, o: LineOptions, only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(later, earlier, unfinished): ids of candidate pairs of one bucket, and ids that have more candidates than `first`.
 
-    Postings are sorted by word and doc; each looks back step by step, all words at once, until it has enough candidates.
-    With `only`, these ids (as the later of a pair) look at all their candidates and others at none.
+    Postings are sorted by word and doc; each looks back step by step, all words at once, and keeps the `first` candidates
+    whose bitmaps differ least. One with two likely candidates (half of the bits that may differ) looks no further. With
+    `only`, these ids (as the later of a pair) keep all their candidates and others none.
     """
-    order = np.lexsort((p["doc"], p["id"], p["word"]))
-    p = p[order]
-    if len(p):
-        p = p[np.concatenate([[True], (p["word"][1:] != p["word"][:-1]) | (p["id"][1:] != p["id"][:-1])])]
-    p = p[np.lexsort((p["id"], p["doc"], p["word"]))]
+    p = p[np.argsort(p["doc"], kind="stable")]
+    # a class that several tasks have sent stays once, with its first doc (one that is left twice does no harm)
+    key = p["word"].astype(np.uint64) << np.uint64(32) | p["id"] & np.uint64(0xFFFFFFFF)
+    order = np.argsort(key, kind="stable")
+    key, ids = key[order], p["id"][order]
+    repeated = np.concatenate([[False], (key[1:] == key[:-1]) & (ids[1:] == ids[:-1])]) if len(p) else np.zeros(0, bool)
+    p = np.delete(p, order[repeated])
+    p = p[np.argsort(p["word"], kind="stable")]
     n = len(p)
-    word, size, pos = p["word"], p["size"].astype(np.int64), p["pos"].astype(np.int64)
+    word, size, pos, bits, ids = p["word"], p["size"].astype(np.int64), p["pos"].astype(np.int64), p["bits"].copy(), p["id"].copy()
     opened = np.concatenate([[True], word[1:] != word[:-1]]) if n else np.zeros(0, bool)
     place = np.arange(n) - np.maximum.accumulate(np.where(opened, np.arange(n), 0))  # place within the word
     live = np.flatnonzero(place >= 1)
     if only is not None:
-        live = live[np.isin(p["id"][live], only)]
-    found = np.zeros(n, np.int64)
-    later, earlier, unfinished = [], [], []
+        live = live[np.isin(ids[live], only)]
+    k = o.first
+    kept = np.full((n if only is None else 0, k), 255, np.uint8)  # differing bits of the candidates kept
+    partner = np.zeros((len(kept), k), np.int64)
+    likely, found = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    later, earlier = [], []
     back = 1
     while len(live):
         y = live - back
         total = size[live] + size[y]
-        need = overlap_needed(size[live], size[y], o.percent)
-        fits = 100 * np.minimum(size[live], size[y]) >= o.percent * np.maximum(size[live], size[y])
-        fits &= 1 + np.minimum(size[live] - pos[live], size[y] - pos[y]) - 1 >= need
-        fits &= np.bitwise_count(p["bits"][live] ^ p["bits"][y]) <= total - 2 * need
+        room = total - 2 * overlap_needed(size[live], size[y], o.percent)
+        differ = np.bitwise_count(bits[live] ^ bits[y])
+        fits = (differ <= room) & (100 * np.minimum(size[live], size[y]) >= o.percent * np.maximum(size[live], size[y]))
+        fits &= 2 * np.minimum(size[live] - pos[live], size[y] - pos[y]) >= total - room
         hit = live[fits]
-        if only is None:
-            full = found[hit] >= o.first
-            unfinished.append(p["id"][hit[full]])
-            hit = hit[~full]
-        later.append(p["id"][hit])
-        earlier.append(p["id"][hit - back])
-        found[hit] += 1
+        if only is not None:
+            later.append(ids[hit])
+            earlier.append(ids[hit - back])
+        elif len(hit):
+            found[hit] += 1
+            likely[hit] += 2 * differ[fits] <= room[fits]
+            worst = kept[hit].argmax(axis=1)
+            better = differ[fits] < kept[hit, worst]
+            kept[hit[better], worst[better]] = differ[fits][better]
+            partner[hit[better], worst[better]] = hit[better] - back
         back += 1
-        live = live[place[live] >= back]
-        if only is None:
-            # one candidate beyond `first` is looked for, to know whether a second pass is due
-            done = np.concatenate(unfinished) if unfinished else np.zeros(0, np.uint64)
-            live = live[~((found[live] >= o.first) & np.isin(p["id"][live], done))]
-    joined = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (later, earlier, unfinished)]
-    pairs = np.unique(np.stack(joined[:2], axis=1), axis=0) if len(joined[0]) else np.zeros((0, 2), np.uint64)
-    return pairs[:, 0], pairs[:, 1], np.unique(joined[2])
+        live = live[(place[live] >= back) & (likely[live] < 2)]
+    unfinished = np.zeros(0, np.uint64)
+    if only is None:
+        x, c = np.nonzero(kept < 255)
+        later, earlier = [ids[x]], [ids[partner[x, c]]]
+        unfinished = np.unique(ids[(found > k) | (likely >= 2)])
+    x, y = (np.concatenate(v) if v else np.zeros(0, np.uint64) for v in (later, earlier))
+    pairs = np.unique(np.stack([x, y], axis=1), axis=0) if len(x) else np.zeros((0, 2), np.uint64)
+    return pairs[:, 0], pairs[:, 1], unfinished
 
 
 FOUND = "kind string, id long, other long, doc long, tag long, line long"
@@ -344,10 +332,10 @@ def _full_sets(counts, least: int, wanted):
     """(id, keys) of the wanted classes (or of all), once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, done = word_keys(counts.value), np.zeros(0, np.uint64)
+        steps, done = rarity_steps(counts.value), np.zeros(0, np.uint64)
         want = None if wanted is None else wanted.value
         for batch in slices(batches, "text"):
-            for s in line_sets(batch.column("text").to_pylist(), keys, least):
+            for s in line_sets(batch.column("text").to_pylist(), steps, least):
                 ids, at = np.unique(s.id, return_index=True)
                 use = np.ones(len(ids), bool) if want is None else np.isin(ids, want) & ~np.isin(ids, done)
                 if want is not None:
