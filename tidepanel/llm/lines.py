@@ -220,8 +220,8 @@ def _emit(counts, o: LineOptions, buckets: int):
     return run
 
 
-def candidate_pairs(p: np.ndarray, o: LineOptions, only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(later, earlier, unfinished): ids of candidate pairs of one bucket, and ids that have more candidates than `first`.
+def candidate_pairs(p: np.ndarray, o: LineOptions, only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(later, earlier, differing bits, unfinished): candidate pairs of one bucket by id, and ids with further candidates.
 
     Postings are sorted by word and doc; each looks back step by step, all words at once, and keeps the `first` candidates
     whose bitmaps differ least. One with two likely candidates (half of the bits that may differ) looks no further. With
@@ -246,7 +246,7 @@ def candidate_pairs(p: np.ndarray, o: LineOptions, only: np.ndarray | None) -> t
     kept = np.full((n if only is None else 0, k), 255, np.uint8)  # differing bits of the candidates kept
     partner = np.zeros((len(kept), k), np.int64)
     likely, found = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    later, earlier = [], []
+    later, earlier, apart = [], [], []
     back = 1
     while len(live):
         y = live - back
@@ -259,6 +259,7 @@ def candidate_pairs(p: np.ndarray, o: LineOptions, only: np.ndarray | None) -> t
         if only is not None:
             later.append(ids[hit])
             earlier.append(ids[hit - back])
+            apart.append(differ[fits])
         elif len(hit):
             found[hit] += 1
             likely[hit] += 2 * differ[fits] <= room[fits]
@@ -271,11 +272,12 @@ def candidate_pairs(p: np.ndarray, o: LineOptions, only: np.ndarray | None) -> t
     unfinished = np.zeros(0, np.uint64)
     if only is None:
         x, c = np.nonzero(kept < 255)
-        later, earlier = [ids[x]], [ids[partner[x, c]]]
+        later, earlier, apart = [ids[x]], [ids[partner[x, c]]], [kept[x, c]]
         unfinished = np.unique(ids[(found > k) | (likely >= 2)])
     x, y = (np.concatenate(v) if v else np.zeros(0, np.uint64) for v in (later, earlier))
-    pairs = np.unique(np.stack([x, y], axis=1), axis=0) if len(x) else np.zeros((0, 2), np.uint64)
-    return pairs[:, 0], pairs[:, 1], unfinished
+    bits = np.concatenate(apart).astype(np.int64) if apart else np.zeros(0, np.int64)
+    pairs, at = np.unique(np.stack([x, y], axis=1), axis=0, return_index=True) if len(x) else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
+    return pairs[:, 0], pairs[:, 1], bits[at], unfinished
 
 
 FOUND = "kind string, id long, other long, doc long, tag long, line long"
@@ -292,9 +294,9 @@ def _meet(o: LineOptions, only: np.ndarray | None):
 
     def bucket(kind: str, raw: list[bytes]) -> Iterator[pa.RecordBatch]:
         if kind == "posting":
-            x, y, more = candidate_pairs(np.frombuffer(b"".join(raw), POSTING), o, only)
+            x, y, bits, more = candidate_pairs(np.frombuffer(b"".join(raw), POSTING), o, only)
             if len(x):
-                yield rows("pair", len(x), id=x, other=y)
+                yield rows("pair", len(x), id=x, other=y, line=bits)
             if len(more):
                 yield rows("more", len(more), id=more)
             return
@@ -329,7 +331,7 @@ def _meet(o: LineOptions, only: np.ndarray | None):
 
 
 def _full_sets(counts, least: int, wanted):
-    """(id, keys) of the wanted classes (or of all), once per task."""
+    """(id, words) of the wanted classes (or of all), once per task; words are packed 64-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps, done = rarity_steps(counts.value), np.zeros(0, np.uint64)
@@ -341,28 +343,42 @@ def _full_sets(counts, least: int, wanted):
                 if want is not None:
                     done = np.union1d(done, ids[use])
                 if use.any():
-                    sets = [s.key[a : a + n].view(np.int64) for a, n in zip(s.start[at[use]].tolist(), s.size[at[use]].tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[use].view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["id", "words"])
+                    sets = [s.key[a : a + n].tobytes() for a, n in zip(s.start[at[use]].tolist(), s.size[at[use]].tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[use].view(np.int64)), pa.array(sets, pa.binary())], names=["id", "words"])
 
     return run
 
 
-def verified(spark: SparkSession, keyed: DataFrame, counts, pairs: DataFrame, o: LineOptions) -> DataFrame:
-    """The pairs (id, other) whose full sets are similar enough."""
-    need = staged(spark, pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct(), "need")
+def full_sets(spark: SparkSession, keyed: DataFrame, counts, pairs: DataFrame, o: LineOptions) -> DataFrame:
+    """(id, words) of all classes that the pairs name."""
+    ends = pairs.select("id").distinct().unionAll(pairs.select(F.col("other").alias("id")).distinct()).distinct()
+    need = staged(spark, ends, "need")
     wanted = None
     if need.count() <= o.broadcast_ids:
         wanted = spark.sparkContext.broadcast(np.sort(need.toPandas()["id"].to_numpy(np.int64).view(np.uint64)))
-    sets = keyed.select("text").mapInArrow(_full_sets(counts, o.least_words, wanted), "id long, words array<long>")
+    sets = keyed.select("text").mapInArrow(_full_sets(counts, o.least_words, wanted), "id long, words binary")
     sets = sets if wanted is not None else sets.join(need, "id")
-    sets = staged(spark, sets.dropDuplicates(["id"]), "sets")
+    return staged(spark, sets.dropDuplicates(["id"]), "sets")
+
+
+def _similar(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("words_x").to_pylist(), batch.column("words_y").to_pylist()):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                both = np.sort(np.concatenate([x, y]))
+                common = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * common >= percent * (len(both) - common))
+            yield batch.select(["id", "other"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame, o: LineOptions) -> DataFrame:
+    """The pairs (id, other) whose full sets are similar enough."""
     joined = pairs.join(sets.withColumnsRenamed({"words": "words_x"}), "id").join(sets.withColumnsRenamed({"id": "other", "words": "words_y"}), "other")
-    common = F.size(F.array_intersect("words_x", "words_y"))
-    similar = joined.filter(100 * common >= o.percent * (F.size("words_x") + F.size("words_y") - common))
-    out = staged(spark, similar.select("id", "other"), "similar")
-    drop_staged(spark, need)
-    drop_staged(spark, sets)
-    return out
+    return staged(spark, joined.select("id", "other", "words_x", "words_y").mapInArrow(_similar(o.percent), "id long, other long"), "similar")
 
 
 # ---- the operator -----------------------------------------------------------------------------------------------------
@@ -385,18 +401,29 @@ def removed_lines(spark: SparkSession, docs: DataFrame, options: LineOptions = L
 
     def later_ones(pairs: DataFrame) -> DataFrame:
         placed = pairs.join(first, "id").join(first.withColumnsRenamed({"id": "other", "place": "other_place"}), "other")
-        return placed.select(F.when(F.col("place") > F.col("other_place"), F.col("id")).otherwise(F.col("other")).alias("id")).distinct()
-
-    pairs = staged(spark, found.filter("kind = 'pair'").select("id", "other").distinct(), "pairs")
-    similar = later_ones(verified(spark, keyed, counts, pairs, o))
-    similar = staged(spark, similar, "later")
+        later = F.when(F.col("place") > F.col("other_place"), F.col("id")).otherwise(F.col("other"))
+        return staged(spark, placed.select(later.alias("id")).distinct(), "later")
+
+    def settle(pairs: DataFrame) -> DataFrame:
+        """Ids with an earlier similar line: by the nearest candidate of each, then by all others of those still without."""
+        sets = full_sets(spark, keyed, counts, pairs, o)
+        nearest = pairs.groupBy("id").agg(F.min(F.struct("bits", "other")).alias("best")).select("id", F.col("best.other").alias("other"))
+        done = later_ones(verified(spark, nearest, sets, o))
+        left = pairs.join(done, "id", "left_anti").join(nearest, ["id", "other"], "left_anti").select("id", "other")
+        out = done.unionByName(later_ones(verified(spark, left, sets, o))).distinct()
+        return staged(spark, out, "later")
+
+    def pairs_of(found: DataFrame) -> DataFrame:
+        pairs = found.filter("kind = 'pair'").groupBy("id", "other").agg(F.min("line").alias("bits"))
+        return staged(spark, pairs, "pairs")
+
+    similar = settle(pairs_of(found))
     rest = staged(spark, found.filter("kind = 'more'").select("id").distinct().join(similar, "id", "left_anti"), "rest")
     if not rest.isEmpty():
         # with too many of them, every id looks at all its candidates
         few = rest.count() <= o.broadcast_ids
         only = rest.toPandas()["id"].to_numpy(np.int64).view(np.uint64) if few else first.select("id").toPandas()["id"].to_numpy(np.int64).view(np.uint64)
-        more = staged(spark, meet(only).filter("kind = 'pair'").select("id", "other").distinct(), "pairs")
-        similar = similar.unionByName(later_ones(verified(spark, keyed, counts, more, o))).distinct()
+        similar = similar.unionByName(settle(pairs_of(meet(only)))).distinct()
     gone = first.join(similar, "id").select("place.*").unionByName(found.filter("kind = 'lost'").select("doc", "tag", "line"))
     return gone.groupBy("doc", "tag").agg(F.collect_set("line").alias("lines"))
 
