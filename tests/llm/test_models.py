@@ -101,6 +101,47 @@ def test_recall_on_clusters_and_copies(spark):
     assert len(found) == 170 and hits / total >= 0.9
 
 
+def clustered(n, dim=32):
+    """Clusters, unequal norms and many copies."""
+    rng = np.random.default_rng(n)
+    centres = rng.normal(size=(40, dim))
+    points = centres[rng.integers(0, 40, n)] + 0.3 * rng.normal(size=(n, dim))
+    points *= rng.lognormal(0, 0.5, size=(n, 1))
+    points[: n // 10] = points[0]
+    return points.astype(np.float32)
+
+
+@pytest.mark.parametrize("n", [250, 1000, 5000])
+def test_graph_has_layers_and_recall(n):
+    points = hnsw.lengthened(np.unique(clustered(n), axis=0))
+    inserted = []
+    insert = hnsw._insert
+    hnsw._insert = lambda graph, batch, o, lowest: (inserted.extend(batch.tolist()), insert(graph, batch, o, lowest))
+    try:
+        graph = hnsw.build(points, hnsw.GraphOptions())
+    finally:
+        hnsw._insert = insert
+    assert len(graph.layers) > 1 and len(set(inserted)) > 0.85 * len(points) and len(graph.layers[0][0]) < len(points) / 8
+    queries = np.concatenate([clustered(n)[-200:], np.zeros((min(n, 200), 1), np.float32)], axis=1)
+    found, _ = graph.search(queries, 96)
+    exact = np.argsort(-(queries @ points.T), axis=1)[:, :20]
+    assert np.mean([len(set(f[:20]) & set(e)) / 20 for f, e in zip(found.tolist(), exact.tolist())]) >= 0.9
+
+
+def test_recall_of_large_shards(spark):
+    points = clustered(6000)
+    rows = [(i, p.tolist()) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(8)
+    found = {}
+    for r in hnsw.nearest(spark, df, df.filter("vec_id % 40 = 0"), 20, hnsw.GraphOptions(least_shards=2)).collect():
+        found.setdefault(r.query_id, []).append(r.score)
+    hits = 0
+    for q, scores in found.items():
+        exact = np.sort(np.delete(points.astype(np.float64) @ points[q].astype(np.float64), q))[::-1][:20]
+        hits += sum(s >= exact[-1] - 1e-9 for s in scores)
+    assert len(found) == 150 and hits / (20 * 150) >= 0.9
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (20, None), (40, [0.0, 0.0]), (60, [1.0, None]), (80, [float("nan"), 1.0]), (100, [float("inf"), 1.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0])]
     rows += [(3, [-1.0, 5.0]), (4, [1.0, 1.0, 1.0]), (120, []), (None, [3.0, 3.0]), (0, [1.0, 0.0]), (140, [9.0, 9.0, 9.0])]

@@ -147,9 +147,13 @@ def build(points: np.ndarray, o: GraphOptions) -> Graph:
     n, rng = len(points), np.random.default_rng(o.seed)
     level = np.floor(-np.log(1 - rng.random(n)) / np.log(o.links)).astype(int)
     layers: list[tuple[np.ndarray, np.ndarray]] = []
-    top = int(level.max(initial=0))
-    while top > 0 and (level >= top).sum() < 64:
+    if not level.any():
+        level[rng.integers(n)] = 1
+    top = int(level.max())
+    while top > 1 and (level >= top).sum() < 64:  # the top layer is scanned; level 1 always stays
         top -= 1
+    if n <= 2 * o.links + 1:  # all are neighbours of all
+        top = 0
     for at in range(top, 0, -1):
         nodes = np.flatnonzero(level >= at).astype(np.int32)
         layers.append((nodes, exact_neighbours(points[nodes], 3 * o.links, o.links)))
@@ -162,8 +166,11 @@ def build(points: np.ndarray, o: GraphOptions) -> Graph:
     table[first] = np.where(start >= 0, first[np.maximum(start, 0)], -1)
     graph = Graph(points, [*layers, (every, table)])
     rest = rng.permutation(np.flatnonzero(level == 0)).astype(np.int32)
-    for a in range(0, len(rest), o.batch):
-        _insert(graph, rest[a : a + o.batch], o, lowest)
+    a = 0
+    while a < len(rest):
+        b = a + min(o.batch, max(1, (len(first) + a) // 2))  # a batch sees itself only by near mates: no more than half of what is there
+        _insert(graph, rest[a:b], o, lowest)
+        a = b
     return graph
 
 
@@ -181,18 +188,28 @@ def _insert(graph: Graph, batch: np.ndarray, o: GraphOptions, lowest: int) -> No
     order = np.argsort(back, kind="stable")
     back, new = back[order], new[order]
     target, at, times = np.unique(back, return_index=True, return_counts=True)
-    room = int(min(times.max(initial=1), 2 * lowest))
-    grid = np.full((len(target), room), -1, np.int32)
-    place = np.arange(len(back)) - np.repeat(at, times)
-    grid[np.repeat(np.arange(len(target)), times)[place < room], place[place < room]] = new[place < room]
+    # every back link is looked at; nodes that many of the batch link to form groups of their own, of twice the width each
+    widths = 2 * lowest * 2 ** np.ceil(np.log2(np.maximum(times / (2 * lowest), 1))).astype(int)
+    for width in np.unique(widths).tolist():
+        own = np.flatnonzero(widths == width)
+        _link_back(graph, target[own], [new[at[i] : at[i] + times[i]] for i in own.tolist()], lowest)
+
+
+def _link_back(graph: Graph, target: np.ndarray, new: list[np.ndarray], lowest: int) -> None:
+    """Give each target its new neighbours, and of more than `lowest` the diverse ones."""
+    points, table = graph.points, graph.layers[-1][1]
+    times = np.array([len(x) for x in new])
+    grid = np.full((len(target), int(times.max())), -1, np.int32)
+    grid[np.arange(grid.shape[1]) < times[:, None]] = np.concatenate(new)
     both = np.concatenate([table[target], grid], axis=1)
     both.sort(axis=1)
     both[:, 1:][both[:, 1:] == both[:, :-1]] = -1
     full = (both >= 0).sum(axis=1) > lowest
     simple = np.sort(both[~full], axis=1)[:, ::-1][:, :lowest]
     table[target[~full]] = simple
-    for b in range(0, int(full.sum()), 2048):
-        t, near = target[full][b : b + 2048], both[full][b : b + 2048]
+    some = max(1, 2048 * (3 * lowest) ** 2 // both.shape[1] ** 2)
+    for b in range(0, int(full.sum()), some):
+        t, near = target[full][b : b + some], both[full][b : b + some]
         s = np.where(near >= 0, np.einsum("tcd,td->tc", points[np.maximum(near, 0)], points[t]), LOWEST).astype(np.float32)
         near, s, _ = _top(near, s, near.shape[1])
         table[t] = diverse(points, np.where(s > LOWEST, near, -1), s, lowest)
