@@ -65,6 +65,16 @@ def test_odd_texts_and_labels(spark):
     assert toxicity.fit(spark, docs.limit(0), labels.limit(0), o) == (o.bias, {})
 
 
+def test_very_long_labelled_document_is_passed_over(spark):
+    o = toxicity.MilOptions(sample_chars=20_000)
+    ids = spark.range(400).withColumnRenamed("id", "doc_id")
+    first = ids.orderBy(F.xxhash64("doc_id", F.lit(o.seed)), "doc_id").first().doc_id
+    rows = [(i, "word " * 9000 if i == first else f"some plain w{i % 7} words." + " zork" * (i % 5 == 0), int(i % 5 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    _, weights = toxicity.fit(spark, df.select("doc_id", "text"), df.select("doc_id", "toxic"), o)
+    assert weights.get("=zork", 0) > 0
+
+
 def test_all_labels_alike():
     assert toxicity.train(["a b", "c"], [1, 1], toxicity.MilOptions())[1] == {}
 

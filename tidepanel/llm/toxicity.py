@@ -26,7 +26,7 @@ TOKEN = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class MilOptions:
     """sample_rows and sample_chars bound the labelled documents the model is fitted on (whole documents, in an order drawn by
-    hashing their ids). A feature gets a weight if at least min_docs documents of the sample hold it and toxic ones among them
+    hashing their ids; one that doesn't fit any more is passed over). A feature gets a weight if at least min_docs documents of the sample hold it and toxic ones among them
     exceed their share by least_deviation standard deviations; at most most_features do, those with the largest deviation."""
 
     sample_rows: int = 4000
@@ -190,9 +190,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, o: MilOptions)
     texts, toxic, used = [], [], 0
     small = staged(spark, rows.select("turn", "doc_id", "text", F.col("toxic").cast("int").alias("toxic"), F.length("text").alias("size")), "sample")
     for row in small.orderBy("turn", "doc_id", "text").toLocalIterator():
+        if used + row["size"] > o.sample_chars:
+            continue
         used += row["size"]
-        if used > o.sample_chars:
-            break
         texts.append(row["text"])
         toxic.append(row["toxic"])
     return train(texts, toxic, o)
