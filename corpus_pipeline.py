@@ -20,7 +20,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that resemble an earlier one; n_chars follows the text."""
-    left = lines.dedup_lines(spark, docs).select(*docs.columns)
+    left = lines.dedup_lines(spark, docs, lines.LineOptions(least_words=1)).select(*docs.columns)
     return left.withColumn("n_chars", F.length("text").cast("long"))
 
 

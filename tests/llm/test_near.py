@@ -1,10 +1,11 @@
 """Near duplicates and line dedup against brute force, on files and on planted groups."""
 
+import hashlib
 import random
 
 import pytest
 
-from tidepanel.llm import graph, lines, minhash
+from tidepanel.llm import graph, lines, minhash, queries
 from tidepanel.llm.common import Words, words_of
 
 SF = "/root/testdata/sf0.001"
@@ -159,6 +160,16 @@ def test_lines_against_brute_force(spark, seed, first):
     assert sum(r.n_removed for r in found) == sum((0 if t is None else t.count("\n") + 1) - (0 if v is None else v.count("\n") + 1 if v or t == v else 0) for (d, t), v in [((d, t), expected[d, t]) for d, t in rows])
 
 
+def test_short_lines_against_brute_force(spark, tmp_path):
+    rows = line_rows(4)[:100]
+    rows += [(600 + i, "\n".join(["same three words", "Words  same three", f"n{i}", "one", "", "same", "three same"][: 1 + i % 7])) for i in range(40)]
+    expected = {d: v for (d, _), v in brute_lines(rows, least=1).items()}
+    as_docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.op9_line_join(spark, str(tmp_path)).collect()}
+    assert {d: r.text_sha256 for d, r in found.items()} == {d: None if v is None else hashlib.sha256(v.encode()).hexdigest() for d, v in expected.items()}
+    assert found[606].n_removed > 0
+
+
 def test_no_lines(spark):
     assert lines.dedup_lines(spark, as_docs(spark, [(1, "x")]).limit(0)).count() == 0
     only_short = lines.dedup_lines(spark, as_docs(spark, [(1, "a b"), (2, "a b")])).collect()

@@ -194,7 +194,8 @@ def _emit(counts, o: LineOptions, buckets: int):
                         lost.append((k, *place))
                 prefix = s.size - -(-o.percent * s.size // 100) + 1
                 pos = np.arange(len(s.key)) - s.start[s.line]
-                use = (pos < prefix[s.line]) & new[s.line]
+                meets = 100 * s.size >= o.percent * (s.size + 1)  # smaller sets resemble no other set, only their equals
+                use = (pos < prefix[s.line]) & (new & meets)[s.line]
                 line = s.line[use]
                 out = np.empty(len(line), POSTING)
                 out["word"] = mix64(s.key[use]) >> np.uint64(32)

@@ -60,7 +60,7 @@ def op8_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, how many of them link to an earlier similar line and go, and what is left of the text."""
-    left = lines.dedup_lines(spark, read(spark, sf_dir, "documents"))
+    left = lines.dedup_lines(spark, read(spark, sf_dir, "documents"), lines.LineOptions(least_words=1))
     return left.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
