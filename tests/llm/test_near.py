@@ -182,6 +182,14 @@ def test_without_broadcast_of_ids(spark):
     assert {r.doc_id: r.text for r in found} == {d: v for (d, _), v in brute_lines(rows).items()}
 
 
+def test_many_unfinished_ids_stay_off_the_driver(spark, monkeypatch):
+    rows = line_rows(3)[:60]
+    docs = as_docs(spark, rows)
+    monkeypatch.setattr(type(docs), "toPandas", lambda self: pytest.fail("ids collected to the driver"))
+    found = lines.dedup_lines(spark, docs, lines.LineOptions(first=1, broadcast_ids=0)).collect()
+    assert {r.doc_id: r.text for r in found} == {d: v for (d, _), v in brute_lines(rows).items()}
+
+
 def test_words_are_hashed_like_one_by_one():
     rng = random.Random(0)
     seen = {}

@@ -221,12 +221,12 @@ def _emit(counts, o: LineOptions, buckets: int):
     return run
 
 
-def candidate_pairs(p: np.ndarray, o: LineOptions, only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def candidate_pairs(p: np.ndarray, o: LineOptions, only: np.ndarray | bool | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(later, earlier, differing bits, unfinished): candidate pairs of one bucket by id, and ids with further candidates.
 
     Postings are sorted by word and doc; each looks back step by step, all words at once, and keeps the `first` candidates
     whose bitmaps differ least. One with two likely candidates (half of the bits that may differ) looks no further. With
-    `only`, these ids (as the later of a pair) keep all their candidates and others none.
+    `only`, these ids (as the later of a pair) keep all their candidates and others none; True stands for all ids.
     """
     p = p[np.argsort(p["doc"], kind="stable")]
     # a class that several tasks have sent stays once, with its first doc (one that is left twice does no harm)
@@ -241,7 +241,7 @@ def candidate_pairs(p: np.ndarray, o: LineOptions, only: np.ndarray | None) -> t
     opened = np.concatenate([[True], word[1:] != word[:-1]]) if n else np.zeros(0, bool)
     place = np.arange(n) - np.maximum.accumulate(np.where(opened, np.arange(n), 0))  # place within the word
     live = np.flatnonzero(place >= 1)
-    if only is not None:
+    if isinstance(only, np.ndarray):
         live = live[np.isin(ids[live], only)]
     k = o.first
     kept = np.full((n if only is None else 0, k), 255, np.uint8)  # differing bits of the candidates kept
@@ -284,7 +284,7 @@ def candidate_pairs(p: np.ndarray, o: LineOptions, only: np.ndarray | None) -> t
 FOUND = "kind string, id long, other long, doc long, tag long, line long"
 
 
-def _meet(o: LineOptions, only: np.ndarray | None):
+def _meet(o: LineOptions, only: np.ndarray | bool | None):
     """Rows of FOUND from the blobs of one bucket after another."""
 
     def rows(kind: str, n: int, **cols) -> pa.RecordBatch:
@@ -392,7 +392,7 @@ def removed_lines(spark: SparkSession, docs: DataFrame, options: LineOptions = L
     counts = spark.sparkContext.broadcast(table)
     buckets = max(64, lines * 10 // o.postings)
 
-    def meet(only: np.ndarray | None) -> DataFrame:
+    def meet(only: np.ndarray | bool | None) -> DataFrame:
         packed = keyed.mapInArrow(_emit(counts, o, buckets), "kind string, bucket int, data binary")
         packed = packed if only is None else packed.filter("kind = 'posting'")
         return packed.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_meet(o, only), FOUND)
@@ -423,7 +423,7 @@ def removed_lines(spark: SparkSession, docs: DataFrame, options: LineOptions = L
     if not rest.isEmpty():
         # with too many of them, every id looks at all its candidates
         few = rest.count() <= o.broadcast_ids
-        only = rest.toPandas()["id"].to_numpy(np.int64).view(np.uint64) if few else first.select("id").toPandas()["id"].to_numpy(np.int64).view(np.uint64)
+        only = rest.toPandas()["id"].to_numpy(np.int64).view(np.uint64) if few else True
         similar = similar.unionByName(settle(pairs_of(meet(only)))).distinct()
     gone = first.join(similar, "id").select("place.*").unionByName(found.filter("kind = 'lost'").select("doc", "tag", "line"))
     return gone.groupBy("doc", "tag").agg(F.collect_set("line").alias("lines"))
