@@ -28,3 +28,14 @@ def test_report(panel):
     assert sorted((r.series_id, r.step) for r in f) == [(s, k) for s in "ab" for k in (1, 2, 3)]
     s = rep["summary"].first()
     assert s.series == 2 and s.model in ("tide", "patchtst")
+
+
+def test_fingerprint_is_the_references(spark):
+    import hashlib
+
+    from tidepanel.operators.leaderboard import dataset_fingerprint
+
+    rows = [(f"s{i:03d}", i + 1, "D") for i in range(300)]
+    df = spark.createDataFrame(rows[::-1], "series_id string, points long, freq string").repartition(7)
+    expected = hashlib.sha256("|".join(f"{s}:{n}:{f}" for s, n, f in rows).encode()).hexdigest()[:16]
+    assert [r.fingerprint for r in dataset_fingerprint(df).collect()] == [expected]

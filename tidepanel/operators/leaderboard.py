@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidepanel.functions.numeric import finite, ratio
@@ -30,8 +32,27 @@ def inverse_error_weights(aggregate: DataFrame, models: DataFrame, metric: str =
     return joined.select("model", F.when(bad, F.lit(1.0)).otherwise(share).alias("weight"))
 
 
+def _digest(batches):
+    """Streaming hash of the lines in order: constant memory however many there are."""
+    h, started = hashlib.sha256(), False
+    for pdf in batches:
+        for line in pdf["line"]:
+            h.update(("|" + line if started else line).encode())
+            started = True
+    yield pd.DataFrame({"fingerprint": [h.hexdigest()[:16]]})
+
+
 def dataset_fingerprint(series: DataFrame) -> DataFrame:
-    """First 16 hex digits of a SHA-256 over the lines `id:length:freq` of all series.
+    """First 16 hex digits of SHA-256 over `id:length:freq` joined by `|` in id order.
+
+    The sort is distributed; the hash itself is sequential by nature and streams over one short line per series.
+    """
+    line = F.concat_ws(":", "series_id", F.col("points").cast("string"), "freq").alias("line")
+    return series.orderBy("series_id").select(line).coalesce(1).mapInPandas(_digest, "fingerprint string")
+
+
+def bucket_fingerprint(series: DataFrame) -> DataFrame:
+    """Not the reference's value: first 16 hex digits of a SHA-256 over hashes of the lines `id:length:freq` of all series.
 
     Lines are hashed, joined by `|` in order, per bucket (the first three hex digits of the id's SHA-256); the fingerprint is
     the SHA-256 of the `bucket=hash` texts, joined by `|` in order. No task sees more than the lines of a bucket or 4096 hashes.
