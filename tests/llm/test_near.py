@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tidepanel.llm import graph, lines, minhash, queries
@@ -61,7 +62,7 @@ def as_docs(spark, rows):
     return spark.createDataFrame([(d, t, True) for d, t in rows], "doc_id long, text string, kept boolean")
 
 
-@pytest.mark.parametrize("seed", [5, 6])
+@pytest.mark.parametrize("seed", [5, 6, 7, 8])
 def test_planted_groups(spark, seed):
     rows = planted(seed)
     found = minhash.near_duplicates(spark, as_docs(spark, rows)).collect()
@@ -111,6 +112,28 @@ def test_sketch_bound_is_loose_enough():
             assert sum(bin((int(p) ^ int(q)) & (1 << 64) - 1).count("1") for p, q in zip(a, b)) <= minhash.MOST_BITS
 
 
+def test_tiles_keep_every_similar_pair():
+    """Every pair that shares a band and reaches 0.75 is linked by links_of_tile itself, whatever the sign of its sketch words."""
+    rng, o, tried = np.random.default_rng(3), minhash.NearOptions(), 0
+    for i in range(1000):
+        words = [f"w{k}" for k in rng.integers(0, 10**9, 300)]
+        other = list(words)
+        for at in rng.choice(300, rng.integers(1, 9), replace=False):
+            other[at] = f"v{i}"
+        texts = [" ".join(words), " ".join(other)]
+        x, y = minhash.shingle_sets(texts, o.words)
+        common = len(np.intersect1d(x, y))
+        low = [minhash.samples(s) for s in (x, y)]
+        bands = [minhash.band_keys(v) for v in low]
+        shared = bands[0][bands[0] == bands[1]]
+        if 100 * common < 75 * (len(x) + len(y) - common) or not len(shared):
+            continue
+        tried += 1
+        rows = [(int(shared[0]), "z", 0, 0, k, k, False, 0, bands[k].tolist(), minhash.odd_sketch(low[k]).tolist(), texts[k]) for k in (0, 1)]
+        assert minhash.links_of_tile(rows, o) == [(0, 1)]
+    assert tried > 700
+
+
 # ---- lines ------------------------------------------------------------------------------------------------------------
 
 

@@ -237,7 +237,7 @@ def links_of_tile(rows: list[tuple], o: NearOptions) -> list[tuple[int, int]]:
     """
     key, kind, i, j = rows[0][:4]
     node, label = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
-    sketch = np.array([r[9] for r in rows], np.int64)
+    sketch = np.array([r[9] for r in rows], np.int64).view(np.uint64)  # numpy counts the bits of the absolute value of signed numbers
     bits = sum(np.bitwise_count(sketch[:, None, w] ^ sketch[None, :, w]).astype(np.int64) for w in range(sketch.shape[1]))
     near = np.triu((bits <= MOST_BITS) & (label[:, None] != label[None, :]), 1)
     if kind == "x":
