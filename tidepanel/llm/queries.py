@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import ans, chunks, hnsw, langid, lines, minhash, mixing, packing, snapshots, toxicity
+from tidepanel.llm import ans, chunks, hnsw, langid, lines, minhash, mixing, packing, pieces, snapshots, toxicity, variants
+from tidepanel.llm import repair as conversation_repair
 from tidepanel.llm.common import read
 from tidepanel.session import scratch_path
 
@@ -69,6 +70,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return pieces.count_tokens(read(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after faults were planted."""
+    damaged = conversation_repair.damage(read(spark, sf_dir, "conversations"))
+    return conversation_repair.digests(conversation_repair.repair(spark, damaged))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, the near words of each and the form it stands for."""
+    return variants.spelling_variants(spark, read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_odd_sketches,
         op9_line_join,
         op10_packing,
+        op11_token_counts,
+        op12_conversation_repair,
+        op13_spelling_variants,
     )
 }
 ORACLES: dict[str, str] = {"op3_snapshot_collapse": snapshots.SQL}
