@@ -120,3 +120,14 @@ def _lengths(column: pa.Array) -> list:
 def plain_documents(df: DataFrame) -> DataFrame:
     """doc_id and text only, a missing text read as empty."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+#: SQL: common table expression `crc_table` (one row, a list `t`) for CRC32_SQL.
+CRC_TABLE_SQL = """
+  crc_table AS (
+    SELECT list(c ORDER BY i) AS t FROM (
+      SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(i))),
+"""
+#: SQL: CRC-32 of the bytes whose hexadecimal digits are the column `bytes`, with crc_table in the FROM clause.
+CRC32_SQL = """xor(list_reduce(list_prepend(4294967295, list_transform(range(length(bytes) // 2), lambda i: CAST('0x' || substr(bytes, CAST(2 * i + 1 AS INT), 2) AS BIGINT))),
+      lambda c, b: xor(c // 256, t[CAST(xor(c, b) % 256 AS INT) + 1])), 4294967295)"""

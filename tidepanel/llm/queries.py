@@ -104,4 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op13_spelling_variants,
     )
 }
-ORACLES: dict[str, str] = {"op3_snapshot_collapse": snapshots.SQL}
+ORACLES: dict[str, str] = {
+    "op3_snapshot_collapse": snapshots.SQL,
+    "op12_conversation_repair": conversation_repair.SQL,
+    "op13_spelling_variants": variants.SQL,
+}

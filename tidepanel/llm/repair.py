@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import slices, staged
+from tidepanel.llm.common import CRC32_SQL, CRC_TABLE_SQL, slices, staged
 
 EMPTY, SYSTEM, USER, ASSISTANT = range(4)  # what stands last in the repaired conversation
 FAR = 1 << 50
@@ -490,3 +490,58 @@ def digests(pieces: DataFrame) -> DataFrame:
     several = pieces.filter("pieces > 1").repartition("conv_id").sortWithinPartitions("conv_id", "piece").select("conv_id", *TOTALS, "audit", "turns_left", "repaired")
     totals = ", ".join(f"{c} long" for c in TOTALS)
     return whole.unionByName(several.mapInArrow(_digest, f"conv_id long, {totals}, audit string, repaired_sha256 string"))
+
+
+def _plus(path: str, cost: int | str, letter: str) -> str:
+    """SQL: a path (cost in twelve digits, then letters) with one more edit. Paths sort by cost, then by letters."""
+    return f"(printf('%012d', CAST(substr({path}, 1, 12) AS BIGINT) + {cost}) || substr({path}, 13) || '{letter}')"
+
+
+_AFTER_INSERTS = f"""
+      SELECT *, least(a, {_plus('u2', 5, 'I')}) AS a2 FROM (SELECT *, least(u, {_plus('e', 5, 'I')}, {_plus('s', 5, 'I')}, {_plus('a', 5, 'I')}) AS u2 FROM @@)"""
+#: The same rows by a recursion over messages with the best path into each state: empty, system, user, assistant last.
+SQL = f"""
+WITH RECURSIVE {CRC_TABLE_SQL}
+  plain AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS bytes
+    FROM conversations),
+  planted AS (
+    SELECT conv_id, turn, role, text, {CRC32_SQL} % 20 AS h
+    FROM plain, crc_table),
+  damaged AS (
+    SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+      CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM planted WHERE h <> 0),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS core FROM damaged),
+  judged AS (
+    SELECT conv_id, i, turn, role, text, CASE WHEN core = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+      lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM placed),
+  counted AS (
+    SELECT conv_id, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+      count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS rows FROM judged GROUP BY conv_id),
+  coded AS (SELECT conv_id, i, left(role, 1) AS x, fault IN ('blank', 'duplicate') AS must, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra FROM judged),
+  step AS (
+    SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '000000000000' AS e, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS u, CAST(NULL AS VARCHAR) AS a FROM conversations
+    UNION ALL
+    SELECT conv_id, i, {_plus('e', 2, 'D')},
+      least({_plus('s', 2, 'D')}, CASE WHEN NOT must AND x = 's' THEN {_plus('e', '0 + extra', 'K')} END),
+      least({_plus('u2', 2, 'D')}, CASE WHEN NOT must THEN least({_plus('e', '1 + extra', 'R')}, {_plus('s', '1 + extra', 'R')}, {_plus('a2', '1 + extra', 'R')}) END,
+        CASE WHEN NOT must AND x = 'u' THEN least({_plus('e', '0 + extra', 'K')}, {_plus('s', '0 + extra', 'K')}, {_plus('a2', '0 + extra', 'K')}) END),
+      least({_plus('a2', 2, 'D')}, CASE WHEN NOT must THEN {_plus('u2', '1 + extra', 'R')} END, CASE WHEN NOT must AND x = 'a' THEN {_plus('u2', '0 + extra', 'K')} END)
+    FROM ({_AFTER_INSERTS.replace("@@", '(SELECT c.conv_id, c.i, p.e, p.s, p.u, p.a, c.x, c.must, c.extra FROM step p JOIN coded c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.i = p.i + 1)')})),
+  ended AS (
+    SELECT conv_id, least(e, a2) AS found FROM ({_AFTER_INSERTS.replace("@@", '(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS back FROM step) WHERE back = 1)')})),
+  letters AS (SELECT conv_id, substr(found, 13) AS audit, unnest(range(1, length(found) - 11)) AS p FROM ended),
+  marks AS (
+    SELECT conv_id, p, substr(audit, p, 1) AS letter, length(replace(substr(audit, 1, p), 'I', '')) AS i, length(replace(substr(audit, 1, p - 1), 'D', '')) AS before FROM letters),
+  built AS (
+    SELECT m.conv_id, p, letter, before, role, text, max(before = 0 AND letter = 'K' AND role[1] = 's') OVER (PARTITION BY m.conv_id) AS opened
+    FROM marks m LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM m.conv_id AND j.i = m.i WHERE letter <> 'D'),
+  joined AS (
+    SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (before - opened::INT) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS repaired
+    FROM built GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(substr(found, 1, 12) AS BIGINT) AS cost, substr(found, 13) AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN joined j ON j.conv_id IS NOT DISTINCT FROM e.conv_id
+"""

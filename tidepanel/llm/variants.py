@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import drop_staged, staged
+from tidepanel.llm.common import CRC32_SQL, CRC_TABLE_SQL, drop_staged, staged
 
 
 @dataclass(frozen=True)
@@ -222,3 +222,33 @@ def spelling_variants(spark: SparkSession, docs: DataFrame, options: VariantOpti
     named = formed.select("place", "next", "form_n").join(ends, "place").join(name("next", "form"), "next").join(name("root", "root_word"), "root")
     full = own.select("place", "word", "n", "n_near").join(named.select("place", "form", "root_word", "form_n"), "place", "left")
     return full.select("word", "form", F.coalesce("root_word", "word").alias("root"), "n", "n_near", "form_n")
+
+
+#: The same rows, by equal strings instead of nodes.
+SQL = f"""
+WITH {CRC_TABLE_SQL}
+  runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{{7,}}')) AS raw FROM documents),
+  lower_runs AS (SELECT doc, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k FROM runs GROUP BY ALL),
+  keyed AS (SELECT run, k, hex(encode(doc || ':' || run)) AS bytes FROM lower_runs),
+  hashed AS (
+    SELECT run, k, {CRC32_SQL} AS h
+    FROM keyed, crc_table),
+  damaged AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, k FROM hashed),
+  words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+  places AS (SELECT word, n, unnest(range(length(word))) AS i FROM words),
+  skips AS (SELECT word, n, i, substr(word, 1, CAST(i AS INT)) || substr(word, CAST(i AS INT) + 2) AS rest FROM places),
+  near AS (
+    SELECT a.word, b.word AS other, b.n AS other_n FROM skips a JOIN skips b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM skips a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM skips a JOIN words b ON a.rest = b.word),
+  best AS (SELECT word, count(*) AS n_near, arg_min(struct_pack(o := other, m := other_n), struct_pack(m := -other_n, o := other)) AS top FROM near GROUP BY word),
+  formed AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top.m >= 10 * w.n THEN top.o END AS form, CASE WHEN top.m >= 10 * w.n THEN top.m END AS form_n
+    FROM words w LEFT JOIN best USING (word)),
+  walk AS (
+    WITH RECURSIVE step AS (
+      SELECT word, word AS place, form AS following FROM formed
+      UNION ALL SELECT s.word, f.word, f.form FROM step s JOIN formed f ON f.word = s.following)
+    SELECT word, place AS root FROM step WHERE following IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN walk USING (word)
+"""
