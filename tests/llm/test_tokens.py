@@ -18,7 +18,6 @@ def plain_ids(texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(bpe.default_vocabulary())
-    tokenizer.encode_special_tokens = True
     return [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
 
 
@@ -34,6 +33,19 @@ def test_memo_gives_the_ids_of_the_library(texts):
     assert [ids[b - n : b].tolist() for b, n in zip(ends, counts)] == plain_ids(texts)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "word", "Word,", " ", "\n", "\n\n", ".", " x", "<|endoftext|>", "é!", "1.", "\r\n", "'s,", "ab,\n", " c.\n"]), max_size=14).map("".join), max_size=6))
+def test_memo_of_lines_marks_and_special_tokens(texts):
+    ids, counts = ENCODER.encode(texts)
+    ends = np.cumsum(counts)
+    assert [ids[b - n : b].tolist() for b, n in zip(ends, counts)] == plain_ids(texts)
+
+
+def test_strings_of_special_tokens_are_special_tokens():
+    ids, counts = ENCODER.encode(["a text <|endoftext|> and more", "a text and more"])
+    assert 50256 in ids[: counts[0]].tolist() and 50256 not in ids[counts[0] :].tolist()
+
+
 def test_memo_starts_anew_when_full():
     small = bpe.Encoder(max_pieces=5)
     for texts in (["a b c d e f g"], ["h i j  k", "", " x"], ["a b"]):

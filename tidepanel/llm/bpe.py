@@ -1,15 +1,19 @@
 """Byte-level BPE by the tokenizers library, with a bounded memo of space-separated pieces.
 
-A byte-level BPE never merges across a boundary between a visible character and a single space that precedes another
-visible character. Texts are cut there; each distinct piece goes through the library once per worker and its ids are then
-looked up. Texts with other white space next to a space (the pre-tokenizer looks ahead there) go through the library whole.
+A byte-level BPE never merges across a boundary between a visible character and a single space or line break that precedes
+another visible character. Texts are cut there; each distinct piece goes through the library once per worker and its ids are
+then looked up. A word and the punctuation mark after it are put together from both. Texts with other white space next to a
+space (the pre-tokenizer looks ahead there), or that hold the string of a special token, go through the library whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-END = " end"  # holds a space, so no piece can be equal to it
+END, WHOLE = " end", " whole"  # hold a space, so no piece can be equal to them
+OPENS = "\uf8ff"  # a piece that opens a text or a line, where no space precedes; texts that hold it are cut at spaces only
+MARKS = ".,;:!?"
+PLAIN = "\u0250"  # letters below are letters in every version of Unicode
 
 
 def default_vocabulary() -> str:
@@ -41,18 +45,23 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_vocabulary())
-        self.tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end_id, self.max_pieces = end_id, max_pieces
         size = self.tokenizer.get_vocab_size()
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+        own = [e.ids for e in self.tokenizer.encode_batch_fast(["\n", *MARKS], add_special_tokens=False)]
+        self.cuts_lines = all(len(i) == 1 for i in own)
+        self.line, self.marks = own[0][0], dict(zip(MARKS, [i[0] for i in own[1:]])) if self.cuts_lines else {}
         self.reset()
 
     def reset(self) -> None:
-        self.pieces = _Pieces({END: 0})
+        self.pieces = _Pieces({END: 0, WHOLE: 1, OPENS: 2})
         self.pieces.fresh = []
-        self.flat = np.array([self.end_id], np.uint32)
-        self.used = 1
-        self.start, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.flat = np.array([self.end_id, self.line], np.uint32)
+        self.used, self.start, self.length = 1, np.zeros(3, np.int64), np.array([1, -1, 0], np.int64)
+        if self.cuts_lines:
+            self.pieces["\n"] = 3
+            self.used, self.start, self.length = 2, np.append(self.start, 1), np.append(self.length, 1)
 
     def _append(self, ids: np.ndarray, lengths: np.ndarray) -> None:
         """Add entries at the end of the memo; negative lengths mark pieces that must not be looked up."""
@@ -69,18 +78,25 @@ class Encoder:
         fresh, self.pieces.fresh = self.pieces.fresh, []
         if not fresh:
             return
-        lengths = np.full(len(fresh), -1, np.int64)
-        first, inner = [], []
+        first, inner, ended = [], [], []
+        pieces, marks = self.pieces, self.marks
         for i, piece in enumerate(fresh):
-            if piece[:1] == " ":
-                if len(piece) > 1 and not piece[-1].isspace():
+            if piece.isalpha():
+                inner.append(i)
+            elif piece[-1:] in marks and piece[:-1].isalpha() and max(piece) < PLAIN:
+                ended.append((i, pieces[piece[:-1]], marks[piece[-1]]))
+            elif piece[:1] == OPENS:
+                if len(piece) > 1 and piece[1:].strip() == piece[1:]:
                     first.append(i)
-            elif piece and not piece[0].isspace() and not piece[-1].isspace():
+            elif piece and piece.strip() == piece:
                 inner.append(i)
-        found: dict[int, np.ndarray] = {}
-        for i, e in zip(first, self.tokenizer.encode_batch_fast([fresh[i][1:] for i in first], add_special_tokens=False) if first else []):
-            found[i] = np.array(e.ids, np.uint32)
-            lengths[i] = len(e.ids)
+        inner += range(len(fresh), len(fresh) + len(pieces.fresh))  # words whose mark was taken off
+        fresh += pieces.fresh
+        pieces.fresh = []
+        lengths = np.full(len(fresh), -1, np.int64)
+        alone = self.tokenizer.encode_batch_fast([fresh[i][1:] for i in first], add_special_tokens=False) if first else []
+        alone = [e.ids for e in alone]
+        lengths[first] = [len(i) for i in alone]
         groups = [inner[k : k + 1000] for k in range(0, len(inner), 1000)]
         joined = ["".join([" " + fresh[i] for i in g]) for g in groups]
         chunks = []
@@ -91,18 +107,37 @@ class Encoder:
                 raise ValueError("the vocabulary is not a byte-level BPE that opens words with a space")
             lengths[g] = np.diff(at, append=len(ids))
             chunks.append(ids)
-        flat_inner = np.concatenate(chunks) if chunks else np.zeros(0, np.uint32)
-        if found:  # put both kinds into the order of `fresh`
-            order, at = [], 0
-            kinds = set(first)
-            for i, n in enumerate(lengths.tolist()):
-                if i in kinds:
-                    order.append(found[i])
-                elif n >= 0:
-                    order.append(flat_inner[at : at + n])
-                    at += n
-            flat_inner = np.concatenate(order) if order else flat_inner
-        self._append(flat_inner, lengths)
+        real, opening = np.maximum(lengths, 0), np.zeros(len(fresh), bool)
+        opening[first] = True
+        opening = np.repeat(opening, real)
+        flat = np.empty(len(opening), np.uint32)
+        flat[opening] = [i for own in alone for i in own]
+        flat[~opening] = np.concatenate(chunks) if chunks else []
+        at = len(self.length)
+        self._append(flat, lengths)
+        if ended:
+            place, word, mark = (np.array(c, np.int64) for c in zip(*ended))
+            size = self.length[word]
+            ends = np.cumsum(size + 1)
+            ids = np.empty(int(ends[-1]), np.uint32)
+            ids[ends - 1] = mark
+            inside = np.ones(len(ids), bool)
+            inside[ends - 1] = False
+            ids[inside] = self.flat[np.repeat(self.start[word] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+            base = self.used
+            self._append(ids, np.zeros(0, np.int64))
+            self.used = base + len(ids)
+            self.start[at + place], self.length[at + place] = base + ends - (size + 1), size + 1
+
+    def _cut(self, text: str) -> list[str]:
+        """The pieces of a text, the first of it and of its lines marked."""
+        if any([c in text for c in self.special]):
+            return [WHOLE]
+        if OPENS in text:
+            return [WHOLE]
+        if self.cuts_lines and "\n" in text and "\r" not in text and not ("\n\n" in text and ("\n\n\n" in text or "\n\n " in text or text.endswith("\n\n"))):
+            text = text.replace("\n", " \n " + OPENS)
+        return (OPENS + text).split(" ")
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.pieces) > self.max_pieces:
@@ -111,8 +146,7 @@ class Encoder:
         counts = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             if text:
-                own = text.split(" ")
-                own[0] = " " + own[0]
+                own = self._cut(text)
                 own.append(END)
                 parts += own
                 counts[k] = len(own)
