@@ -159,6 +159,17 @@ def test_packing_covers_all_documents(spark):
     sequences = check_pieces(rows, dict(zip(texts, plain_ids(texts.values()))))
     lengths = [sum(r.length for r in s) for s in sequences.values()]
     assert sum(packing.padding(n, 1024) for n in lengths) < 0.02 * sum(lengths)
+    assert sum(r.cut == "free" for r in rows) < 0.05 * len(sequences)  # only in stretches without sentence ends
+
+
+def test_free_cuts_only_in_long_stretches():
+    sentence = np.zeros(10, bool)
+    sentence[9] = True
+    o = packing.PackingOptions(size=16, grid=4)
+    ids = np.array([1] * 7 + [9] + [2] * 40 + [9] + [3] * 15 + [0], np.int64)
+    at, cost = packing.candidate_cuts(ids, np.array([len(ids)]), sentence, o)
+    assert at.tolist() == [0, 8, *range(12, 49, 4), 49, 65]
+    assert cost.tolist() == [0, o.sentence_cut, *[o.free_cut] * 10, o.sentence_cut, 0]
 
 
 def test_packing_of_odd_rows(spark, frame):

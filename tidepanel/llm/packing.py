@@ -1,8 +1,8 @@
 """Order-preserving packing by dynamic programming.
 
 The ids of all documents, in ascending doc_id order, form one stream per range partition. A sequence is a window of the
-stream. Cuts may fall at document ends (free), sentence ends or, every `grid` ids, anywhere; the plan minimises padding plus
-a penalty per cut and per sequence. The cheapest earlier cut within reach is the head of a monotone queue, as the cost of a
+stream. Cuts fall at document ends (free) or sentence ends; only a stretch without either that is longer than a sequence may be
+cut inside, every `grid` ids. The plan minimises padding plus a penalty per cut and per sequence. The cheapest earlier cut within reach is the head of a monotone queue, as the cost of a
 window is its padding and so differs from the queue's key by the same amount for all candidates.
 """
 
@@ -46,11 +46,13 @@ def candidate_cuts(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarr
     """Positions where a window may end and the penalty of each; 0 and the end of the stream are among them."""
     n = len(ids)
     cost = np.full(n + 1, np.inf)
-    cost[:: o.grid] = o.free_cut
     cost[np.flatnonzero(sentence_end[ids]) + 1] = o.sentence_cut
     cost[doc_ends] = 0.0
     cost[0] = cost[n] = 0.0
     at = np.flatnonzero(np.isfinite(cost))
+    for k in np.flatnonzero(np.diff(at) > o.size).tolist():
+        cost[at[k] + o.grid : at[k + 1] : o.grid] = o.free_cut
+    at = np.flatnonzero(np.isfinite(cost))
     return at, cost[at]
 
 
