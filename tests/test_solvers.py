@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidepanel.operators import analysis as an, decompose as dc, hierarchy as hi, spline, windows as wn
 
@@ -110,10 +111,30 @@ def test_stl(panel, values_of):
     assert {r.method for r in parts.where("series_id = 'short'").collect()} == {"moving_average"}
 
 
-def test_dominant_period(panel):
-    y = [np.sin(2 * np.pi * i / 8) for i in range(64)]
-    got = {r.series_id: r.period for r in an.dominant_period(panel({"s": y, "t": [1, 2, 3]})).collect()}
-    assert got == {"s": 8, "t": None}
+@pytest.mark.parametrize(("n", "period", "robust", "rows"), [(300, 4, False, 160), (300, 4, True, 64), (131, 3, False, 50)])
+def test_stl_in_blocks_is_stl_in_one(panel, values_of, n, period, robust, rows):
+    rng = np.random.default_rng(n)
+    t = np.arange(n)
+    y = 0.1 * t + 5 * np.sin(2 * np.pi * t / period) + rng.normal(size=n)
+    y[n // 2] += 30
+    parts = dc.stl(panel({"s": y.tolist()}), period, robust, rows)
+    trend, season = dc.stl_parts(y, period, robust)
+    assert values_of(parts, "trend")["s"] == pytest.approx(trend.tolist(), abs=1e-8)
+    assert values_of(parts, "seasonal")["s"] == pytest.approx(season.tolist(), abs=1e-8)
+    assert {r.method for r in parts.collect()} == {"stl"}
+
+
+@pytest.mark.parametrize(("rows", "tile_bits"), [(None, None), (5, 0), (5, 2)])
+def test_dominant_period(panel, rows, tile_bits):
+    rng = np.random.default_rng(3)
+    series = {"s": [np.sin(2 * np.pi * i / 8) for i in range(64)], "t": [1, 2, 3], "holes": [None if i % 11 == 3 else np.cos(i) + 0.01 * i for i in range(70)], "noise": rng.normal(size=53).tolist()}
+    got = {r.series_id: r.period for r in an.dominant_period(panel(series), rows, tile_bits).collect()}
+    want = {}
+    for k, y in series.items():
+        y = np.array([v for v in y if v is not None], float)
+        p = len(y) // (int(np.abs(np.fft.rfft(y - y.mean()))[1:].argmax()) + 1) if len(y) >= 6 else 0
+        want[k] = p if 2 <= p <= len(y) // 2 else None
+    assert got == want and got["s"] == 8 and got["t"] is None
 
 
 def test_reconciliation_against_dense(spark):
@@ -142,18 +163,42 @@ def test_shared_child_is_solved_densely(spark):
     assert hi.coherency(e, hi.reconcile(e, f, "ols"), 1e-9).count() == 0
 
 
-@pytest.mark.parametrize("rows", [4, 65_536])
-def test_lag_correlation_over_block_pairs(panel, monkeypatch, rows):
+@pytest.mark.parametrize(("rows", "tile_bits"), [(4, 0), (4, 2), (65_536, None)])
+def test_lag_correlation_of_any_length(panel, monkeypatch, rows, tile_bits):
     from tidepanel.operators import attribution as at, blocks as bl
 
     monkeypatch.setattr(bl, "BLOCK_ROWS", rows)
     y = np.random.default_rng(8).normal(size=31)
-    got = {r.lag: r.strength for r in at.lag_correlation(panel({"s": y.tolist(), "flat": [1] * 9})).collect()}
+    got = {r.lag: r.strength for r in at.lag_correlation(panel({"s": y.tolist(), "flat": [1] * 9}), tile_bits).collect()}
     d = y - y.mean()
     want = {k: abs((d[:-k] * d[k:]).sum() / (y.var() * (31 - k))) for k in range(1, 15)}
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("tile_bits", [0, 1, 3])
+def test_spectrum_is_that_of_one_transform(panel, tile_bits):
+    """Prime, even and power-of-two lengths, tiles of one, two and eight values."""
+    from tidepanel.operators import fourier
+
+    rng = np.random.default_rng(9)
+    series = {f"s{n}": rng.normal(size=n) for n in (7, 64, 90, 101)}
+    found = fourier.spectrum(panel({k: v.tolist() for k, v in series.items()}), "y", tile_bits).collect()
+    got = {(r.series_id, (r.chunk << tile_bits) + i): complex(a, b) for r in found for i, (a, b) in enumerate(zip(r.re, r.im))}
+    for k, v in series.items():
+        assert np.allclose([got[k, i] for i in range(len(v))], np.fft.fft(v))
+
+
+def test_exchanges_of_transforms_grow_with_the_rows(panel):
+    """No exchange of the all-lags sums carries more than a constant times the rows."""
+    from tidepanel.operators import fourier
+
+    for n in (128, 512):
+        rows = panel({"s": np.random.default_rng(1).normal(size=n).tolist()})
+        runs = fourier.runs_of(rows, "y", 2 * F.col("n"), 2)
+        once = fourier.transform(runs, tile_bits=2)
+        assert sum(len(r.re) for r in runs.collect()) == n and sum(len(r.re) for r in once.collect()) == 2 * n
+
+
 def test_attribution_ignores_points_outside_the_context(panel):
     from tidepanel.operators import attribution as at
 

@@ -162,26 +162,28 @@ def detect_period(panel: DataFrame) -> DataFrame:
     return axis.select("series_id", F.when(F.col("n") < 10, 1).otherwise(found).cast("int").alias("period"))
 
 
-def dominant_period(panel: DataFrame, max_rows: int = 4_000_000) -> DataFrame:
-    """(series_id, period) of the strongest Fourier bin; NULL where none is usable.
+def dominant_period(panel: DataFrame, rows: int | None = None, tile_bits: int | None = None) -> DataFrame:
+    """(series_id, period) of the strongest Fourier bin of the valid values; NULL where none is usable.
 
-    A transform needs its whole series; longer series than `max_rows` get NULL, which callers treat
-    like "no period found".
+    Series of up to `rows` (a block) are transformed in one task, longer ones by distributed transforms.
     """
+    from tidepanel.operators import blocks as bl, fourier
+
+    rows = rows or bl.BLOCK_ROWS
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("pos")["y"].to_numpy(float)
-        n, period = len(y), None
-        if n >= 6:
-            power = np.abs(np.fft.rfft(y - y.mean()))
-            if len(power) >= 3:
-                guess = n // (int(np.argmax(power[1:])) + 1)
-                period = guess if 2 <= guess <= n // 2 else None
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "period": pd.array([period], dtype="Int32")})
-
-    rows = panel.where(F.col("y").isNotNull())
-    found = rows.where(F.col("n") <= max_rows).select("series_id", "pos", "y").groupBy("series_id").applyInPandas(
-        run, "series_id string, period int"
+        y = pdf.sort_values("pos")["d"].to_numpy(float)
+        n = len(y)
+        strongest = int(np.argmax(np.abs(np.fft.rfft(y))[1:])) + 1 if n >= 6 else None
+        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "n": [n], "bin": pd.array([strongest], dtype="Int64")})
+
+    valid = fourier.centred(panel)
+    short = valid.where(F.col("n") <= rows).groupBy("series_id").applyInPandas(run, "series_id string, n long, bin long")
+    long = valid.where(F.col("n") > rows)
+    ends = per_series(long).join(fourier.strongest(fourier.spectrum(long, "d", tile_bits), tile_bits), "series_id")
+    period = F.floor(F.col("n") / F.col("bin"))
+    found = short.unionByName(ends.select("series_id", "n", "bin")).select(
+        "series_id", F.when((F.col("n") >= 6) & (period >= 2) & (period <= F.floor(F.col("n") / 2)), period).cast("int").alias("period")
     )
     return panel.select("series_id").distinct().join(found, "series_id", "left")
 

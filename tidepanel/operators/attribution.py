@@ -24,45 +24,28 @@ def top(df: DataFrame, k: int, *order) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
-def _block_pairs(batches):
-    """Sums of products per lag between two blocks of a centred series, by FFT."""
-    for pdf in batches:
-        ids, lags, sums = [], [], []
-        for sid, n, gap, left, right in pdf.itertuples(index=False):
-            x, y = np.asarray(left, float), np.asarray(right, float)
-            size = len(x) + len(y) - 1
-            full = np.fft.irfft(np.fft.rfft(y, size) * np.conj(np.fft.rfft(x, size)), size)
-            shift = np.arange(-(len(x) - 1), len(y))  # index of the partner minus own index
-            lag = shift + gap
-            keep = (lag >= 1) & (lag < min(n - 1, n // 2))
-            ids.extend([sid] * int(keep.sum()))
-            lags.append(lag[keep])
-            sums.append(full[shift[keep] % size])
-        yield pd.DataFrame(
-            {"series_id": ids, "lag": np.concatenate(lags) if lags else np.zeros(0, int), "s": np.concatenate(sums) if sums else np.zeros(0)}
-        )
-
-
-def lag_correlation(panel: DataFrame) -> DataFrame:
+def _own_lags(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sums of products per lag of one centred series that fits a block."""
+    d = pdf.sort_values("pos")["d"].to_numpy(float)
+    n = len(d)
+    power = np.abs(np.fft.rfft(d, 2 * n)) ** 2
+    lag = np.arange(1, min(n - 1, n // 2))
+    return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "n": n, "lag": lag, "s": np.fft.irfft(power, 2 * n)[lag]})
+
+
+def lag_correlation(panel: DataFrame, tile_bits: int | None = None) -> DataFrame:
     """(series_id, lag, pos, strength, importance): |unbiased ACF| for all lags below half the length.
 
-    Blocks of consecutive rows are correlated pairwise by FFT, so a series of up to BLOCK_ROWS rows is one
-    small step and longer ones add up over block pairs, each pair its own join key.
+    The sums of products of all lags are the inverse transform of the power spectrum of the zero-padded series: in one task for
+    a series of up to BLOCK_ROWS rows, by distributed transforms for longer ones. Exchanges carry a few values per row.
     """
-    from tidepanel.operators import blocks as bl
+    from tidepanel.operators import blocks as bl, fourier
 
-    rows = bl.BLOCK_ROWS
     stats = per_series(panel, F.avg("y").alias("_m"), F.var_pop("y").alias("_v")).where((F.col("n") >= 4) & (F.col("_v") > 0))
     d = attach(panel.select("series_id", "pos", "n", "y"), stats).withColumn("d", F.col("y") - F.col("_m"))
-    packed = d.groupBy("series_id", F.floor(F.col("pos") / rows).alias("b")).agg(
-        F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "d"))).alias("a")
-    ).select("series_id", "b", "n", F.transform("a", lambda e: e["d"]).alias("x"))
-    last = F.floor((F.col("n") - 1) / rows)
-    left = packed.select("series_id", "n", F.col("b").alias("lo"), F.explode(F.sequence(F.col("b"), last)).alias("hi"), F.col("x").alias("left"))
-    right = packed.select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b"))).alias("lo"), F.col("b").alias("hi"), F.col("x").alias("right"))
-    pairs = left.join(right, ["series_id", "lo", "hi"]).select("series_id", "n", ((F.col("hi") - F.col("lo")) * rows).alias("gap"), "left", "right")
-    acf = pairs.mapInPandas(_block_pairs, "series_id string, lag long, s double").groupBy("series_id", "lag").agg(F.sum("s").alias("s"))
-    acf = acf.join(stats.select("series_id", "n", "_v"), "series_id").select(
+    short = d.where(F.col("n") <= bl.BLOCK_ROWS).groupBy("series_id").applyInPandas(_own_lags, "series_id string, n long, lag long, s double")
+    sums = short.unionByName(fourier.lag_sums(d.where(F.col("n") > bl.BLOCK_ROWS), "d", tile_bits))
+    acf = sums.drop("n").join(stats.select("series_id", "n", "_v"), "series_id").select(
         "series_id", "n", "lag", F.abs(F.col("s") / (F.col("_v") * (F.col("n") - F.col("lag")))).alias("strength")
     )
     total = acf.groupBy("series_id").agg(F.sum("strength").alias("_t"))

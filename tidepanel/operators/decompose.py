@@ -7,10 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidepanel.functions.numeric import ratio
-from tidepanel.operators.blocks import attach, framed, per_series
+from tidepanel.operators import blocks as bl
+from tidepanel.operators.blocks import attach, exact_quantiles, framed, halo, per_series
 from tidepanel.operators.windows import moving_average_parts
+from tidepanel.session import cut_lineage
 
-STL_ROWS = 20_000  # longer series take the moving-average decomposition instead
+SEASONAL = 7  # cycles that smooth a season
 
 
 def moving_average(panel: DataFrame, period: int) -> DataFrame:
@@ -76,49 +78,109 @@ def _odd_above(v: float) -> int:
     return k if k % 2 else k + 1
 
 
-def stl_parts(y: np.ndarray, period: int, robust: bool = True, seasonal: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(trend, seasonal) by the published seasonal-trend LOESS procedure."""
-    n, p = len(y), max(period, 2)
-    trend_w, low_w = _odd_above(1.5 * p / (1 - 1.5 / seasonal)), _odd_above(p + 1)
-    inner, outer = (2, 15) if robust else (5, 0)
-    trend, season, weight, x = np.zeros(n), np.zeros(n), np.ones(n), np.arange(n, dtype=float)
+def _widths(period: int) -> tuple[int, int]:
+    """Windows of the trend and of the low-pass filter."""
+    return _odd_above(1.5 * period / (1 - 1.5 / SEASONAL)), _odd_above(period + 1)
+
+
+def _inner(y: np.ndarray, trend: np.ndarray, weight: np.ndarray, period: int, times: int) -> tuple[np.ndarray, np.ndarray]:
+    """(trend, seasonal) after some inner rounds of the published seasonal-trend LOESS procedure."""
+    n, p = len(y), period
+    trend_w, low_w = _widths(p)
+    x, season = np.arange(n, dtype=float), np.zeros(n)
+    for _ in range(times):
+        detrended = y - trend
+        cycle = np.empty(n + 2 * p)
+        for k in range(p):
+            sub, sw = detrended[k::p], weight[k::p]
+            cycle[k::p][: len(sub) + 2] = _loess(sub, SEASONAL, np.arange(-1, len(sub) + 1, dtype=float), sw)
+        low = cycle
+        for width in (p, p, 3):
+            low = np.convolve(low, np.ones(width) / width, mode="valid")
+        low = _loess(low, low_w, x, np.ones(n))
+        season = cycle[p : p + n] - low
+        trend = _loess(y - season, trend_w, x, weight)
+    return trend, season
+
+
+def _rounds(robust: bool) -> tuple[int, int]:
+    """Inner rounds, and how often weights are drawn from the residuals."""
+    return (2, 15) if robust else (5, 0)
+
+
+def _robust_weight(gap: np.ndarray, median: float) -> np.ndarray:
+    u = gap / (6 * median) if median > 0 else np.zeros(len(gap))
+    return np.where(u <= 0.001, 1.0, np.where(u <= 0.999, (1 - u**2) ** 2, 0.0))
+
+
+def stl_parts(y: np.ndarray, period: int, robust: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(trend, seasonal) of a whole series."""
+    inner, outer = _rounds(robust)
+    trend, weight = np.zeros(len(y)), np.ones(len(y))
     for step in range(outer + 1):
-        for _ in range(inner):
-            detrended = y - trend
-            cycle = np.empty(n + 2 * p)
-            for k in range(p):
-                sub, sw = detrended[k::p], weight[k::p]
-                cycle[k::p][: len(sub) + 2] = _loess(sub, seasonal, np.arange(-1, len(sub) + 1, dtype=float), sw)
-            low = cycle
-            for width in (p, p, 3):
-                low = np.convolve(low, np.ones(width) / width, mode="valid")
-            low = _loess(low, low_w, x, np.ones(n))
-            season = cycle[p : p + n] - low
-            trend = _loess(y - season, trend_w, x, weight)
+        trend, season = _inner(y, trend, weight, max(period, 2), inner)
         if step < outer:
             gap = np.abs(y - season - trend)
-            scale = 6 * np.median(gap)
-            u = gap / scale if scale > 0 else np.zeros(n)
-            weight = np.where(u <= 0.001, 1.0, np.where(u <= 0.999, (1 - u**2) ** 2, 0.0))
+            weight = _robust_weight(gap, float(np.median(gap)))
     return trend, season
 
 
-def stl(panel: DataFrame, period: int, robust: bool = True) -> DataFrame:
-    """Seasonal-trend LOESS per series of two cycles up to STL_ROWS rows; others by moving average."""
+def border(period: int, inner: int) -> int:
+    """Rows beyond a block on which its trend and season depend: seasons are smoothed over three cycles on each side (and the
+    next one, where a cut moves the window), then filtered over a cycle, smoothed, and the trend over its own window."""
+    trend_w, low_w = _widths(period)
+    return inner * ((SEASONAL // 2 + 2) * period + 2 + low_w // 2 + 1 + trend_w // 2 + 1)
+
+
+def _stl_blocks(panel: DataFrame, period: int, robust: bool, size: int | None) -> DataFrame:
+    """Long series: every round runs on blocks of positions with a border as wide as it looks; what is residual gives the
+    weights of the next round by the exact median of the series. Rounds are written, so none is replayed."""
+    inner, outer = _rounds(robust)
+    wide = border(period, inner)
+    schema = "series_id string, pos long, n long, y double, trend double, weight double, seasonal double, gap double"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        y = pdf["y"].to_numpy(float)
+        gap = pdf["gap"].to_numpy(float)
+        weight = np.ones(len(y)) if np.isnan(gap).all() else _robust_weight(gap, float(pdf["median"].iloc[0]))
+        trend, season = _inner(y, pdf["trend"].to_numpy(float), weight, period, inner)
+        out = pdf.assign(trend=trend, weight=weight, seasonal=season, gap=np.abs(y - season - trend))
+        return out[pdf["_own"].to_numpy(bool)][["series_id", "pos", "n", "y", "trend", "weight", "seasonal", "gap"]]
+
+    state = panel.select("series_id", "pos", "n", "y", F.lit(0.0).alias("trend"), F.lit(None).cast("double").alias("gap"), F.lit(None).cast("double").alias("median"))
+    for step in range(outer + 1):
+        spread = halo(state, wide, wide, size=size)
+        state = cut_lineage(panel.sparkSession, spread.groupBy("series_id", "_blk").applyInPandas(run, schema), "stl")
+        if step < outer:
+            state = attach(state, exact_quantiles(state, "gap", {"median": 0.5}))
+    return state.select("series_id", "pos", "n", "y", "trend", "seasonal", (F.col("y") - F.col("trend") - F.col("seasonal")).alias("resid"))
+
+
+def stl(panel: DataFrame, period: int, robust: bool = True, rows: int | None = None) -> DataFrame:
+    """Seasonal-trend LOESS per series of two cycles or more; shorter ones by moving average.
+
+    Series of up to `rows` (a block) are solved in one task, longer ones in blocks of that many positions with borders; the
+    results are the same.
+    """
+    p, rows = max(period, 2), rows or bl.BLOCK_ROWS
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        t, s = stl_parts(pdf["y"].to_numpy(float), period, robust)
+        t, s = stl_parts(pdf["y"].to_numpy(float), p, robust)
         return pdf.assign(trend=t, seasonal=s, resid=pdf["y"] - t - s)
 
-    small = (F.col("n") <= STL_ROWS) & (F.col("n") >= 2 * max(period, 2))
     cols = ["series_id", "pos", "n", "y"]
     base = panel.select(*cols)
-    fitted = base.where(small).groupBy("series_id").applyInPandas(
+    enough = F.col("n") >= 2 * p
+    whole = base.where(enough & (F.col("n") <= rows)).groupBy("series_id").applyInPandas(
         run, "series_id string, pos long, n long, y double, trend double, seasonal double, resid double"
     )
-    rest = moving_average(base.where(~small), period).select(*cols, "trend", "seasonal", "resid")
-    return fitted.withColumn("method", F.lit("stl")).unionByName(rest.withColumn("method", F.lit("moving_average")))
+    long = base.where(enough & (F.col("n") > rows))
+    if not long.isEmpty():
+        whole = whole.unionByName(_stl_blocks(long, p, robust, rows))
+    rest = moving_average(base.where(~enough), period).select(*cols, "trend", "seasonal", "resid")
+    return whole.withColumn("method", F.lit("stl")).unionByName(rest.withColumn("method", F.lit("moving_average")))
 
 
 METHODS = {
