@@ -156,6 +156,24 @@ def test_reconciliation_against_dense(spark):
         assert hi.coherency(e, hi.reconcile(e, f, m), 1e-5).count() == 0
 
 
+def test_minimum_trace_of_trees_against_dense(spark):
+    schema = "hierarchy_id string, parent string, child string"
+    deep = [("t", "a"), ("t", "b"), ("a", "a1"), ("a", "a2"), ("b", "b1"), ("a1", "x"), ("a1", "y"), ("a1", "z")]
+    e = spark.createDataFrame([("deep", *c) for c in deep] + [("flat", "r", f"l{i}") for i in range(4)] + [("one", "p", "q")], schema)
+    rng = np.random.default_rng(2)
+    rows = []
+    for h, members, steps in (("deep", ["t", "a", "b", "a1", "a2", "b1", "x", "y", "z"], 7), ("flat", ["r", *[f"l{i}" for i in range(4)]], 3), ("one", ["p", "q"], 1)):
+        rows += [(h, m, s, float(rng.normal(10, 3))) for m in members for s in range(1, steps + 1) if (m, s) != ("b", 2)]
+    f = spark.createDataFrame(rows, "hierarchy_id string, series_id string, step int, mean double")
+    key = ["hierarchy_id", "series_id", "step"]
+    got = hi.optimal(e, f, "mint_shrink").toPandas().set_index(key)["mean"].sort_index()
+    want = hi.dense_projection(e, f, "mint_shrink").toPandas().set_index(key)["mean"].sort_index()
+    assert got.index.equals(want.index) and np.allclose(got, want, atol=1e-5)
+    sums = hi.level_sums(e, f).toPandas().set_index(key)["mean"].sort_index()
+    plain = hi.bottom_up(e, f).toPandas().set_index(key)["mean"].sort_index()
+    assert sums.index.equals(plain.index) and np.allclose(sums, plain)
+
+
 def test_shared_child_is_solved_densely(spark):
     e = spark.createDataFrame([("h", "p", "c"), ("h", "q", "c"), ("h", "p", "d")], "hierarchy_id string, parent string, child string")
     f = spark.createDataFrame([("h", s, 1, v) for s, v in (("p", 5.0), ("q", 3.0), ("c", 2.0), ("d", 1.0))], "hierarchy_id string, series_id string, step int, mean double")

@@ -149,20 +149,25 @@ def top_down(edges: DataFrame, forecast: DataFrame, proportions: DataFrame | Non
     return _aggregate(paths, leaf)
 
 
-def shrinkage(centred: np.ndarray) -> tuple[float, np.ndarray]:
-    """(weight of the diagonal, sample variances) of residuals with one row per member and one column per step.
+def shrunk_weight(inner: np.ndarray, variances_squared: float) -> float:
+    """Weight of the diagonal in the shrunk covariance, from the inner products between steps of the centred residuals and the
+    sum of the members' squared variances.
 
     The squared error of the sample covariance S around its one-step estimates c cT is expanded into sums that never
-    build S: |c|^4 - 2 cT S c + |S|^2, all of which follow from the small matrix of inner products between steps.
+    build S: |c|^4 - 2 cT S c + |S|^2.
     """
-    steps = centred.shape[1]
-    inner = centred.T @ centred
+    steps = len(inner)
     s_norm = float((inner**2).sum()) / (steps - 1) ** 2
     quadratic = float((inner**2).sum()) / (steps - 1)
     noise = float((np.diag(inner) ** 2).sum()) - 2 * quadratic + steps * s_norm
-    variances = (centred**2).sum(axis=1) / (steps - 1)
-    spread = s_norm - float((variances**2).sum())
-    return (min(max(noise / (spread * steps), 0.0), 1.0) if spread >= 1e-12 else 0.0), variances
+    spread = s_norm - variances_squared
+    return min(max(noise / (spread * steps), 0.0), 1.0) if spread >= 1e-12 else 0.0
+
+
+def shrinkage(centred: np.ndarray) -> tuple[float, np.ndarray]:
+    """(weight of the diagonal, sample variances) of residuals with one row per member and one column per step."""
+    variances = (centred**2).sum(axis=1) / (centred.shape[1] - 1)
+    return shrunk_weight(centred.T @ centred, float((variances**2).sum())), variances
 
 
 def _weighted(s: np.ndarray, residuals: np.ndarray, ridge: float = 1e-8) -> np.ndarray:
@@ -202,30 +207,31 @@ def is_tree(edges: DataFrame) -> bool:
 
 
 def tree_least_squares(edges: DataFrame, forecast: DataFrame) -> DataFrame:
-    """The least-squares projection of a tree, level by level, for hierarchies of any size.
+    """The least-squares projection of a tree, level by level, for hierarchies of any size. Rows may carry a `precision`.
 
-    Upwards every node gets the precision `a` and best value `m` of its total given its subtree: 1 and the
+    Upwards every node gets the precision `a` and best value `m` of its total given its subtree: its own and the
     forecast for a leaf; otherwise the children add up (means M, variances V = sum 1 / a) and the node's own
-    forecast counts once more. Downwards the gap between a node and its children's sum M is shared in
+    forecast counts with its precision (1 without one). Downwards the gap between a node and its children's sum M is shared in
     proportion to 1 / a. One join per level in each direction.
     """
     spark, edges = edges.sparkSession, acyclic(edges)
     lev = cut_lineage(spark, levels(edges, checked=True).join(nodes(edges).select(H, "series_id", "is_leaf"), [H, "series_id"]), "tree-levels")
     steps = forecast.select(H, "step").distinct()
-    base = lev.join(steps, H).join(forecast.select(H, "series_id", "step", "mean"), [H, "series_id", "step"], "left")
-    base = cut_lineage(spark, base.withColumn("mean", F.coalesce("mean", F.lit(0.0))), "tree-base")
+    own = F.col("precision") if "precision" in forecast.columns else F.lit(1.0)
+    base = lev.join(steps, H).join(forecast.select(H, "series_id", "step", "mean", own.alias("p")), [H, "series_id", "step"], "left")
+    base = cut_lineage(spark, base.withColumns({"mean": F.coalesce("mean", F.lit(0.0)), "p": F.coalesce("p", F.lit(1.0))}), "tree-base")
     deepest = lev.agg(F.max("depth")).first()[0]
     parent = edges.select(H, "parent", F.col("child").alias("series_id"))
     up: dict[int, DataFrame] = {}
     for d in range(deepest, -1, -1):
         here = base.where(F.col("depth") == d)
         if d == deepest:
-            level = here.select(H, "series_id", "step", F.lit(1.0).alias("a"), F.col("mean").alias("m"), F.lit(None).cast("double").alias("kid_mean"), F.lit(None).cast("double").alias("kid_var"))
+            level = here.select(H, "series_id", "step", F.col("p").alias("a"), F.col("mean").alias("m"), F.lit(None).cast("double").alias("kid_mean"), F.lit(None).cast("double").alias("kid_var"))
         else:
             kids = up[d + 1].join(parent, [H, "series_id"]).groupBy(H, F.col("parent").alias("series_id"), "step").agg(F.sum("m").alias("kid_mean"), F.sum(1 / F.col("a")).alias("kid_var"))
             j = here.join(kids, [H, "series_id", "step"], "left")
-            a = F.when(F.col("is_leaf"), 1.0).otherwise(1 + 1 / F.col("kid_var"))
-            m = F.when(F.col("is_leaf"), F.col("mean")).otherwise((F.col("mean") + F.col("kid_mean") / F.col("kid_var")) / a)
+            a = F.when(F.col("is_leaf"), F.col("p")).otherwise(F.col("p") + 1 / F.col("kid_var"))
+            m = F.when(F.col("is_leaf"), F.col("mean")).otherwise((F.col("p") * F.col("mean") + F.col("kid_mean") / F.col("kid_var")) / a)
             level = j.select(H, "series_id", "step", a.alias("a"), m.alias("m"), "kid_mean", "kid_var")
         up[d] = cut_lineage(spark, level, f"tree-up-{d}")
     done = up[0].select(H, "series_id", "step", F.col("m").alias("mean"), "kid_mean", "kid_var")
@@ -239,6 +245,133 @@ def tree_least_squares(edges: DataFrame, forecast: DataFrame) -> DataFrame:
     return out
 
 
+def level_sums(edges: DataFrame, forecast: DataFrame) -> DataFrame:
+    """Leaf forecasts of a tree summed up to every node (hierarchy_id, series_id, step, mean), one join per level."""
+    spark = edges.sparkSession
+    leaf = nodes(edges).where("is_leaf").select(H, "series_id")
+    placed = levels(edges, checked=True).join(leaf.withColumn("is_leaf", F.lit(True)), [H, "series_id"], "left")
+    base = cut_lineage(spark, placed.where("is_leaf").join(forecast.select(H, "series_id", "step", "mean"), [H, "series_id"]), "leaves")
+    deepest = placed.agg(F.max("depth")).first()[0] or 0
+    parent = edges.select(H, "parent", F.col("child").alias("series_id"))
+    cols = [H, "series_id", "step", "mean"]
+    out = here = base.where(F.col("depth") == deepest).select(*cols)
+    for d in range(deepest - 1, -1, -1):
+        sums = here.join(parent, [H, "series_id"]).groupBy(H, F.col("parent").alias("series_id"), "step").agg(F.sum("mean").alias("mean"))
+        here = cut_lineage(spark, sums.select(*cols).unionByName(base.where(F.col("depth") == d).select(*cols)), f"sums-{d}")
+        out = out.unionByName(here)
+    return out
+
+
+def _added(parts: DataFrame, *columns: str) -> DataFrame:
+    """Arrays of equal length per hierarchy, added up element by element."""
+    out = None
+    for c in columns:
+        one = parts.select(H, F.posexplode(c).alias("i", "v")).groupBy(H, "i").agg(F.sum("v").alias("v"))
+        one = one.groupBy(H).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("e")).select(H, F.transform("e", lambda e: e["v"]).alias(c))
+        out = one if out is None else out.join(one, H)
+    return out
+
+
+def _partial(work):
+    """One row of partial sums per batch and hierarchy: work(rows) gives arrays by name."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for h, own in pdf.groupby(H, sort=False):
+                rows.append({H: h, **{k: np.asarray(v, float).ravel().tolist() for k, v in work(own).items()}})
+            if rows:
+                yield pd.DataFrame(rows)
+
+    return run
+
+
+def _stack(own: pd.DataFrame, column: str) -> np.ndarray:
+    return np.stack([np.asarray(v, float) for v in own[column]])
+
+
+def tree_minimum_trace(edges: DataFrame, forecast: DataFrame, ridge: float = 1e-8) -> DataFrame:
+    """The shrinkage minimum-trace projection of trees of any size.
+
+    The shrunk covariance is a diagonal D plus U U' of rank `steps`, so by Woodbury's identity the projection is the tree's least
+    squares with precisions 1 / D, of the forecasts y and of the columns of U (Û), corrected by a small matrix Z:
+    y_D + Û Z, Z = -C^-1 q + (C - G)^-1 (r - G C^-1 q), with C = I + U'D^-1 U, G = U'D^-1 Û, q = U'D^-1 y and r = Û'D^-1 y.
+    Only sums over members of steps x steps numbers are gathered per hierarchy.
+    """
+    spark, edges = edges.sparkSession, acyclic(edges)
+    member = nodes(edges).select(H, "series_id")
+    steps = forecast.join(member, [H, "series_id"], "left_semi").select(H, "step").distinct()
+    grid = member.join(steps, H).join(forecast.select(H, "series_id", "step", "mean"), [H, "series_id", "step"], "left")
+    grid = cut_lineage(spark, grid.withColumn("mean", F.coalesce("mean", F.lit(0.0))), "members")
+    totals = level_sums(edges, grid).withColumnRenamed("mean", "total")
+    rest = grid.join(totals, [H, "series_id", "step"]).withColumn("r", F.col("mean") - F.col("total"))
+    packed = rest.groupBy(H, "series_id").agg(F.array_sort(F.collect_list(F.struct("step", "mean", "r"))).alias("e"), F.avg("r").alias("m"))
+    arrays = packed.select(
+        H, "series_id", F.transform("e", lambda e: e["step"]).alias("steps"), F.transform("e", lambda e: e["mean"]).alias("y"),
+        F.transform("e", lambda e: e["r"] - F.col("m")).alias("c"),
+    )
+    arrays = cut_lineage(spark, arrays, "residuals")
+
+    def inner(own):
+        c = _stack(own, "c")
+        return {"gram": c.T @ c, "square": [((c**2).sum(axis=1) ** 2).sum()]}
+
+    sums = _added(arrays.select(H, "c").mapInPandas(_partial(inner), f"{H} string, gram array<double>, square array<double>"), "gram", "square")
+
+    def weights(batches):
+        for pdf in batches:
+            found = []
+            for gram, square in zip(pdf["gram"], pdf["square"]):
+                n = int(round(np.sqrt(len(gram))))
+                found.append(shrunk_weight(np.asarray(gram, float).reshape(n, n), float(square[0]) / max(n - 1, 1) ** 2) if n > 1 else None)
+            yield pd.DataFrame({H: pdf[H], "w": pd.array(found, dtype="Float64")})
+
+    shrink = cut_lineage(spark, sums.mapInPandas(weights, f"{H} string, w double"), "shrinkage")
+    n = F.size("c")
+    variance = F.aggregate("c", F.lit(0.0), lambda a, x: a + x * x) / (n - 1)
+    scale = F.sqrt((1 - F.col("w")) / (n - 1))
+    # without two steps there is no covariance: plain least squares
+    plain = F.col("w").isNull()
+    state = arrays.join(shrink, H).select(
+        H, "series_id", "steps", "y", F.when(plain, F.lit(1.0)).otherwise(1 / (F.col("w") * variance + ridge)).alias("precision"),
+        F.when(plain, F.transform("c", lambda x: F.lit(0.0))).otherwise(F.transform("c", lambda x: x * scale)).alias("u"),
+    )
+    state = cut_lineage(spark, state, "state")
+    each = state.select(H, "series_id", "precision", F.explode(F.arrays_zip("steps", "y", "u")).alias("e"))
+    ys = each.select(H, "series_id", F.struct(F.lit(0).alias("kind"), F.col("e.steps").alias("s")).alias("step"), F.col("e.y").alias("mean"), "precision")
+    us = each.select(H, "series_id", F.struct(F.lit(1).alias("kind"), F.col("e.steps").alias("s")).alias("step"), F.col("e.u").alias("mean"), "precision")
+    fitted = tree_least_squares(edges, ys.unionByName(us))
+    both = fitted.groupBy(H, "series_id").agg(F.array_sort(F.collect_list(F.struct("step", "mean"))).alias("f"))
+    first = lambda kind: F.transform(F.filter("f", lambda e: e["step"]["kind"] == kind), lambda e: e["mean"])
+    full = cut_lineage(spark, state.join(both, [H, "series_id"]).select(H, "series_id", "steps", "y", "precision", "u", first(0).alias("yd"), first(1).alias("ud")), "fitted")
+
+    def products(own):
+        p = own["precision"].to_numpy(float)[:, None]
+        u, ud, y = _stack(own, "u"), _stack(own, "ud"), _stack(own, "y")
+        return {"c": u.T @ (p * u), "g": u.T @ (p * ud), "q": u.T @ (p * y), "r": ud.T @ (p * y)}
+
+    names = ("c", "g", "q", "r")
+    ddl = f"{H} string, " + ", ".join(f"{k} array<double>" for k in names)
+    small = _added(full.mapInPandas(_partial(products), ddl), *names)
+
+    def corrections(batches):
+        for pdf in batches:
+            out = []
+            for c, g, q, r in zip(*(pdf[k] for k in names)):
+                t = int(round(np.sqrt(len(c))))
+                c, g, q, r = (np.asarray(x, float).reshape(t, t) for x in (c, g, q, r))
+                c = np.eye(t) + c
+                cq = np.linalg.solve(c, q)
+                z = -cq + np.linalg.solve(c - (g + g.T) / 2, r - g @ cq)
+                out.append(z.tolist())
+            yield pd.DataFrame({H: pdf[H], "z": out})
+
+    z = small.mapInPandas(corrections, f"{H} string, z array<array<double>>")
+    row = full.join(z, H).select(H, "series_id", "ud", "z", F.explode(F.arrays_zip("steps", "yd", F.sequence(F.lit(0), F.size("steps") - 1).alias("k"))).alias("e"))
+    moved = F.aggregate(F.zip_with("ud", "z", lambda a, b: a * F.get(b, F.col("e.k"))), F.lit(0.0), lambda a, x: a + x)
+    return row.select(H, "series_id", F.col("e.steps").alias("step"), (F.col("e.yd") + moved).alias("mean"))
+
+
 def dense_projection(edges: DataFrame, forecast: DataFrame, method: str) -> DataFrame:
     """Projection by one dense solve per hierarchy; hierarchies are solved in parallel."""
     member = nodes(edges).select(H, "series_id")
@@ -253,12 +386,12 @@ def dense_projection(edges: DataFrame, forecast: DataFrame, method: str) -> Data
 def optimal(edges: DataFrame, forecast: DataFrame, method: str = "ols") -> DataFrame:
     """Least-squares (`ols`) or shrinkage minimum-trace (`mint_shrink`) projection.
 
-    Trees take the level-by-level least squares; `mint_shrink`, whose covariance couples all nodes, and
-    members with several parents need a dense solve of the size of one hierarchy.
+    Trees are solved level by level; members with several parents need a dense solve of the size of one hierarchy.
     """
-    if method == "ols" and is_tree(edges):
+    if is_tree(edges):
         member = nodes(edges).select(H, "series_id")
-        return tree_least_squares(edges, forecast.join(member, [H, "series_id"], "left_semi"))
+        known = forecast.join(member, [H, "series_id"], "left_semi")
+        return tree_least_squares(edges, known) if method == "ols" else tree_minimum_trace(edges, known)
     return dense_projection(edges, forecast, method)
 
 

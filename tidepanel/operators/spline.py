@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidepanel.operators.blocks import BLOCK_ROWS, attach, halo, nearest_valid, number_rows, per_series
+from tidepanel.operators.smoothing import smooth_points, solve_bands
 
 KNOTS_PER_SOLVE = 4096
 # The influence of a knot on the curvature of another falls by at least half per knot in between,
@@ -22,20 +23,17 @@ def curvatures(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     h, n = np.diff(x), len(x)
     slope = np.diff(y) / h
     rhs = 6 * np.diff(slope)
-    lo, di, up = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
+    bands = np.zeros((3, n - 2))
+    bands[1] = 2 * (h[:-1] + h[1:])
+    bands[2, :-1] = bands[0, 1:] = h[1:-1]
     a, b = h[0] / h[1], h[-1] / h[-2]
-    di[0] += h[0] * (1 + a)
-    up[0] -= h[0] * a
-    di[-1] += h[-1] * (1 + b)
-    lo[-1] -= h[-1] * b
+    bands[1, 0] += h[0] * (1 + a)
+    bands[1, -1] += h[-1] * (1 + b)
+    if n > 3:
+        bands[2, 0] -= h[0] * a
+        bands[0, -1] -= h[-1] * b
     m = np.empty(n)
-    for i in range(1, n - 2):  # forward elimination
-        w = lo[i] / di[i - 1]
-        di[i] -= w * up[i - 1]
-        rhs[i] -= w * rhs[i - 1]
-    m[n - 2] = rhs[-1] / di[-1]
-    for i in range(n - 4, -1, -1):
-        m[i + 1] = (rhs[i] - up[i] * m[i + 2]) / di[i]
+    m[1:-1] = solve_bands(bands, rhs[:, None])[:, 0]
     m[0] = m[1] * (1 + a) - m[2] * a
     m[-1] = m[-2] * (1 + b) - m[-3] * b
     return m
@@ -133,14 +131,24 @@ def uniform_interior(n: int, count: int) -> np.ndarray:
     return np.linspace(1, n - 2, max(1, min(count, n // 4)))
 
 
-def _normal_block(count: int, degree: int):
+def even_knots(n: int, segments: int, degree: int) -> np.ndarray:
+    """Knots evenly spaced over the series and `degree` steps beyond, as a difference penalty needs them."""
+    return (np.arange(-degree, segments + degree + 1) / segments) * (n - 1.0)
+
+
+def segments_of(n: int, count: int) -> int:
+    return max(2, min(count, n // 2))
+
+
+def _normal_block(count: int, degree: int, penalised: bool):
     """Partial normal equations of one block of one series."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["n"].iloc[0])
         inner = pdf["interior"].iloc[0]
         interior = uniform_interior(n, count) if inner is None else np.asarray(inner, float)
-        b = basis(pdf["pos"].to_numpy(float), knot_vector(n, interior, degree), degree)
+        knots = even_knots(n, segments_of(n, count), degree) if penalised else knot_vector(n, interior, degree)
+        b = basis(pdf["pos"].to_numpy(float), knots, degree)
         y = pdf["y"].to_numpy(float)
         return pd.DataFrame(
             {
@@ -149,29 +157,66 @@ def _normal_block(count: int, degree: int):
                 "interior": [interior.tolist()],
                 "gram": [(b.T @ b).ravel().tolist()],
                 "rhs": [(b.T @ y).tolist()],
+                "squares": [float(y @ y)],
+                "points": [len(y)],
             }
         )
 
     return run
 
 
-def _polynomials(degree: int):
-    """Solve the summed equations; return break points and local power coefficients per interval."""
+def penalised(gram: np.ndarray, rhs: np.ndarray, squares: float, points: int) -> tuple[np.ndarray, float]:
+    """(coefficients, penalty) with second differences of the coefficients penalised, the penalty by generalised
+    cross-validation: a grid of quarter decades, then golden sections around the best of it."""
+    k = len(rhs)
+    d = np.diff(np.eye(k), 2, axis=0)
+    p = d.T @ d
+    unit = np.trace(gram) / np.trace(p)
+
+    def fit(e: float) -> tuple[float, np.ndarray]:
+        both = np.linalg.solve(gram + unit * 10**e * p, np.column_stack([rhs, gram]))
+        c = both[:, 0]
+        rest = max(squares - 2 * c @ rhs + c @ gram @ c, 0.0)
+        free = max(points - np.trace(both[:, 1:]), 1e-9)
+        return points * rest / free**2, c
+
+    exponents = np.arange(-24, 33) / 4
+    best = exponents[int(np.argmin([fit(e)[0] for e in exponents]))]
+    low, high, golden = best - 0.25, best + 0.25, (np.sqrt(5) - 1) / 2
+    for _ in range(40):
+        a, b = high - golden * (high - low), low + golden * (high - low)
+        low, high = (low, b) if fit(a)[0] <= fit(b)[0] else (a, high)
+    e = (low + high) / 2
+    return fit(e)[1], float(unit * 10**e)
+
+
+def _pieces(knots: np.ndarray, coef: np.ndarray, degree: int, n: int) -> tuple[list[float], list[list[float]]]:
+    """Break points and local power coefficients of a B-spline on [0, n - 1]."""
+    cuts = np.unique(knots[degree : len(knots) - degree])
+    pieces = []
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        xs = lo + (hi - lo) * (np.arange(degree + 1) + 0.5) / (degree + 1)
+        v = basis(xs, knots, degree) @ coef
+        pieces.append(np.linalg.solve(np.vander(xs - lo, increasing=True), v).tolist())
+    return cuts[:-1].tolist(), pieces
+
+
+def _polynomials(degree: int, count: int | None = None):
+    """Solve the summed equations; return break points and local power coefficients per interval. With `count` segments the
+    coefficients are penalised."""
 
     def run(batches):
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                knots = knot_vector(int(r.n), np.asarray(r.interior, float), degree)
-                k = len(knots) - degree - 1
-                coef = np.linalg.lstsq(np.asarray(r.gram, float).reshape(k, k), np.asarray(r.rhs, float), rcond=None)[0]
-                cuts = np.unique(knots)
-                pieces = []
-                for lo, hi in zip(cuts[:-1], cuts[1:]):
-                    xs = lo + (hi - lo) * (np.arange(degree + 1) + 0.5) / (degree + 1)
-                    v = basis(xs, knots, degree) @ coef
-                    pieces.append(np.linalg.solve(np.vander(xs - lo, increasing=True), v).tolist())
-                rows.append((r.series_id, int(r.n), cuts[:-1].tolist(), pieces))
+                n, rhs = int(r.n), np.asarray(r.rhs, float)
+                gram = np.asarray(r.gram, float).reshape(len(rhs), len(rhs))
+                if count:
+                    knots, coef = even_knots(n, segments_of(n, count), degree), penalised(gram, rhs, float(r.squares), int(r.points))[0]
+                else:
+                    knots = knot_vector(n, np.asarray(r.interior, float), degree)
+                    coef = np.linalg.lstsq(gram, rhs, rcond=None)[0]
+                rows.append((r.series_id, n, *_pieces(knots, coef, degree, n)))
             yield pd.DataFrame(rows, columns=["series_id", "n", "breaks", "pieces"])
 
     return run
@@ -180,11 +225,11 @@ def _polynomials(degree: int):
 FIT_SCHEMA = "series_id string, n long, breaks array<double>, pieces array<array<double>>"
 
 
-def _lsq(panel: DataFrame, num_knots: int, degree: int) -> DataFrame:
+def _lsq(panel: DataFrame, num_knots: int, degree: int, penalty: bool = False) -> DataFrame:
     blocked = panel.where(F.col("y").isNotNull()).withColumn("b", F.floor(F.col("pos") / BLOCK_ROWS))
     parts = blocked.select("series_id", "n", "pos", "y", "interior", "b").groupBy("series_id", "b").applyInPandas(
-        _normal_block(num_knots, degree),
-        "series_id string, n long, interior array<double>, gram array<double>, rhs array<double>",
+        _normal_block(num_knots, degree, penalty),
+        "series_id string, n long, interior array<double>, gram array<double>, rhs array<double>, squares double, points long",
     )
     # One small array per block; the sum runs over blocks, element by element.
     def total(col: str) -> DataFrame:
@@ -195,16 +240,57 @@ def _lsq(panel: DataFrame, num_knots: int, degree: int) -> DataFrame:
             .select("series_id", F.transform("e", lambda s: s.v).alias(col))
         )
 
-    shape = parts.groupBy("series_id").agg(F.max("n").alias("n"), F.first("interior").alias("interior"))
-    return shape.join(total("gram"), "series_id").join(total("rhs"), "series_id").mapInPandas(_polynomials(degree), FIT_SCHEMA)
+    shape = parts.groupBy("series_id").agg(
+        F.max("n").alias("n"), F.first("interior").alias("interior"), F.sum("squares").alias("squares"), F.sum("points").alias("points")
+    )
+    solve = _polynomials(degree, num_knots if penalty else None)
+    return shape.join(total("gram"), "series_id").join(total("rhs"), "series_id").mapInPandas(solve, FIT_SCHEMA)
+
+
+STRATEGIES = ("uniform", "curvature", "pspline")
+SEGMENTS = 40  # of a penalised spline
+
+
+def _short_fit(degree: int, factor: float):
+    """Pieces of series with few points: the smoothing spline, or straight lines between fewer than degree + 1 points."""
 
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                x, y = (np.array([p[c] for p in r.points], float) for c in ("pos", "y"))
+                gamma = np.zeros(len(x))
+                if len(x) > degree:
+                    y, gamma, _ = smooth_points(x, y, factor * len(x))
+                pieces = []
+                for x0, x1, f0, f1, g0, g1 in zip(x, x[1:], y, y[1:], gamma, gamma[1:]):
+                    h = x1 - x0
+                    pieces.append([f0, (f1 - f0) / h - h * (2 * g0 + g1) / 6, g0 / 2, (g1 - g0) / (6 * h)])
+                if len(pieces) and gamma.any():  # natural ends go on straight
+                    slope = (y[-1] - y[-2]) / (x[-1] - x[-2]) + (x[-1] - x[-2]) * (gamma[-2] + 2 * gamma[-1]) / 6
+                    first = pieces[0][:2]
+                    pieces = [[first[0] - first[1], first[1]], *pieces, [y[-1], slope]]
+                    x = np.concatenate([[x[0] - 1], x])
+                else:
+                    pieces = [p[:2] for p in pieces] or [[float(y[0])]]
+                    x = x[: len(pieces)]
+                rows.append((r.series_id, int(r.n), x.tolist(), pieces))
+            yield pd.DataFrame(rows, columns=["series_id", "n", "breaks", "pieces"])
+
+    return run
 
-def fit(panel: DataFrame, num_knots: int = 10, degree: int = 3, strategy: str = "uniform") -> DataFrame:
-    """Least-squares spline per series as (series_id, n, breaks, pieces).
 
-    Series too short for interior knots (up to 2 * (degree + 1) valid points) get the straight
-    least-squares line. `curvature` moves the knots to where a first fit bends most.
+def fit(panel: DataFrame, num_knots: int | None = None, degree: int = 3, strategy: str = "uniform", factor: float = 0.5) -> DataFrame:
+    """Spline per series as (series_id, n, breaks, pieces).
+
+    `uniform`: least squares with num_knots (10) inner knots; `curvature` moves them to where a first fit bends most; `pspline`:
+    num_knots (40) even segments whose coefficients are penalised by their second differences, the penalty by generalised
+    cross-validation. Normal equations are summed over blocks of a series. Series of up to 2 * (degree + 1) valid points get the
+    smoothing spline whose squared residuals are `factor` times their number, those of up to `degree` straight lines.
     """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy must be one of {STRATEGIES}")
+    num_knots = num_knots or (SEGMENTS if strategy == "pspline" else 10)
     sized = per_series(panel, F.count("y").alias("_valid"))
     base = attach(panel, sized)
     long = base.where(F.col("_valid") > 2 * (degree + 1)).drop("_valid").withColumn("interior", F.lit(None).cast("array<double>"))
@@ -214,19 +300,10 @@ def fit(panel: DataFrame, num_knots: int = 10, degree: int = 3, strategy: str =
         first = _lsq(long.withColumn("interior", spaced), num_knots, degree)
         moved = first.mapInPandas(_bent_knots(num_knots), "series_id string, n long, interior array<double>")
         long = attach(long.drop("interior"), moved)
-    fitted = _lsq(long, num_knots, degree)
-    line = per_series(
-        base.where(F.col("_valid") <= 2 * (degree + 1)),
-        F.coalesce(F.regr_slope("y", "pos"), F.lit(0.0)).alias("b"),
-        F.avg("y").alias("my"),
-        F.avg("pos").alias("mx"),
-    ).select(
-        "series_id",
-        "n",
-        F.array(F.lit(0.0)).alias("breaks"),
-        F.array(F.array(F.col("my") - F.col("b") * F.col("mx"), F.col("b"))).alias("pieces"),
-    )
-    return fitted.unionByName(line)
+    fitted = _lsq(long, num_knots, degree, strategy == "pspline")
+    few = base.where((F.col("_valid") <= 2 * (degree + 1)) & F.col("y").isNotNull())
+    points = few.groupBy("series_id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "y"))).alias("points"))
+    return fitted.unionByName(points.mapInPandas(_short_fit(degree, factor), FIT_SCHEMA))
 
 
 def _bent_knots(num_knots: int):

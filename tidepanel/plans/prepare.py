@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidepanel.operators import clean, scale, windows as wn
+from tidepanel.operators import clean, scale, spline, windows as wn
 from tidepanel.operators.blocks import attach
+from tidepanel.operators.smoothing import smoothing_spline
 
 
 def prepare_panel(
@@ -28,7 +29,14 @@ def prepare_panel(
     good = checks.where("ok").select("series_id")
     kept = attach(panel, good.join(panel.groupBy("series_id").agg(F.max("n").alias("n")), "series_id"))
     filled = clean.impute(kept, fill)
-    smooth = filled.withColumn("smooth", F.col("y")) if smoothing == "pspline" else wn.savgol(filled, smoothing_window)
+    if smoothing == "pspline":
+        smooth = spline.evaluate(attach(filled, spline.fit(filled, strategy="pspline")), out="smooth").drop("breaks", "pieces")
+    elif smoothing == "smoothing_spline":
+        smooth = smoothing_spline(filled).withColumnRenamed("fitted", "smooth").drop("residual", "lam")
+    elif smoothing == "legacy":
+        smooth = wn.savgol(filled, smoothing_window)
+    else:
+        raise ValueError("smoothing must be legacy, pspline or smoothing_spline")
     base = smooth.withColumnRenamed("y", "interpolated").withColumnRenamed("smooth", "y").withColumn(
         "part", wn.split_label(train_ratio, val_ratio)
     )

@@ -217,7 +217,8 @@ def f26_reconcile_ols(spark, sf):
     return r.select("series_id", "step", F.round("mean", 2).alias("mean"))
 
 
-@query("f27_reconcile_mint")
+# a leaf has no incoherence, so its variance is the ridge alone: it keeps its forecast, and members are nested sums
+@query("f27_reconcile_mint", GEO + " SELECT ancestor AS series_id, step, round(sum(mean), 2) AS mean FROM clo JOIN fcb ON series_id = leaf GROUP BY 1, 2")
 def f27_reconcile_mint(spark, sf):
     r = hi.reconcile(geo_edges(spark, sf), geo_forecast(spark, sf), "mint_shrink")
     return r.select("series_id", "step", F.round("mean", 2).alias("mean"))

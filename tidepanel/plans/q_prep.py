@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.operators import clean, folds, scale, spline, windows as wn
 from tidepanel.operators.blocks import attach, number_rows, per_series
+from tidepanel.operators.smoothing import smoothing_spline
 from tidepanel.plans import panels as pn
 from tidepanel.plans.catalog import query
 from tidepanel.session import table
@@ -251,6 +252,33 @@ def r08_spline_fit(spark, sf):
     return out(spline.fitted(panel, fits), "fitted", "slope", "residual", digits=3)
 
 
+# straight lines are not penalised, so the fit keeps the sum and the first moment of the data
+@query("r08_pspline", OD + " SELECT series_id, n, round(sum(y) / n, 2) AS mean, round(sum(y * pos) / sum(pos), 2) AS moment FROM panel GROUP BY 1, 2")
+def r08_pspline(spark, sf):
+    panel = pn.orders_daily(spark, sf)
+    rows = spline.fitted(panel, spline.fit(panel, strategy="pspline"))
+    return rows.groupBy("series_id", "n").agg(
+        F.round(F.sum("fitted") / F.col("n"), 2).alias("mean"), F.round(F.sum(F.col("fitted") * F.col("pos")) / F.sum("pos"), 2).alias("moment")
+    )
+
+
+# a natural spline keeps both as well; its squared residuals meet the target, or are those of the straight line
+@query(
+    "r08_smoothing_spline",
+    OD + ", z AS (SELECT series_id, pos, n, y / avg(y) OVER (PARTITION BY series_id) AS y FROM panel)"
+    " SELECT series_id, n, round(sum(y) / n, 6) AS mean, round(sum(y * pos) / sum(pos), 6) AS moment,"
+    " round(least(0.1, regr_syy(y, pos) * (1 - regr_r2(y, pos)) / n), 5) AS variance FROM z GROUP BY 1, 2",
+)
+def r08_smoothing_spline(spark, sf):
+    panel = pn.orders_daily(spark, sf)
+    level = attach(panel, panel.groupBy("series_id").agg(F.max("n").alias("n"), F.avg("y").alias("_m"))).withColumn("y", F.col("y") / F.col("_m"))
+    rows = smoothing_spline(level.drop("_m"), factor=0.1)
+    return rows.groupBy("series_id", "n").agg(
+        F.round(F.sum("fitted") / F.col("n"), 6).alias("mean"), F.round(F.sum(F.col("fitted") * F.col("pos")) / F.sum("pos"), 6).alias("moment"),
+        F.round(F.sum(F.col("residual") * F.col("residual")) / F.col("n"), 5).alias("variance"),
+    )
+
+
 @query("r08_spline_extrapolate")
 def r08_spline_extrapolate(spark, sf):
     fits = spline.fit(pn.orders_daily(spark, sf))
