@@ -73,7 +73,7 @@ def boundaries(data: np.ndarray, starts: list[int], ends: list[int], o: ChunkOpt
 
 
 def fingerprints(texts: list[bytes], o: ChunkOptions) -> list[dict[int, int]]:
-    """For each text the distinct chunk digests (32 bits) with their chunk lengths."""
+    """For each text the distinct chunk digests (64 bits) with their chunk lengths."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     if not len(data):
@@ -83,7 +83,7 @@ def fingerprints(texts: list[bytes], o: ChunkOptions) -> list[dict[int, int]]:
     lengths = np.diff(at, append=len(data))
     offset = np.arange(len(data)) - np.repeat(at, lengths)
     sums = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * POWERS[offset], at)
-    digests = (mix64(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).tolist()
+    digests = mix64(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).tolist()
     lengths = lengths.tolist()
     out, k = [], 0
     for n in counts:
@@ -92,9 +92,33 @@ def fingerprints(texts: list[bytes], o: ChunkOptions) -> list[dict[int, int]]:
     return out
 
 
+ENTRY = 10  # bytes of a chunk: 8 of the digest, 2 of the length
+
+
+def as_bytes(found: dict[int, int]) -> bytes:
+    """Chunks by ascending digest."""
+    return b"".join([(d << 16 | found[d]).to_bytes(ENTRY, "big") for d in sorted(found)])
+
+
 def as_text(found: dict[int, int]) -> str:
-    """12 hexadecimal digits for each chunk, ascending: 8 of the digest, 4 of the length."""
-    return b"".join([(d << 16 | found[d]).to_bytes(6, "big") for d in sorted(found)]).hex()
+    """20 hexadecimal digits for each chunk, ascending: 16 of the digest, 4 of the length."""
+    return as_bytes(found).hex()
+
+
+def changes(own: dict[int, int], other: dict[int, int]) -> bytes:
+    """What leads from one fingerprint to another: count and places of chunks that go, then the chunks that come."""
+    gone = np.array([k for k, d in enumerate(sorted(own)) if other.get(d) != own[d]], ">u4")
+    return len(gone).to_bytes(4, "big") + np.diff(gone, prepend=0).astype(">u4").tobytes() + as_bytes({d: n for d, n in other.items() if own.get(d) != n})
+
+
+def changed(own: bytes, by: bytes) -> bytes:
+    """The other fingerprint, from one and the changes that lead to it."""
+    n = int.from_bytes(by[:4], "big")
+    keep = np.ones(len(own) // ENTRY, bool)
+    keep[np.cumsum(np.frombuffer(by, ">u4", n, 4).astype(np.int64))] = False
+    entries = [own[k * ENTRY : k * ENTRY + ENTRY] for k in np.flatnonzero(keep).tolist()]
+    rest = by[4 + 4 * n :]
+    return b"".join(sorted(entries + [rest[k : k + ENTRY] for k in range(0, len(rest), ENTRY)]))
 
 
 def likeness(a: dict[int, int], b: dict[int, int]) -> float:
@@ -115,20 +139,22 @@ def edited(text: str, following: str) -> str:
 
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: As staged: the fingerprint as bytes, the edited one as changes to it.
+STAGED = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _rows(ids: list, texts: list[str], o: ChunkOptions) -> list[pa.Array]:
     """Result columns of all texts but the last, each with the text after it."""
-    changed = [edited(t, f).encode() for t, f in zip(texts, texts[1:])]
+    after = [edited(t, f).encode() for t, f in zip(texts, texts[1:])]
     prints = fingerprints([t.encode() for t in texts], o)
-    changed_prints = fingerprints(changed, o)
+    after_prints = fingerprints(after, o)
     return [
         pa.array(ids[:-1], pa.int64()),
         pa.array([len(t) for t in texts[:-1]], pa.int64()),
-        pa.array([hashlib.sha256(c).hexdigest() for c in changed], pa.string()),
-        pa.array([as_text(p) for p in prints[:-1]], pa.string()),
-        pa.array([as_text(p) for p in changed_prints], pa.string()),
-        pa.array([likeness(p, c) for p, c in zip(prints, changed_prints)], pa.float64()),
+        pa.array([hashlib.sha256(c).digest() for c in after], pa.binary()),
+        pa.array([as_bytes(p) for p in prints[:-1]], pa.binary()),
+        pa.array([changes(p, c) for p, c in zip(prints, after_prints)], pa.binary()),
+        pa.array([likeness(p, c) for p, c in zip(prints, after_prints)], pa.float64()),
         pa.array([likeness(p, f) for p, f in zip(prints, prints[1:])], pa.float64()),
     ]
 
@@ -137,7 +163,7 @@ def _walk(o: ChunkOptions):
     """Rows of one partition, in order; its first and last text wait for the neighbouring partitions."""
 
     def edge(kind: str, part: int, doc_id, text: str) -> pa.RecordBatch:
-        empty = [pa.array([doc_id], pa.int64())] + [pa.nulls(1, k) for k in (pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64())]
+        empty = [pa.array([doc_id], pa.int64())] + [pa.nulls(1, k) for k in (pa.int64(), *[pa.binary()] * 3, pa.float64(), pa.float64())]
         return pa.RecordBatch.from_arrays([*empty, pa.array([kind]), pa.array([part], pa.int32()), pa.array([text])], names=[*NAMES, "kind", "part", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,6 +195,17 @@ def _edges(o: ChunkOptions):
     return run
 
 
+def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Staged rows as hexadecimal text."""
+    for batch in slices(batches, "fingerprint"):
+        own, by, sums = (batch.column(c).to_pylist() for c in ("fingerprint", "edited_fingerprint", "edited_sha256"))
+        columns = {c: batch.column(c) for c in NAMES}
+        columns["edited_sha256"] = pa.array([x.hex() for x in sums], pa.string())
+        columns["fingerprint"] = pa.array([x.hex() for x in own], pa.string())
+        columns["edited_fingerprint"] = pa.array([changed(x, y).hex() for x, y in zip(own, by)], pa.string())
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=NAMES)
+
+
 def fingerprint_documents(spark: SparkSession, docs: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
@@ -179,10 +216,10 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame, options: ChunkOp
     """
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     ordered = plain_documents(docs).repartitionByRange(*order).sortWithinPartitions(order[0], "text")
-    walked = staged(spark, ordered.mapInArrow(_walk(options), SCHEMA + ", kind string, part int, text string"), "chunks")
+    walked = staged(spark, ordered.mapInArrow(_walk(options), STAGED + ", kind string, part int, text string"), "chunks")
     heads = walked.filter("kind = 'head'").select(F.col("part").alias("next_part"), F.col("text").alias("following"))
     tails = walked.filter("kind = 'tail'").select("part", "doc_id", "text")
     everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     turn = tails.select("part").withColumn("next_part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.first("part").over(everything)))
     pairs = tails.join(turn, "part").join(heads, "next_part").select("doc_id", "text", "following")
-    return walked.filter("kind = 'row'").select(*NAMES).unionByName(pairs.mapInArrow(_edges(options), SCHEMA))
+    return walked.filter("kind = 'row'").select(*NAMES).unionByName(pairs.mapInArrow(_edges(options), STAGED)).mapInArrow(_written, SCHEMA)
