@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidepanel.functions.numeric import clip, ratio
 from tidepanel.operators.analysis import autocorrelation
 from tidepanel.operators.blocks import attach, framed, per_series
-from tidepanel.operators.forecast import last_value
+from tidepanel.operators.forecast import NATIVE, GroupedModel, local_model
 from tidepanel.operators.windows import truncate_context
 
 SEASON_LAGS = (7, 12, 24, 30)
-CONTEXT = 512  # points a model sees; points before them cannot influence it and get no row
 
 
 def top(df: DataFrame, k: int, *order) -> DataFrame:
@@ -114,54 +114,127 @@ def history_shares(panel: DataFrame, forecast: DataFrame) -> DataFrame:
     )
 
 
-def _mean_forecast(rows: DataFrame, predict: Callable[..., DataFrame], horizon: int, keys: list[str], out: str) -> DataFrame:
-    return predict(rows, horizon, keys=keys).groupBy(*keys).agg(F.avg("mean").alias(out))
+# ---- occlusion and permutation ------------------------------------------------------------------
+#
+# The mean forecast of a native model is a weighted sum of the history, so changing some points moves it by the sum of their
+# weights times the changes: no variant is ever forecast. Any other model is asked inside the task that holds the series.
 
 
-def occlusion(
-    panel: DataFrame, window: int = 5, horizon: int = 1, predict: Callable[..., DataFrame] = last_value, context: int = CONTEXT
-) -> DataFrame:
-    """(series_id, pos, importance): change of the mean forecast when a window is set to the mean.
+def _last_value_weight(horizon: int) -> Column:
+    return (F.col("pos") == F.col("n") - 1).cast("double")
+
+
+def _seasonal_naive_weight(horizon: int, season: int = 7) -> Column:
+    m = F.when(F.col("n") >= season, F.lit(season)).otherwise(F.lit(1))
+    first = F.col("pos") - (F.col("n") - m) + 1
+    times = F.when((first >= 1) & (first <= horizon), F.floor((horizon - first) / m) + 1).otherwise(0)
+    return times / F.lit(float(horizon))
+
+
+def _linear_trend_weight(horizon: int) -> Column:
+    n = F.col("n").cast("double")
+    spread = n * (n * n - 1) / 12
+    ahead = n - 1 + (horizon + 1) / 2 - (n - 1) / 2
+    return F.when(n == 1, 1.0).otherwise(1 / n + ahead * (F.col("pos") - (n - 1) / 2) / spread)
+
+
+WEIGHTS: dict[str, Callable[[int], Column]] = {
+    "last_value": _last_value_weight,
+    "seasonal_naive": _seasonal_naive_weight,
+    "linear_trend": _linear_trend_weight,
+}
+
+
+def _named(predict: str | GroupedModel | Callable) -> str | GroupedModel:
+    """A native forecaster by its name; names and per-series models as they are."""
+    if isinstance(predict, str | GroupedModel):
+        return predict
+    for name, fn in NATIVE.items():
+        if fn is predict:
+            return name
+    raise TypeError("predict must be a native model or a per-series model (GroupedModel)")
+
+
+def _asked(panel: DataFrame, model: str | GroupedModel, horizon: int, variants: Callable) -> DataFrame:
+    """(series_id, pos, _raw): variants(series, y) yields (positions, copies of y with changes, share); the mean change of a model's
+    mean forecast goes to those positions. Each series travels once and its variants live inside the task."""
+    model = local_model(model) if isinstance(model, str) else model
+    call, fn = type(model)._call, model.fn
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        series, y, pos = pdf["series_id"].iloc[0], pdf["y"].to_numpy(float), pdf["pos"].to_numpy()
+        stamps = pdf["ts"].to_numpy()
+        raw = np.zeros(len(y))
+
+        def mean(values: np.ndarray) -> float:
+            request = {
+                "keys": {"series_id": series}, "freq": None, "timestamps": stamps, "target": values, "past_covariates": {}, "future_covariates": {},
+                "static": {}, "horizon": horizon, "quantiles": [],
+            }
+            return float(np.mean(np.asarray(call(fn, request)["mean"], float)))
 
-    One variant per window of the last `context` points; `pos` counts from the start of the context.
+        base = mean(y)
+        for at, changed, share in variants(series, y):
+            raw[at] += abs(mean(changed) - base) * share
+        return pd.DataFrame({"series_id": series, "pos": pos, "n": len(y), "_raw": raw})
+
+    ts = F.col("ts") if "ts" in panel.columns else F.lit(None).cast("timestamp")
+    rows = panel.select("series_id", "pos", "y", ts.alias("ts"))
+    return rows.groupBy("series_id").applyInPandas(run, "series_id string, pos long, n long, _raw double")
+
+
+def occlusion(panel: DataFrame, window: int = 5, horizon: int = 1, predict: str | GroupedModel = "last_value", context: int | None = None) -> DataFrame:
+    """(series_id, pos, importance): change of the mean forecast when a window is set to the mean of the series.
+
+    `predict` is a native model's name or a per-series model. `context` keeps the last points only; `pos` counts from its start.
     """
-    panel = truncate_context(panel, context)
-    base = attach(panel.select("series_id", "pos", "n", "y"), per_series(panel, F.avg("y").alias("_m")))
-    count = F.ceil(F.col("n") / window).cast("long")
-    variants = base.select("*", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("variant")).withColumn(
-        "y", F.when(F.floor(F.col("pos") / window) == F.col("variant"), F.col("_m")).otherwise(F.col("y"))
-    )
-    moved = _mean_forecast(variants, predict, horizon, ["variant", "series_id"], "_v")
-    ref = _mean_forecast(base, predict, horizon, ["series_id"], "_b")
-    change = moved.join(ref, "series_id").select("series_id", "variant", F.abs(F.col("_v") - F.col("_b")).alias("change"))
-    width = F.least(F.lit(window), F.col("n") - F.col("variant") * window)
-    rows = base.withColumn("variant", F.floor(F.col("pos") / window)).join(change, ["series_id", "variant"]).withColumn(
-        "_raw", F.col("change") / width
-    )
-    return _normalised(rows)
+    panel, predict = truncate_context(panel, context) if context else panel, _named(predict)
+    if isinstance(predict, str) and predict in WEIGHTS:
+        base = attach(panel.select("series_id", "pos", "n", "y"), per_series(panel, F.avg("y").alias("_m")))
+        moved = base.withColumn("_d", WEIGHTS[predict](horizon) * (F.col("_m") - F.col("y"))).withColumn("_w", F.floor(F.col("pos") / window))
+        change = moved.groupBy("series_id", "_w").agg(F.max("n").alias("n"), F.abs(F.sum("_d")).alias("_c"), F.count(F.lit(1)).alias("_k"))
+        rows = change.select("series_id", "n", (F.col("_c") / F.col("_k")).alias("_raw"), F.explode(F.sequence(F.col("_w") * window, F.col("_w") * window + F.col("_k") - 1)).alias("pos"))
+        return _normalised(rows)
+
+    def variants(series: str, y: np.ndarray):
+        for a in range(0, len(y), window):
+            changed = y.copy()
+            changed[a : a + window] = y.mean()
+            yield slice(a, a + window), changed, 1 / len(changed[a : a + window])
+
+    return _normalised(_asked(panel, predict, horizon, variants))
+
+
+def drawn(seed: int, size: Column, *parts: Column | str) -> Column:
+    """A whole number from 0 to size - 1 drawn by hashing seed and parts; any engine with MD5 draws the same."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), size)
 
 
 def permutation(
-    panel: DataFrame, repeats: int = 5, horizon: int = 1, seed: int = 42, predict: Callable[..., DataFrame] = last_value, context: int = CONTEXT
+    panel: DataFrame, repeats: int = 5, horizon: int = 1, seed: int = 42, predict: str | GroupedModel = "last_value", context: int | None = None
 ) -> DataFrame:
-    """(series_id, pos, importance): mean change of the forecast when one of the last `context` points is
-    replaced by a random value among them, `repeats` times. Draws are hashed from (seed, series, point, repeat)."""
-    panel = truncate_context(panel, context)
-    base = panel.select("series_id", "pos", "n", "y")
-    plan = base.select(
-        "series_id", "n", F.col("pos").alias("at"), F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep")
-    ).withColumn("pos", F.pmod(F.xxhash64(F.lit(seed), "series_id", "at", "rep"), F.col("n")))
-    draws = plan.join(base.select("series_id", "pos", F.col("y").alias("new")), ["series_id", "pos"]).select(
-        "series_id", "at", "rep", "new"
-    )
-    variants = base.join(draws, "series_id").withColumn("y", F.when(F.col("pos") == F.col("at"), F.col("new")).otherwise(F.col("y")))
-    keys = ["at", "rep", "series_id"]
-    moved = _mean_forecast(variants, predict, horizon, keys, "_v")
-    ref = _mean_forecast(base, predict, horizon, ["series_id"], "_b")
-    raw = moved.join(ref, "series_id").groupBy("series_id", F.col("at").alias("pos")).agg(
-        F.avg(F.abs(F.col("_v") - F.col("_b"))).alias("_raw")
-    )
-    return _normalised(base.join(raw, ["series_id", "pos"]))
+    """(series_id, pos, importance): mean change of the mean forecast when a point is replaced by a random value of its series,
+    `repeats` times. Draws are hashed from (seed, series, point, repeat). `predict` and `context` as in occlusion."""
+    panel, predict = truncate_context(panel, context) if context else panel, _named(predict)
+    if isinstance(predict, str) and predict in WEIGHTS:
+        base = panel.select("series_id", "pos", "n", "y")
+        plan = base.select("series_id", "n", F.col("pos").alias("at"), (WEIGHTS[predict](horizon)).alias("_c"), F.col("y").alias("_old"), F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep"))
+        plan = plan.where("_c <> 0").withColumn("pos", drawn(seed, F.col("n"), "series_id", "at", "rep"))
+        new = plan.join(base.select("series_id", "pos", "y"), ["series_id", "pos"])
+        raw = new.groupBy("series_id", F.col("at").alias("pos")).agg((F.sum(F.abs(F.col("_c") * (F.col("y") - F.col("_old")))) / repeats).alias("_raw"))
+        return _normalised(base.join(raw, ["series_id", "pos"], "left").withColumn("_raw", F.coalesce("_raw", F.lit(0.0))))
+
+    def variants(series: str, y: np.ndarray):
+        for i in range(len(y)):
+            for rep in range(1, repeats + 1):
+                digits = hashlib.md5(f"{seed}:{series}:{i}:{rep}".encode()).hexdigest()[:15]
+                changed = y.copy()
+                changed[i] = y[int(digits, 16) % len(y)]
+                yield i, changed, 1 / repeats
+
+    return _normalised(_asked(panel, predict, horizon, variants))
 
 
 def _normalised(rows: DataFrame) -> DataFrame:

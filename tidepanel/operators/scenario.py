@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-from tidepanel.operators import forecast as fc
+from tidepanel.operators import blocks as bl, forecast as fc
 from tidepanel.operators.blocks import attach, per_series
 from tidepanel.operators.clean import add_steps
 from tidepanel.session import cut_lineage
@@ -42,13 +42,13 @@ def _apply(value: Column, transforms: Sequence[Transform], series: Column, name:
 
 
 def what_if_panel(panel: DataFrame, scenarios: dict[str, Sequence[Transform]]) -> DataFrame:
-    """The panel once per scenario (column `scenario`), target transforms folded in order."""
-    out = None
-    for name, transforms in scenarios.items():
-        own = [t for t in transforms if t.field == "target"]
-        one = panel.withColumn("y", _apply(F.col("y"), own, F.col("series_id"), None)).withColumn("scenario", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The panel once per scenario (column `scenario`), target transforms folded in order; the panel is read once."""
+    made = [
+        F.struct(F.lit(name).alias("scenario"), _apply(F.col("y"), [t for t in transforms if t.field == "target"], F.col("series_id"), None).alias("y"))
+        for name, transforms in scenarios.items()
+    ]
+    spread = panel.select(*panel.columns, F.explode(F.array(*made)).alias("_s"))
+    return spread.select(*[F.col("_s.y").alias("y") if c == "y" else c for c in panel.columns], F.col("_s.scenario").alias("scenario"))
 
 
 def what_if_covariates(covariates: DataFrame, scenarios: dict[str, Sequence[Transform]]) -> DataFrame:
@@ -74,7 +74,7 @@ def unmatched_transforms(panel: DataFrame, scenarios: dict[str, Sequence[Transfo
 
 def what_if(panel: DataFrame, scenarios: dict[str, Sequence[Transform]], model, horizon: int, **kw) -> DataFrame:
     """Baseline and scenario forecasts with their difference by step: (scenario, series_id, step, mean, delta)."""
-    both = panel.withColumn("scenario", F.lit("baseline")).unionByName(what_if_panel(panel, scenarios))
+    both = what_if_panel(panel, {"baseline": [], **scenarios})
     keys = ["scenario", "series_id"]
     rows = fc.forecast(both, model, horizon, keys=keys, **kw).where(F.col("error").isNull())
     base = rows.where("scenario = 'baseline'").select("series_id", "step", F.col("mean").alias("_b"))
@@ -83,6 +83,29 @@ def what_if(panel: DataFrame, scenarios: dict[str, Sequence[Transform]], model,
     )
 
 
+def what_if_problems(panel: DataFrame, scenarios: dict[str, Sequence[Transform]], model, horizon: int, **kw) -> DataFrame:
+    """(scenario, series_id, warning): series without a forecast in a scenario, with the model's error if it gave one."""
+    both = what_if_panel(panel, {"baseline": [], **scenarios})
+    keys = ["scenario", "series_id"]
+    rows = fc.forecast(both, model, horizon, keys=keys, **kw).groupBy(*keys).agg(F.count("mean").alias("points"), F.max("error").alias("error"))
+    asked = both.select(*keys).distinct().join(rows, keys, "left").where(F.coalesce("points", F.lit(0)) < horizon)
+    text = F.format_string("missing forecast for series %s; skipped", "series_id")
+    return asked.select(*keys, F.when(F.col("error").isNull(), text).otherwise(F.concat_ws(": ", text, "error")).alias("warning"))
+
+
+def counterfactual_warnings(panel: DataFrame, at: Column, steps: DataFrame, horizon: int) -> DataFrame:
+    """(series_id, warning) of a counterfactual: no points after the intervention, no forecast, or differing lengths."""
+    after = panel.groupBy("series_id").agg(F.count_if(F.col("pos") >= at).alias("after"), F.count_if(F.col("pos") < at).alias("before"))
+    found = after.join(steps.groupBy("series_id").agg(F.count(F.lit(1)).alias("steps")), "series_id", "left")
+    text = (
+        F.when(F.col("before") == 0, F.format_string("no history before the intervention for series %s; skipped", "series_id"))
+        .when(F.col("after") == 0, F.format_string("no post-intervention points available for series %s", "series_id"))
+        .when(F.col("steps").isNull(), F.format_string("missing baseline forecast for series %s; skipped", "series_id"))
+        .when(F.col("after") != horizon, F.format_string("series %s has %d points after the intervention, the forecast %d; aligned to the shorter", "series_id", "after", F.lit(horizon)))
+    )
+    return found.withColumn("warning", text).where(F.col("warning").isNotNull()).select("series_id", "warning")
+
+
 def counterfactual(panel: DataFrame, at: Column, model, **kw) -> tuple[DataFrame, DataFrame]:
     """Forecast from before position `at` against what was observed: (steps, summary per series).
 
@@ -115,51 +138,80 @@ def _branch_value(level: float) -> Column:
     return F.coalesce(near["v"], F.col("mean"))
 
 
+def _ahead(history: DataFrame, paths: DataFrame, model, levels: Sequence[float]) -> DataFrame:
+    """One step from every open path: (series_id, node_id, mean, quantiles, error). The history travels once; models inside a
+    task see it with the values of a path added. A native model without a per-series form gets a copy for each path."""
+    if isinstance(model, str) and model in fc.LOCAL:
+        model = fc.local_model(model)
+    if isinstance(model, fc.GroupedModel):
+        return model.run(history, 1, levels, ["series_id"], paths)
+    keys, size = ["node_id", "series_id"], F.size("added")
+    joined = history.select("series_id", "pos", "n", "y").join(paths, "series_id")
+    tail = history.select("series_id", "n").distinct().join(paths, "series_id").select("*", F.posexplode("added").alias("_i", "y"))
+    both = joined.select(*keys, "pos", (F.col("n") + size).alias("n"), "y").unionByName(
+        tail.select(*keys, (F.col("n") + F.col("_i")).alias("pos"), (F.col("n") + size).alias("n"), "y")
+    )
+    return fc.forecast(both, model, 1, levels, keys)
+
+
 def scenario_tree(
     panel: DataFrame, model, depth: int, levels: Sequence[float], context: int | None = None, max_nodes: int | None = None
 ) -> DataFrame:
-    """Nodes (series_id, node_id, parent_id, depth, branch, quantile, value, probability).
+    """Nodes (series_id, node_id, parent_id, depth, branch, quantile, value, probability, warning).
 
     Each level forecasts one step from every open path and branches on the quantile levels, splitting
     the probability evenly, so the open branches of a level add up to 1. Node ids are paths, so they do not
     depend on the partitioning. A tree larger than `max_nodes` per series is refused before any forecast.
-    Models see the whole history, or the last `context` points.
+    Models see the whole history, or the last `context` points, and the values of the path; the path is a short array, so no
+    level copies the history. `warning` tells of a quantile that the mean stands in for, and of a path without a forecast (a row
+    without branch and value).
     """
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be in 1..{MAX_DEPTH}")
     size = sum(len(levels) ** d for d in range(depth + 1))
     if max_nodes is not None and size > max_nodes:
         raise ValueError(f"{size} nodes per series, more than {max_nodes}")
-    spark, keys, width = panel.sparkSession, ["node_id", "series_id"], len(levels)
+    spark, width = panel.sparkSession, len(levels)
     drop = F.greatest(F.col("n") - context, F.lit(0)) if context is not None else F.lit(0).cast("long")
-    hist = panel.where(F.col("pos") >= drop).select(
-        F.lit("root").alias("node_id"), "series_id", (F.col("pos") - drop).alias("pos"), (F.col("n") - drop).alias("n"), "y"
-    )
+    extra = [c for c in ("ts", "freq") if c in panel.columns]
+    hist = panel.where(F.col("pos") >= drop).select("series_id", (F.col("pos") - drop).alias("pos"), (F.col("n") - drop).alias("n"), "y", *extra)
+    none = F.lit(None).cast("string")
     nodes = panel.groupBy("series_id").agg(F.max_by("y", "pos").alias("value")).select(
-        "series_id", F.lit("root").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("depth"),
-        F.lit("root").alias("branch"), F.lit(None).cast("double").alias("quantile"), "value", F.lit(1.0).alias("probability"),
+        "series_id", F.lit("root").alias("node_id"), none.alias("parent_id"), F.lit(0).alias("depth"),
+        F.lit("root").alias("branch"), F.lit(None).cast("double").alias("quantile"), "value", F.lit(1.0).alias("probability"), none.alias("warning"),
     )
+    paths = nodes.select("series_id", "node_id", F.array().cast("array<double>").alias("added"))
     for d in range(1, depth + 1):
-        ahead = fc.forecast(hist, model, 1, levels, keys).where(F.col("error").isNull())
-        picks = F.array(*[F.struct(F.lit(f"q{q:g}").alias("branch"), F.lit(float(q)).alias("quantile"), _branch_value(float(q)).alias("value")) for q in levels])
-        level = ahead.select(F.col("node_id").alias("parent_id"), "series_id", F.explode(picks).alias("b")).select(
-            "series_id", F.concat_ws("/", "parent_id", "b.branch").alias("node_id"), "parent_id", F.lit(d).alias("depth"),
-            "b.branch", "b.quantile", "b.value", F.lit(float(width) ** -d).alias("probability"),
+        ahead = _ahead(hist, paths, model, levels).select("series_id", "node_id", "mean", "quantiles", "error")
+        asked = paths.join(ahead, ["series_id", "node_id"], "left")
+        given = F.size(F.coalesce(F.map_keys("quantiles"), F.array().cast("array<string>"))) > 0
+
+        def exact(q: float) -> Column:
+            keys = F.coalesce(F.map_keys("quantiles"), F.array().cast("array<string>"))
+            return F.exists(keys, lambda k: F.abs(k.try_cast("double") - F.lit(q)) <= 1e-9)
+
+        def stands_in(q: float) -> Column:
+            text = F.format_string(f"quantile {q:g} missing for series %s; used mean fallback", "series_id")
+            return F.when(given & ~exact(q) & (_branch_value(q) == F.col("mean")), text)
+
+        picks = F.array(*[F.struct(F.lit(f"q{q:g}").alias("branch"), F.lit(float(q)).alias("quantile"), _branch_value(float(q)).alias("value"), stands_in(float(q)).alias("warning")) for q in levels])
+        lost = F.array(F.struct(none.alias("branch"), F.lit(None).cast("double").alias("quantile"), F.lit(None).cast("double").alias("value"), F.format_string(f"missing forecast for series %s at depth {d}; skipped", "series_id").alias("warning")))
+        level = asked.select("series_id", F.col("node_id").alias("parent_id"), "added", F.explode(F.when(F.col("mean").isNull(), lost).otherwise(picks)).alias("b")).select(
+            "series_id", F.concat_ws("/", "parent_id", F.coalesce("b.branch", F.lit("missing"))).alias("node_id"), "parent_id", F.lit(d).alias("depth"),
+            "b.branch", "b.quantile", "b.value", F.lit(float(width) ** -d).alias("probability"), "b.warning",
+            F.when(F.col("b.value").isNotNull(), F.concat("added", F.array("b.value"))).alias("added"),
         )
         level = cut_lineage(spark, level, f"tree-{d}")
-        nodes = nodes.unionByName(level)
-        if d == depth:
-            break
-        kids = level.select("series_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("_child"), "value")
-        grown = hist.join(kids, keys)
-        kept = grown.select(F.col("_child").alias("node_id"), "series_id", "pos", (F.col("n") + 1).alias("n"), "y")
-        tail = grown.where(F.col("pos") == F.col("n") - 1).select(
-            F.col("_child").alias("node_id"), "series_id", (F.col("pos") + 1).alias("pos"), (F.col("n") + 1).alias("n"), F.col("value").alias("y")
-        )
-        hist = cut_lineage(spark, kept.unionByName(tail), f"tree-history-{d}")
+        nodes = nodes.unionByName(level.where("value IS NOT NULL OR warning IS NOT NULL").drop("added"))
+        paths = level.where("value IS NOT NULL").select("series_id", "node_id", "added")
     return nodes
 
 
+def tree_warnings(nodes: DataFrame) -> DataFrame:
+    """(series_id, warning) of a scenario tree, each once."""
+    return nodes.where(F.col("warning").isNotNull()).select("series_id", "warning").distinct()
+
+
 # Words that mark a scenario type in its name (fixed values).
 TYPE_WORDS = {
     "base": ("base",),
@@ -229,8 +281,9 @@ def series_profile(panel: DataFrame, period: int) -> DataFrame:
 
 
 def _uniform(*parts) -> Column:
-    """Uniform in (0, 1) hashed from the parts."""
-    return (F.pmod(F.xxhash64(*parts), F.lit(2**53)) + 0.5) / F.lit(float(2**53))
+    """Uniform in (0, 1) hashed from the parts; any engine with MD5 draws the same."""
+    text = F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
 def augment(
@@ -262,7 +315,9 @@ def augment(
             "_len": size,
         }
     )
-    v = v.repartition("series_id", "variant").withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_len") - 1)))
+    size = bl.BLOCK_ROWS  # a variant is spread over blocks before its points are made
+    v = v.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_len") - 1) / size)))).repartition("series_id", "variant", "_b")
+    v = v.withColumn("pos", F.explode(F.sequence(F.col("_b") * size, F.least((F.col("_b") + 1) * size, F.col("_len")) - 1)))
     u1 = _uniform(F.lit(seed), F.lit("u1"), "series_id", "variant", "pos")
     u2 = _uniform(F.lit(seed), F.lit("u2"), "series_id", "variant", "pos")
     gauss = F.sqrt(-2 * F.ln(u1)) * F.cos(2 * F.pi() * u2)

@@ -226,12 +226,18 @@ def f08_quantile_channels(spark, sf):
     return rows.select("series_id", "step", F.round(F.col("quantiles")["0.9"], 6).alias("q90"), F.col("quantiles")["0.25"].alias("q25"))
 
 
-@query("f01_plugin_model")
+@query(
+    "f01_plugin_model",
+    OD + " t AS (SELECT series_id, pos, y, y - lag(y) OVER (PARTITION BY series_id ORDER BY pos) AS d FROM panel WHERE pos >= n - 512),"
+    " s AS (SELECT series_id, arg_max(y, pos) AS lv, avg(d) AS m, stddev_pop(d) AS sd FROM t GROUP BY 1)"
+    " SELECT 'damped_drift' AS model, series_id, CAST(h AS INTEGER) AS step, round(lv + m * (1 - pow(0.9, h)) / (1 - 0.9), 3) AS mean,"
+    f" round(lv + m * (1 - pow(0.9, h)) / (1 - 0.9) + {Z10} * sd * sqrt(h), 3) AS q90, CAST(NULL AS VARCHAR) AS error FROM s, range(1, 15) AS r(h)",
+)
 def f01_plugin_model(spark, sf):
     """A user's Python model (damped drift) through the grouped-map slot, one series per call."""
     model = fc.GroupedModel("damped_drift", damped_drift, max_context=512)
     out = fc.forecast(pn.orders_daily(spark, sf), model, 14, quantiles=[0.1, 0.9])
-    return out.select("model", "series_id", "step", F.round("mean", 4).alias("mean"), F.col("quantiles")["0.9"].alias("q90"), "error")
+    return out.select("model", "series_id", "step", F.round("mean", 3).alias("mean"), F.round(F.col("quantiles")["0.9"], 3).alias("q90"), "error")
 
 
 def damped_drift(y, horizon, levels):
@@ -258,6 +264,21 @@ def f09_compare_models(spark, sf):
     return fc.compare_summary(fc.compare(history, ["last_value", "linear_trend", "seasonal_naive"], H), H)
 
 
+@query(
+    "f09_compare_errors",
+    HOLD + " SELECT m AS model, count(DISTINCT series_id) AS series, CASE WHEN m = 'last_value' THEN CAST(0 AS BIGINT) ELSE count(DISTINCT series_id) END AS failed, CASE WHEN m = 'last_value' THEN 'ok' ELSE 'error' END AS status FROM hist,"
+    " (VALUES ('last_value'), ('unheard_of'), ('broken')) AS v(m) GROUP BY 1",
+)
+def f09_compare_errors(spark, sf):
+    """An unknown model and one that fails answer with error rows; the third is not affected."""
+    history, _ = folds.holdout(pn.events_daily(spark, sf), H)
+
+    def broken(y, horizon, levels):
+        raise RuntimeError("no model here")
+
+    return fc.compare_summary(fc.compare(history, ["last_value", "unheard_of", fc.GroupedModel("broken", broken)], H), H)
+
+
 # ---- folds -----------------------------------------------------------------------------------
 
 FOLDS_SQL = (

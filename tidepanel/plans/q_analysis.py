@@ -460,17 +460,26 @@ def y18_occlusion(spark, sf):
     return out(at.occlusion(pn.events_daily(spark, sf), window=5, horizon=3), "importance")
 
 
-@query("y19_permutation")
+@query(
+    "y19_permutation",
+    ED + ", d AS (SELECT series_id, n, pos AS spot, y AS old, CAST('0x' || substr(md5('42:' || series_id || ':' || pos || ':' || rep), 1, 15) AS BIGINT) % n AS pos FROM panel, range(1, 4) AS r(rep)),"
+    " c AS (SELECT d.series_id, spot, sum(abs((1.0 / d.n + ((d.n - 1) / 2.0 + 2.0) * (spot - (d.n - 1) / 2.0) / (d.n * (d.n * d.n - 1.0) / 12.0)) * (q.y - old))) / 3 AS raw"
+    " FROM d JOIN panel q ON q.series_id = d.series_id AND q.pos = d.pos GROUP BY 1, 2)"
+    " SELECT series_id, spot AS pos, round(raw / sum(raw) OVER (PARTITION BY series_id), 6) AS importance FROM c",
+)
 def y19_permutation(spark, sf):
-    return out(at.permutation(pn.events_daily(spark, sf), repeats=3, horizon=3, predict=fc.linear_trend), "importance")
+    return out(at.permutation(pn.events_daily(spark, sf), repeats=3, horizon=3, predict="linear_trend"), "importance")
 
 
-@query("e02_user_predict_function")
-def e02_user_predict_function(spark, sf):
-    """A user's forecaster drives the attribution: mean of the last three points."""
+TAIL_MEAN = (
+    ED + ", b AS (SELECT series_id, avg(y) AS m FROM panel GROUP BY 1), w AS (SELECT p.series_id, pos // 4 AS w, abs(sum(CASE WHEN pos >= n - 3 THEN m - y ELSE 0 END)) / 3 / count(*) AS raw"
+    " FROM panel p JOIN b USING (series_id) GROUP BY 1, 2), r AS (SELECT p.series_id, pos, raw FROM panel p JOIN w ON w.series_id = p.series_id AND w.w = pos // 4)"
+    " SELECT series_id, pos, round(raw / sum(raw) OVER (PARTITION BY series_id), 6) AS importance FROM r"
+)
 
-    def tail_mean(history, horizon, keys):
-        tail = history.where(F.col("pos") >= F.col("n") - 3).groupBy(*keys).agg(F.avg("y").alias("mean"))
-        return tail.select(*keys, fc.steps(horizon).alias("step"), "mean")
 
-    return out(at.occlusion(pn.events_daily(spark, sf), window=4, horizon=2, predict=tail_mean), "importance")
+@query("e02_user_predict_function", TAIL_MEAN)
+def e02_user_predict_function(spark, sf):
+    """A user's forecaster drives the attribution: mean of the last three points."""
+    model = fc.GroupedModel("tail_mean", lambda y, horizon, levels: {"mean": [y[-3:].mean()] * horizon})
+    return out(at.occlusion(pn.events_daily(spark, sf), window=4, horizon=2, predict=model), "importance")

@@ -416,6 +416,72 @@ def f33_series_profile(spark, sf):
     )
 
 
-@query("f34_augmented_panel")
+def _drawn(what: str) -> str:
+    return f"((CAST('0x' || substr(md5('0:{what}), 1, 13) AS BIGINT) + 0.5) / 4503599627370496)"
+
+
+@query(
+    "f34_augmented_panel",
+    OD + "," + PROFILE_SQL + ", rs AS (SELECT p.series_id, stddev_pop(y - (level + slope * (pos - (p.n - 1) / 2) + s)) AS a, stddev_pop(y) AS b, min(y) AS mn, min(ts) AS t0 FROM panel p JOIN line l ON l.series_id = p.series_id"
+    " JOIN tmpl t ON t.series_id = p.series_id AND t.phase = pos % 7 GROUP BY 1),"
+    f" v AS (SELECT line.series_id, line.n, k, t0, level * (1 + 0.05 * (2 * {_drawn("level:' || line.series_id || ':' || k")} - 1)) AS l, slope * (1 + 0.1 * (2 * {_drawn("trend:' || line.series_id || ':' || k")} - 1)) AS sl,"
+    f" 1 + 0.1 * (2 * {_drawn("season:' || line.series_id || ':' || k")} - 1) AS f, greatest(a, b * 0.05, 1e-6) AS ns, mn >= 0 AS nn FROM line JOIN rs USING (series_id), range(1, 4) AS r(k)),"
+    f" g AS (SELECT v.*, pos, sqrt(-2 * ln({_drawn("u1:' || series_id || ':' || k || ':' || pos")})) * cos(2 * pi() * {_drawn("u2:' || series_id || ':' || k || ':' || pos")}) AS z FROM (SELECT *, unnest(range(n)) AS pos FROM v) AS v),"
+    " e AS (SELECT g.series_id, k, pos, t0, nn, l + sl * (pos - (n - 1) / 2) + s * f + z * ns AS y FROM g JOIN tmpl t ON t.series_id = g.series_id AND t.phase = pos % 7)"
+    " SELECT series_id AS source_id, series_id || '_synthetic_' || k AS series_id, pos, strftime(t0 + INTERVAL 1 DAY * CAST(pos AS INTEGER), '%Y-%m-%d %H:%M:%S') AS ts, round(CASE WHEN nn THEN greatest(y, 0.0) ELSE y END, 0) AS y FROM e",
+)
 def f34_augmented_panel(spark, sf):
-    return sc.augment(pn.orders_daily(spark, sf), 7, count=3, freq="D").select("source_id", "series_id", "pos", pn.stamp(), "y")
+    a = sc.augment(pn.orders_daily(spark, sf), 7, count=3, freq="D")
+    return a.select("source_id", "series_id", "pos", pn.stamp(), F.round("y", 0).alias("y"))
+
+
+# ---- a user's request model: covariates, timestamps and horizon in one call --------------------------------
+
+# daily hits are known in advance; the model moves the last value by half the change in hits
+HITS = ED + ", hits AS (SELECT event_type AS series_id, date_trunc('day', ts) AS ts, CAST(count(*) AS DOUBLE) AS h FROM events GROUP BY 1, 2), ph AS (SELECT p.*, h FROM panel p JOIN hits USING (series_id, ts))"
+
+
+def daily_hits(spark, sf):
+    ev = table(spark, sf, "events").groupBy(F.col("event_type").alias("series_id"), F.date_trunc("day", "ts").alias("ts")).agg(F.count(F.lit(1)).cast("double").alias("num"))
+    return ev.select("series_id", F.explode(F.array(F.lit("past"), F.lit("future"))).alias("role"), F.lit("hits").alias("name"), "ts", "num")
+
+
+def moved_by_hits(request):
+    past, future = request["past_covariates"]["hits"], request["future_covariates"]["hits"]
+    return {"mean": request["target"][-1] + 0.5 * (future - past[-1])}
+
+
+@query(
+    "e01_request_model",
+    HITS + ", c AS (SELECT series_id, n - 7 AS cut FROM panel GROUP BY 1, 2), l AS (SELECT p.series_id, cut, y, h FROM ph p JOIN c USING (series_id) WHERE pos = cut - 1)"
+    " SELECT p.series_id, CAST(pos - cut + 1 AS INTEGER) AS step, round(l.y + 0.5 * (p.h - l.h), 6) AS mean FROM ph p JOIN l USING (series_id) WHERE pos >= cut",
+)
+def e01_request_model(spark, sf):
+    """A batch forecast by a user's model that reads past and future covariates."""
+    history, _ = folds.holdout(pn.events_daily(spark, sf), 7)
+    rows = fc.forecast(history, fc.RequestModel("hits", moved_by_hits, daily_hits(spark, sf), "D"), 7)
+    return rows.select("series_id", "step", F.round("mean", 6).alias("mean"))
+
+
+@query(
+    "e01_request_counterfactual",
+    HITS + ", l AS (SELECT series_id, y, h FROM ph WHERE pos = 19) SELECT p.series_id, CAST(pos - 19 AS INTEGER) AS step, p.y AS actual, round(l.y + 0.5 * (p.h - l.h), 6) AS counterfactual FROM ph p JOIN l USING (series_id) WHERE pos BETWEEN 20 AND 29",
+)
+def e01_request_counterfactual(spark, sf):
+    """The same model in a counterfactual: it sees the covariates that follow the intervention."""
+    steps, _ = sc.counterfactual(pn.events_daily(spark, sf), F.lit(20), fc.RequestModel("hits", moved_by_hits, daily_hits(spark, sf), "D"), horizon=10)
+    return steps.select("series_id", "step", "actual", F.round("counterfactual", 6).alias("counterfactual"))
+
+
+@query(
+    "e01_request_tree",
+    HITS + ", c AS (SELECT series_id, n - 7 AS cut FROM panel GROUP BY 1, 2), b AS (SELECT p.series_id, pos - cut + 1 AS d, y, h FROM ph p JOIN c USING (series_id) WHERE pos BETWEEN cut - 1 AND cut + 1),"
+    " t AS (SELECT z.series_id, z.y AS v0, z.y + 0.5 * (a.h - z.h) AS v1, z.y + 0.5 * (a.h - z.h) + 0.5 * (e.h - a.h) AS v2 FROM b z JOIN b a ON a.series_id = z.series_id AND a.d = 1 JOIN b e ON e.series_id = z.series_id AND e.d = 2 WHERE z.d = 0)"
+    " SELECT series_id, 'root' AS node_id, round(v0, 6) AS value FROM t UNION ALL SELECT series_id, 'root/q' || q, round(v1, 6) FROM t, (VALUES ('0.1'), ('0.9')) AS x(q)"
+    " UNION ALL SELECT series_id, 'root/q' || x.q || '/q' || w.q, round(v2, 6) FROM t, (VALUES ('0.1'), ('0.9')) AS x(q), (VALUES ('0.1'), ('0.9')) AS w(q)",
+)
+def e01_request_tree(spark, sf):
+    """The same model in a scenario tree: every path is asked with its own last value and time. It gives no quantiles."""
+    history, _ = folds.holdout(pn.events_daily(spark, sf), 7)
+    t = sc.scenario_tree(history, fc.RequestModel("hits", moved_by_hits, daily_hits(spark, sf), "D"), 2, [0.1, 0.9])
+    return t.select("series_id", "node_id", F.round("value", 6).alias("value"))

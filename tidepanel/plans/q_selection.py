@@ -395,7 +395,12 @@ def f39_two_stage_plan(spark, sf):
     return sel.two_stages(profiles(spark, sf), registry.MODELS, 48, series_count=4)
 
 
-@query("f19_fallback_forecast")
+@query(
+    "f19_fallback_forecast",
+    OD + " s AS (SELECT series_id, max(n) AS n, arg_max(y, pos) AS lv FROM panel GROUP BY 1), r AS (SELECT CAST(h AS INTEGER) AS step FROM range(1, 8) AS x(h))"
+    " SELECT 'last_value' AS model, 2 AS rank, series_id, step, lv AS mean, CAST(NULL AS VARCHAR) AS error FROM s, r WHERE n < 1700"
+    " UNION ALL SELECT 'seasonal_naive', 1, p.series_id, step, y, NULL FROM panel p, r WHERE n >= 1700 AND pos = n - 7 + ((step - 1) % 7)",
+)
 def f19_fallback_forecast(spark, sf):
     """First choice fails for series shorter than 800 days; those fall through to their second."""
     history = pn.orders_daily(spark, sf)

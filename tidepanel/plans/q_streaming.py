@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidepanel.operators import trust as tr
 from tidepanel.plans import panels as pn
 from tidepanel.plans.catalog import query
+from tidepanel.plans.q_accuracy import FOLDS_SQL, OD
 from tidepanel.plans.q_sources import MSG, messages
 from tidepanel.plans.q_trust import HIST, NEWEST, OUT, history, outcomes
 from tidepanel.session import prepare, scratch_path, table
@@ -122,7 +123,19 @@ def q05_stream_usage(spark, sf):
     return u.select("key_id", "requests", F.round("inference_ms", 4).alias("inference_ms"), "series", pn.stamp("updated_at"))
 
 
-@query("e01_user_forecaster")
+DRIFT_BENCH = (
+    OD + FOLDS_SQL.replace("range(0, 3)", "range(0, 2)") + ", tr AS (SELECT fold, p.*, train_end FROM panel p JOIN folds f ON p.series_id = f.series_id AND pos < train_end),"
+    " df AS (SELECT *, y - lag(y) OVER (PARTITION BY fold, series_id ORDER BY pos) AS d FROM tr),"
+    " st AS (SELECT fold, series_id, arg_max(y, pos) AS lv, avg(CASE WHEN pos > train_end - 512 THEN d END) AS m, avg(abs(d)) AS s FROM df GROUP BY 1, 2),"
+    " ac AS (SELECT f.fold, t.series_id, pos - test_start + 1 AS step, y AS a FROM panel t JOIN folds f ON t.series_id = f.series_id AND pos >= test_start AND pos < test_end),"
+    " e AS (SELECT model, fold, series_id, a - CASE model WHEN 'last_value' THEN lv ELSE lv + m * (1 - pow(0.9, step)) / (1 - 0.9) END AS e, s FROM ac JOIN st USING (fold, series_id), (VALUES ('last_value'), ('damped_drift')) AS v(model)),"
+    " ps AS (SELECT model, fold, series_id, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(abs(e)) / max(s) AS mase FROM e GROUP BY 1, 2, 3),"
+    " fm AS (SELECT model, fold, avg(mae) AS mae, avg(rmse) AS rmse, avg(mase) AS mase FROM ps GROUP BY 1, 2)"
+    " SELECT model, metric, round(avg(value), 3) AS value FROM (UNPIVOT fm ON mae, rmse, mase INTO NAME metric VALUE value) GROUP BY 1, 2"
+)
+
+
+@query("e01_user_forecaster", DRIFT_BENCH)
 def e01_user_forecaster(spark, sf):
     """A user callable takes part in the benchmark next to a native model."""
     from tidepanel.operators import forecast as fc
@@ -130,4 +143,4 @@ def e01_user_forecaster(spark, sf):
     from tidepanel.plans.q_accuracy import damped_drift
 
     r = run_benchmark(pn.orders_daily(spark, sf), ["last_value", fc.GroupedModel("damped_drift", damped_drift, 512)], 14, num_folds=2)
-    return r["aggregate"].withColumn("value", F.round("value", 4))
+    return r["aggregate"].select("model", "metric", F.round("value", 3).alias("value"))
