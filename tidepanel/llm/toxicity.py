@@ -9,6 +9,7 @@ scoring reads every sentence of every text.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,40 +57,66 @@ def features(word: str) -> list[str]:
 
 
 class Bags:
-    """Sentences of the sample as rows of distinct words."""
+    """Sentences of the sample as rows of distinct words; words are numbered."""
 
     def __init__(self, texts: list[str]):
         self.words: dict[str, int] = {}
-        row_of, word_of, self.owner = [], [], []
+        sizes, word_of, owner = array("i"), array("i"), array("i")
         for k, text in enumerate(texts):
             for a, b in sentences(text):
                 found = {self.words.setdefault(w, len(self.words)) for w in TOKEN.findall(text[a:b].lower())}
-                row_of += [len(self.owner)] * len(found)
-                word_of += found
-                self.owner.append(k)
-        self.row_of, self.word_of, self.owner = (np.array(x, np.int64) for x in (row_of, word_of, self.owner))
+                word_of.extend(found)
+                sizes.append(len(found))
+                owner.append(k)
+        self.word_of, self.owner = (np.array(x, np.int32) for x in (word_of, owner))
+        self.row_of = np.repeat(np.arange(len(sizes), dtype=np.int32), np.array(sizes, np.int32))
         self.n = len(texts)
 
 
-def choose_features(bags: Bags, y: np.ndarray, o: MilOptions) -> list[str]:
-    """Features that toxic documents hold more often than chance: by deviation, those with the largest first."""
-    pairs = np.unique(bags.owner[bags.row_of] * len(bags.words) + bags.word_of)
-    doc, word = pairs // max(len(bags.words), 1), pairs % max(len(bags.words), 1)
-    by_word: list[list[int]] = [[] for _ in bags.words]
-    for d, w in zip(doc.tolist(), word.tolist()):
-        by_word[w].append(d)
-    holders: dict[str, set[int]] = {}
-    for w, docs in zip(bags.words, by_word):
-        for f in features(w):
-            holders.setdefault(f, set()).update(docs)
-    share, found = y.mean(), []
-    for f, docs in holders.items():
-        k = len(docs)
-        if k >= o.min_docs:
-            hits = sum(y[d] for d in docs)
-            z = (hits - k * share) / np.sqrt(k * share * (1 - share))
-            if z >= o.least_deviation:
-                found.append((-z, f))
+def features_of(words: dict[str, int], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the features of each word that `index` has, one word after another, and how many each word has."""
+    flat, hits = array("i"), array("i")
+    for w in words:
+        own = [index[f] for f in features(w) if f in index]
+        flat.extend(own)
+        hits.append(len(own))
+    return np.array(flat, np.int32), np.array(hits, np.int32)
+
+
+def spread(flat: np.ndarray, hits: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features of a sequence of words, and how many each of them has."""
+    times = hits[words]
+    first = np.cumsum(hits, dtype=np.int64) - hits
+    done = np.cumsum(times, dtype=np.int64)
+    return flat[np.repeat(first[words] - (done - times), times) + np.arange(int(times.sum()))], times
+
+
+def choose_features(bags: Bags, y: np.ndarray, o: MilOptions, at_once: int = 200) -> list[str]:
+    """Features that toxic documents hold more often than chance: by deviation, those with the largest first.
+
+    Only features of toxic documents can be; documents are counted `at_once`, so that memory doesn't grow with their pairs.
+    """
+    doc_of = bags.owner[bags.row_of]
+    held = np.zeros(len(bags.words), bool)
+    held[bags.word_of[y[doc_of] > 0]] = True
+    index: dict[str, int] = {}
+    for w, k in bags.words.items():
+        if held[k]:
+            for f in features(w):
+                index.setdefault(f, len(index))
+    flat, hits = features_of(bags.words, index)
+    holders, toxic = np.zeros(len(index), np.int64), np.zeros(len(index), np.int64)
+    edges = np.searchsorted(doc_of, np.arange(0, bags.n + at_once, at_once))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        found, times = spread(flat, hits, bags.word_of[a:b])
+        pairs = np.unique(np.repeat(doc_of[a:b], times).astype(np.int64) * max(len(index), 1) + found)
+        doc, feature = np.divmod(pairs, max(len(index), 1))
+        holders += np.bincount(feature, minlength=len(index))
+        toxic += np.bincount(feature[y[doc] > 0], minlength=len(index))
+    share = y.mean()
+    z = (toxic - holders * share) / np.sqrt(np.maximum(holders, 1) * share * (1 - share))
+    good = (holders >= o.min_docs) & (z >= o.least_deviation)
+    found = [(-x, f) for f, x, g in zip(index, z.tolist(), good.tolist()) if g]
     return [f for _, f in sorted(found)[: o.most_features]]
 
 
@@ -104,13 +131,8 @@ def train(texts: list[str], toxic: list[int], o: MilOptions) -> tuple[float, dic
     bags, y = Bags(texts), np.array(toxic, float)
     names = choose_features(bags, y, o)
     index = {f: i for i, f in enumerate(names)}
-    of_word = [[index[f] for f in features(w) if f in index] for w in bags.words]
-    hits = np.array([len(x) for x in of_word], np.int64)
-    flat = np.array([i for x in of_word for i in x], np.int64)
-    first = np.cumsum(hits) - hits
-    times = hits[bags.word_of]
+    cols, times = spread(*features_of(bags.words, index), bags.word_of)
     rows = np.repeat(bags.row_of, times)
-    cols = flat[np.repeat(first[bags.word_of] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
     sentences_n, owner = len(bags.owner), bags.owner
     weight, bias = np.zeros(len(names)), o.bias
     m, v, mb, vb = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
@@ -133,7 +155,7 @@ def train(texts: list[str], toxic: list[int], o: MilOptions) -> tuple[float, dic
 class Scorer:
     """Sentence scores by a model; the sum of a word's weights is remembered for a bounded number of words."""
 
-    def __init__(self, model: tuple[float, dict[str, float]], most_words: int = 1_000_000):
+    def __init__(self, model: tuple[float, dict[str, float]], most_words: int = 250_000):
         self.bias, self.weights = model
         self.most_words, self.known = most_words, {}
 
