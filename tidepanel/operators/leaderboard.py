@@ -45,7 +45,8 @@ def _digest(batches):
 def dataset_fingerprint(series: DataFrame) -> DataFrame:
     """First 16 hex digits of SHA-256 over `id:length:freq` joined by `|` in id order.
 
-    The sort is distributed; the hash itself is sequential by nature and streams over one short line per series.
+    One SHA-256 has to see all lines one after another: they are sorted and hashed by one task, as a stream of one short line
+    per series in constant memory (the sort spills). bucket_fingerprint spreads that, at the price of another value.
     """
     line = F.concat_ws(":", "series_id", F.col("points").cast("string"), "freq").alias("line")
     return series.orderBy("series_id").select(line).coalesce(1).mapInPandas(_digest, "fingerprint string")

@@ -252,6 +252,16 @@ def r08_spline_fit(spark, sf):
     return out(spline.fitted(panel, fits), "fitted", "slope", "residual", digits=3)
 
 
+@query("y13_stl_adds_up", ED + " SELECT series_id, n, 'stl' AS method, round(sum(y), 4) AS total, true AS seasonal FROM panel GROUP BY 1, 2")
+def y13_stl_adds_up(spark, sf):
+    """Trend, season and rest add up to the series."""
+    from tidepanel.operators import decompose
+
+    parts = decompose.stl(pn.events_daily(spark, sf), 7)
+    total = F.sum(F.col("trend") + F.col("seasonal") + F.col("resid"))
+    return parts.groupBy("series_id", "n", "method").agg(F.round(total, 4).alias("total"), (F.stddev_pop("seasonal") > 0).alias("seasonal"))
+
+
 # straight lines are not penalised, so the fit keeps the sum and the first moment of the data
 @query("r08_pspline", OD + " SELECT series_id, n, round(sum(y) / n, 2) AS mean, round(sum(y * pos) / sum(pos), 2) AS moment FROM panel GROUP BY 1, 2")
 def r08_pspline(spark, sf):

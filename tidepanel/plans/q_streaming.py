@@ -48,6 +48,22 @@ def q02_stream_dedupe(spark, sf):
     return out.select("series_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "y")
 
 
+@query(
+    "q02_stream_keep_first",
+    "SELECT event_type AS series_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, value + CASE WHEN event_id % 2 = 1 THEN 1 ELSE 2 END AS y FROM events"
+    " WHERE ts <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 1 DAY",
+)
+def q02_stream_keep_first(spark, sf):
+    """Every event arrives as two different rows; the one with the smaller offset stays, once the watermark has passed it."""
+    s = event_stream(spark, sf)
+    k = F.col("event_id") % 2
+    twice = s.select(F.col("event_type").alias("series_id"), "ts", "value", "event_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    offset = F.col("event_id") * 2 + F.when(k == 1, F.col("copy")).otherwise(-F.col("copy"))
+    rows = twice.select("series_id", "ts", (F.col("value") + F.col("copy")).alias("y"), offset.alias("offset"))
+    out = ig.collect_run(spark, ig.first_per_timestamp(rows, "1 day", "offset"), "q02d")
+    return out.select("series_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "y")
+
+
 @query(
     "q02_stream_side_sink",
     "SELECT 'good' AS sink, count(*) AS rows FROM events WHERE event_id % 6 <> 0 UNION ALL SELECT 'missing or non-finite target', count(*) FROM events WHERE event_id % 6 = 0",

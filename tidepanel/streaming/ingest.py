@@ -42,9 +42,19 @@ def rejected_rows(panel: DataFrame) -> DataFrame:
     return panel.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
-def first_per_timestamp(panel: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Keep the first row of every (series, ts); state older than `lateness` is dropped."""
-    return panel.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["series_id", "ts"])
+def first_per_timestamp(panel: DataFrame, lateness: str = "1 day", order: str | None = None) -> DataFrame:
+    """One row of every (series, ts); state older than `lateness` is dropped.
+
+    With `order` (a column that grows with arrival, such as an offset) it is the first to arrive, however rows fall into batches:
+    the state of a (series, ts) holds the row with the smallest order, and it is emitted when the watermark passes ts. Without one
+    the row that is processed first leaves at once; which one that is among the rows of one batch is not defined.
+    """
+    late = panel.withWatermark("ts", lateness)
+    if order is None:
+        return late.dropDuplicatesWithinWatermark(["series_id", "ts"])
+    rest = [c for c in panel.columns if c not in ("series_id", "ts")]
+    held = late.groupBy("series_id", "ts").agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row"))
+    return held.select(*[f"_row.{c}" if c in rest else c for c in panel.columns])
 
 
 def regular_steps(panel: DataFrame, step: str = "1 hour", lateness: str = "1 day") -> DataFrame:
@@ -82,9 +92,11 @@ def ingest(stream: DataFrame, good_path: str, bad_path: str, checkpoint: str) ->
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        valid_rows(batch).write.mode("overwrite").parquet(f"{good_path}/batch_id={batch_id}")
-        rejected_rows(batch).write.mode("overwrite").parquet(f"{bad_path}/batch_id={batch_id}")
-        batch.unpersist()
+        try:
+            valid_rows(batch).write.mode("overwrite").parquet(f"{good_path}/batch_id={batch_id}")
+            rejected_rows(batch).write.mode("overwrite").parquet(f"{bad_path}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return run_batches(stream, write, checkpoint)
 
