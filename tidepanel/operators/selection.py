@@ -209,3 +209,65 @@ def forecast_with_fallback(history: DataFrame, candidates: DataFrame, runners: d
     tried = candidates.where(F.col("rank").isin(*ranks)).groupBy("series_id").agg(F.array_join(F.sort_array(F.collect_set("model")), ", ").alias("tried"))
     failed = open_series.join(tried, "series_id", "left").withColumn("error", F.concat(F.lit("no forecast, tried: "), F.coalesce("tried", F.lit("nothing"))))
     return done.unionByName(failed.select("series_id", "error"), allowMissingColumns=True)
+
+
+def candidate_chain(history: DataFrame, ranked: DataFrame, lane: str | None = None, explicit: str | None = None) -> DataFrame:
+    """(series_id, rank, model, stage): the model of the routing lane, then the one asked for, then the ranked ones; a model that
+    comes twice keeps its first place."""
+    series = history.select("series_id").distinct()
+    first = [F.struct(F.lit(k).alias("at"), F.lit(m).alias("model"), F.lit(stage).alias("stage")) for k, (m, stage) in enumerate(((lane, "lane"), (explicit, "explicit")), -2) if m]
+    chain = ranked.select("series_id", F.struct(F.col("rank").cast("int").alias("at"), "model", F.lit("ranked").alias("stage")).alias("c"))
+    if first:
+        chain = series.select("series_id", F.explode(F.array(*first)).alias("c")).unionByName(chain.join(series, "series_id", "left_semi"))
+    own = chain.groupBy("series_id", "c.model").agg(F.min("c").alias("c"))
+    turn = F.row_number().over(Window.partitionBy("series_id").orderBy("c.at", "c.model"))
+    return own.select("series_id", turn.alias("rank"), "c.model", "c.stage")
+
+
+def auto_forecast(
+    history: DataFrame, ranked: DataFrame, runners: dict, horizon: int, lane: str | None = None, explicit: str | None = None, allow_fallback: bool = True
+) -> dict[str, DataFrame]:
+    """`forecast` (series_id, model, stage, rank, step, mean) and `attempts` (series_id, rank, stage, model, outcome, reason).
+
+    Every series goes down its chain (candidate_chain) until a model answers; without `allow_fallback` only the first is asked.
+    `runners` maps model names to functions (history, horizon) -> (series_id, step, mean[, error]). A model without a runner is
+    an attempt that failed as well. Rounds are written, so that none is repeated.
+    """
+    from tidepanel.session import cut_lineage
+
+    spark = history.sparkSession
+    chain = cut_lineage(spark, candidate_chain(history, ranked, lane, explicit), "chain")
+    last = chain.agg(F.max("rank")).first()[0] or 0
+    open_series = history.select("series_id").distinct()
+    forecast, attempts = None, None
+    for r in range(1, (last if allow_fallback else min(last, 1)) + 1):
+        turn = chain.where(F.col("rank") == r).join(open_series, "series_id", "left_semi")
+        got = None
+        for name, run in runners.items():
+            mine = history.join(turn.where(F.col("model") == name).select("series_id"), "series_id", "left_semi")
+            one = run(mine, horizon)
+            error = F.col("error") if "error" in one.columns else F.lit(None).cast("string")
+            one = one.select("series_id", "step", "mean", error.alias("error"))
+            got = one if got is None else got.unionByName(one)
+        if got is None:
+            break
+        got = cut_lineage(spark, got.join(turn, "series_id"), f"auto-{r}")
+        answered = got.where(F.col("mean").isNotNull())
+        per = got.groupBy("series_id").agg(F.count("mean").alias("points"), F.max("error").alias("error"))
+        reason = (
+            F.when(F.coalesce("points", F.lit(0)) > 0, F.lit(None).cast("string"))
+            .when(~F.col("model").isin(*runners), F.lit("model is not available"))
+            .otherwise(F.coalesce("error", F.lit("no forecast")))
+        )
+        tried = turn.join(per, "series_id", "left").select("series_id", "rank", "stage", "model", F.when(reason.isNull(), "ok").otherwise("failed").alias("outcome"), reason.alias("reason"))
+        tried = cut_lineage(spark, tried, f"attempts-{r}")
+        answered = answered.select("series_id", "model", "stage", "rank", "step", "mean")
+        forecast = answered if forecast is None else forecast.unionByName(answered)
+        attempts = tried if attempts is None else attempts.unionByName(tried)
+        open_series = open_series.join(tried.where("outcome = 'ok'").select("series_id"), "series_id", "left_anti")
+        if open_series.isEmpty():
+            break
+    if forecast is None:
+        forecast = spark.createDataFrame([], "series_id string, model string, stage string, rank int, step int, mean double")
+        attempts = spark.createDataFrame([], "series_id string, rank int, stage string, model string, outcome string, reason string")
+    return {"forecast": forecast, "attempts": attempts}

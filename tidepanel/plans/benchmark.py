@@ -19,9 +19,13 @@ def run_benchmark(
     quantiles: Sequence[float] = (),
     season: int = 1,
     min_train_length: int | None = None,
+    measure: bool = False,
 ) -> dict[str, DataFrame]:
     """`fold_metrics` (model, fold, metric, value), `aggregate` (model, metric, value), `weights`, `errors`.
 
+    With `measure`, every model is called series by series and fold by fold, the calls are timed inside the tasks, and `latency`
+    (model, latency_ms: mean of a call, calls, failed) is there as well.
+
     The fold metrics, a few rows per model, are written once; everything after them starts from there.
     """
     spark = panel.sparkSession
@@ -30,8 +34,10 @@ def run_benchmark(
     keys = ["fold", "series_id"]
     stacked = None
     for m in models:
-        one = fc.forecast(history, m, horizon, quantiles, keys)
+        one = (fc.timed_forecast if measure else fc.forecast)(history, m, horizon, quantiles, keys)
         stacked = one if stacked is None else stacked.unionByName(one)
+    if measure:  # metrics and latency come from the same calls
+        stacked = cut_lineage(spark, stacked, "timed-forecasts")
     good = stacked.where(F.col("error").isNull()).withColumnRenamed("mean", "p")
     pairs = good.join(actuals, [*keys, "step"])
     scale = mt.naive_scale(history, season, keys) if mt.NEEDS_SCALE & set(metric_names) else None
@@ -40,7 +46,12 @@ def run_benchmark(
     fold_metrics = cut_lineage(spark, fold_metrics, "fold-metrics")
     aggregate = lb.aggregate_folds(fold_metrics)
     names = spark.createDataFrame([(m.name if isinstance(m, fc.GroupedModel) else m,) for m in models], "model string")
+    timed = {}
+    if measure:
+        calls = stacked.groupBy("model", *keys).agg(F.max("elapsed_ms").alias("ms"), F.count("error").alias("errors"))
+        timed = {"latency": calls.groupBy("model").agg(F.avg("ms").alias("latency_ms"), F.count(F.lit(1)).alias("calls"), F.count_if(F.col("errors") > 0).alias("failed"))}
     return {
+        **timed,
         "fold_metrics": fold_metrics,
         "aggregate": aggregate,
         "weights": lb.inverse_error_weights(aggregate, names),
@@ -48,8 +59,10 @@ def run_benchmark(
     }
 
 
-def summary_rows(result: dict[str, DataFrame], latency: DataFrame, metric_names: Sequence[str]) -> DataFrame:
-    """One row per model: metrics as columns, latency_ms, folds_evaluated, learned_weight."""
+def summary_rows(result: dict[str, DataFrame], latency: DataFrame | None, metric_names: Sequence[str]) -> DataFrame:
+    """One row per model: metrics as columns, latency_ms, folds_evaluated, learned_weight. `latency` (model, latency_ms) is the
+    measured one of the result, or comes from elsewhere."""
+    latency = (result["latency"] if latency is None else latency).select("model", "latency_ms")
     wide = result["aggregate"].groupBy("model").pivot("metric", list(metric_names)).agg(F.first("value"))
     evaluated = result["fold_metrics"].groupBy("model").agg(F.count_distinct("fold").alias("folds_evaluated"))
     return (

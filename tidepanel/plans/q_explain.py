@@ -155,14 +155,23 @@ F43 = (
 @query(
     "f43_end_to_end_decisions",
     F43 + ", parts AS (SELECT *, y - trend - seasonal AS resid FROM m), vr AS (SELECT series_id, var_pop(trend) AS t, var_pop(seasonal) AS s, var_pop(resid) AS r FROM parts GROUP BY 1),"
-    " tl AS (SELECT series_id, lag FROM lc QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY strength DESC, lag) = 1), k AS (SELECT series_id, length(series_id) AS k, arg_max(y, pos) AS fv FROM panel GROUP BY 1)"
-    " SELECT k.series_id, round(trust_score, 6) AS trust_score, risk_category, round(t / (t + s + r), 4) AS trend_share, round(s / (t + s + r), 4) AS seasonal_share, lag AS top_lag, 0.9 >= 0.85 AND NOT (trust_score < 0.5 OR crit OR risk_category = 'RED') AS auto_executed"
-    " FROM k JOIN geopolitical_r g ON g.item_id = CAST(k.k AS VARCHAR) JOIN vr ON vr.series_id = k.series_id JOIN tl ON tl.series_id = k.series_id",
+    " tl AS (SELECT series_id, lag FROM lc QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY strength DESC, lag) = 1), k AS (SELECT series_id, length(series_id) AS k, arg_max(y, pos) AS fv FROM panel GROUP BY 1),"
+    " ft AS (SELECT series_id, max(n) - 7 AS cut, arg_max(y, pos) AS lv, avg(y) AS my, avg(pos) AS mx, regr_slope(y, pos) AS b FROM panel WHERE pos < n - 7 GROUP BY 1),"
+    " er AS (SELECT p.series_id, avg(abs(lv - y)) AS e1, avg(abs(my + b * (pos - mx) - y)) AS e2 FROM panel p JOIN ft USING (series_id) WHERE pos >= cut GROUP BY 1),"
+    " ms AS (SELECT CASE WHEN avg(e1) <= avg(e2) THEN 'last_value' ELSE 'linear_trend' END AS model_selected FROM er)"
+    " SELECT k.series_id, round(trust_score, 6) AS trust_score, risk_category, round(t / (t + s + r), 4) AS trend_share, round(s / (t + s + r), 4) AS seasonal_share, lag AS top_lag, model_selected, 0.9 >= 0.85 AND NOT (trust_score < 0.5 OR crit OR risk_category = 'RED') AS auto_executed"
+    " FROM k JOIN geopolitical_r g ON g.item_id = CAST(k.k AS VARCHAR) JOIN vr ON vr.series_id = k.series_id JOIN tl ON tl.series_id = k.series_id, ms",
 )
 def f43_end_to_end_decisions(spark, sf):
     panel = pn.events_daily(spark, sf)
     k = panel.groupBy("series_id").agg(F.max_by("y", "pos").alias("forecast_value")).withColumn("k", F.length("series_id").cast("string"))
     trust = tr.score(payload(spark, sf, "geopolitical"), "geopolitical").join(k.select(F.col("k").alias("item_id"), "series_id"), "item_id").drop("item_id").withColumnRenamed("series_id", "item_id")
-    metrics = panel.groupBy(F.lit("last_value").alias("model"), F.lit("mae").alias("metric")).agg(F.avg("y").alias("value"))
+    before, actuals = folds.holdout(panel, 7)
+    metrics = None
+    for model in ("last_value", "linear_trend"):
+        pairs = fc.forecast(before, model, 7).join(actuals, ["series_id", "step"])
+        one = pairs.groupBy(F.lit(model).alias("model"), "series_id").agg(F.avg(F.abs(F.col("mean") - F.col("a"))).alias("v"))
+        one = one.groupBy("model", F.lit("mae").alias("metric")).agg(F.avg("v").alias("value"))
+        metrics = one if metrics is None else metrics.unionByName(one)
     d = ex.explain_decisions(k.select("series_id", "forecast_value", F.lit(0.9).alias("confidence")), trust, panel, metrics, 7)
-    return d.select("series_id", F.round("trust_score", 6).alias("trust_score"), "risk_category", "trend_share", "seasonal_share", "top_lag", "auto_executed")
+    return d.select("series_id", F.round("trust_score", 6).alias("trust_score"), "risk_category", "trend_share", "seasonal_share", "top_lag", "model_selected", "auto_executed")

@@ -52,6 +52,34 @@ def f13_walk_forward_benchmark(spark, sf):
     return fm.select("model", "fold", F.round("mae", 2).alias("mae"), F.round("rmse", 2).alias("rmse"), F.round("mase", 6).alias("mase"))
 
 
+def _measured(spark, sf):
+    names = ["mase", "mae", "rmse"]
+    return bm.summary_rows(bm.run_benchmark(pn.orders_daily(spark, sf), MODELS, 14, measure=True), None, names), names
+
+
+# measured times differ from run to run: the twins check what must hold of them
+@query("f13_benchmark_latency", BENCH + " SELECT model, count(*) AS calls, CAST(0 AS BIGINT) AS failed, true AS measured FROM ps GROUP BY 1")
+def f13_benchmark_latency(spark, sf):
+    """Every call is timed in its task; one per model, fold and series."""
+    timed = bm.run_benchmark(pn.orders_daily(spark, sf), MODELS, 14, measure=True)["latency"]
+    return timed.select("model", "calls", "failed", (F.col("latency_ms") > 0).alias("measured"))
+
+
+@query(
+    "w21_measured_rankings",
+    BENCH + " SELECT model, CAST(row_number() OVER (ORDER BY mase, mae, rmse, model) AS INTEGER) AS quality_rank, round(mase, 6) AS mase, true AS latency_ranked, true AS balanced FROM ag",
+)
+def w21_measured_rankings(spark, sf):
+    """Ranks by measured latency: in its order, and balanced as 0.7 quality + 0.3 latency."""
+    s, names = _measured(spark, sf)
+    r = lb.routing_ranks(s, names)
+    order = r.agg(F.sort_array(F.collect_list(F.struct("latency_ms", "latency_rank"))).alias("o"))  # one row per model
+    in_order = order.select(F.forall(F.transform("o", lambda e, i: e["latency_rank"] == i + 1), lambda x: x).alias("latency_ranked"))
+    balanced = F.col("balanced_score") == F.round(0.7 * F.col("quality_rank") + 0.3 * F.col("latency_rank"), 4)
+    rows = r.select("model", "quality_rank", F.round("mase", 6).alias("mase"), balanced.alias("balanced"), F.lit(1).alias("_j"))
+    return rows.join(in_order.withColumn("_j", F.lit(1)), "_j").select("model", "quality_rank", "mase", "latency_ranked", "balanced")
+
+
 @query("a12_fold_aggregate", BENCH + " SELECT model, 'mae' AS metric, round(mae, 2) AS value FROM ag UNION ALL SELECT model, 'rmse', round(rmse, 2) FROM ag UNION ALL SELECT model, 'mase', round(mase, 2) FROM ag")
 def a12_fold_aggregate(spark, sf):
     return _bench(spark, sf)["aggregate"].withColumn("value", F.round("value", 2))
@@ -416,3 +444,47 @@ def f19_fallback_forecast(spark, sf):
     ).select("series_id", "c.*")
     runners = {"seasonal_naive": lambda h, k: fc.seasonal_naive(h.where("n >= 1700"), k), "last_value": fc.last_value}
     return sel.forecast_with_fallback(history, cands, runners, 7, [1, 2])
+
+
+AUTO_CHAIN = (
+    OD + " s AS (SELECT series_id, max(n) AS n, arg_max(y, pos) AS lv FROM panel GROUP BY 1), c AS (SELECT *, CASE WHEN n >= 1700 THEN 3 ELSE 4 END AS rank FROM s)"
+)
+
+
+@query(
+    "f19_auto_forecast",
+    AUTO_CHAIN + " SELECT series_id, CASE rank WHEN 3 THEN 'seasonal_naive' ELSE 'last_value' END AS model, 'ranked' AS stage, rank, CAST(step AS INTEGER) AS step,"
+    " CASE rank WHEN 3 THEN (SELECT y FROM panel p WHERE p.series_id = c.series_id AND p.pos = c.n - 7 + ((step - 1) % 7)) ELSE lv END AS mean FROM c, range(1, 8) AS r(step)",
+)
+def f19_auto_forecast(spark, sf):
+    """Lane, then the model asked for, then the ranked ones: the lane's model fails, the one asked for isn't there, and short
+    series fall through to the last."""
+    r = _auto(spark, sf)["forecast"]
+    return r.select("series_id", "model", "stage", "rank", "step", "mean")
+
+
+@query(
+    "f19_attempts",
+    AUTO_CHAIN + " SELECT series_id, 1 AS rank, 'lane' AS stage, 'broken' AS model, 'failed' AS outcome, 'RuntimeError: out of order' AS reason FROM c"
+    " UNION ALL SELECT series_id, 2, 'explicit', 'unheard_of', 'failed', 'model is not available' FROM c"
+    " UNION ALL SELECT series_id, 3, 'ranked', 'seasonal_naive', CASE rank WHEN 3 THEN 'ok' ELSE 'failed' END, CASE rank WHEN 3 THEN NULL ELSE 'no forecast' END FROM c"
+    " UNION ALL SELECT series_id, 4, 'ranked', 'last_value', 'ok', NULL FROM c WHERE rank = 4",
+)
+def f19_attempts(spark, sf):
+    return _auto(spark, sf)["attempts"]
+
+
+def _auto(spark, sf):
+    history = pn.orders_daily(spark, sf)
+
+    def broken(y, horizon, levels):
+        raise RuntimeError("out of order")
+
+    slot = fc.GroupedModel("broken", broken)
+    ranked = history.select("series_id").distinct().select(
+        "series_id", F.explode(F.array(F.struct(F.lit(1).alias("rank"), F.lit("seasonal_naive").alias("model")), F.struct(F.lit(2).alias("rank"), F.lit("last_value").alias("model")))).alias("c")
+    ).select("series_id", "c.*")
+    runners = {
+        "broken": lambda h, k: fc.forecast(h, slot, k), "seasonal_naive": lambda h, k: fc.seasonal_naive(h.where("n >= 1700"), k), "last_value": fc.last_value,
+    }
+    return sel.auto_forecast(history, ranked, runners, 7, lane="broken", explicit="unheard_of")
