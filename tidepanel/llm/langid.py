@@ -22,9 +22,13 @@ from pyspark.sql import functions as F
 from tidepanel.llm.common import slices, staged
 
 CELLS = 1 << 13
-HIDDEN = re.compile(r"<(script|style|template|noscript)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+OPENS = re.compile(r"<(script|style|template|noscript)\b|<!--", re.I)
+CLOSES = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style", "template", "noscript")} | {None: re.compile("-->")}
 TAG = re.compile(r"<[^>]*>")
-DECLARED = re.compile(r"""<html\b[^>]*?\b(?:xml:)?lang\s*=\s*["']?\s*([A-Za-z]{2,3})\b|<meta\b[^>]*?content-language["'][^>]*?content\s*=\s*["']?\s*([A-Za-z]{2,3})\b""", re.I)
+HEAD_TAG = re.compile(r"<(html|meta)\b[^>]*", re.I)
+HTML_LANGUAGE = re.compile(r"""\b(?:xml:)?lang\s*=\s*["']?\s*([A-Za-z]{2,3})\b""", re.I)
+META_NAME = re.compile(r"""content-language["']""", re.I)
+META_LANGUAGE = re.compile(r"""content\s*=\s*["']?\s*([A-Za-z]{2,3})\b""", re.I)
 HOST = re.compile(r"^\s*(?:[A-Za-z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*(/[^?#]*)?")
 #: Languages of country suffixes. Fixed values.
 COUNTRIES = {
@@ -80,7 +84,41 @@ def trigram_model(docs: DataFrame, languages: list[str], smoothing: float = 0.5)
 
 
 def visible_text(page: str) -> str:
-    return html.unescape(TAG.sub(" ", HIDDEN.sub(" ", page)))
+    """Text outside of tags, comments and hidden elements. An element that isn't closed hides nothing; what closes it is looked
+    for once, so time grows with the page."""
+    out, at, unclosed = [], 0, set()
+    for m in OPENS.finditer(page):
+        name = m.group(1) and m.group(1).lower()
+        if m.start() < at or name in unclosed:
+            continue
+        end = CLOSES[name].search(page, m.end())
+        if end is None:
+            unclosed.add(name)
+            continue
+        out.append(page[at : m.start()])
+        at = end.end()
+    out.append(page[at:])
+    shown = " ".join(out)
+    last = shown.rfind(">") + 1  # no tag ends behind it
+    return html.unescape(TAG.sub(" ", shown[:last]) + shown[last:])
+
+
+def declared_language(page: str) -> str | None:
+    """The code of the first html or meta tag that declares a language; every tag is read once."""
+    for m in HEAD_TAG.finditer(page):
+        tag = m.group()
+        if m.group(1).lower() == "html":
+            found = HTML_LANGUAGE.search(tag)
+        else:
+            name = META_NAME.search(tag)
+            found = name and META_LANGUAGE.search(tag, name.end())
+        if found:
+            return found.group(1).lower()
+    return None
+
+
+#: Second-level names under which countries register domains. Fixed values.
+REGISTRIES = {"ac", "co", "com", "edu", "gov", "net", "org"}
 
 
 def address_parts(url: str | None) -> tuple[str | None, str | None, str | None, list[str]]:
@@ -90,8 +128,9 @@ def address_parts(url: str | None) -> tuple[str | None, str | None, str | None,
     if not host:
         return None, None, None, []
     labels = host.split(".")
+    own = 3 if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in REGISTRIES else 2
     segments = [s for s in (m.group(2) or "").split("/") if s]
-    return host, ".".join(labels[-2:]), labels[-1], [*labels[:-2], *[re.split(r"[-_.]", s)[0].lower() for s in segments[:1]]]
+    return host, ".".join(labels[-own:]), labels[-1], [*labels[:-own], *[re.split(r"[-_.]", s)[0].lower() for s in segments[:1]]]
 
 
 EVIDENCE = "page_id long, host string, domain string, suffix string, declared int, address int, loglik array<double>"
@@ -106,8 +145,8 @@ def _read_pages(languages: list[str], model: np.ndarray, o: LanguageOptions):
             urls = [address_parts(u) for u in batch.column("url").to_pylist()]
             declared, logs = [], []
             for page in batch.column("html").to_pylist():
-                m = DECLARED.search(page)
-                declared.append(place.get((m.group(1) or m.group(2)).lower(), n) if m else n + 1)
+                code = declared_language(page)
+                declared.append(place.get(code, n) if code else n + 1)
                 data = np.frombuffer(b"  " + " ".join(visible_text(page).lower().split()).encode() + b"  ", np.uint8)
                 total = model[:, trigram_cells(data)].sum(axis=1)
                 logs.append(total * o.temper * min(1.0, o.most_grams / (len(data) - 2)))
