@@ -180,9 +180,11 @@ def dominant_period(panel: DataFrame, rows: int | None = None, tile_bits: int |
     valid = fourier.centred(panel)
     short = valid.where(F.col("n") <= rows).groupBy("series_id").applyInPandas(run, "series_id string, n long, bin long")
     long = valid.where(F.col("n") > rows)
-    ends = per_series(long).join(fourier.strongest(fourier.spectrum(long, "d", tile_bits), tile_bits), "series_id")
+    if not long.isEmpty():
+        ends = per_series(long).join(fourier.strongest(fourier.spectrum(long, "d", tile_bits), tile_bits), "series_id")
+        short = short.unionByName(ends.select("series_id", "n", "bin"))
     period = F.floor(F.col("n") / F.col("bin"))
-    found = short.unionByName(ends.select("series_id", "n", "bin")).select(
+    found = short.select(
         "series_id", F.when((F.col("n") >= 6) & (period >= 2) & (period <= F.floor(F.col("n") / 2)), period).cast("int").alias("period")
     )
     return panel.select("series_id").distinct().join(found, "series_id", "left")

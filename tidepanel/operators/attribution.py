@@ -44,7 +44,8 @@ def lag_correlation(panel: DataFrame, tile_bits: int | None = None) -> DataFrame
     stats = per_series(panel, F.avg("y").alias("_m"), F.var_pop("y").alias("_v")).where((F.col("n") >= 4) & (F.col("_v") > 0))
     d = attach(panel.select("series_id", "pos", "n", "y"), stats).withColumn("d", F.col("y") - F.col("_m"))
     short = d.where(F.col("n") <= bl.BLOCK_ROWS).groupBy("series_id").applyInPandas(_own_lags, "series_id string, n long, lag long, s double")
-    sums = short.unionByName(fourier.lag_sums(d.where(F.col("n") > bl.BLOCK_ROWS), "d", tile_bits))
+    long = d.where(F.col("n") > bl.BLOCK_ROWS)
+    sums = short if long.isEmpty() else short.unionByName(fourier.lag_sums(long, "d", tile_bits))
     acf = sums.drop("n").join(stats.select("series_id", "n", "_v"), "series_id").select(
         "series_id", "n", "lag", F.abs(F.col("s") / (F.col("_v") * (F.col("n") - F.col("lag")))).alias("strength")
     )

@@ -239,10 +239,29 @@ def r06_regularize_and_impute(spark, sf):
     )
 
 
-@query("r07_cubic_interpolation")
+# Not-a-knot cubic: the tridiagonal system for the knots' curvatures, eliminated forwards and filled in backwards.
+CUBIC = (
+    NEAR.replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", k0 AS (SELECT series_id, pos AS x, y, row_number() OVER (PARTITION BY series_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS m FROM reg WHERE y IS NOT NULL),"
+    " k AS (SELECT *, lead(x) OVER w - x AS h, (lead(y) OVER w - y) / (lead(x) OVER w - x) AS s, x - lag(x) OVER w AS g, (y - lag(y) OVER w) / (x - lag(x) OVER w) AS r,"
+    " lag(x) OVER w - lag(x, 2) OVER w AS gg, lead(x, 2) OVER w - lead(x) OVER w AS hh FROM k0 WINDOW w AS (PARTITION BY series_id ORDER BY x)),"
+    " t AS (SELECT series_id, i, m, 6 * (s - r) AS rhs, 2 * (g + h) + CASE WHEN i = 1 THEN g * (1 + g / h) ELSE 0 END + CASE WHEN i = m - 2 THEN h * (1 + h / g) ELSE 0 END AS di,"
+    " CASE WHEN i = m - 2 THEN g - h * (h / g) ELSE g END AS lo, CASE WHEN i = 1 THEN h - g * (g / h) ELSE h END AS up FROM k WHERE i BETWEEN 1 AND m - 2),"
+    " fw AS (SELECT series_id, i, m, di, rhs, up FROM t WHERE i = 1 UNION ALL SELECT t.series_id, t.i, t.m, t.di - t.lo / fw.di * fw.up, t.rhs - t.lo / fw.di * fw.rhs, t.up FROM fw JOIN t ON t.series_id = fw.series_id AND t.i = fw.i + 1),"
+    " bw AS (SELECT series_id, i, rhs / di AS c FROM fw WHERE i = m - 2 UNION ALL SELECT fw.series_id, fw.i, (fw.rhs - fw.up * bw.c) / fw.di FROM bw JOIN fw ON fw.series_id = bw.series_id AND fw.i = bw.i - 1),"
+    " kc AS (SELECT k.*, CASE WHEN k.i = 0 THEN (SELECT c FROM bw b WHERE b.series_id = k.series_id AND b.i = 1) * (1 + h / hh) - (SELECT c FROM bw b WHERE b.series_id = k.series_id AND b.i = 2) * (h / hh)"
+    " WHEN k.i = m - 1 THEN (SELECT c FROM bw b WHERE b.series_id = k.series_id AND b.i = k.m - 2) * (1 + g / gg) - (SELECT c FROM bw b WHERE b.series_id = k.series_id AND b.i = k.m - 3) * (g / gg) ELSE bw.c END AS c"
+    " FROM k LEFT JOIN bw ON bw.series_id = k.series_id AND bw.i = k.i),"
+    " sp AS (SELECT series_id, x AS x0, y AS y0, c AS c0, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(c) OVER w AS c1 FROM kc WINDOW w AS (PARTITION BY series_id ORDER BY x)),"
+    " ip AS (SELECT n.series_id, n.pos, n.y, (x1 - n.pos) / (x1 - x0) AS l, (n.pos - x0) / (x1 - x0) AS q, x1 - x0 AS w, y0, y1, c0, c1 FROM nb n LEFT JOIN sp ON sp.series_id = n.series_id AND sp.x0 = n.pp)"
+    " SELECT series_id, pos, round(coalesce(y, l * y0 + q * y1 + ((l * l * l - l) * c0 + (q * q * q - q) * c1) * w * w / 6), 4) AS y FROM ip"
+)
+
+
+@query("r07_cubic_interpolation", CUBIC)
 def r07_cubic_interpolation(spark, sf):
     """Not-a-knot cubic through the observed hours; checked against the knots and a dense solve in the tests."""
-    return out(clean.impute(holes(spark, sf), "cubic"), "y")
+    return out(clean.impute(holes(spark, sf), "cubic"), "y", digits=4)
 
 
 @query("r08_spline_fit")
