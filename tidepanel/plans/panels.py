@@ -40,6 +40,14 @@ def events_raw(spark: SparkSession, sf: str) -> DataFrame:
     return number_rows(ev, order=("ts", "ord"))
 
 
+def lineitem_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line item in time order, one series per return flag: a few very long series."""
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_returnflag").alias("series_id"), F.col("l_shipdate").cast("timestamp").alias("ts"), "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("y")
+    )
+    return number_rows(rows, order=("ts", "l_orderkey", "l_linenumber"), bucket_seconds=86_400)
+
+
 def _cte(name: str, source: str, series: str, ts: str, y: str) -> str:
     return (
         f"{name} AS (SELECT series_id, ts, y, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS pos,"

@@ -438,6 +438,24 @@ LAGC = (
 )
 
 
+@query(
+    "y08_long_series_bounds",
+    "WITH q AS (SELECT l_returnflag AS series_id, count(*) AS n, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY 1)"
+    " SELECT series_id, n, round(q1 - 1.5 * (q3 - q1), 4) AS lo, round(q3 + 1.5 * (q3 - q1), 4) AS hi FROM q",
+)
+def y08_long_series_bounds(spark, sf):
+    """Fences of every line item's price: series of a third of the table each."""
+    panel = pn.lineitem_rows(spark, sf)
+    n = panel.groupBy("series_id").agg(F.max("n").alias("n"))
+    return an.anomaly_bounds(panel).drop("n").join(n, "series_id").select("series_id", "n", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+
+
+@query("c24_long_series_period")
+def c24_long_series_period(spark, sf):
+    """Strongest period of every line item's price; tests hold the transforms against one transform."""
+    return an.dominant_period(pn.lineitem_rows(spark, sf))
+
+
 @query("y17_lag_attribution", LAGC + " SELECT series_id, lag, n - 1 - lag AS pos, round(strength / sum(strength) OVER (PARTITION BY series_id), 6) AS importance FROM lc")
 def y17_lag_attribution(spark, sf):
     a = at.lag_correlation(pn.events_daily(spark, sf))
