@@ -199,18 +199,28 @@ def test_no_lines(spark):
     assert {r.text for r in only_short} == {"a b"}
 
 
-def test_without_broadcast_of_ids(spark):
+@pytest.mark.parametrize("bits", [64, 1 << 20])
+def test_filters_let_nothing_get_lost(spark, bits):
+    """A bitmap that is full lets every class through, a wide one hardly any other: the rows are the same."""
     rows = line_rows(3)[:60]
-    found = lines.dedup_lines(spark, as_docs(spark, rows), lines.LineOptions(first=1, broadcast_ids=0)).collect()
+    found = lines.dedup_lines(spark, as_docs(spark, rows), lines.LineOptions(first=1, filter_bits=bits)).collect()
     assert {r.doc_id: r.text for r in found} == {d: v for (d, _), v in brute_lines(rows).items()}
 
 
-def test_many_unfinished_ids_stay_off_the_driver(spark, monkeypatch):
-    rows = line_rows(3)[:60]
-    docs = as_docs(spark, rows)
-    monkeypatch.setattr(type(docs), "toPandas", lambda self: pytest.fail("ids collected to the driver"))
-    found = lines.dedup_lines(spark, docs, lines.LineOptions(first=1, broadcast_ids=0)).collect()
-    assert {r.doc_id: r.text for r in found} == {d: v for (d, _), v in brute_lines(rows).items()}
+def test_id_filter(spark):
+    ids = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 3000)
+    keep = lines.id_filter(spark, spark.createDataFrame([(int(i),) for i in ids], "id long"), 1 << 17)
+    assert keep(ids.view(np.uint64)).all()
+    others = np.random.default_rng(2).integers(0, 2**63 - 1, 20_000).astype(np.uint64)
+    assert keep(others).mean() < 0.02
+
+
+def test_lines_with_clashing_columns_and_many_lines(spark):
+    rows = [(1, "a b c d e f\n" * 3000 + "own words of the first row", 5, "x"), (2, "a b c d e f\nown words of the second row\n\nx", 6, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc long, gone string")
+    found = {r.doc_id: r for r in lines.dedup_lines(spark, docs, lines.LineOptions(least_words=1)).collect()}
+    assert found[1].text == "a b c d e f\nown words of the first row" or found[1].text == "a b c d e f\n\nown words of the first row"
+    assert found[1].n_removed == 2999 and found[2].text == "own words of the second row\n\nx" and (found[2].doc, found[2].gone) == (6, "y")
 
 
 def test_words_are_hashed_like_one_by_one():

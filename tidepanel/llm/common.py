@@ -35,6 +35,17 @@ def drop_staged(spark: SparkSession, df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def words_of(text: str) -> list[bytes]:
     """Lower-cased (A-Z only) words of a text, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split()
@@ -98,8 +109,19 @@ def _hash_words(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix64(np.add.reduceat(_VALUE[data] * powers[place], at)), line, counts
 
 
+def give_back() -> None:
+    """Return memory that earlier tasks of this Python worker have freed to the system, where the C library can."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece holds about `most` bytes of `column` (one row at least)."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -109,6 +131,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000
         for a, b in zip([0, *edges], [*edges, batch.num_rows]):
             if b > a:
                 yield batch.slice(a, b - a)
+    give_back()
 
 
 def _lengths(column: pa.Array) -> list:

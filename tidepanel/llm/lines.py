@@ -21,9 +21,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import Words, drop_staged, mix64, slices, staged
+from tidepanel.llm.common import Words, drop_staged, free_names, mix64, slices, staged
 
 COUNTERS, CHUNK, FAN_IN = 1 << 19, 1 << 16, 64
+FILTER_PARTS = 64
 KEY_BITS = 46  # 12 bits of rarity above 34 bits of hash
 LAST = (1 << 63) - 1  # stands for a missing doc_id
 
@@ -31,14 +32,14 @@ LAST = (1 << 63) - 1  # stands for a missing doc_id
 @dataclass(frozen=True)
 class LineOptions:
     """percent: least similarity. least_words: lines with fewer distinct words are left alone. first: candidates per line and
-    shared word before the rest is looked at in a second pass. postings: about as many per bucket. broadcast_ids: most class
-    ids (8 bytes each) that are handed to every task."""
+    shared word before the rest is looked at in a second pass. postings: about as many per bucket. filter_bits: bits of the
+    bitmap that tells every task which classes are asked for, whatever their number (it may let others through)."""
 
     percent: int = 80
     least_words: int = 4
     first: int = 4
     postings: int = 200_000
-    broadcast_ids: int = 1_000_000
+    filter_bits: int = 1 << 26
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -103,26 +104,29 @@ def rarity_steps(counts: np.ndarray) -> np.ndarray:
 
 class LineSets:
     """The lines with at least `least` distinct words of some texts, vectorised: per line row (of the texts), number, size,
-    id (hash of the set) and bits (parity bitmap); per word key and line, the rarest first.
+    id (hash of the set) and bits (parity bitmap); per word key, hash and line, the rarest first.
 
-    A key has 12 bits of rarity above 34 bits of the word's hash.
+    A key has 12 bits of rarity above 34 bits of the word's hash; it orders words. Sets are those of the 64-bit hashes.
     """
 
     def __init__(self, hashes: np.ndarray, line: np.ndarray, row: np.ndarray, number: np.ndarray, steps: np.ndarray, least: int):
         n = len(row)
         key = steps[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)] << np.uint64(34) | hashes >> np.uint64(30)
-        both = np.sort(line.astype(np.uint64) << np.uint64(KEY_BITS) | key)
-        both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+        both = line.astype(np.uint64) << np.uint64(KEY_BITS) | key
+        order = np.argsort(both)
+        both, hashes = both[order], hashes[order]
+        new = np.concatenate([[True], (both[1:] != both[:-1]) | (hashes[1:] != hashes[:-1])]) if len(both) else np.zeros(0, bool)
+        both, hashes = both[new], hashes[new]
         line = (both >> np.uint64(KEY_BITS)).astype(np.int64)
         size = np.bincount(line, minlength=n)
         kept = size >= least
-        both, line = both[kept[line]], line[kept[line]]
+        both, hashes, line = both[kept[line]], hashes[kept[line]], line[kept[line]]
         self.size = size[kept]
         self.row, self.number = row[kept], number[kept]
-        self.key = both & np.uint64((1 << KEY_BITS) - 1)
+        self.key, self.hash = both & np.uint64((1 << KEY_BITS) - 1), hashes
         self.line = (np.cumsum(kept) - 1)[line]
         self.start = np.cumsum(self.size) - self.size
-        mixed = mix64(self.key * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        mixed = mix64(self.hash * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
         if len(mixed):
             self.id = mix64(np.add.reduceat(mixed, self.start) + self.size.astype(np.uint64))
             self.bits = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), self.start)
@@ -221,12 +225,55 @@ def _emit(counts, o: LineOptions, buckets: int):
     return run
 
 
-def candidate_pairs(p: np.ndarray, o: LineOptions, only: np.ndarray | bool | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class IdFilter:
+    """A bitmap of class ids: asked for ids always pass, others sometimes."""
+
+    def __init__(self, bitmap: np.ndarray):
+        self.bitmap = bitmap
+
+    @staticmethod
+    def places(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        x = mix64(ids.astype(np.uint64, copy=False))
+        return (x % np.uint64(bits)).astype(np.int64), ((x >> np.uint64(32)) % np.uint64(bits)).astype(np.int64)
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        found = np.ones(len(ids), bool)
+        for at in self.places(ids, len(self.bitmap) * 8):
+            found &= (self.bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return found
+
+
+def id_filter(spark: SparkSession, ids: DataFrame, bits: int) -> IdFilter:
+    """The bitmap of a column `id` of any length: each of FILTER_PARTS tasks fills its own, pieces of them are put together."""
+    step = 1 << 16
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            for at in IdFilter.places(batch.column("id").to_numpy().view(np.uint64), bits):
+                np.bitwise_or.at(bitmap, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        for k in range(0, len(bitmap), step):
+            if bitmap[k : k + step].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([bitmap[k : k + step].tobytes()], pa.binary())], names=["at", "piece"])
+
+    def together(table: pa.Table) -> pa.Table:
+        pieces = [np.frombuffer(x, np.uint8) for x in table.column("piece").to_pylist()]
+        return pa.table({"at": pa.array([table.column("at")[0].as_py()]), "piece": pa.array([np.bitwise_or.reduce(pieces).tobytes()], pa.binary())})
+
+    parts = ids.select("id").repartition(FILTER_PARTS).mapInArrow(fill, "at long, piece binary")
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for row in parts.groupBy("at").applyInArrow(together, "at long, piece binary").collect():  # `bits`, whatever the number of ids
+        piece = np.frombuffer(row["piece"], np.uint8)
+        bitmap[row["at"] : row["at"] + len(piece)] = piece
+    return IdFilter(bitmap)
+
+
+def candidate_pairs(p: np.ndarray, o: LineOptions, only: IdFilter | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(later, earlier, differing bits, unfinished): candidate pairs of one bucket by id, and ids with further candidates.
 
     Postings are sorted by word and doc; each looks back step by step, all words at once, and keeps the `first` candidates
     whose bitmaps differ least. One with two likely candidates (half of the bits that may differ) looks no further. With
-    `only`, these ids (as the later of a pair) keep all their candidates and others none; True stands for all ids.
+    `only`, the ids that pass it (as the later of a pair) keep all their candidates and others none.
     """
     p = p[np.argsort(p["doc"], kind="stable")]
     # a class that several tasks have sent stays once, with its first doc (one that is left twice does no harm)
@@ -241,8 +288,8 @@ def candidate_pairs(p: np.ndarray, o: LineOptions, only: np.ndarray | bool | Non
     opened = np.concatenate([[True], word[1:] != word[:-1]]) if n else np.zeros(0, bool)
     place = np.arange(n) - np.maximum.accumulate(np.where(opened, np.arange(n), 0))  # place within the word
     live = np.flatnonzero(place >= 1)
-    if isinstance(only, np.ndarray):
-        live = live[np.isin(ids[live], only)]
+    if only is not None:
+        live = live[only(ids[live])]
     k = o.first
     kept = np.full((n if only is None else 0, k), 255, np.uint8)  # differing bits of the candidates kept
     partner = np.zeros((len(kept), k), np.int64)
@@ -284,7 +331,7 @@ def candidate_pairs(p: np.ndarray, o: LineOptions, only: np.ndarray | bool | Non
 FOUND = "kind string, id long, other long, doc long, tag long, line long"
 
 
-def _meet(o: LineOptions, only: np.ndarray | bool | None):
+def _meet(o: LineOptions, only):
     """Rows of FOUND from the blobs of one bucket after another."""
 
     def rows(kind: str, n: int, **cols) -> pa.RecordBatch:
@@ -295,7 +342,7 @@ def _meet(o: LineOptions, only: np.ndarray | bool | None):
 
     def bucket(kind: str, raw: list[bytes]) -> Iterator[pa.RecordBatch]:
         if kind == "posting":
-            x, y, bits, more = candidate_pairs(np.frombuffer(b"".join(raw), POSTING), o, only)
+            x, y, bits, more = candidate_pairs(np.frombuffer(b"".join(raw), POSTING), o, None if only is None else only.value)
             if len(x):
                 yield rows("pair", len(x), id=x, other=y, line=bits)
             if len(more):
@@ -332,33 +379,26 @@ def _meet(o: LineOptions, only: np.ndarray | bool | None):
 
 
 def _full_sets(counts, least: int, wanted):
-    """(id, words) of the wanted classes (or of all), once per task; words are packed 64-bit numbers."""
+    """(id, words) of the classes that pass the filter, once per batch of lines; words are packed 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steps, done = rarity_steps(counts.value), np.zeros(0, np.uint64)
-        want = None if wanted is None else wanted.value
+        steps = rarity_steps(counts.value)
         for batch in slices(batches, "text"):
             for s in line_sets(batch.column("text").to_pylist(), steps, least):
                 ids, at = np.unique(s.id, return_index=True)
-                use = np.ones(len(ids), bool) if want is None else np.isin(ids, want) & ~np.isin(ids, done)
-                if want is not None:
-                    done = np.union1d(done, ids[use])
+                use = wanted.value(ids)
                 if use.any():
-                    sets = [s.key[a : a + n].tobytes() for a, n in zip(s.start[at[use]].tolist(), s.size[at[use]].tolist())]
+                    sets = [s.hash[a : a + n].tobytes() for a, n in zip(s.start[at[use]].tolist(), s.size[at[use]].tolist())]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[use].view(np.int64)), pa.array(sets, pa.binary())], names=["id", "words"])
 
     return run
 
 
 def full_sets(spark: SparkSession, keyed: DataFrame, counts, pairs: DataFrame, o: LineOptions) -> DataFrame:
-    """(id, words) of all classes that the pairs name."""
-    ends = pairs.select("id").distinct().unionAll(pairs.select(F.col("other").alias("id")).distinct()).distinct()
-    need = staged(spark, ends, "need")
-    wanted = None
-    if need.count() <= o.broadcast_ids:
-        wanted = spark.sparkContext.broadcast(np.sort(need.toPandas()["id"].to_numpy(np.int64).view(np.uint64)))
+    """(id, words) of all classes that the pairs name (and of some others)."""
+    ends = pairs.select("id").unionAll(pairs.select(F.col("other").alias("id")))
+    wanted = spark.sparkContext.broadcast(id_filter(spark, ends, o.filter_bits))
     sets = keyed.select("text").mapInArrow(_full_sets(counts, o.least_words, wanted), "id long, words binary")
-    sets = sets if wanted is not None else sets.join(need, "id")
     return staged(spark, sets.dropDuplicates(["id"]), "sets")
 
 
@@ -392,7 +432,7 @@ def removed_lines(spark: SparkSession, docs: DataFrame, options: LineOptions = L
     counts = spark.sparkContext.broadcast(table)
     buckets = max(64, lines * 10 // o.postings)
 
-    def meet(only: np.ndarray | bool | None) -> DataFrame:
+    def meet(only) -> DataFrame:
         packed = keyed.mapInArrow(_emit(counts, o, buckets), "kind string, bucket int, data binary")
         packed = packed if only is None else packed.filter("kind = 'posting'")
         return packed.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_meet(o, only), FOUND)
@@ -421,9 +461,7 @@ def removed_lines(spark: SparkSession, docs: DataFrame, options: LineOptions = L
     similar = settle(pairs_of(found))
     rest = staged(spark, found.filter("kind = 'more'").select("id").distinct().join(similar, "id", "left_anti"), "rest")
     if not rest.isEmpty():
-        # with too many of them, every id looks at all its candidates
-        few = rest.count() <= o.broadcast_ids
-        only = rest.toPandas()["id"].to_numpy(np.int64).view(np.uint64) if few else True
+        only = spark.sparkContext.broadcast(id_filter(spark, rest, o.filter_bits))
         similar = similar.unionByName(settle(pairs_of(meet(only)))).distinct()
     gone = first.join(similar, "id").select("place.*").unionByName(found.filter("kind = 'lost'").select("doc", "tag", "line"))
     return gone.groupBy("doc", "tag").agg(F.collect_set("line").alias("lines"))
@@ -439,12 +477,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, options: LineOptions = Lin
     """
     docs = docs.drop("n_lines", "n_removed")
     gone = removed_lines(spark, docs, options)
+    d, t, g, new = free_names(docs, "doc", "tag", "gone", "text")
     doc, tag = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.withColumns({"_doc": doc, "_tag": tag})
-    rows = rows.join(gone.withColumnsRenamed({"doc": "_doc", "tag": "_tag", "lines": "_gone"}), ["_doc", "_tag"], "left")
+    rows = docs.withColumns({d: doc, t: tag}).join(gone.withColumnsRenamed({"doc": d, "tag": t, "lines": g}), [d, t], "left")
+    rows = rows.withColumn(g, F.sort_array(g))
     pieces = F.split("text", "\n", -1)
-    kept = F.filter(pieces, lambda x, i: ~F.array_contains("_gone", i.cast("long")))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    # what lies between two removed lines is one slice
+    before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get(g, k - 1)).cast("int")
+    after = lambda k: F.when(k == F.size(g), F.size(pieces)).otherwise(F.get(g, k)).cast("int")
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(g)), lambda k: F.slice(pieces, before(k) + 2, after(k) - before(k) - 1)))
+    text = F.when(F.col(g).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(pieces)).cast("long")
-    n_removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")
-    return rows.withColumns({"n_lines": n_lines, "n_removed": n_removed, "_text": text}).select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns], "n_lines", "n_removed")
+    n_removed = F.when(F.col(g).isNull(), 0).otherwise(F.size(g)).cast("long")
+    return rows.withColumns({"n_lines": n_lines, "n_removed": n_removed, new: text}).select(*[F.col(new).alias("text") if c == "text" else F.col(c) for c in docs.columns], "n_lines", "n_removed")

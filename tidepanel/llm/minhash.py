@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import Words, drop_staged, mix64, slices, staged
+from tidepanel.llm.common import Words, drop_staged, free_names, mix64, slices, staged
 from tidepanel.llm.graph import components
 
 SAMPLES, ROWS_PER_BAND, SKETCH_BITS = 128, 4, 512
@@ -316,5 +316,6 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, options: NearOptions
     share the id). Rows without doc_id all stay."""
     groups = near_duplicates(spark, docs, options).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    stay = docs.filter("doc_id IS NOT NULL").join(groups, "doc_id", "left_semi").withColumn("_turn", turn).filter("_turn = 1")
+    (place,) = free_names(docs, "turn")
+    stay = docs.filter("doc_id IS NOT NULL").join(groups, "doc_id", "left_semi").withColumn(place, turn).filter(F.col(place) == 1)
     return stay.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import WORD, staged
+from tidepanel.llm.common import WORD, free_names, staged
 
 EPS = 1e-9
 
@@ -184,4 +184,5 @@ def _all(conditions: list[Column]) -> Column:
 
 def repeat_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Each row as often as the mix takes it."""
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    (copy,) = free_names(mixed, "copy")
+    return mixed.filter("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
