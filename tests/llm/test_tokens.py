@@ -46,6 +46,16 @@ def test_strings_of_special_tokens_are_special_tokens():
     assert 50256 in ids[: counts[0]].tolist() and 50256 not in ids[counts[0] :].tolist()
 
 
+def test_memo_forgets_rare_pieces():
+    rng = np.random.default_rng(4)
+    small = bpe.Encoder(max_pieces=60)
+    words = [f"w{k}" for k in range(200)] + ["the,", "a", "\n", "x.\ny", "<|endoftext|>"]
+    for _ in range(60):
+        texts = [" ".join(words[k] for k in np.minimum(rng.zipf(1.4, 12), len(words)) - 1) for _ in range(5)]
+        ids, counts = small.encode(texts)
+        assert ids.tolist() == [i for t in plain_ids(texts) for i in t] and len(small.pieces) < 60 + 70
+
+
 def test_memo_starts_anew_when_full():
     small = bpe.Encoder(max_pieces=5)
     for texts in (["a b c d e f g"], ["h i j  k", "", " x"], ["a b"]):

@@ -35,10 +35,11 @@ class _Pieces(dict):
 class Encoder:
     """encode(texts) gives the ids of all texts, each followed by `end_id`, and the number of ids of each text.
 
-    At most `max_pieces` distinct pieces are remembered; then the memo starts anew.
+    When more than `max_pieces` distinct pieces are remembered, those that came once are forgotten (and the rarer ones, until a
+    half is left).
     """
 
-    def __init__(self, path: str | None = None, end_id: int = 0, max_pieces: int = 1_000_000):
+    def __init__(self, path: str | None = None, end_id: int = 0, max_pieces: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,6 +63,25 @@ class Encoder:
         if self.cuts_lines:
             self.pieces["\n"] = 3
             self.used, self.start, self.length = 2, np.append(self.start, 1), np.append(self.length, 1)
+        self.fixed, self.uses = len(self.length), np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the pieces that came more than once, at most half of what may be remembered."""
+        uses = np.zeros(len(self.length), np.int64)
+        uses[: len(self.uses)] = self.uses
+        uses[self.length < 0] = 0
+        most = self.max_pieces // 2
+        least = max(2, int(np.partition(uses, -most)[-most]) + 1) if most and len(uses) > most else 2
+        keep = uses >= least
+        keep[: self.fixed] = True
+        kept = np.flatnonzero(keep)
+        old = list(self.pieces)
+        size = np.maximum(self.length[kept], 0)
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.start[kept] - (ends - size), size) + np.arange(int(size.sum()))]
+        self.pieces = _Pieces({old[k]: i for i, k in enumerate(kept.tolist())})
+        self.pieces.fresh = []
+        self.flat, self.used, self.start, self.length, self.uses = ids, len(ids), ends - size, self.length[kept], self.uses[:0]
 
     def _append(self, ids: np.ndarray, lengths: np.ndarray) -> None:
         """Add entries at the end of the memo; negative lengths mark pieces that must not be looked up."""
@@ -141,7 +161,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.pieces) > self.max_pieces:
-            self.reset()
+            self._forget()
         parts: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
@@ -155,6 +175,9 @@ class Encoder:
                 counts[k] = 1
         index = np.fromiter(map(self.pieces.__getitem__, parts), np.int64, len(parts))
         self._learn()
+        uses = np.bincount(index, minlength=len(self.length))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         lengths = self.length[index]
         kept = len(self.length), self.used
         if len(lengths) and lengths.min() < 0:
@@ -193,7 +216,7 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def worker_encoder(path: str | None, end_id: int = 0, max_pieces: int = 1_000_000) -> Encoder:
+def worker_encoder(path: str | None, end_id: int = 0, max_pieces: int = 400_000) -> Encoder:
     """The encoder of this Python worker, kept between its tasks."""
     key = (path, end_id, max_pieces)
     if key not in _ENCODERS:
