@@ -206,6 +206,18 @@ def test_spectrum_is_that_of_one_transform(panel, tile_bits):
         assert np.allclose([got[k, i] for i in range(len(v))], np.fft.fft(v))
 
 
+def test_spectrum_sends_no_transform_through_the_driver(panel, spark):
+    """The filters start from a row per series, but their transform is as long as the series: no broadcast of it."""
+    from tidepanel.operators import fourier
+
+    rows = panel({"s": np.random.default_rng(2).normal(size=90).tolist()})
+    found = fourier.spectrum(rows, "y", 2)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    lines = [line for line in plan.split("Initial Plan")[0].splitlines() if "chunk" in line and "Join" in line]
+    assert lines and not [line for line in lines if "Broadcast" in line]
+
+
 def test_exchanges_of_transforms_grow_with_the_rows(panel):
     """No exchange of the all-lags sums carries more than a constant times the rows."""
     from tidepanel.operators import fourier

@@ -16,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidepanel.operators.blocks import attach, number_rows, per_series
+from tidepanel.session import cut_lineage
 
 TILE_BITS = 6
+SEGMENT = 1 << 10  # runs that one row of the filters' layout is expanded into, so that no task lays out a whole series
 
 #: A run of values: `chunk` counts runs of the transform, `n` is the length of the series, 2 ** bits that of the transform.
 RUNS = "series_id string, n long, bits int, chunk long, re array<double>, im array<double>"
@@ -121,7 +123,11 @@ def spectrum(rows: DataFrame, value: str, tile_bits: int | None = None) -> DataF
     turned = pointwise(runs_of(rows, value, length, bits), lambda z, k, n, m: z * np.where(k < n, _chirp(k, n), 0), bits)
     zeros = F.transform(F.sequence(F.lit(0), F.lit((1 << bits) - 1)), lambda i: F.lit(0.0))
     every = per_series(rows).select("series_id", "n", bits_for(length, bits).alias("bits"))
-    every = every.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), (F.pow(F.lit(2.0), F.col("bits") - bits)).cast("long") - 1)))
+    last = F.pow(F.lit(2.0), F.col("bits") - bits).cast("long") - 1
+    every = every.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(SEGMENT).cast("long"))))
+    # a number of partitions is named, as the few rows would be put together into one task again
+    every = every.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_id", "_s")
+    every = every.withColumn("chunk", F.explode(F.sequence(F.col("_s"), F.least(F.col("_s") + (SEGMENT - 1), last))))
     filters = every.select("series_id", "n", "bits", "chunk", zeros.alias("re"), zeros.alias("im"))
 
     def mirrored(z, k, n, m):
@@ -129,7 +135,9 @@ def spectrum(rows: DataFrame, value: str, tile_bits: int | None = None) -> DataF
         return np.where(k < n, np.conj(_chirp(k, n)), 0)
 
     a, h = transform(turned, tile_bits=bits), transform(pointwise(filters, mirrored, bits), tile_bits=bits)
-    pair = a.alias("a").join(h.select("series_id", "chunk", F.col("re").alias("hr"), F.col("im").alias("hi")).alias("h"), ["series_id", "chunk"])
+    # the filters come from a row per series, so Spark takes them for small and would send them whole through the driver
+    h = h.select("series_id", "chunk", F.col("re").alias("hr"), F.col("im").alias("hi")).hint("merge")
+    pair = a.alias("a").join(h.alias("h"), ["series_id", "chunk"])
     product = pair.select(
         "series_id", "n", "bits", "chunk",
         F.zip_with(F.zip_with("re", "hr", lambda x, y: x * y), F.zip_with("im", "hi", lambda x, y: x * y), lambda x, y: x - y).alias("re"),
@@ -169,7 +177,12 @@ def lag_sums(rows: DataFrame, value: str, tile_bits: int | None = None) -> DataF
 
 
 def centred(rows: DataFrame) -> DataFrame:
-    """(series_id, pos, n, d): valid values less their mean, numbered anew without holes."""
+    """(series_id, pos, n, d): valid values less their mean, numbered anew without holes.
+
+    The numbered and the centred rows are written once, as all that follows reads them several times.
+    """
+    spark = rows.sparkSession
     valid = rows.where(F.col("y").isNotNull()).select("series_id", F.col("pos").alias("_p"), "y")
-    numbered = number_rows(valid, ("_p",))
-    return attach(numbered, per_series(numbered, F.avg("y").alias("_m"))).select("series_id", "pos", "n", (F.col("y") - F.col("_m")).alias("d"))
+    numbered = cut_lineage(spark, number_rows(valid, ("_p",)).select("series_id", "pos", "n", "y"), "numbered")
+    less = attach(numbered, per_series(numbered, F.avg("y").alias("_m"))).select("series_id", "pos", "n", (F.col("y") - F.col("_m")).alias("d"))
+    return cut_lineage(spark, less, "centred")
