@@ -212,3 +212,28 @@ def test_plan_is_optimal(gaps, data):
     assert price([index[p] for p in packing.plan_cuts(at, cost, o)]) <= best + 15.0
     if min(gaps) > 1:
         assert price([index[p] for p in packing.plan_cuts(at, cost, o)]) == pytest.approx(best)
+
+
+def test_a_line_break_after_a_space_in_a_text_that_is_not_cut_at_lines():
+    texts = ["ab,\n\n\na \n", "a \n b\r\nc", "a\n\n \n b", "a \n b"]
+    ids, counts = bpe.Encoder().encode(texts)
+    assert ids.tolist() == [i for t in plain_ids(texts) for i in t] and counts.sum() == len(ids)
+
+
+def test_a_piece_is_looked_up_once_per_batch_of_texts():
+    """Arrow tells the distinct pieces, so the memo isn't asked for every occurrence."""
+    asked = []
+
+    class Asked(bpe._Pieces):
+        def __getitem__(self, piece):
+            asked.append(piece)
+            return super().__getitem__(piece)
+
+    encoder = bpe.Encoder()
+    fresh, encoder.pieces = encoder.pieces.fresh, Asked(encoder.pieces)
+    encoder.pieces.fresh = fresh
+    texts = ["the cat sat on the mat. " * 200, "", "the cat\nthe mat " * 100, "a <|endoftext|> b"]
+    ids, counts = encoder.encode(texts)
+    ends = np.cumsum(counts)
+    assert [ids[b - n : b].tolist() for b, n in zip(ends, counts)] == plain_ids(texts)
+    assert len(asked) < 30

@@ -9,6 +9,8 @@ space (the pre-tokenizer looks ahead there), or that hold the string of a specia
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END, WHOLE = " end", " whole"  # hold a space, so no piece can be equal to them
 OPENS = "\uf8ff"  # a piece that opens a text or a line, where no space precedes; texts that hold it are cut at spaces only
@@ -149,31 +151,38 @@ class Encoder:
             self.used = base + len(ids)
             self.start[at + place], self.length[at + place] = base + ends - (size + 1), size + 1
 
-    def _cut(self, text: str) -> list[str]:
-        """The pieces of a text, the first of it and of its lines marked."""
+    def _marked(self, text: str) -> str | None:
+        """The text with its first piece and those of its lines marked, to be cut at spaces; None if it must stay whole."""
         if any([c in text for c in self.special]):
-            return [WHOLE]
+            return None
         if OPENS in text:
-            return [WHOLE]
+            return None
         if self.cuts_lines and "\n" in text and "\r" not in text and not ("\n\n" in text and ("\n\n\n" in text or "\n\n " in text or text.endswith("\n\n"))):
             text = text.replace("\n", " \n " + OPENS)
-        return (OPENS + text).split(" ")
+        elif " \n " in text or text.endswith(" \n"):  # a line break that isn't taken off would pass for one that is
+            return None
+        return OPENS + text
+
+    def _indexes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes of the pieces of all texts, END after each, and how many each text has. Arrow cuts the texts, so that only the
+        distinct pieces become Python objects."""
+        marked = [self._marked(t) if t else "" for t in texts]
+        cut = pc.split_pattern(pa.array([m or OPENS for m in marked], pa.large_string()), " ")
+        flat = cut.flatten().dictionary_encode()
+        distinct = flat.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
+        place = np.fromiter(map(self.pieces.__getitem__, distinct), np.int64, len(distinct))
+        index, counts = place[flat.indices.to_numpy()], np.diff(cut.offsets.to_numpy()).astype(np.int64)
+        ends = np.cumsum(counts)
+        index[ends[np.array([m is None for m in marked], bool)] - 1] = self.pieces[WHOLE]
+        # an empty text has END alone, in the place of the one piece above
+        empty = np.array([m == "" for m in marked], bool)
+        index[ends[empty] - 1] = self.pieces[END]
+        return np.insert(index, ends[~empty], self.pieces[END]), counts + ~empty
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.pieces) > self.max_pieces:
             self._forget()
-        parts: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            if text:
-                own = self._cut(text)
-                own.append(END)
-                parts += own
-                counts[k] = len(own)
-            else:
-                parts.append(END)
-                counts[k] = 1
-        index = np.fromiter(map(self.pieces.__getitem__, parts), np.int64, len(parts))
+        index, counts = self._indexes(texts)
         self._learn()
         uses = np.bincount(index, minlength=len(self.length))
         uses[: len(self.uses)] += self.uses
