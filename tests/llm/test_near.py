@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidepanel.llm import graph, lines, minhash, queries
@@ -241,3 +243,43 @@ def test_words_are_hashed_like_one_by_one():
         assert found.line.tolist() == line
     assert len(set(seen.values())) == len(seen)
     assert Words(["x y\n" * 200_000, "a b c"]).counts.tolist() == [400_000, 3]
+
+
+def test_second_pass_sends_the_postings_that_are_asked_for():
+    """Of the words that pass the filter every line's posting comes, of others none, and no first or lost lines again."""
+    rows = [(d, t) for d, t in line_rows(5) if t]
+    texts, o = [t for _, t in rows], lines.LineOptions(least_words=1)
+    batch = pa.RecordBatch.from_pydict({"doc": pa.array([d if d is not None else lines.LAST for d, _ in rows], pa.int64()), "tag": pa.array([0] * len(rows), pa.int64()), "text": texts})
+    counts = SimpleNamespace(value=np.ones(lines.COUNTERS, np.int64))
+    wanted = {int(h) for h in Words([texts[0]]).hashes[:5]}
+
+    def postings(words):
+        out = {"posting": [], "first": [], "lost": []}
+        for b in lines._emit(counts, o, 64, words)(iter([batch])):
+            for kind, raw in zip(b.column("kind").to_pylist(), b.column("data").to_pylist()):
+                out[kind].append(raw)
+        return out, np.frombuffer(b"".join(out["posting"]), lines.POSTING)
+
+    everything, all_of_them = postings(None)
+    some, few = postings(SimpleNamespace(value=lambda h: np.isin(h, np.array(list(wanted), np.uint64))))
+    keys = np.array([int(k) for h, k in zip(*_hashes_and_words(texts, counts, o)) if int(h) in wanted], np.uint32)
+    assert everything["first"] and everything["lost"] and not some["first"] and not some["lost"]
+    assert 0 < len(few) < len(all_of_them)
+    assert sorted(few.tolist()) == sorted(all_of_them[np.isin(all_of_them["word"], keys)].tolist())
+
+
+def _hashes_and_words(texts, counts, o):
+    found = list(lines.line_sets(texts, lines.rarity_steps(counts.value), o.least_words))
+    return np.concatenate([s.hash for s in found]), np.concatenate([lines.mix64(s.key) >> np.uint64(32) for s in found])
+
+
+def test_full_sets_look_only_into_lines_that_are_asked_for(monkeypatch):
+    texts = ["a b c\nd e f g\n\nh i", "x\ny z"]
+    batch = pa.RecordBatch.from_pydict({"doc": pa.array([7, 8], pa.int64()), "tag": pa.array([1, 2], pa.int64()), "text": texts})
+    place = lines.place_ids(np.array([7, 8]), np.array([1, 2]), np.array([3, 1]))
+    read, whole = [], lines.line_sets
+    monkeypatch.setattr(lines, "line_sets", lambda t, *a: read.extend(t) or whole(t, *a))
+    wanted = SimpleNamespace(value=lambda ids: np.isin(ids, place))
+    out = [r for b in lines._full_sets(SimpleNamespace(value=np.ones(lines.COUNTERS, np.int64)), 1, wanted)(iter([batch])) for r in b.to_pylist()]
+    assert read == ["h i", "y z"]
+    assert [(r["doc"], r["tag"], r["line"], len(r["words"])) for r in out] == [(7, 1, 3, 16), (8, 2, 1, 16)]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidepanel.llm.common import Words, drop_staged, free_names, mix64, slices, staged
 
 COUNTERS, CHUNK, FAN_IN = 1 << 19, 1 << 16, 64
-FILTER_PARTS = 64
+FILTER_PARTS = 16
 KEY_BITS = 46  # 12 bits of rarity above 34 bits of hash
 LAST = (1 << 63) - 1  # stands for a missing doc_id
 
@@ -134,13 +134,18 @@ class LineSets:
             self.id = self.bits = np.zeros(0, np.uint64)
 
 
-def line_sets(texts: list[str], steps: np.ndarray, least: int, most: int = 200_000) -> Iterator[LineSets]:
-    """LineSets of at most `most` lines each; lines without words are passed over."""
+def line_sets(texts: list[str], steps: np.ndarray, least: int, asked=None, most: int = 200_000) -> Iterator[LineSets]:
+    """LineSets of at most `most` lines each; lines without words (without words that pass the filter `asked`) are passed over."""
     words = Words(texts)
-    if not len(words.line):
+    hashes, line = words.hashes, words.line
+    if asked is not None:
+        holds = np.zeros(int(words.lines.sum()), bool)
+        holds[line[asked(hashes)]] = True
+        hashes, line = hashes[holds[line]], line[holds[line]]
+    if not len(line):
         return
-    opens = np.concatenate([[True], words.line[1:] != words.line[:-1]])
-    present, place = words.line[opens], np.cumsum(opens) - 1  # lines with words, and the line of each word among them
+    opens = np.concatenate([[True], line[1:] != line[:-1]])
+    present, place = line[opens], np.cumsum(opens) - 1  # lines with words, and the line of each word among them
     first = np.cumsum(words.lines) - words.lines
     row = np.searchsorted(first, present, side="right") - 1
     number = present - first[row]
@@ -148,7 +153,12 @@ def line_sets(texts: list[str], steps: np.ndarray, least: int, most: int = 200_0
     for a in range(0, len(present), most):
         b = min(a + most, len(present))
         x, y = at[a], at[b] if b < len(present) else len(place)
-        yield LineSets(words.hashes[x:y], place[x:y] - a, row[a:b], number[a:b], steps, least)
+        yield LineSets(hashes[x:y], place[x:y] - a, row[a:b], number[a:b], steps, least)
+
+
+def prefix_length(size, percent: int):
+    """Among how many of its rarest words a set shares one with each set that is similar to it."""
+    return size - -(-percent * size // 100) + 1
 
 
 def overlap_needed(size_x, size_y, percent: int):
@@ -174,19 +184,28 @@ def _blobs(kind: str, data: np.ndarray, bucket: np.ndarray) -> Iterator[pa.Recor
     yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at)), pa.array(bucket[at].astype(np.int32)), pa.array(raw, pa.binary())], names=["kind", "bucket", "data"])
 
 
-def _emit(counts, o: LineOptions, buckets: int):
-    """One task: postings of each class once, the first occurrence of each class, and the others as removed."""
+def _emit(counts, o: LineOptions, buckets: int, words=None):
+    """One task: postings of each class once, the first occurrence of each class, and the others as removed. With `words` (a
+    filter) only the postings of words that pass it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steps = rarity_steps(counts.value)
+        steps, asked = rarity_steps(counts.value), None if words is None else words.value
         first: dict[int, tuple[int, int, int]] = {}
         lost: list[tuple[int, int, int, int]] = []
         held, n_held = [], 0
         for batch in slices(batches, "text"):
             docs, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
-            for s in line_sets(batch.column("text").to_pylist(), steps, o.least_words):
+            for s in line_sets(batch.column("text").to_pylist(), steps, o.least_words, asked):
+                pos = np.arange(len(s.key)) - s.start[s.line]
+                meets = 100 * s.size >= o.percent * (s.size + 1)  # smaller sets resemble no other set, only their equals
+                use = np.flatnonzero((pos < prefix_length(s.size, o.percent)[s.line]) & meets[s.line])
+                seen = np.arange(len(s.id))
+                if asked is not None:
+                    use = use[asked(s.hash[use])]
+                    seen = np.unique(s.line[use])
                 new = np.zeros(len(s.id), bool)
-                for i, (k, place) in enumerate(zip(s.id.tolist(), zip(docs[s.row].tolist(), tags[s.row].tolist(), s.number.tolist()))):
+                row = s.row[seen]
+                for i, k, place in zip(seen.tolist(), s.id[seen].tolist(), zip(docs[row].tolist(), tags[row].tolist(), s.number[seen].tolist())):
                     old = first.get(k)
                     if old == place:  # a repeated row
                         continue
@@ -194,12 +213,9 @@ def _emit(counts, o: LineOptions, buckets: int):
                         first[k] = place
                         new[i] = True  # a smaller doc makes the posting count again
                         place = old
-                    if place is not None:
+                    if place is not None and asked is None:
                         lost.append((k, *place))
-                prefix = s.size - -(-o.percent * s.size // 100) + 1
-                pos = np.arange(len(s.key)) - s.start[s.line]
-                meets = 100 * s.size >= o.percent * (s.size + 1)  # smaller sets resemble no other set, only their equals
-                use = (pos < prefix[s.line]) & (new & meets)[s.line]
+                use = use[new[s.line[use]]]
                 line = s.line[use]
                 out = np.empty(len(line), POSTING)
                 out["word"] = mix64(s.key[use]) >> np.uint64(32)
@@ -211,8 +227,9 @@ def _emit(counts, o: LineOptions, buckets: int):
                 yield from _flush(held, lost)
                 held, n_held, lost = [], 0, []
         yield from _flush(held, lost)
-        firsts = np.array([(k, *p) for k, p in first.items()], FIRST)
-        yield from _blobs("first", firsts, firsts["id"] % np.uint64(buckets))
+        if asked is None:
+            firsts = np.array([(k, *p) for k, p in first.items()], FIRST)
+            yield from _blobs("first", firsts, firsts["id"] % np.uint64(buckets))
 
     def _flush(held: list, lost: list) -> Iterator[pa.RecordBatch]:
         if held:
@@ -237,11 +254,15 @@ class IdFilter:
         return (x % np.uint64(bits)).astype(np.int64), ((x >> np.uint64(32)) % np.uint64(bits)).astype(np.int64)
 
     def __call__(self, ids: np.ndarray) -> np.ndarray:
-        found = np.ones(len(ids), bool)
-        for at in self.places(ids, len(self.bitmap) * 8):
-            found &= (self.bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        x, bits = mix64(ids.astype(np.uint64, copy=False)), np.uint64(len(self.bitmap) * 8)
+        found = self._set(x % bits)
+        left = np.flatnonzero(found)
+        found[left] = self._set((x[left] >> np.uint64(32)) % bits)
         return found
 
+    def _set(self, at: np.ndarray) -> np.ndarray:
+        return (self.bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
 
 def id_filter(spark: SparkSession, ids: DataFrame, bits: int) -> IdFilter:
     """The bitmap of a column `id` of any length: each of FILTER_PARTS tasks fills its own, pieces of them are put together."""
@@ -378,28 +399,66 @@ def _meet(o: LineOptions, only):
 # ---- verification -----------------------------------------------------------------------------------------------------
 
 
+SETS = "id long, doc long, tag long, line long, words binary"
+
+
+def place_ids(doc: np.ndarray, tag: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """One hash of a line's place."""
+    x = mix64(doc.astype(np.int64, copy=False).view(np.uint64) + np.uint64(1))
+    x = mix64(x * np.uint64(3) + tag.astype(np.int64, copy=False).view(np.uint64))
+    return mix64(x * np.uint64(3) + line.astype(np.int64, copy=False).view(np.uint64))
+
+
+def _hashed_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = place_ids(*(batch.column(c).to_numpy() for c in ("doc", "tag", "line")))
+        yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64))], names=["id"])
+
+
 def _full_sets(counts, least: int, wanted):
-    """(id, words) of the classes that pass the filter, once per batch of lines; words are packed 64-bit hashes."""
+    """Rows of SETS for the lines whose place passes the filter; words are packed 64-bit hashes, the rarest first. Other lines
+    are not looked into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = rarity_steps(counts.value)
         for batch in slices(batches, "text"):
-            for s in line_sets(batch.column("text").to_pylist(), steps, least):
-                ids, at = np.unique(s.id, return_index=True)
-                use = wanted.value(ids)
-                if use.any():
-                    sets = [s.hash[a : a + n].tobytes() for a, n in zip(s.start[at[use]].tolist(), s.size[at[use]].tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[use].view(np.int64)), pa.array(sets, pa.binary())], names=["id", "words"])
+            docs, tags, texts = batch.column("doc").to_numpy(), batch.column("tag").to_numpy(), batch.column("text").to_pylist()
+            n = np.array([t.count("\n") + 1 for t in texts], np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            number = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            asked = np.flatnonzero(wanted.value(place_ids(docs[row], tags[row], number)))
+            row, number = row[asked], number[asked]
+            split = {r: texts[r].split("\n") for r in np.unique(row).tolist()}
+            for s in line_sets([split[r][k] for r, k in zip(row.tolist(), number.tolist())], steps, least):
+                sets = [s.hash[a : a + m].tobytes() for a, m in zip(s.start.tolist(), s.size.tolist())]
+                at = row[s.row]
+                columns = [s.id.view(np.int64), docs[at], tags[at], number[s.row]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(sets, pa.binary())], names=["id", "doc", "tag", "line", "words"])
 
     return run
 
 
-def full_sets(spark: SparkSession, keyed: DataFrame, counts, pairs: DataFrame, o: LineOptions) -> DataFrame:
-    """(id, words) of all classes that the pairs name (and of some others)."""
-    ends = pairs.select("id").unionAll(pairs.select(F.col("other").alias("id")))
-    wanted = spark.sparkContext.broadcast(id_filter(spark, ends, o.filter_bits))
-    sets = keyed.select("text").mapInArrow(_full_sets(counts, o.least_words, wanted), "id long, words binary")
-    return staged(spark, sets.dropDuplicates(["id"]), "sets")
+def full_sets(spark: SparkSession, keyed: DataFrame, counts, pairs: DataFrame, first: DataFrame, o: LineOptions) -> DataFrame:
+    """Rows of SETS, the first place of each class, for all classes that the pairs name (and some others)."""
+    ends = pairs.select("id").unionAll(pairs.select(F.col("other").alias("id"))).distinct()
+    places = first.join(ends, "id").select("doc", "tag", "line").mapInArrow(_hashed_places, "id long")
+    wanted = spark.sparkContext.broadcast(id_filter(spark, places, o.filter_bits))
+    rows = keyed.mapInArrow(_full_sets(counts, o.least_words, wanted), SETS)
+    # the first place of a class that is asked for has passed, so that it is the smallest here; repeated rows come twice
+    sets = rows.groupBy("id").agg(F.min(F.struct("doc", "tag", "line", "words")).alias("least"))
+    return staged(spark, sets.select("id", "least.*"), "sets")
+
+
+def _prefix_words(percent: int):
+    """The hashes of the words in the prefixes of full sets, as a column id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("words").to_pylist():
+                words = np.frombuffer(raw, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(words[: prefix_length(len(words), percent)])], names=["id"])
+
+    return run
 
 
 def _similar(percent: int):
@@ -411,15 +470,18 @@ def _similar(percent: int):
                 both = np.sort(np.concatenate([x, y]))
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(both) - common))
-            yield batch.select(["id", "other"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["id", "doc", "tag", "line"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame, o: LineOptions) -> DataFrame:
-    """The pairs (id, other) whose full sets are similar enough."""
-    joined = pairs.join(sets.withColumnsRenamed({"words": "words_x"}), "id").join(sets.withColumnsRenamed({"id": "other", "words": "words_y"}), "other")
-    return staged(spark, joined.select("id", "other", "words_x", "words_y").mapInArrow(_similar(o.percent), "id long, other long"), "similar")
+def later_ones(spark: SparkSession, pairs: DataFrame, sets: DataFrame, o: LineOptions) -> DataFrame:
+    """The later class (id, doc, tag, line) of each pair (id, other) whose full sets are similar enough."""
+    x = sets.select("id", F.struct("doc", "tag", "line", "id").alias("x"), F.col("words").alias("words_x"))
+    y = sets.select(F.col("id").alias("other"), F.struct("doc", "tag", "line", "id").alias("y"), F.col("words").alias("words_y"))
+    joined = pairs.join(x, "id").join(y, "other").select(F.greatest("x", "y").alias("later"), "words_x", "words_y")
+    later = joined.select("later.*", "words_x", "words_y").mapInArrow(_similar(o.percent), "id long, doc long, tag long, line long")
+    return staged(spark, later.distinct(), "later")
 
 
 # ---- the operator -----------------------------------------------------------------------------------------------------
@@ -432,38 +494,35 @@ def removed_lines(spark: SparkSession, docs: DataFrame, options: LineOptions = L
     counts = spark.sparkContext.broadcast(table)
     buckets = max(64, lines * 10 // o.postings)
 
-    def meet(only) -> DataFrame:
-        packed = keyed.mapInArrow(_emit(counts, o, buckets), "kind string, bucket int, data binary")
-        packed = packed if only is None else packed.filter("kind = 'posting'")
+    def meet(only=None, words=None) -> DataFrame:
+        packed = keyed.mapInArrow(_emit(counts, o, buckets, words), "kind string, bucket int, data binary")
         return packed.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_meet(o, only), FOUND)
 
-    found = staged(spark, meet(None), "lines")
-    first = found.filter("kind = 'first'").select("id", F.struct("doc", "tag", "line").alias("place"))
-
-    def later_ones(pairs: DataFrame) -> DataFrame:
-        placed = pairs.join(first, "id").join(first.withColumnsRenamed({"id": "other", "place": "other_place"}), "other")
-        later = F.when(F.col("place") > F.col("other_place"), F.col("id")).otherwise(F.col("other"))
-        return staged(spark, placed.select(later.alias("id")).distinct(), "later")
+    found = staged(spark, meet(), "lines")
+    first = found.filter("kind = 'first'").select("id", "doc", "tag", "line")
 
-    def settle(pairs: DataFrame) -> DataFrame:
-        """Ids with an earlier similar line: by the nearest candidate of each, then by all others of those still without."""
-        sets = full_sets(spark, keyed, counts, pairs, o)
+    def settle(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Classes with an earlier similar line: by the nearest candidate of each, then by all others of those still without. And
+        the full sets of the pairs' classes."""
+        sets = full_sets(spark, keyed, counts, pairs, first, o)
         nearest = pairs.groupBy("id").agg(F.min(F.struct("bits", "other")).alias("best")).select("id", F.col("best.other").alias("other"))
-        done = later_ones(verified(spark, nearest, sets, o))
+        done = later_ones(spark, nearest, sets, o)
         left = pairs.join(done, "id", "left_anti").join(nearest, ["id", "other"], "left_anti").select("id", "other")
-        out = done.unionByName(later_ones(verified(spark, left, sets, o))).distinct()
-        return staged(spark, out, "later")
+        return done.unionByName(later_ones(spark, left, sets, o)).distinct(), sets
 
     def pairs_of(found: DataFrame) -> DataFrame:
         pairs = found.filter("kind = 'pair'").groupBy("id", "other").agg(F.min("line").alias("bits"))
         return staged(spark, pairs, "pairs")
 
-    similar = settle(pairs_of(found))
+    similar, sets = settle(pairs_of(found))
     rest = staged(spark, found.filter("kind = 'more'").select("id").distinct().join(similar, "id", "left_anti"), "rest")
     if not rest.isEmpty():
+        # what is left meets all lines again, in the words of its own postings only
+        words = sets.join(rest, "id", "left_semi").select("words").mapInArrow(_prefix_words(o.percent), "id long")
+        asked = spark.sparkContext.broadcast(id_filter(spark, words, o.filter_bits))
         only = spark.sparkContext.broadcast(id_filter(spark, rest, o.filter_bits))
-        similar = similar.unionByName(settle(pairs_of(meet(only)))).distinct()
-    gone = first.join(similar, "id").select("place.*").unionByName(found.filter("kind = 'lost'").select("doc", "tag", "line"))
+        similar = similar.unionByName(settle(pairs_of(meet(only, asked)))[0]).distinct()
+    gone = similar.unionByName(found.filter("kind = 'lost'").select("id", "doc", "tag", "line")).select("doc", "tag", "line")
     return gone.groupBy("doc", "tag").agg(F.collect_set("line").alias("lines"))
 
 
