@@ -237,3 +237,38 @@ def test_a_piece_is_looked_up_once_per_batch_of_texts():
     ends = np.cumsum(counts)
     assert [ids[b - n : b].tolist() for b, n in zip(ends, counts)] == plain_ids(texts)
     assert len(asked) < 30
+
+
+def test_frequencies_are_counted_with_the_tokens(spark, frame):
+    """The tasks that make the ids count them, in one more row of their part; ids are not read again for it."""
+    rows = ans.token_rows(frame, ans.CodecOptions()).collect()
+    ids = [i for t in plain_ids([r[1] or "" for r in ROWS]) for i in t]
+    expected = {i: n for i, n in enumerate(np.bincount(ids).tolist()) if n}
+    assert len([r for r in rows if r.counts is None]) == len(ROWS)
+    assert all(r.n_tokens == 0 and not r.ids and r.doc_id is None for r in rows if r.counts is not None)
+    tokens = spark.createDataFrame(rows, ans.TOKENS).drop("ids")
+    assert {r.id: r.n for r in ans.frequency_table(tokens).collect()} == expected
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 40), min_size=1, max_size=900), st.integers(1, 5), st.integers(1, 7))
+def test_blocks_are_those_of_the_plain_recurrence(ids, lanes, every):
+    """Payload and checkpoints against rANS on Python integers, one id after another."""
+    table = ans.Table(np.bincount(np.array([*ids, 7]), minlength=41))
+    steps = -(-len(ids) // lanes)
+    grid = ids + [table.pad] * (steps * lanes - len(ids))
+    state, words, marks = [1 << 31] * lanes, [], []
+    for step in range(steps - 1, -1, -1):
+        out = []
+        for k in range(lanes):
+            freq, start = int(table.freq[grid[step * lanes + k]]), int(table.start[grid[step * lanes + k]])
+            if state[k] >= freq << (63 - ans.BITS):
+                out.append(state[k] & 0xFFFFFFFF)
+                state[k] >>= 32
+            state[k] = (state[k] // freq << ans.BITS) + state[k] % freq + start
+        words += out[::-1]
+        if step % every == 0:
+            marks.append((len(words), list(state)))
+    heads = [v for written, states in reversed(marks) for v in (len(words) - written, *states)]
+    payload, checkpoints = ans.encode_block(np.array(ids), table, ans.CodecOptions(lanes=lanes, checkpoint_steps=every))
+    assert np.frombuffer(payload, "<u4").tolist() == words[::-1] and np.frombuffer(checkpoints, "<u8").tolist() == heads

@@ -24,6 +24,7 @@ from tidepanel.session import scratch_path
 
 BITS = 18
 LOW = np.uint64(1 << 31)
+TABLED = 64  # steps whose frequencies are looked up at once
 
 
 @dataclass(frozen=True)
@@ -74,20 +75,25 @@ def encode_block(ids: np.ndarray, table: Table, o: CodecOptions) -> tuple[bytes,
     state = np.full(o.lanes, LOW, np.uint64)
     words: list[np.ndarray] = []
     written, marks = 0, []
-    shift, bits = np.uint64(32), np.uint64(BITS)
-    for step in range(steps - 1, -1, -1):
-        row = grid[step]
-        freq = table.freq[row]
-        full = state >= (freq << np.uint64(63 - BITS))
-        out = state[full].astype(np.uint32)
-        if len(out):
-            words.append(out[::-1])
-            written += len(out)
-            state[full] >>= shift
-        quotient = state // freq
-        state = (quotient << bits) + (state - quotient * freq) + table.start[row]
-        if step % o.checkpoint_steps == 0:
-            marks.append((written, state.copy()))
+    shift, low = np.uint64(32), np.uint64((1 << 32) - 1)
+    for end in range(steps, 0, -TABLED):
+        begin = max(0, end - TABLED)
+        freqs, starts = table.freq[grid[begin:end]], table.start[grid[begin:end]]
+        limits, gaps = freqs << np.uint64(63 - BITS), np.uint64(1 << BITS) - freqs
+        for k in range(end - begin - 1, -1, -1):
+            full = np.flatnonzero(state >= limits[k])
+            if len(full):
+                high = state[full]
+                words.append((high & low).astype(np.uint32)[::-1])
+                written += len(full)
+                state[full] = high >> shift
+            # (state // freq << BITS) + state % freq + start
+            quotient = state // freqs[k]
+            quotient *= gaps[k]
+            state += quotient
+            state += starts[k]
+            if (begin + k) % o.checkpoint_steps == 0:
+                marks.append((written, state.copy()))
     payload = np.concatenate(words)[::-1] if words else np.zeros(0, np.uint32)
     head = [np.concatenate([[np.uint64(written - w)], s]) for w, s in reversed(marks)]
     return payload.astype("<u4").tobytes(), (np.concatenate(head) if head else np.zeros(0, np.uint64)).astype("<u8").tobytes()
@@ -118,13 +124,18 @@ def decode_block(payload: bytes, marks: bytes, n: int, table: Table, lanes: int,
     return out.reshape(-1)[:n] if pieces else np.zeros(0, np.uint32)
 
 
+TOKENS = "part int, seq long, doc_id long, start long, n_tokens long, ids binary, counts binary"
+TOKEN_NAMES = [c.split()[0] for c in TOKENS.split(", ")]
+
+
 def _tokenize(o: CodecOptions):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(o.vocabulary, o.end_id)
         width = "<u2" if len(encoder.opens) <= 1 << 16 else "<u4"
-        part, seq, start = TaskContext.get().partitionId(), 0, 0
+        part, seq, start, occurring = TaskContext.get().partitionId(), 0, 0, np.zeros(len(encoder.opens), np.int64)
         for batch in slices(batches, "text"):
             ids, counts = encoder.encode(batch.column("text").to_pylist())
+            occurring += np.bincount(ids, minlength=len(occurring))
             raw, size = ids.astype(width).tobytes(), np.dtype(width).itemsize
             ends = np.cumsum(counts)
             n = len(counts)
@@ -137,17 +148,23 @@ def _tokenize(o: CodecOptions):
                 pa.array(start + ends - counts),
                 pa.array(counts),
                 values,
+                pa.nulls(n, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "seq", "doc_id", "start", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays(columns, names=TOKEN_NAMES)
             seq, start = seq + n, start + int(ends[-1])
+        if seq:
+            counted = [part, seq, None, start, 0, b"", occurring.astype("<i8").tobytes()]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(counted, kinds)], names=TOKEN_NAMES)
 
     return run
 
 
 def token_rows(docs: DataFrame, o: CodecOptions) -> DataFrame:
-    """Ids of each document (text and end id) in ascending doc_id order: part and seq give the order."""
+    """Ids of each document (text and end id) in ascending doc_id order: part and seq give the order. The last row of a part is
+    no document: its `counts` (null elsewhere) are the occurrences of each id in the part."""
     ordered = plain_documents(docs).repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(_tokenize(o), "part int, seq long, doc_id long, start long, n_tokens long, ids binary")
+    return ordered.mapInArrow(_tokenize(o), TOKENS)
 
 
 def _ids(raw: bytes, n: int) -> np.ndarray:
@@ -156,21 +173,18 @@ def _ids(raw: bytes, n: int) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(0, np.int64)
-    for batch in slices(batches, "ids"):
-        rows = [_ids(r, n) for r, n in zip(batch.column("ids").to_pylist(), batch.column("n_tokens").to_pylist())]
-        new = np.bincount(np.concatenate(rows))
-        if len(new) > len(counts):
-            new[: len(counts)] += counts
-            counts = new
-        else:
-            counts[: len(new)] += new
+    for batch in batches:
+        for raw in batch.column("counts").to_pylist():
+            new = np.frombuffer(raw, "<i8")
+            counts = counts + new if len(counts) else new
     found = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts[found].astype(np.int64))], names=["id", "n"])
 
 
 def frequency_table(tokens: DataFrame) -> DataFrame:
-    """Occurrences of each id: counted inside tasks, then summed. One row per id of the vocabulary at most."""
-    return tokens.select("n_tokens", "ids").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    """Occurrences of each id: counted by the tasks that made the tokens, then summed. One row per id of the vocabulary at most."""
+    counted = tokens.filter("counts IS NOT NULL").select("counts")
+    return counted.mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 BLOCK = (
@@ -219,7 +233,8 @@ def write_token_files(spark: SparkSession, docs: DataFrame, path: str, options:
     table = frequency_table(tokens)
     table.coalesce(1).write.parquet(f"{path}/frequencies")
     counts = read_frequencies(spark, path)
-    tokens.mapInArrow(_encode(counts, options), BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
+    documents = tokens.filter("counts IS NULL").drop("counts")
+    documents.mapInArrow(_encode(counts, options), BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
     parts = tokens.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # one row per part, that is per task of the tokenizing job
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

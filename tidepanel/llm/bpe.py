@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 END, WHOLE = " end", " whole"  # hold a space, so no piece can be equal to them
 OPENS = "\uf8ff"  # a piece that opens a text or a line, where no space precedes; texts that hold it are cut at spaces only
 MARKS = ".,;:!?"
+TOGETHER = 200  # pieces that the library reads as one text
 PLAIN = "\u0250"  # letters below are letters in every version of Unicode
 
 
@@ -119,7 +120,7 @@ class Encoder:
         alone = self.tokenizer.encode_batch_fast([fresh[i][1:] for i in first], add_special_tokens=False) if first else []
         alone = [e.ids for e in alone]
         lengths[first] = [len(i) for i in alone]
-        groups = [inner[k : k + 1000] for k in range(0, len(inner), 1000)]
+        groups = [inner[k : k + TOGETHER] for k in range(0, len(inner), TOGETHER)]
         joined = ["".join([" " + fresh[i] for i in g]) for g in groups]
         chunks = []
         for g, e in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) if groups else []):
