@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import time
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -9,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from tidepanel.llm import graph, lines, minhash, queries
-from tidepanel.llm.common import Words, words_of
+from tidepanel.llm.common import Words, staged, words_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -283,3 +285,74 @@ def test_full_sets_look_only_into_lines_that_are_asked_for(monkeypatch):
     out = [r for b in lines._full_sets(SimpleNamespace(value=np.ones(lines.COUNTERS, np.int64)), 1, wanted)(iter([batch])) for r in b.to_pylist()]
     assert read == ["h i", "y z"]
     assert [(r["doc"], r["tag"], r["line"], len(r["words"])) for r in out] == [(7, 1, 3, 16), (8, 2, 1, 16)]
+
+
+def test_wide_bitmaps_bound_the_words_that_differ():
+    """Sets of every width: the bitmaps never differ in more places than the sets do, and tell strangers of 150 words apart."""
+    rng, o = random.Random(7), lines.LineOptions(least_words=1)
+    base = [f"w{rng.random()}" for _ in range(400)]
+    texts = [" ".join(base[:n] + [f"v{rng.random()}" for _ in range(extra)]) for n in (3, 50, 63, 64, 66, 130, 159, 160, 162, 300) for extra in (0, 1, 9)]
+    strangers = [" ".join(f"u{rng.random()}" for _ in range(150)) for _ in range(20)]
+    (s,) = lines.line_sets(["\n".join(texts + strangers)], lines.rarity_steps(np.ones(lines.COUNTERS, np.int64)), 1)
+    p = np.zeros(len(s.id), lines.POSTING)
+    p["size"], p["id"], p["bits"], p["odd"], p["one"], p["two"] = s.size, s.id, s.bits, s.odd, s.one, s.two
+    words = [set(t.split()) for t in texts + strangers]
+    assert [len(w) for w in words] == s.size.tolist()
+    x, y = (v.ravel() for v in np.indices((len(p), len(p))))
+    apart = lines.bits_apart(p, x, y).reshape(len(p), len(p))
+    differ = np.array([[len(a ^ b) for b in words] for a in words])
+    assert (apart <= differ).all() and (apart % 2 == differ % 2).all()
+    few = differ <= 1
+    assert (apart[few] == differ[few]).all()
+    most = 300 - 2 * lines.overlap_needed(150, 150, o.percent)
+    unlike = apart[len(texts) :, len(texts) :][~np.eye(len(strangers), dtype=bool)]
+    assert (unlike > most).all()
+
+
+def test_strangers_are_no_candidates():
+    """Long lines that share a rare word and no more than chance would have it."""
+    rng, o = random.Random(8), lines.LineOptions(least_words=1)
+    texts = [" ".join(["shared", *(f"u{rng.random()}" for _ in range(149))]) for _ in range(60)]
+    near = texts[0].replace("shared ", "shared one ")
+    (s,) = lines.line_sets(["\n".join([*texts, near])], lines.rarity_steps(np.ones(lines.COUNTERS, np.int64)), 1)
+    p = np.zeros(len(s.id), lines.POSTING)
+    p["word"], p["doc"], p["size"], p["id"] = 5, np.arange(len(s.id)), s.size, s.id
+    p["bits"], p["odd"], p["one"], p["two"] = s.bits, s.odd, s.one, s.two
+    later, earlier, _, _ = lines.candidate_pairs(p, o, None)
+    assert [(int(a), int(b)) for a, b in zip(later, earlier)] == [(int(s.id[-1]), int(s.id[0]))]
+
+
+def test_postings_are_packed_without_loss():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 500):
+        p = np.zeros(n, lines.POSTING)
+        for name in ("word", "id", "doc", "bits", "odd", "one", "two"):
+            p[name] = rng.integers(0, 2**63 if p[name].itemsize == 8 else 2**32, n)
+        p["doc"][: n // 2] = lines.LAST
+        p["doc"][-1] = -5
+        p["size"], p["pos"] = rng.choice([1, 64, 65, 160, 161, 70_000], n), rng.integers(0, 65536, n)
+        p["odd"][p["size"] <= lines.WIDE] = 0
+        p["one"][p["size"] <= lines.WIDEST] = p["two"][p["size"] <= lines.WIDEST] = 0
+        assert sorted(lines.unpack_postings([lines.pack_postings(p), lines.pack_postings(p[:1])]).tolist()) == sorted([*p.tolist(), p[0].item()])
+
+
+def test_staged_tables_that_nothing_reads_are_dropped(spark, tmp_path, monkeypatch):
+    from tidepanel import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    found = lines.dedup_lines(spark, as_docs(spark, line_rows(6)[:60]), lines.LineOptions(first=1, least_words=1))
+    left = {p.name.split("-")[0] for p in tmp_path.iterdir() if any(p.glob("*.parquet"))}
+    assert found.count() == 60 and left <= {"lines", "later"}
+
+
+def test_staging_leaves_no_exchange_files(spark):
+    """The files of an exchange go with the write it was made for."""
+    folders = [Path(d.toString()) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {f.name for d in folders for f in d.rglob("shuffle_*")}
+    before = shuffled()
+    table = staged(spark, spark.range(1000).selectExpr("id % 100 AS k").groupBy("k").count(), "counts")
+    for _ in range(100):  # they are deleted by a thread of its own
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left and table.count() == 100

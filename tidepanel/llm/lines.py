@@ -2,12 +2,14 @@
 
 A line is the set of its distinct words. Words are ordered by rarity, counted over the whole corpus in a table of bounded
 size; two lines with a Jaccard similarity of `percent` share a word among the first few of both (prefix filter), differ
-little in length (length filter) and have enough words left behind the shared one (positional filter). A parity bitmap of
-64 bits bounds the number of differing words from below and drops most other pairs. What is left is verified on the full
-sets. Every line that resembles an earlier one (by doc_id, then line number) is removed.
+little in length (length filter) and have enough words left behind the shared one (positional filter). A parity bitmap bounds
+the number of differing words from below and drops most other pairs; it is wider for longer lines, of 64, 128 or 256 bits, as
+one that more words differ than it has bits tells nothing. What is left is verified on the full sets. Every line that resembles
+an earlier one (by doc_id, then line number) is removed.
 
 Lines with equal sets are one class. Each scan task emits a class once, so a line that makes up a third of all rows is no hot
-group; its later occurrences are known to be removed at once. Postings travel in packed blobs, one per bucket of words.
+group; its later occurrences are known to be removed at once. Postings travel in packed blobs, one per bucket of words, field
+by field, so that the exchange's compression finds the bytes that repeat.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ COUNTERS, CHUNK, FAN_IN = 1 << 19, 1 << 16, 64
 FILTER_PARTS = 16
 KEY_BITS = 46  # 12 bits of rarity above 34 bits of hash
 LAST = (1 << 63) - 1  # stands for a missing doc_id
+WIDE, WIDEST = 64, 160  # sets of more words have parity bitmaps of 128 and 256 bits
 
 
 @dataclass(frozen=True)
@@ -104,7 +107,8 @@ def rarity_steps(counts: np.ndarray) -> np.ndarray:
 
 class LineSets:
     """The lines with at least `least` distinct words of some texts, vectorised: per line row (of the texts), number, size,
-    id (hash of the set) and bits (parity bitmap); per word key, hash and line, the rarest first.
+    id (hash of the set), bits (parity bitmap), odd, one and two (what widens it: of the lanes 0 to 3 of 64 bits, whose sum is `bits`,
+    1 + 3, 1 and 2; zeros where the size asks for less); per word key, hash and line, the rarest first.
 
     A key has 12 bits of rarity above 34 bits of the word's hash; it orders words. Sets are those of the 64-bit hashes.
     """
@@ -132,6 +136,13 @@ class LineSets:
             self.bits = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), self.start)
         else:
             self.id = self.bits = np.zeros(0, np.uint64)
+        self.odd, self.one, self.two = np.zeros((3, len(self.size)), np.uint64)
+        long = self.size > WIDE
+        if long.any():
+            mixed, sizes = mixed[long[self.line]], self.size[long]
+            bit, lane, start = np.uint64(1) << (mixed >> np.uint64(58)), mixed >> np.uint64(56) & np.uint64(3), np.cumsum(sizes) - sizes
+            one, two, three = (np.bitwise_xor.reduceat(np.where(lane == np.uint64(k), bit, np.uint64(0)), start) for k in (1, 2, 3))
+            self.odd[long], self.one[long], self.two[long] = one ^ three, np.where(sizes > WIDEST, one, 0), np.where(sizes > WIDEST, two, 0)
 
 
 def line_sets(texts: list[str], steps: np.ndarray, least: int, asked=None, most: int = 200_000) -> Iterator[LineSets]:
@@ -168,20 +179,73 @@ def overlap_needed(size_x, size_y, percent: int):
 
 # ---- postings and occurrences -----------------------------------------------------------------------------------------
 
-POSTING = np.dtype([("word", "<u4"), ("size", "<u4"), ("pos", "<u2"), ("id", "<u8"), ("doc", "<i8"), ("bits", "<u8")])
+POSTING = np.dtype([("word", "<u4"), ("size", "<u4"), ("pos", "<u2"), ("id", "<u8"), ("doc", "<i8"), ("bits", "<u8"), ("odd", "<u8"), ("one", "<u8"), ("two", "<u8")])
 FIRST = np.dtype([("id", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("line", "<i8")])
 
 
 def _blobs(kind: str, data: np.ndarray, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The records packed by bucket."""
+    """The records packed by bucket, a few MB at once."""
     if not len(data):
         return
     order = np.argsort(bucket, kind="stable")
     data, bucket = data[order], bucket[order]
     at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    ends = [*at[1:].tolist(), len(data)]
-    raw = [data[a:b].tobytes() for a, b in zip(at.tolist(), ends)]
-    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at)), pa.array(bucket[at].astype(np.int32)), pa.array(raw, pa.binary())], names=["kind", "bucket", "data"])
+    ends = np.append(at[1:], len(data))
+    piece = at * data.itemsize // 4_000_000
+    for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(piece)) + 1):
+        raw = [data[a:b].tobytes() for a, b in zip(at[some].tolist(), ends[some].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array([kind] * len(raw)), pa.array(bucket[at[some]].astype(np.int32)), pa.array(raw, pa.binary())], names=["kind", "bucket", "data"])
+
+
+def _planes(column: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones and so on."""
+    return np.ascontiguousarray(column).view(np.uint8).reshape(len(column), column.itemsize).T.tobytes()
+
+
+def pack_postings(p: np.ndarray) -> bytes:
+    """Postings field by field, in the order of words, of the wide bitmaps what the size asks for."""
+    p = p[np.argsort(p["word"], kind="stable")]
+    word = np.diff(p["word"], prepend=np.uint32(0))
+    long, longest = p["size"] > WIDE, p["size"] > WIDEST
+    whole = [p["id"], p["bits"], p["odd"][long], p["one"][longest], p["two"][longest]]
+    return b"".join([np.uint32(len(p)).tobytes(), *(_planes(c) for c in (word, p["size"], p["pos"], p["doc"])), *(np.ascontiguousarray(c).tobytes() for c in whole)])
+
+
+def unpack_postings(packed: list[bytes]) -> np.ndarray:
+    """What pack_postings has packed, blob after blob."""
+    counts = [int(np.frombuffer(raw, "<u4", 1)[0]) for raw in packed]
+    out, done = np.zeros(sum(counts), POSTING), 0
+    for raw, n in zip(packed, counts):
+        p, at = out[done : done + n], 4
+
+        def take(kind: str, m: int) -> np.ndarray:
+            nonlocal at
+            at += (size := m * np.dtype(kind).itemsize)
+            return np.frombuffer(raw, np.uint8, size, at - size)
+
+        for name in ("word", "size", "pos", "doc"):
+            kind = POSTING[name].str
+            p[name] = np.ascontiguousarray(take(kind, n).reshape(-1, n).T).view(kind).ravel()
+        p["word"] = np.cumsum(p["word"], dtype=np.uint32)
+        long, longest = p["size"] > WIDE, p["size"] > WIDEST
+        p["id"], p["bits"] = take("<u8", n).view("<u8"), take("<u8", n).view("<u8")
+        for name, some in (("odd", long), ("one", longest), ("two", longest)):
+            p[name][some] = take("<u8", int(some.sum())).view("<u8")
+        done += n
+    return out
+
+
+def _packing(emit):
+    """The rows of `emit`, postings packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in emit(batches):
+            if batch.column("kind")[0].as_py() == "posting":
+                raw = [pack_postings(np.frombuffer(x.as_buffer(), POSTING)) for x in batch.column("data")]
+                batch = pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("bucket"), pa.array(raw, pa.binary())], names=batch.schema.names)
+            yield batch
+
+    return run
 
 
 def _emit(counts, o: LineOptions, buckets: int, words=None):
@@ -221,9 +285,10 @@ def _emit(counts, o: LineOptions, buckets: int, words=None):
                 out["word"] = mix64(s.key[use]) >> np.uint64(32)
                 out["size"], out["pos"] = s.size[line], np.minimum(pos[use], 65535)
                 out["id"], out["doc"], out["bits"] = s.id[line], docs[s.row[line]], s.bits[line]
+                out["odd"], out["one"], out["two"] = s.odd[line], s.one[line], s.two[line]
                 held.append(out)
                 n_held += len(out)
-            if n_held > 1_000_000 or len(lost) > 200_000:
+            if n_held > 500_000 or len(lost) > 200_000:
                 yield from _flush(held, lost)
                 held, n_held, lost = [], 0, []
         yield from _flush(held, lost)
@@ -234,6 +299,7 @@ def _emit(counts, o: LineOptions, buckets: int, words=None):
     def _flush(held: list, lost: list) -> Iterator[pa.RecordBatch]:
         if held:
             postings = np.concatenate(held)
+            held.clear()
             yield from _blobs("posting", postings, postings["word"] % np.uint32(buckets))
         if lost:
             gone = np.array(lost, FIRST)
@@ -289,6 +355,22 @@ def id_filter(spark: SparkSession, ids: DataFrame, bits: int) -> IdFilter:
     return IdFilter(bitmap)
 
 
+def bits_apart(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of the postings p[x] and p[y], in the wider bitmaps that both of each pair have: a lower bound of the words
+    that differ."""
+    folded, smaller = p["bits"][x] ^ p["bits"][y], np.minimum(p["size"][x], p["size"][y])
+    apart = np.bitwise_count(folded).astype(np.int64)
+    at = np.flatnonzero(smaller > WIDE)
+    odd = p["odd"][x[at]] ^ p["odd"][y[at]]
+    even = folded[at] ^ odd
+    apart[at] = np.bitwise_count(odd).astype(np.int64) + np.bitwise_count(even)
+    most = smaller[at] > WIDEST
+    at, odd, even = at[most], odd[most], even[most]
+    one, two = (p[k][x[at]] ^ p[k][y[at]] for k in ("one", "two"))
+    apart[at] = sum(np.bitwise_count(lane).astype(np.int64) for lane in (even ^ two, one, two, odd ^ one))
+    return apart
+
+
 def candidate_pairs(p: np.ndarray, o: LineOptions, only: IdFilter | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(later, earlier, differing bits, unfinished): candidate pairs of one bucket by id, and ids with further candidates.
 
@@ -296,14 +378,15 @@ def candidate_pairs(p: np.ndarray, o: LineOptions, only: IdFilter | None) -> tup
     whose bitmaps differ least. One with two likely candidates (half of the bits that may differ) looks no further. With
     `only`, the ids that pass it (as the later of a pair) keep all their candidates and others none.
     """
-    p = p[np.argsort(p["doc"], kind="stable")]
+    by_doc = np.argsort(p["doc"], kind="stable")
     # a class that several tasks have sent stays once, with its first doc (one that is left twice does no harm)
-    key = p["word"].astype(np.uint64) << np.uint64(32) | p["id"] & np.uint64(0xFFFFFFFF)
+    key = (p["word"].astype(np.uint64) << np.uint64(32) | p["id"] & np.uint64(0xFFFFFFFF))[by_doc]
     order = np.argsort(key, kind="stable")
-    key, ids = key[order], p["id"][order]
+    key, ids = key[order], p["id"][by_doc[order]]
     repeated = np.concatenate([[False], (key[1:] == key[:-1]) & (ids[1:] == ids[:-1])]) if len(p) else np.zeros(0, bool)
-    p = np.delete(p, order[repeated])
-    p = p[np.argsort(p["word"], kind="stable")]
+    by_doc = np.delete(by_doc, order[repeated])
+    p = p[by_doc[np.argsort(p["word"][by_doc], kind="stable")]]
+    del by_doc, key, order, ids, repeated
     n = len(p)
     word, size, pos, bits, ids = p["word"], p["size"].astype(np.int64), p["pos"].astype(np.int64), p["bits"].copy(), p["id"].copy()
     opened = np.concatenate([[True], word[1:] != word[:-1]]) if n else np.zeros(0, bool)
@@ -321,9 +404,12 @@ def candidate_pairs(p: np.ndarray, o: LineOptions, only: IdFilter | None) -> tup
         y = live - back
         total = size[live] + size[y]
         room = total - 2 * overlap_needed(size[live], size[y], o.percent)
-        differ = np.bitwise_count(bits[live] ^ bits[y])
+        differ = np.bitwise_count(bits[live] ^ bits[y]).astype(np.int64)
         fits = (differ <= room) & (100 * np.minimum(size[live], size[y]) >= o.percent * np.maximum(size[live], size[y]))
         fits &= 2 * np.minimum(size[live] - pos[live], size[y] - pos[y]) >= total - room
+        close = np.flatnonzero(fits)
+        differ[close] = bits_apart(p, live[close], y[close])
+        fits[close] = differ[close] <= room[close]
         hit = live[fits]
         if only is not None:
             later.append(ids[hit])
@@ -333,8 +419,9 @@ def candidate_pairs(p: np.ndarray, o: LineOptions, only: IdFilter | None) -> tup
             found[hit] += 1
             likely[hit] += 2 * differ[fits] <= room[fits]
             worst = kept[hit].argmax(axis=1)
-            better = differ[fits] < kept[hit, worst]
-            kept[hit[better], worst[better]] = differ[fits][better]
+            score = np.minimum(differ[fits], 254)
+            better = score < kept[hit, worst]
+            kept[hit[better], worst[better]] = score[better]
             partner[hit[better], worst[better]] = hit[better] - back
         back += 1
         live = live[(place[live] >= back) & (likely[live] < 2)]
@@ -363,7 +450,7 @@ def _meet(o: LineOptions, only):
 
     def bucket(kind: str, raw: list[bytes]) -> Iterator[pa.RecordBatch]:
         if kind == "posting":
-            x, y, bits, more = candidate_pairs(np.frombuffer(b"".join(raw), POSTING), o, None if only is None else only.value)
+            x, y, bits, more = candidate_pairs(unpack_postings(raw), o, None if only is None else only.value)
             if len(x):
                 yield rows("pair", len(x), id=x, other=y, line=bits)
             if len(more):
@@ -495,7 +582,7 @@ def removed_lines(spark: SparkSession, docs: DataFrame, options: LineOptions = L
     buckets = max(64, lines * 10 // o.postings)
 
     def meet(only=None, words=None) -> DataFrame:
-        packed = keyed.mapInArrow(_emit(counts, o, buckets, words), "kind string, bucket int, data binary")
+        packed = keyed.mapInArrow(_packing(_emit(counts, o, buckets, words)), "kind string, bucket int, data binary")
         return packed.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_meet(o, only), FOUND)
 
     found = staged(spark, meet(), "lines")
@@ -508,7 +595,9 @@ def removed_lines(spark: SparkSession, docs: DataFrame, options: LineOptions = L
         nearest = pairs.groupBy("id").agg(F.min(F.struct("bits", "other")).alias("best")).select("id", F.col("best.other").alias("other"))
         done = later_ones(spark, nearest, sets, o)
         left = pairs.join(done, "id", "left_anti").join(nearest, ["id", "other"], "left_anti").select("id", "other")
-        return done.unionByName(later_ones(spark, left, sets, o)).distinct(), sets
+        similar = done.unionByName(later_ones(spark, left, sets, o)).distinct()
+        drop_staged(spark, pairs)
+        return similar, sets
 
     def pairs_of(found: DataFrame) -> DataFrame:
         pairs = found.filter("kind = 'pair'").groupBy("id", "other").agg(F.min("line").alias("bits"))
@@ -521,7 +610,11 @@ def removed_lines(spark: SparkSession, docs: DataFrame, options: LineOptions = L
         words = sets.join(rest, "id", "left_semi").select("words").mapInArrow(_prefix_words(o.percent), "id long")
         asked = spark.sparkContext.broadcast(id_filter(spark, words, o.filter_bits))
         only = spark.sparkContext.broadcast(id_filter(spark, rest, o.filter_bits))
-        similar = similar.unionByName(settle(pairs_of(meet(only, asked)))[0]).distinct()
+        more, other_sets = settle(pairs_of(meet(only, asked)))
+        drop_staged(spark, other_sets)
+        similar = similar.unionByName(more).distinct()
+    drop_staged(spark, sets)
+    drop_staged(spark, rest)
     gone = similar.unionByName(found.filter("kind = 'lost'").select("id", "doc", "tag", "line")).select("doc", "tag", "line")
     return gone.groupBy("doc", "tag").agg(F.collect_set("line").alias("lines"))
 
