@@ -1,5 +1,7 @@
 """Blocked and distributed numerics against dense single-machine solutions."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -229,6 +231,67 @@ def test_exchanges_of_transforms_grow_with_the_rows(panel):
         assert sum(len(r.re) for r in runs.collect()) == n and sum(len(r.re) for r in once.collect()) == 2 * n
 
 
+@pytest.mark.parametrize("half", [False, True])
+def test_spectrum_of_rows_in_any_order(panel, half):
+    """Grids of odd and even height, rows dealt at random, several spans."""
+    from tidepanel.operators import fourier
+
+    rng = np.random.default_rng(11)
+    series = {f"s{n}": rng.normal(size=n) for n in (1, 2, 163, 175, 337)}
+    rows = panel({k: v.tolist() for k, v in series.items()}).orderBy(F.rand(3)).repartition(5)
+    found = fourier.spectrum(rows, "y", 1, half).collect()
+    assert len({(r.series_id, r.chunk) for r in found}) == len(found)
+    got = {(r.series_id, 2 * r.chunk + i): complex(a, b) for r in found for i, (a, b) in enumerate(zip(r.re, r.im))}
+    for k, v in series.items():
+        want = np.fft.fft(v)[: len(v) // 2 + 1 if half else None]
+        assert np.abs(np.array([got[k, i] for i in range(len(want))]) - want).max() <= 1e-12 * np.abs(want).max()
+
+
+def test_spectrum_is_read_off_to_many_digits():
+    """Every share of points per value that a grid can have."""
+    from numpy.polynomial import chebyshev
+
+    from tidepanel.operators import fourier
+
+    rng, tile, m = np.random.default_rng(5), 4, 1 << 12
+    for over in (1.5, 1.6, 1.8, 2.2, 2.99):
+        n = int(m / over) - 2 * tile
+        y, t = rng.normal(size=n), np.arange(n) - fourier._centre(n, tile)
+        half, shape = fourier._window(n, m, tile)
+        assert half <= fourier.MOST_HALF
+        grid = np.zeros(m)
+        grid[t % m] = y / fourier._window_transform(t, m, half, shape)
+        base, rest = np.divmod(np.arange(n) * m, n)
+        weights = fourier._window_pieces(half, shape) @ chebyshev.chebvander(2 * (rest / n) - 1, 20).T
+        found = (weights * np.fft.fft(grid)[(base + np.arange(1 - half, half + 1)[:, None]) % m]).sum(axis=0)
+        want = np.abs(np.fft.fft(y))
+        assert np.abs(np.abs(found) - want).max() <= 3e-13 * want.max()
+
+
+def test_spectrum_sends_few_values(panel):
+    """One transform of the real values: once as many values as there are, then half of the grid."""
+    from tidepanel.operators import fourier
+
+    for n in (150, 600):
+        rows = panel({"s": np.random.default_rng(1).normal(size=n).tolist()}).coalesce(1)
+        runs = fourier.grid_runs(rows, "y", 2)
+        assert sum(len(r.re) for r in runs.collect()) <= n + 8
+        size = runs.first().height << runs.first().bits
+        half = fourier.transform(runs, tile_bits=2, real=True).collect()
+        assert 1.5 * n <= size <= 1.5 * n + 8 * math.isqrt(2 * size) and len(half) * 4 <= size / 2 + 4 * math.isqrt(2 * size)
+        plan = fourier.spectrum(rows, "y", 2, half=True)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert plan.count("FlatMapGroupsInArrow") == 3
+
+
+def test_staged_rows_of_spectra_are_dropped(panel, tmp_path, monkeypatch):
+    from tidepanel import session
+    from tidepanel.operators import fourier
+
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    rows = fourier.centred(panel({"s": list(range(40))}))
+    assert rows.count() == 40 and {p.name.split("-")[0] for p in tmp_path.iterdir() if any(p.glob("*.parquet"))} == {"centred"}
+
+
 def test_attribution_ignores_points_outside_the_context(panel):
     from tidepanel.operators import attribution as at
 

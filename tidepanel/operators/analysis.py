@@ -181,7 +181,7 @@ def dominant_period(panel: DataFrame, rows: int | None = None, tile_bits: int |
     short = valid.where(F.col("n") <= rows).groupBy("series_id").applyInPandas(run, "series_id string, n long, bin long")
     long = valid.where(F.col("n") > rows)
     if not long.isEmpty():
-        ends = per_series(long).join(fourier.strongest(fourier.spectrum(long, "d", tile_bits), tile_bits), "series_id")
+        ends = per_series(long).join(fourier.strongest(fourier.spectrum(long, "d", tile_bits, half=True), tile_bits), "series_id")
         short = short.unionByName(ends.select("series_id", "n", "bin"))
     period = F.floor(F.col("n") / F.col("bin"))
     found = short.select(

@@ -1,28 +1,34 @@
 """Discrete Fourier transforms of series of any length.
 
-A transform of 2 ** bits values is two rounds of short ones: the values are laid out as a matrix, transformed along its columns,
-turned by twiddle factors, and transformed along its rows. Values travel as runs of TILE neighbours, and a task holds TILE columns
-or rows of the matrix, about TILE times the square root of the length. A series whose length is no power of two goes through a
-convolution with a chirp, which needs three such transforms and gives the spectrum at its own length.
+A transform of height * 2 ** bits values is two rounds of short ones: the values are laid out as a matrix, transformed along its
+columns, turned by twiddle factors, and transformed along its rows. Values travel as runs of TILE neighbours, and a task holds TILE columns
+or rows of the matrix, about TILE times the square root of the length. The spectrum of a series at its own length, which need not be
+one of these, is read off one transform of a longer grid: the values are divided by the transform of a narrow window, which fits
+between the grid's points (to 1e-13 of the largest value of the spectrum). Of a real series half of the grid is sent.
 """
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from numpy.polynomial import chebyshev
 from pyspark.sql import DataFrame, functions as F
 
 from tidepanel.operators.blocks import attach, number_rows, per_series
-from tidepanel.session import cut_lineage
+from tidepanel.session import cut_lineage, drop_staged
 
 TILE_BITS = 6
-SEGMENT = 1 << 10  # runs that one row of the filters' layout is expanded into, so that no task lays out a whole series
+SPAN = 64  # runs of a spectrum that are made at once
+LEAST_GRID = 1.5  # points of the grid per value; fewer would ask for a window that costs digits
+MOST_HALF = 16  # no window reaches more points to either side
 
-#: A run of values: `chunk` counts runs of the transform, `n` is the length of the series, 2 ** bits that of the transform.
-RUNS = "series_id string, n long, bits int, chunk long, re array<double>, im array<double>"
+#: A run of values: `chunk` counts runs of the transform, `n` is the length of the series, height * 2 ** bits that of the transform.
+RUNS = "series_id string, n long, height int, bits int, chunk long, re array<double>, im array<double>"
 _MANY = pa.list_(pa.float64())
 
 
@@ -37,48 +43,57 @@ def _complex(table: pa.Table | pa.RecordBatch, width: int) -> np.ndarray:
     return (re + 1j * im).reshape(-1, width)
 
 
-def bits_for(length, tile_bits: int):
-    """Column: bits of a transform of at least `length` values that can be cut into tiles."""
-    return F.greatest(F.ceil(F.log2(length.cast("double"))), F.lit(2 * tile_bits)).cast("int")
+def shape_for(length, tile_bits: int) -> list:
+    """Columns height and bits of a transform of at least `length` values, hardly more, that can be cut into tiles."""
+    bits = F.greatest(F.ceil(F.log2(length.cast("double")) / 2), F.lit(tile_bits)).cast("int")
+    height = F.greatest(F.ceil(length / F.pow(F.lit(2.0), bits) / (1 << tile_bits)), F.lit(1)) * (1 << tile_bits)
+    return [height.cast("int").alias("height"), bits.alias("bits")]
 
 
-def _shape(bits: int) -> tuple[int, int]:
-    return 1 << (bits + 1) // 2, 1 << bits // 2
+def _own(table: pa.Table, rows: int) -> list[pa.Array]:
+    """The first columns of RUNS, for `rows` rows of one series."""
+    return [pa.array([table.column(c)[0].as_py()] * rows, t) for c, t in (("series_id", pa.string()), ("n", pa.int64()), ("height", pa.int32()), ("bits", pa.int32()))]
 
 
-def transform(runs: DataFrame, inverse: bool = False, tile_bits: int | None = None) -> DataFrame:
-    """The transforms of all series of RUNS, as RUNS. Missing runs are zeros; the inverse is divided by the length."""
+def _size(runs: pa.RecordBatch) -> np.ndarray:
+    return runs.column("height").to_numpy().astype(np.int64) << runs.column("bits").to_numpy().astype(np.int64)
+
+
+def transform(runs: DataFrame, inverse: bool = False, tile_bits: int | None = None, real: bool = False) -> DataFrame:
+    """The transforms of all series of RUNS, as RUNS. Missing runs are zeros, runs that come in parts are summed; the inverse is
+    divided by the length. Of `real` values only the runs in the first half of each row of the matrix come; the others hold the
+    conjugates of theirs."""
     tile = 1 << (TILE_BITS if tile_bits is None else tile_bits)
     sign = 2j * math.pi if inverse else -2j * math.pi
     short = np.fft.ifft if inverse else np.fft.fft
 
     def columns(table: pa.Table) -> pa.Table:
-        bits, chunk = table.column("bits")[0].as_py(), table.column("chunk").to_numpy()
-        n1, n2 = _shape(bits)
+        chunk = table.column("chunk").to_numpy()
+        n1, n2 = table.column("height")[0].as_py(), 1 << table.column("bits")[0].as_py()
         at = int(chunk[0] % (n2 // tile))
-        x = np.zeros((n1, tile), complex)
-        x[chunk // (n2 // tile)] = _complex(table, tile)
-        turn = np.outer(np.arange(n1), at * tile + np.arange(tile))  # below n1 * n2
-        x = short(x, axis=0) * np.exp(sign * turn / (n1 * n2))
-        re, im = _arrays(x.reshape(n1 // tile, tile * tile))
-        rows = n1 // tile
-        own = [pa.array([table.column(c)[0].as_py()] * rows, t) for c, t in (("series_id", pa.string()), ("n", pa.int64()), ("bits", pa.int32()))]
-        return pa.table([*own, pa.array(np.arange(rows)), pa.array(np.full(rows, at)), re, im], names=["series_id", "n", "bits", "row", "chunk", "re", "im"])
+        x, parts, place = np.zeros((n1, tile), complex), _complex(table, tile), chunk // (n2 // tile)
+        first = np.unique(place, return_index=True)[1]
+        x[place[first]] = parts[first]
+        more = np.delete(np.arange(len(place)), first)
+        np.add.at(x, place[more], parts[more])
+        rows = min(n1 // tile, n1 // (2 * tile) + 1) if real else n1 // tile
+        turn = np.outer(np.arange(rows * tile), at * tile + np.arange(tile))  # below n1 * n2
+        x = short(x, axis=0)[: rows * tile] * np.exp(sign * turn / (n1 * n2))
+        re, im = _arrays(x.reshape(rows, tile * tile))
+        return pa.table([*_own(table, rows), pa.array(np.arange(rows)), pa.array(np.full(rows, at)), re, im], names=["series_id", "n", "height", "bits", "row", "chunk", "re", "im"])
 
     def rows(table: pa.Table) -> pa.Table:
-        bits = table.column("bits")[0].as_py()
-        n1, n2 = _shape(bits)
+        n1, n2 = table.column("height")[0].as_py(), 1 << table.column("bits")[0].as_py()
         at = table.column("row")[0].as_py()
         x = np.zeros((n2 // tile, tile, tile), complex)
         x[table.column("chunk").to_numpy()] = _complex(table, tile * tile).reshape(-1, tile, tile)
         x = short(x.transpose(1, 0, 2).reshape(tile, n2), axis=1)
         re, im = _arrays(x.T)
-        own = [pa.array([table.column(c)[0].as_py()] * n2, t) for c, t in (("series_id", pa.string()), ("n", pa.int64()), ("bits", pa.int32()))]
-        return pa.table([*own, pa.array(at + n1 // tile * np.arange(n2)), re, im], names=["series_id", "n", "bits", "chunk", "re", "im"])
+        return pa.table([*_own(table, n2), pa.array(at + n1 // tile * np.arange(n2)), re, im], names=["series_id", "n", "height", "bits", "chunk", "re", "im"])
 
-    across = (F.pow(F.lit(2.0), F.floor(F.col("bits") / 2)) / tile).cast("long")  # runs in a row of the matrix
+    across = (F.pow(F.lit(2.0), "bits") / tile).cast("long")  # runs in a row of the matrix
     by_column = runs.groupBy("series_id", (F.col("chunk") % across).alias("_t"))
-    middle = by_column.applyInArrow(columns, "series_id string, n long, bits int, row long, chunk long, re array<double>, im array<double>")
+    middle = by_column.applyInArrow(columns, "series_id string, n long, height int, bits int, row long, chunk long, re array<double>, im array<double>")
     return middle.groupBy("series_id", "row").applyInArrow(rows, RUNS)
 
 
@@ -90,9 +105,8 @@ def pointwise(runs: DataFrame, change: Callable[[np.ndarray, np.ndarray, np.ndar
         for b in batches:
             if b.num_rows:
                 index = b.column("chunk").to_numpy()[:, None] * tile + np.arange(tile)
-                n, size = b.column("n").to_numpy()[:, None], np.int64(1) << b.column("bits").to_numpy().astype(np.int64)[:, None]
-                z = change(_complex(b, tile), index, n, size)
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("series_id", "n", "bits", "chunk")], *_arrays(z)], names=["series_id", "n", "bits", "chunk", "re", "im"])
+                z = change(_complex(b, tile), index, b.column("n").to_numpy()[:, None], _size(b)[:, None])
+                yield pa.RecordBatch.from_arrays([*b.columns[:5], *_arrays(z)], names=b.schema.names)
 
     return runs.mapInArrow(run, RUNS)
 
@@ -106,44 +120,116 @@ def runs_of(rows: DataFrame, value: str, length, tile_bits: int | None = None) -
     )
     at = F.sequence(F.lit(0), F.lit(tile - 1))
     return packed.select(
-        "series_id", "n", bits_for(length, bits).alias("bits"), "chunk",
+        "series_id", "n", *shape_for(length, bits), "chunk",
         F.transform(at, lambda i: F.coalesce(F.get("_v", i)["v"], F.lit(0.0))).alias("re"), F.transform(at, lambda i: F.lit(0.0)).alias("im"),
     )
 
 
-def _chirp(index: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """exp(-i pi k^2 / n); the square is reduced first, so that large k lose no digits."""
-    return np.exp(-1j * math.pi * ((index * index) % (2 * n)) / n)
+@functools.lru_cache(64)
+def _window(n: int, size: int, tile: int) -> tuple[int, float]:
+    """(half width in points, shape) of the Kaiser-Bessel window that reads a spectrum off a grid of `size` points."""
+    over = min(size / (n + 2 * tile), 2.5)
+    half = math.ceil(34 / (2 * math.pi * math.sqrt(1 - 1 / over))) + 1
+    return half, 2 * math.pi * half * (1 - 0.5 / over)
 
 
-def spectrum(rows: DataFrame, value: str, tile_bits: int | None = None) -> DataFrame:
-    """RUNS of the transform of each series at its own length n: index k < n of the runs, the rest is of no account."""
-    bits = TILE_BITS if tile_bits is None else tile_bits
-    length = 2 * F.col("n")
-    turned = pointwise(runs_of(rows, value, length, bits), lambda z, k, n, m: z * np.where(k < n, _chirp(k, n), 0), bits)
-    zeros = F.transform(F.sequence(F.lit(0), F.lit((1 << bits) - 1)), lambda i: F.lit(0.0))
-    every = per_series(rows).select("series_id", "n", bits_for(length, bits).alias("bits"))
-    last = F.pow(F.lit(2.0), F.col("bits") - bits).cast("long") - 1
-    every = every.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(SEGMENT).cast("long"))))
-    # a number of partitions is named, as the few rows would be put together into one task again
-    every = every.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_id", "_s")
-    every = every.withColumn("chunk", F.explode(F.sequence(F.col("_s"), F.least(F.col("_s") + (SEGMENT - 1), last))))
-    filters = every.select("series_id", "n", "bits", "chunk", zeros.alias("re"), zeros.alias("im"))
-
-    def mirrored(z, k, n, m):
-        k = np.minimum(k, m - k)
-        return np.where(k < n, np.conj(_chirp(k, n)), 0)
-
-    a, h = transform(turned, tile_bits=bits), transform(pointwise(filters, mirrored, bits), tile_bits=bits)
-    # the filters come from a row per series, so Spark takes them for small and would send them whole through the driver
-    h = h.select("series_id", "chunk", F.col("re").alias("hr"), F.col("im").alias("hi")).hint("merge")
-    pair = a.alias("a").join(h.alias("h"), ["series_id", "chunk"])
-    product = pair.select(
-        "series_id", "n", "bits", "chunk",
-        F.zip_with(F.zip_with("re", "hr", lambda x, y: x * y), F.zip_with("im", "hi", lambda x, y: x * y), lambda x, y: x - y).alias("re"),
-        F.zip_with(F.zip_with("re", "hi", lambda x, y: x * y), F.zip_with("im", "hr", lambda x, y: x * y), lambda x, y: x + y).alias("im"),
-    )
-    return pointwise(transform(product, inverse=True, tile_bits=bits), lambda z, k, n, m: z * np.where(k < n, _chirp(k, n), 0), bits)
+def _window_transform(t: np.ndarray, size: int, half: int, shape: float) -> np.ndarray:
+    root = np.sqrt(shape**2 - (2 * math.pi * half * t / size) ** 2)
+    return half * (np.exp(root - shape) - np.exp(-root - shape)) / root
+
+
+@functools.lru_cache(64)
+def _window_pieces(half: int, shape: float) -> np.ndarray:
+    """The window between its points 1 - half to half, as Chebyshev series in the place between two points."""
+
+    def piece(d: int) -> np.ndarray:
+        return chebyshev.chebinterpolate(lambda x: np.i0(shape * np.sqrt(np.maximum(0, 1 - (((x + 1) / 2 - d) / half) ** 2))) * math.exp(-shape), 20)
+
+    return np.stack([piece(d) for d in range(1 - half, half + 1)])
+
+
+def _centre(n, tile: int):
+    """The position that comes first on the grid; those before it are at its end."""
+    return n // 2 // tile * tile
+
+
+def _grid_shape(tile_bits: int) -> list:
+    return shape_for(F.greatest(LEAST_GRID * (F.col("n") + (2 << tile_bits)), F.lit(2.0 * MOST_HALF)), tile_bits)
+
+
+def grid_runs(rows: DataFrame, value: str, tile_bits: int) -> DataFrame:
+    """RUNS of the values at pos (0 to n - 1), about their centre and divided by the window's transform. Rows are packed where
+    they are: those of a run that aren't neighbours make several runs, which transform() sums."""
+    tile = 1 << tile_bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            series = b.column("series_id").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            pos, n = (b.column(c).to_numpy() for c in ("pos", "n"))
+            v = pc.fill_null(b.column("v"), 0.0).to_numpy()
+            of, size = pos // tile, _size(b)
+            new = np.concatenate([[True], (series[1:] != series[:-1]) | (of[1:] != of[:-1])])
+            head, z = np.flatnonzero(new), np.zeros((int(new.sum()), tile))
+            t = pos - _centre(n, tile)
+            for m, k in {(int(size[i]), int(n[i])) for i in head.tolist()}:
+                own = (size == m) & (n == k)
+                z[(np.cumsum(new) - 1)[own], (pos % tile)[own]] = v[own] / _window_transform(t[own], m, *_window(k, m, tile))
+            chunk = (of[head] - _centre(n[head], tile) // tile) % (size[head] // tile)
+            own = [b.column(c).take(pa.array(head)) for c in ("series_id", "n", "height", "bits")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(chunk), *_arrays(z + 0j)], names=["series_id", "n", "height", "bits", "chunk", "re", "im"])
+
+    return rows.select("series_id", "pos", "n", *_grid_shape(tile_bits), F.col(value).cast("double").alias("v")).mapInArrow(run, RUNS)
+
+
+def spectrum(rows: DataFrame, value: str, tile_bits: int | None = None, half: bool = False) -> DataFrame:
+    """RUNS of the transform of each series at its own length n: index k < n of the runs (k <= n // 2, if `half` is enough), the
+    rest is of no account.
+
+    A transform is sent twice, half of a grid of 1.5 points per value each time (more for short series)."""
+    tile_bits = TILE_BITS if tile_bits is None else tile_bits
+    tile = 1 << tile_bits
+    span = SPAN * tile
+    size, n = F.col("height") * F.pow(F.lit(2.0), "bits"), F.col("n")
+    last = F.floor(n / 2) if half else n - 1
+    grid = transform(grid_runs(rows, value, tile_bits), tile_bits=tile_bits, real=True)
+
+    def seen(sign: int, turns: int):
+        """Spans that look at the points sign * (those of the run) + turns * size."""
+        ends = [sign * (F.col("chunk") * tile + k) + turns * size for k in (0, tile - 1)]
+        low, high = (ends if sign > 0 else ends[::-1])
+        a = F.greatest(F.lit(0), F.floor((low - MOST_HALF - 2) * n / size / span)).cast("long")
+        b = F.least(F.floor(last / span), F.floor((high + MOST_HALF + 2) * n / size / span)).cast("long")
+        return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<long>"))
+
+    spans = F.array_distinct(F.flatten(F.array(*[seen(1, k) for k in (-1, 0, 1)], *[seen(-1, k) for k in (0, 1, 2)])))
+    near = grid.select("series_id", "chunk", "re", "im", F.explode(spans).alias("_chunks"))
+    every = per_series(rows).select("series_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / span))).alias("_chunks"))
+
+    def read_off(table: pa.Table) -> pa.Table:
+        n, at = table.column("n")[0].as_py(), table.column("_chunks")[0].as_py()
+        m = table.column("height")[0].as_py() << table.column("bits")[0].as_py()
+        half_width, shape = _window(n, m, tile)
+        k = np.arange(at * span, min((at + 1) * span, (n // 2 if half else n - 1) + 1))
+        base, rest = np.divmod(k * m, n)
+        low = int(base[0]) - half_width
+        points = np.zeros(int(base[-1]) + half_width + 1 - low, complex)
+        z, place = _complex(table, tile), table.column("chunk").to_numpy()[:, None] * tile + np.arange(tile)
+        for sign, turns in ((1, -1), (1, 0), (1, 1), (-1, 0), (-1, 1), (-1, 2)):
+            i = sign * place + (turns * m - low)
+            own = (i >= 0) & (i < len(points))
+            points[i[own]] = z[own] if sign > 0 else z[own].conj()
+        weights = _window_pieces(half_width, shape) @ chebyshev.chebvander(2 * (rest / n) - 1, 20).T
+        around = points[(base - low)[None, :] + np.arange(1 - half_width, half_width + 1)[:, None]]
+        out = np.zeros((-(-len(k) // tile), tile), complex)
+        out.ravel()[: len(k)] = (weights * around).sum(axis=0) * np.exp(-2j * math.pi * ((k * _centre(n, tile)) % n) / n)
+        re, im = _arrays(out)
+        return pa.table([*_own(table, len(out)), pa.array(at * SPAN + np.arange(len(out))), re, im], names=["series_id", "n", "height", "bits", "chunk", "re", "im"])
+
+    # the spans come from a row per series, so Spark takes them for small; a join that sorts leaves the rows where the groups want them
+    every = every.select("*", *_grid_shape(tile_bits)).hint("merge")
+    return near.join(every, ["series_id", "_chunks"]).groupBy("series_id", "_chunks").applyInArrow(read_off, RUNS)
 
 
 def strongest(runs: DataFrame, tile_bits: int | None = None) -> DataFrame:
@@ -185,4 +271,6 @@ def centred(rows: DataFrame) -> DataFrame:
     valid = rows.where(F.col("y").isNotNull()).select("series_id", F.col("pos").alias("_p"), "y")
     numbered = cut_lineage(spark, number_rows(valid, ("_p",)).select("series_id", "pos", "n", "y"), "numbered")
     less = attach(numbered, per_series(numbered, F.avg("y").alias("_m"))).select("series_id", "pos", "n", (F.col("y") - F.col("_m")).alias("d"))
-    return cut_lineage(spark, less, "centred")
+    less = cut_lineage(spark, less.sortWithinPartitions("series_id", "pos"), "centred")
+    drop_staged(spark, numbered)
+    return less
